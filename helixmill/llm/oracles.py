@@ -41,4 +41,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op8_source_mixing": OP8, "op9_line_dedup": OP9}
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS a FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) = 1 THEN a ELSE list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m AS component_id, d.doc_id = m.m AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS m FROM r GROUP BY v) m ON m.v = d.doc_id
+"""
+
+ORACLES = {"op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
