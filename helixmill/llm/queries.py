@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import cpsjoin, linededup, mixing, quality
+from helixmill.llm import cpsjoin, cws, linededup, mixing, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpsjoin.near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op5_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules,
         op3_minhash_near_dedup,
+        op5_cws_fingerprints,
         op8_source_mixing,
         op9_line_dedup,
     )
