@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import cpsjoin, cws, linededup, mixing, quality
+from helixmill.llm import cpsjoin, cws, langid, linededup, mixing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op5_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return secrets.scan(d, secrets.train(d))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    model = langid.train(d.where(~langid.held_out(F.col("doc_id"))))
+    p = langid.predict(d, model)
+    return p.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op3_minhash_near_dedup,
         op5_cws_fingerprints,
+        op6_secret_scan,
+        op7_language_id,
         op8_source_mixing,
         op9_line_dedup,
     )
