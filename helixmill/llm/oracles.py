@@ -55,4 +55,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS m FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-ORACLES = {"op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
+CONTROLS = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<s>|</s>|<\|role\|>|<\|text\|>|<\|end\|>"
+
+OP4 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{CONTROLS}')) +
+    CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7
+      ELSE 23 + length(role) + len(regexp_extract_all(role, '{CONTROLS}')) END AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES = {"op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
