@@ -9,9 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import linededup, mixing, quality
+from helixmill.llm import cpsjoin, linededup, mixing, quality, spm
 from helixmill.llm.common import materialize
 
+#: A public SentencePiece model; the operator takes its path as a parameter.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,15 +28,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs, min_docs=10).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    return cpsjoin.keep_one(docs, k=5, percent=80)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time that a document is taken."""
     return mixing.mix(docs)
 
 
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text of the mix, and whether they decode to it."""
+    return spm.round_trip(docs, TOKENIZER).select("doc_id", "source", "lang", "n_tokens", "ids", "decoded_sha256", "round_trip")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
 ]
 
 #: Tokens of a SentencePiece model can't be made in SQL.
