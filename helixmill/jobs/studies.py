@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.columns import broadcast_if_small
+from helixmill.functions.columns import broadcast_if_small, neg_log10_p
 from helixmill.operators import cells as C
 from helixmill.operators import compare, dp, federated, gwas, harmonize, pgs, qc
 
@@ -59,26 +59,26 @@ def epsilon_sweep(cells: DataFrame, sums: DataFrame, base: DataFrame, variants:
     res = dp.dp_gwas(variants.select("variant_id", "rsid"), cells, sums, budgets, seed, y_clip=y_clip)
     recall = compare.hit_recall(res, base, ["eps_total"], line)
     both = res.join(base.select("rsid", F.col("p").alias("p_base")), "rsid")
-    rho = compare.spearman(both.withColumns({"x": -F.log10("p"), "y": -F.log10("p_base")}), "x", "y", ["eps_total"])
+    rho = compare.spearman(both.withColumns({"x": neg_log10_p(F.col("p")), "y": neg_log10_p(F.col("p_base"))}), "x", "y", ["eps_total"])
     k = res.groupBy("eps_total").agg(F.count("p").alias("k"))
     return k.join(recall, "eps_total").join(rho.select("eps_total", "rho"), "eps_total", "left").orderBy("eps_total")
 
 
 def k_sweep(genotypes: DataFrame, people: DataFrame, ks: Sequence[int], base: DataFrame, variants: DataFrame, line: float, seed: int = 1) -> DataFrame:
-    """k, hits and lambda of the federated scan, AUC and R2 of its scores, rank correlation with the baseline.
+    """sites, hits and lambda of the federated scan, AUC and R2 of its scores, rank correlation with the baseline.
 
-    k is one more key: every person occurs once for each k, and one pass serves all.
+    The number of sites is one more key: every person occurs once for each, and one pass serves all.
     """
-    dealt = federated.sites_for_grid(people, ks, seed)
-    cells = C.genotype_cells(genotypes, dealt, ["k", "site"])
-    fits = federated.federated_gwas(cells, "quant", ["k"]).join(variants.select("variant_id", "rsid"), "variant_id")
-    scores = federated.federated_scores(fits, genotypes, dealt, ["k"], line)
-    d = gwas.hit_counts(fits, ["k"], line=line).where("k is not null").select("k", "hits")
-    d = d.join(gwas.genomic_inflation(fits, ["k"]).select("k", "lambda"), "k")
-    d = d.join(federated.federated_auc(scores, ["k"]), "k", "left").join(federated.federated_r2(scores, ["k"]).select("k", "r2"), "k", "left")
-    both = fits.select("k", "rsid", "p").join(base.select("rsid", F.col("p").alias("p_base")), "rsid")
-    rho = compare.spearman(both.withColumns({"x": -F.log10("p"), "y": -F.log10("p_base")}), "x", "y", ["k"])
-    return d.join(rho.select("k", "rho"), "k", "left").orderBy("k")
+    dealt = federated.sites_for_grid(people, ks, seed).withColumnRenamed("k", "sites")
+    cells = C.genotype_cells(genotypes, dealt, ["sites", "site"]).persist()
+    fits = federated.federated_gwas(cells, "quant", ["sites"]).join(variants.select("variant_id", "rsid"), "variant_id").persist()
+    scores = federated.federated_scores(fits, genotypes, dealt, ["sites"], line)
+    d = gwas.hit_counts(fits, ["sites"], line=line).where("sites is not null").select("sites", "hits")
+    d = d.join(gwas.genomic_inflation(fits, ["sites"]).select("sites", "lambda"), "sites")
+    d = d.join(federated.federated_auc(scores, ["sites"]), "sites", "left").join(federated.federated_r2(scores, ["sites"]).select("sites", "r2"), "sites", "left")
+    both = fits.select("sites", "rsid", "p").join(base.select("rsid", F.col("p").alias("p_base")), "rsid")
+    rho = compare.spearman(both.withColumns({"x": neg_log10_p(F.col("p")), "y": neg_log10_p(F.col("p_base"))}), "x", "y", ["sites"])
+    return d.join(rho.select("sites", "rho"), "sites", "left").orderBy("sites")
 
 
 def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, causal: DataFrame, runs: Sequence[int], stats: DataFrame, most: int = 200, seed: int = 1000) -> DataFrame:
@@ -90,7 +90,7 @@ def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, cau
     subset = pgs.seeded_sample(variants.join(causal.select("rsid").distinct(), "rsid", "left_semi"), most, seed, "variant_id")
     small = broadcast_if_small(subset.select("variant_id"))
     g = genotypes.join(small, "variant_id", "left_semi")
-    cells = C.genotype_cells(g, people)
+    cells = C.genotype_cells(g, people).persist()
     base = gwas.gwas_linear(cells).select("variant_id", "beta")
     moments = stats.join(small, "variant_id", "left_semi")
     age = people.agg(F.avg("age"), F.stddev_samp("age")).first()

@@ -17,17 +17,17 @@ from helixmill.operators.qc import is_hit
 MEDIAN_CHI2 = 0.4549364231195724
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(stats.t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(2 * stats.norm_sf(np.abs(z.to_numpy(float))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(stats.chi2_sf(x.to_numpy(float), df.to_numpy()))
 
@@ -158,7 +158,7 @@ def genomic_inflation(results: DataFrame, by: Sequence[str] = (), p: str = "p")
     return d.select(*by, "n", "median_p", (F.col("chi2") / MEDIAN_CHI2).alias("lambda"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_of(p: pd.Series) -> pd.Series:
     """The chi-square value (one degree of freedom) with upper tail p."""
     return pd.Series(stats.norm_ppf(np.asarray(p, float) / 2) ** 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Views that both engines read; each may use those before it.
@@ -20,39 +22,26 @@ VIEWS = {
     "weights": """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'T2D' ELSE 'BMI' END AS trait, p_partkey AS line, '22' AS chr_name, concat('rs', variant_id) AS rsid,
         CASE WHEN p_partkey % 3 = 0 THEN 'A' WHEN variant_id % 2 = 0 THEN 'C' ELSE 'G' END AS effect_allele, (p_retailprice - 1000) / 1000 AS effect_weight
         FROM part_variants WHERE variant_id % 10 < 4""",
+    # carriers against everyone: the difference of means, and a bound on its normal tail as p
+    "everyone": "SELECT avg(y_quant) AS m, stddev_samp(y_quant) AS s, avg(y_bin) AS mb, stddev_samp(y_bin) AS sb FROM people",
+    "carriers": """SELECT g.variant_id, count(*) AS n, avg(p.y_quant) AS m, avg(p.y_bin) AS mb FROM genotypes g JOIN people p ON g.sample_id = p.sample_id
+        WHERE g.dosage > 0 GROUP BY g.variant_id""",
+    "results": """SELECT v.variant_id, v.rsid, v.chr, v.bp, 'BMI' AS trait, c.m - e.m AS beta, exp(-4 * c.n * (c.m - e.m) * (c.m - e.m) / (e.s * e.s)) AS p
+        FROM carriers c JOIN variants v ON c.variant_id = v.variant_id JOIN everyone e ON 1 = 1 UNION ALL
+        SELECT v.variant_id, v.rsid, v.chr, v.bp, 'T2D' AS trait, c.mb - e.mb AS beta, exp(-4 * c.n * (c.mb - e.mb) * (c.mb - e.mb) / (e.sb * e.sb)) AS p
+        FROM carriers c JOIN variants v ON c.variant_id = v.variant_id JOIN everyone e ON 1 = 1""",
+    # a score of each person: the weighted dosages of a subset of variants
+    "scores": """SELECT p.sample_id, p.age, p.sex, p.y_bin, p.y_quant, CAST(p.sample_id % 5 + 1 AS INT) AS site, round(coalesce(s.score, 0), 4) AS score FROM people p LEFT JOIN
+        (SELECT g.sample_id, sum(g.dosage * (g.variant_id % 7 - 3)) / 10.0 AS score FROM genotypes g WHERE g.variant_id % 10 < 3 GROUP BY g.sample_id) s ON p.sample_id = s.sample_id""",
 }
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS over the tables of `sf_dir`."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "part")}
-    made: dict[str, DataFrame] = {}
-
-    def get(n: str) -> DataFrame:
-        if n in tables:
-            return tables[n]
-        if n not in made:
-            sql = VIEWS[n]
-            needed = {x: get(x) for x in (*tables, *VIEWS) if x != n and f" {x}" in f" {sql} ".replace("\n", " ") and _uses(sql, x)}
-            for k in needed:
-                sql = _replace(sql, k)
-            made[n] = spark.sql(sql, **needed)
-        return made[n]
-
-    return get(name)
-
-
-def _uses(sql: str, name: str) -> bool:
-    return any(f"{w} {name}{end}" in f"{sql} " for w in ("FROM", "JOIN") for end in (" ", ")"))
-
-
-def _replace(sql: str, name: str) -> str:
-    for w in ("FROM", "JOIN"):
-        for end in (" ", ")"):
-            sql = f"{sql} ".replace(f"{w} {name}{end}", f"{w} {{{name}}}{end}").rstrip(" ") if end == " " else sql.replace(f"{w} {name}{end}", f"{w} {{{name}}}{end}")
-    return sql
+    sql = re.sub(r"\b(FROM|JOIN) (customer|orders|lineitem|part)\b", r"\1 {\2}", prelude().replace("RECURSIVE ", "", 1))
+    return spark.sql(f"{sql} SELECT * FROM {name}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "part")})
 
 
 def prelude(*more: str) -> str:
     """WITH clause for DuckDB that defines all views, and the `name AS (...)` items given."""
-    return "WITH " + ",\n".join([*(f"{k} AS ({v})" for k, v in VIEWS.items()), *more])
+    return "WITH RECURSIVE " + ",\n".join([*(f"{k} AS ({v})" for k, v in VIEWS.items()), *more])
