@@ -3,8 +3,8 @@
 The model file is a protobuf; its pieces, scores, normaliser and byte fallback are read
 from the wire format and rebuilt as a tokenizers backend: unigram models from their scores,
 BPE models from merges in order of the scores of their results. White space becomes the
-marker U+2581. Ids without byte pieces are decoded by joining their pieces in Arrow, others
-by the backend. `parity` holds ids and decoded texts against the sentencepiece library
+marker U+2581. Ids are decoded by joining the bytes of their pieces in Arrow; where that is
+no text, or there are control pieces, by the backend. `parity` holds ids and decoded texts against the sentencepiece library
 itself.
 
 Defined results: null text is empty and has no ids; equal rows give equal results; an
@@ -13,6 +13,7 @@ empty table gives an empty result; further columns are kept by `encode` and `dec
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import struct
 from collections.abc import Iterator
@@ -22,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
@@ -103,7 +103,7 @@ def build(data: bytes) -> Tokenizer:
     if m.kind == BPE:
         every = {p: i for i, (p, *_) in enumerate(m.pieces)}
         # texts must not match control pieces, so those are not in any merge
-        model = models.BPE(vocab=every, merges=_merges(m, usable), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=100_000)
+        model = models.BPE(vocab=every, merges=_merges(m, usable), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     elif m.kind == UNIGRAM:
         low = min(s for _, s, _ in m.pieces) - 1e6
         model = models.Unigram([(p, s if t in (NORMAL, USER_DEFINED) else low) for p, s, t in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback)
@@ -144,32 +144,43 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, ids: str = "ids")
 
 @dataclass
 class Decoder:
-    """Plain pieces as texts, by id; which ids need the backend; and whether a first space is dropped."""
+    """The bytes of each piece, by id; which ids need the backend; and whether a first space is dropped."""
 
-    texts: pa.Array
+    pieces: pa.Array
     special: np.ndarray
     strip: bool
 
     @classmethod
     def of(cls, data: bytes) -> Decoder:
         m = parse(data)
-        plain = [p.replace(MARKER, " ") if m.escape_spaces else p for p, *_ in m.pieces]
-        return cls(pa.array(plain), np.array([t not in (NORMAL, USER_DEFINED) for *_, t in m.pieces]), m.dummy_prefix)
+        plain = [bytes([int(p[3:5], 16)]) if t == BYTE else (p.replace(MARKER, " ") if m.escape_spaces else p).encode() for p, _, t in m.pieces]
+        return cls(pa.array(plain, pa.large_binary()), np.array([t in (UNKNOWN, CONTROL, UNUSED) for *_, t in m.pieces]), m.dummy_prefix)
 
     def __call__(self, ids: pa.ListArray, backend: Tokenizer) -> pa.Array:
         flat, ends = ids.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
-        pieces = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.texts.take(flat).cast(pa.large_string()))
-        texts = pc.binary_join(pieces, pa.scalar("", pa.large_string()))
-        if self.strip:
-            texts = pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.pieces.take(flat)), pa.scalar(b"", pa.large_binary()))
         odd = np.concatenate([[0], np.cumsum(self.special[flat.to_numpy(zero_copy_only=False)])])
         odd = np.diff(odd[ends]) > 0
+        try:
+            texts = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:  # byte pieces that are no text
+            odd |= np.array([not _is_text(x.as_py()) for x in joined])
+            texts = pc.if_else(pa.array(odd), b"", joined).cast(pa.large_string())
+        if self.strip:
+            texts = pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1)
         if odd.any():
             mask = pa.array(odd)
             texts = pc.replace_with_mask(texts, mask, pa.array(backend.decode_batch(ids.filter(mask).to_pylist(), skip_special_tokens=False), pa.large_string()))
         return texts.cast(pa.string())
 
 
+def _is_text(data: bytes) -> bool:
+    try:
+        return bool(data.decode()) or not data
+    except UnicodeDecodeError:
+        return False
+
+
 def _parts(b: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` list values each (one row at least)."""
     part = np.cumsum(pc.fill_null(pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False)) // most
@@ -194,9 +205,26 @@ def decode(encoded: DataFrame, model_path: str, threads: int = 2, ids: str = "id
 
 
 def round_trip(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
-    """`docs` with ids, n_tokens, decoded_sha256 and round_trip, which says if decoding gives the text again."""
-    d = decode(encode(docs, model_path, threads), model_path, threads)
-    return d.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2("decoded", 256), "round_trip": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("decoded")
+    """`docs` with ids, n_tokens, decoded_sha256 and round_trip, which says if decoding gives the text again.
+
+    Encodes and decodes in one pass, so that decoded texts never leave the task.
+    """
+    data = shared_file(docs.sparkSession, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_threads(threads)
+        backend, decoder = once("spm", data.value, build), once("spm-decoder", data.value, Decoder.of)
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                texts = text_or_empty(b.column("text"))
+                ids = pa.array([e.ids for e in backend.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+                decoded = decoder(ids, backend)
+                digest = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string())
+                new = [ids, pc.list_value_length(ids).cast(pa.int64()), digest, pc.equal(decoded, texts)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "ids", "n_tokens", "decoded_sha256", "round_trip"])
+
+    more = "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields]))
 
 
 def parity(docs: DataFrame, model_path: str) -> DataFrame:
