@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import materialize
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, one_task_rows: int = 200_000) -> DataFrame:
     """node, component for each node of `edges` (a, b): component is the least node reachable.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the least
     node that it knows (Kiveris et al. 2014), until the edges are stars. A node with many
     edges is one row of the minimum that its edges are joined with, so hubs can be split.
-    Edges from a node to itself and repeated edges are allowed.
+    Edges from a node to itself and repeated edges are allowed. Up to `one_task_rows` edges
+    are counted small enough for one task, which saves all shuffles.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    few = now.count() <= one_task_rows
     mark = None
     for _ in range(most_rounds):
+        now = now.coalesce(1) if few else now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()

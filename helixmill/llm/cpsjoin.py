@@ -5,12 +5,16 @@ class, of which one representative goes on. In each of several independent trees
 holds representatives that share all tokens chosen on the way to it; a node chooses about
 1/similarity further positions and branches by the tokens there, so that similar pairs meet
 in about as many nodes as on the level above, and others part. Nodes of a few members are
-compared exhaustively. In larger nodes some members, the leaders, are compared with all
-others and leave the node. Pairs that look similar by their tokens are confirmed on full
-sets, linked classes merge, and nodes within one component have nothing left to find.
+compared exhaustively; in larger ones each member is first held against a few leaders.
+Pairs that look similar by their tokens are confirmed on full sets, linked classes merge,
+and nodes within one component have nothing left to find. So that a group of many copies
+costs a few pairs a member, members first offer their most similar partner in another
+component; all other pairs follow once components have grown.
 
-Nodes that are still large and mixed after the last level are finished the same way: the
-members outside the node's largest component become leaders, until none is left.
+A large node mostly within one component would stay together on every level. It is finished
+at once, in as many of the trees as find almost all pairs without further branching; so is
+every node left after the last level: the members outside the node's largest component are
+compared with the whole node on full sets, in blocks of bounded size.
 
 Defined results: null and wordless texts are empty sets, alone in their components; a text
 of fewer words than a shingle is one shingle; equal rows are in one class; a doc_id names
@@ -29,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import chunks, hash_words, materialize, mix64, split_words
+from helixmill.llm.common import bounded_batches, bounded_broadcast, chunks, hash_words, materialize, mix64, split_words
 from helixmill.llm.components import components
 
 TOKENS = 64
@@ -117,15 +121,16 @@ def _branch(trees: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
                 continue
             sig = _tokens(b.column("sig"))
             if "node" in b.schema.names:
-                of, node = np.arange(b.num_rows), b.column("node").to_numpy().view(np.uint64)
+                of, node, tree = np.arange(b.num_rows), b.column("node").to_numpy().view(np.uint64), b.column("tree").to_numpy()
             else:
-                of, node = np.repeat(np.arange(b.num_rows), trees), np.tile(mix64(np.arange(1, trees + 1, dtype=np.uint64)), b.num_rows)
+                of, tree = np.repeat(np.arange(b.num_rows), trees), np.tile(np.arange(trees), b.num_rows)
+                node = mix64(tree.astype(np.uint64) + np.uint64(1))
             which, place = _choices(node, similarity)
             row = of[which]
             child = mix64(mix64(node[which] + place.astype(np.uint64) + np.uint64(1)) ^ sig[row, place].astype(np.uint64))
             take = pa.array(row)
             yield pa.RecordBatch.from_pydict(
-                {"node": pa.array(child.view(np.int64)), "rep": b.column("rep").take(take), "n": b.column("n").take(take), "short": pa.array(_short(sig), pa.binary()).take(take)}
+                {"tree": pa.array(tree[which], pa.int32()), "node": pa.array(child.view(np.int64)), "rep": b.column("rep").take(take), "n": b.column("n").take(take), "short": pa.array(_short(sig), pa.binary()).take(take)}
             )
 
     return run
@@ -137,8 +142,11 @@ def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similar
     return sized & ((x == y).mean(-1) >= similarity - margin)
 
 
-def _compare_small(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Exhaustive comparison within the nodes, whose members come as lists."""
+def _compare_small(similarity: float, margin: float, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components within the nodes, whose members come as lists.
+
+    With `nearest`, each member's most similar partner alone; otherwise all that may be similar.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,10 +155,17 @@ def _compare_small(similarity: float, margin: float) -> Callable[[Iterator[pa.Re
                 m = members.values
                 rep, n, label = (m.field(c).to_numpy() for c in ("rep", "n", "label"))
                 short = _tokens(m.field("short"), np.uint8)
-                i, j = np.triu_indices(len(rep), 1)
-                differ = label[i] != label[j]
-                i, j = i[differ], j[differ]
-                ok = _alike(short[i], short[j], n[i], n[j], similarity, margin)
+                if nearest:
+                    near = (short[:, None] == short[None]).mean(-1)
+                    sized = np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9
+                    near[(label[:, None] == label) | ~sized] = -1
+                    i, j = np.arange(len(rep)), near.argmax(1)
+                    ok = near[i, j] >= similarity - margin
+                else:
+                    i, j = np.triu_indices(len(rep), 1)
+                    differ = label[i] != label[j]
+                    i, j = i[differ], j[differ]
+                    ok = _alike(short[i], short[j], n[i], n[j], similarity, margin)
                 left.append(rep[i[ok]])
                 right.append(rep[j[ok]])
             a, c = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
@@ -160,7 +175,7 @@ def _compare_small(similarity: float, margin: float) -> Callable[[Iterator[pa.Re
 
 
 def _compare_leaders(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Comparison of each row with the leaders of its node, which come as a list."""
+    """Each row's most similar leader in another component; a node's leaders come as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,14 +184,16 @@ def _compare_leaders(similarity: float, margin: float) -> Callable[[Iterator[pa.
             short, n, rep, label = _tokens(b.column("short"), np.uint8), *(b.column(c).to_numpy() for c in ("n", "rep", "label"))
             lists = b.column("leaders")
             size = pc.list_value_length(lists).to_numpy()
-            row = np.repeat(np.arange(b.num_rows), size)
-            flat = lists.flatten()
-            out = []
-            for x in range(0, len(row), 1 << 20):
-                r, f = row[x : x + (1 << 20)], flat.slice(x, 1 << 20)
+            row, flat = np.repeat(np.arange(b.num_rows), size), lists.flatten()
+            near = np.full(len(row), -1.0)
+            for x in range(0, len(row), 1 << 18):
+                r, f = row[x : x + (1 << 18)], flat.slice(x, 1 << 18)
                 ok = (f.field("label").to_numpy() != label[r]) & _alike(short[r], _tokens(f.field("short"), np.uint8), n[r], f.field("n").to_numpy(), similarity, margin)
-                out.append(np.stack([rep[r[ok]], f.field("rep").to_numpy()[ok]]))
-            p = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+                near[x : x + len(r)][ok] = (short[r[ok]] == _tokens(f.field("short"), np.uint8)[ok]).mean(-1)
+            order = np.lexsort((-near, row))
+            best = order[np.unique(row[order], return_index=True)[1]]
+            best = best[near[best] >= 0]
+            p = np.stack([rep[row[best]], flat.field("rep").to_numpy()[best]])
             yield pa.RecordBatch.from_pydict({"a": pa.array(p.min(0)), "b": pa.array(p.max(0))})
 
     return run
@@ -196,30 +213,37 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
+            good = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """rep and full (its shingle set) for the doc_ids in `reps` (rep)."""
+    wanted = materialize(reps.select(F.col("rep").alias("want")).distinct(), "wanted")
+    wanted = bounded_broadcast(wanted, wanted.count())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("want"), "left_semi")
+    return materialize(texts.mapInArrow(_sets(k), "rep long, full binary"), "sets")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("want"), "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInArrow(_sets(k), "rep long, full binary"), "sets")
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
     x, y = sets.select(F.col("rep").alias("a"), F.col("full").alias("x")), sets.select(F.col("rep").alias("b"), F.col("full").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, levels: int = 4, small: int = 64, leaders: int = 4, margin: float = 0.18
+    docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, levels: int = 4, small: int = 64, leaders: int = 8, margin: float = 0.18, sure_trees: int = 4
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs`.
 
@@ -229,54 +253,42 @@ def near_duplicates(
     trees miss fewer than one pair in a thousand; `margin` is 3.5 standard deviations of
     the estimate from 64 tokens.
     """
-    spark, similarity = docs.sparkSession, percent / 100
+    bounded_batches(docs.sparkSession)
+    similarity = percent / 100
     rows = materialize(embed(docs, k), "embedded")
     classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     reps = rows.join(classes.withColumnRenamed("set_hash", "of"), (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("of")))
     reps = materialize(reps.select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep", "sig"]), "classes")
-    labels = spark.createDataFrame([], "node long, component long")
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    form = "node long, rep long, n long, short binary"
+    state = _State(docs, k, percent)
+    form = "tree int, node long, rep long, n long, short binary"
     paths = materialize(reps.mapInArrow(_branch(trees, similarity), form), "nodes")
-
-    def labelled(p: DataFrame) -> DataFrame:
-        named = labels.withColumnsRenamed({"node": "l_node"})
-        return p.join(named, p["rep"] == named["l_node"], "left").select(p["*"], F.coalesce("component", "rep").alias("label"))
-
-    def merge(pairs: DataFrame) -> None:
-        nonlocal links, labels, tested
-        new = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-        if new.isEmpty():
-            return
-        tested = tested.unionByName(new)
-        links = links.unionByName(materialize(confirm(docs, new, k, percent), "links"))
-        labels = materialize(components(links), "labels")
-
-    def mixed(p: DataFrame) -> DataFrame:
-        """Counts of the nodes that hold more than one component."""
-        return p.groupBy("node").agg(F.count("*").alias("members_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "members_n")
-
     member = F.struct("rep", "n", "label", "short")
+    dense = F.col("outside") <= F.greatest(F.lit(small), F.col("members_n") / 4)
     for level in range(levels):
-        p = labelled(paths)
-        count = materialize(mixed(p), "node-sizes")
-        few = p.join(count.where(F.col("members_n") <= small), "node").groupBy("node").agg(F.collect_list(member).alias("members"))
-        found = few.select("members").mapInArrow(_compare_small(similarity, margin), "a long, b long")
-        many = count.where(F.col("members_n") > small).select("node")
-        if many.isEmpty():
-            merge(found)
+        count = materialize(_outside(state.labelled(paths)).drop("main"), "node-sizes")
+        few = materialize(paths.join(count.where(F.col("members_n") <= small), "node"), "small-nodes")
+        large = materialize(paths.join(count.where(F.col("members_n") > small), "node"), "large-nodes")
+        for rank, nearest in enumerate((True, False) if level == 0 else (False,)):
+            p = state.labelled(few)
+            lists = p.join(_mixed(p).select("node"), "node").groupBy("node").agg(F.collect_list(member).alias("members"))
+            found = lists.select("members").mapInArrow(_compare_small(similarity, margin, nearest), "a long, b long")
+            if rank == 0:
+                p = state.labelled(large.where(~dense))
+                found = found.unionByName(p.join(_leaders(p, leaders), "node").select("rep", "n", "label", "short", "leaders").mapInArrow(_compare_leaders(similarity, margin), "a long, b long"))
+            state.test(found)
+        rest = state.labelled(large.drop("members_n", "outside"))
+        rest = materialize(rest.join(_outside(rest), "node"), "mixed-nodes")
+        if rest.isEmpty():
+            break
+        last = level + 1 == levels
+        nearly = rest if last else rest.where(dense & (F.col("tree") < sure_trees))
+        if not nearly.isEmpty():
+            _finish(state, nearly)
+        rest = rest.where(~dense)
+        if last or rest.isEmpty():
             break
-        large = materialize(p.join(many, "node"), "large-nodes")
-        first = _leaders(large, leaders)
-        merge(found.unionByName(_with_leaders(large, first).mapInArrow(_compare_leaders(similarity, margin), "a long, b long")))
-        rest = large.drop("label").join(first.select("node", F.explode("ids").alias("rep")), ["node", "rep"], "left_anti")
-        rest = labelled(rest)
-        rest = rest.join(mixed(rest).select("node"), "node")
-        if level + 1 < levels:
-            paths = materialize(rest.join(reps.select("rep", "sig"), "rep").select("node", "rep", "n", "sig").mapInArrow(_branch(trees, similarity), form), "nodes")
-        else:
-            _finish(materialize(rest.drop("label"), "last-nodes"), labelled, merge, mixed, small, similarity, margin)
+        paths = materialize(rest.join(reps.select("rep", "sig"), "rep").select("tree", "node", "rep", "n", "sig").mapInArrow(_branch(trees, similarity), form), "nodes")
+    labels = state.labels
     named = labels.withColumnsRenamed({"node": "l_node"})
     by_class = classes.join(named, classes["rep"] == named["l_node"], "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("class_component"))
     d = rows.join(by_class, (rows["set_hash"] == by_class["of"]) & (rows["n_shingles"] > 0), "left")
@@ -284,45 +296,116 @@ def near_duplicates(
     return d.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _leaders(p: DataFrame, most: int) -> DataFrame:
-    """node, leaders (list of members) and ids: in each node the `most` members of least hash.
+class _State:
+    """Which pairs have been tested, and the component of each representative that has a link."""
 
-    The least are found by slices of each node first, so that no task gathers a node.
-    """
-    h = F.xxhash64("node", "rep")
-    item = F.struct(h.alias("h"), "rep", "n", "label", "short")
-    least = lambda c: F.slice(F.array_sort(c), 1, most)
-    sliced = p.groupBy("node", F.pmod(h, F.lit(64)).alias("part")).agg(F.min(item).alias("one"))
-    every = sliced.groupBy("node").agg(least(F.collect_list("one")).alias("some"))
-    return every.select(
-        "node",
-        F.transform("some", lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n"), x["label"].alias("label"), x["short"].alias("short"))).alias("leaders"),
-        F.transform("some", lambda x: x["rep"]).alias("ids"),
+    def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
+        spark = docs.sparkSession
+        self.docs, self.k, self.percent = docs, k, percent
+        self.tested = spark.createDataFrame([], "a long, b long")
+        self.labels = spark.createDataFrame([], "node long, component long")
+
+    def labelled(self, p: DataFrame) -> DataFrame:
+        named = self.labels.withColumnsRenamed({"node": "l_node"})
+        return p.join(named, p["rep"] == named["l_node"], "left").select(p["*"], F.coalesce("component", "rep").alias("label"))
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirm those of the pairs that are new, and merge what they link."""
+        new = materialize(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "candidates")
+        if not new.isEmpty():
+            self.tested = self.tested.unionByName(new)
+            self.link(materialize(confirm(self.docs, new, self.k, self.percent), "links"))
+
+    def link(self, links: DataFrame) -> bool:
+        """Merge components by confirmed links; false if there was nothing to merge."""
+        ends = self.labelled(links.withColumn("rep", F.col("a"))).withColumnRenamed("label", "x").withColumn("rep", F.col("b"))
+        ends = self.labelled(ends).select(F.col("x").alias("a"), F.col("label").alias("b")).where("a <> b")
+        ends = materialize(ends.distinct(), "merges")
+        if ends.isEmpty():
+            return False
+        moved = components(ends).withColumnsRenamed({"node": "m_node", "component": "moved"})
+        known = self.labels.unionByName(moved.select(F.col("m_node").alias("node"), F.col("m_node").alias("component")).join(self.labels.select("node"), "node", "left_anti"))
+        d = known.join(moved, known["component"] == moved["m_node"], "left")
+        self.labels = materialize(d.select("node", F.coalesce("moved", "component").alias("component")), "labels")
+        return True
+
+
+def _mixed(p: DataFrame) -> DataFrame:
+    """node and members_n of the nodes that hold more than one component."""
+    return p.groupBy("node").agg(F.count("*").alias("members_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "members_n")
+
+
+def _leaders(p: DataFrame, most: int) -> DataFrame:
+    """node and leaders, a list of members of each node: in up to `most` slices of it, the one of least hash."""
+    item = F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "n", "label", "short")
+    sliced = p.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("part")).agg(F.min(item).alias("one"))
+    return sliced.groupBy("node").agg(F.collect_list("one").alias("some")).select(
+        "node", F.transform("some", lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n"), x["label"].alias("label"), x["short"].alias("short"))).alias("leaders")
     )
 
 
-def _with_leaders(p: DataFrame, chosen: DataFrame) -> DataFrame:
-    return p.join(chosen.select("node", "leaders"), "node").select("rep", "n", "label", "short", "leaders")
-
-
-def _finish(p: DataFrame, labelled: Callable, merge: Callable, mixed: Callable, small: int, similarity: float, margin: float) -> None:
-    """Compare all members outside each node's largest component with the whole node, `small` at a time."""
-    done = None
-    while True:
-        now = labelled(p)
-        now = materialize(now.join(mixed(now).select("node"), "node"), "mixed-nodes")
-        if now.isEmpty():
-            return
-        top = now.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        minor = now.join(top, "node").where("label <> main").drop("main")
-        if done is not None:
-            minor = minor.join(done, ["node", "rep"], "left_anti")
-        chosen = materialize(_leaders(minor, small), "last-leaders")
-        if chosen.isEmpty():
-            return
-        merge(_with_leaders(now, chosen).mapInArrow(_compare_leaders(similarity, margin), "a long, b long"))
-        ids = chosen.select("node", F.explode("ids").alias("rep"))
-        done = ids if done is None else done.unionByName(ids)
+def _outside(p: DataFrame) -> DataFrame:
+    """node, main, members_n and outside: of mixed nodes, the largest component and the members in and out of it."""
+    sizes = p.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
+    d = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members_n"), (F.sum("c") - F.max("c")).alias("outside"))
+    return d.where("outside > 0")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets x with all sets y: a product of incidence matrices."""
+    shingles = np.unique(np.concatenate([*y, np.zeros(0, np.uint64)]))
+
+    def incidence(sets: list[np.ndarray]) -> np.ndarray:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+        here = shingles[at] == flat
+        m = np.zeros((len(sets), len(shingles)), np.float32)
+        m[row[here], at[here]] = 1
+        return m
+
+    return incidence(x) @ incidence(y).T
+
+
+def _exact_block(percent: int, chunk: int = 16, cells: int = 8_000_000) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of a node's members and some members to hold against it: one link to each component, if any."""
+
+    def run(block: pa.Table, chosen: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if block.num_rows and chosen.num_rows:
+            sets, others = ([np.frombuffer(v, np.uint64) for v in t[c].to_pylist()] for t, c in ((block, "full"), (chosen, "x_full")))
+            size, rep, label = np.array([len(v) for v in sets]), block["rep"].to_numpy(), block["label"].to_numpy()
+            o_rep, o_label = chosen["x_rep"].to_numpy(), chosen["x_label"].to_numpy()
+            for lo in range(0, len(others), chunk):
+                part = others[lo : lo + chunk]
+                step = max(1, cells // max(1, sum(map(len, part))))
+                for at in range(0, len(sets), step):
+                    here = slice(at, at + step)
+                    both = _shared(sets[here], part)
+                    ok = 100 * both >= percent * (size[here, None] + np.array([len(v) for v in part]) - both)
+                    i, j = np.nonzero(ok & (label[here, None] != o_label[lo : lo + chunk]))
+                    _, first = np.unique(np.stack([label[here][i], j]), axis=1, return_index=True)
+                    out += zip(rep[here][i[first]].tolist(), o_rep[lo + j[first]].tolist())
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _finish(state: _State, p: DataFrame, block: int = 512) -> None:
+    """Hold the members outside each node's largest component against the whole node.
+
+    Both are dealt in blocks of about `block` members, and each pair of blocks is a task's group.
+    """
+    sets = full_sets(state.docs, p.select("rep"), state.k)
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("rep"), parts(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    p = p.join(sets, "rep")
+    cols = ["node", "one", "two", "rep", "label", "full"]
+    members = p.withColumn("one", part("members_n")).withColumn("two", every("outside")).select(*cols)
+    others = p.where("label <> main").withColumn("two", part("outside")).withColumn("one", every("members_n")).select(*(F.col(c).alias(f"x_{c}") for c in cols))
+    found = members.groupBy(*cols[:3]).cogroup(others.groupBy(*(f"x_{c}" for c in cols[:3]))).applyInArrow(_exact_block(state.percent), "a long, b long")
+    state.link(materialize(found, "links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, **how: float) -> DataFrame:
