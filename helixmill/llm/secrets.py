@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import chunks, text_or_empty
+from helixmill.llm.common import bounded_batches, chunks, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -95,7 +95,7 @@ def random_strings(n: int = 3000, seed: int = 6) -> list[str]:
     return ["".join(r.choices(alphabets[i % len(alphabets)], k=r.randint(20, 48))) for i in range(n)]
 
 
-def train(docs: DataFrame, sample_docs: int = 5000, smoothing: float = 0.5) -> np.ndarray:
+def train(docs: DataFrame, sample_docs: int = 5000, smoothing: float = 0.5, backoff: float = 5.0) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each step, from about `sample_docs` documents chosen by a hash."""
     total = max(1, docs.count())
     share = min(1.0, sample_docs / total)
@@ -121,8 +121,10 @@ def train(docs: DataFrame, sample_docs: int = 5000, smoothing: float = 0.5) -> n
     n[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     n = n.reshape(2, EDGE + 1, EDGE + 1)
     n[1] += np.bincount(_steps(random_strings())[0], minlength=(EDGE + 1) ** 2).reshape(EDGE + 1, EDGE + 1)
-    n += smoothing
-    p = np.log(n / n.sum(2, keepdims=True))
+    # steps from rare characters fall back on how often the next character occurs at all
+    one = n.sum(1, keepdims=True) + smoothing
+    one /= one.sum(2, keepdims=True)
+    p = np.log((n + backoff * one) / (n.sum(2, keepdims=True) + backoff))
     return (p[1] - p[0]).ravel()
 
 
@@ -136,6 +138,7 @@ def scores(tokens: list[str], ratio: np.ndarray) -> np.ndarray:
 
 def scan(docs: DataFrame, ratio: np.ndarray, least: float = 12.0, least_a_char: float = 0.4) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of each row of `docs`."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
