@@ -413,14 +413,18 @@ def ols_of(s: SparkSession, d: str) -> DataFrame:
     return pgs.ols_sufficient_stats(view(s, d, "scores"), ["score", "age", "sex"], "y_quant", ["site"])
 
 
-@query(f"SELECT site, n, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in OLS_COLUMNS)} FROM st", OLS)
+#: Squares of y have eight decimals, other products five at most, so none ends half-way between two rounded values.
+OLS_DIGITS = {c: 3 if c == "yy" else 6 for c in OLS_COLUMNS}
+
+
+@query(f"SELECT site, n, {', '.join(f'round({c}, {k}) + 0.0 AS {c}' for c, k in OLS_DIGITS.items())} FROM st", OLS)
 def a16_ols_sufficient_stats(s: SparkSession, d: str) -> DataFrame:
-    return ols_of(s, d).select("site", "n", *(F.round(c, 4).alias(c) for c in OLS_COLUMNS))
+    return ols_of(s, d).select("site", "n", *(F.round(c, k).alias(c) for c, k in OLS_DIGITS.items()))
 
 
-@query(f"SELECT sum(n)::BIGINT AS n, {', '.join(f'round(sum({c}), 3) + 0.0 AS {c}' for c in OLS_COLUMNS)} FROM st", OLS)
+@query(f"SELECT sum(n)::BIGINT AS n, {', '.join(f'round(sum({c}), {k}) + 0.0 AS {c}' for c, k in OLS_DIGITS.items())} FROM st", OLS)
 def a17_pool_stats(s: SparkSession, d: str) -> DataFrame:
-    return pgs.pool_stats(ols_of(s, d)).select("n", *(F.round(c, 3).alias(c) for c in OLS_COLUMNS))
+    return pgs.pool_stats(ols_of(s, d)).select("n", *(F.round(c, k).alias(c) for c, k in OLS_DIGITS.items()))
 
 
 @query()
