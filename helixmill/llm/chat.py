@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixmill.llm.common import chunks, text_or_empty
-from helixmill.llm.tokens import once, shared_file, use_threads
+from helixmill.llm.tokens import ENCODE_BYTES, once, shared_file, use_threads
 
 CONTROL = ("[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>", "<|role|>", "<|text|>", "<|end|>")
 TEMPLATE = {"user": ("[INST]", "[/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": ("<s>", "</s>")}
@@ -69,7 +69,7 @@ def encode_turns(turns: DataFrame, tokenizer_path: str, threads: int = 2) -> Dat
         t = once("chat", data.value, _tokenizer)
         reserved = _reserved(t)
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(whole, "text", ENCODE_BYTES):
                 roles, texts = (text_or_empty(b.column(c)).to_pylist() for c in ("role", "text"))
                 segments = t.encode_batch_fast([escape(x) for x in (*roles, *texts)], add_special_tokens=False)
                 ids, lo, hi = [], [], []

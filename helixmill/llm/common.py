@@ -45,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in Arrow batches of `rows` rows at most, so that batches of long texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """`df` with a broadcast hint if its counted `rows` are at most `limit`, else as it is."""
     return F.broadcast(df) if rows <= limit else df

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import chunks, codes, materialize, per_row, split_lines, split_words, text_or_empty
+from helixmill.llm.common import bounded_batches, chunks, codes, materialize, per_row, split_lines, split_words, text_or_empty
 
 SYMBOLS_RE = r"[#*$%&|<>]"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
@@ -97,6 +97,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the measures of each row's whole text."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(_measure, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, source string, {MEASURES}")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from helixmill.llm.common import chunks, text_or_empty
-from helixmill.llm.tokens import once, shared_file, use_threads
+from helixmill.llm.tokens import ENCODE_BYTES, once, shared_file, use_threads
 
 MARKER = "▁"
 #: Fixed values of the model format: model types, and types of pieces.
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, ids: str = "ids")
         use_threads(threads)
         t = once("spm", data.value, build)
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(whole, "text", ENCODE_BYTES):
                 found = [e.ids for e in t.encode_batch_fast(text_or_empty(b.column("text")).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, ids])
 
@@ -215,7 +215,7 @@ def round_trip(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
         use_threads(threads)
         backend, decoder = once("spm", data.value, build), once("spm-decoder", data.value, Decoder.of)
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(whole, "text", ENCODE_BYTES):
                 texts = text_or_empty(b.column("text"))
                 ids = pa.array([e.ids for e in backend.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
                 decoded = decoder(ids, backend)
