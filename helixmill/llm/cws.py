@@ -3,9 +3,10 @@
 Terms are words, weighted by how often they occur. For each sample, a term of weight S has
 gamma-distributed r and c and a uniform b, all functions of term and sample alone, and
 
-    t = floor(ln S / r + b),  ln a = ln c - r * (t - b + 1)
+    t = floor(ln S / r + b),  a = c * exp(-r * (t - b + 1))
 
-The term of least a is the sample (Ioffe 2010); two texts share a sample with a chance of
+with the r of the next sample as c, which is independent of a sample's own r and halves
+the variates to draw. The term of least a is the sample (Ioffe 2010); two texts share a sample with a chance of
 their generalised Jaccard similarity, sum of least weights over sum of greatest. As a is a
 function of term and t, its least value alone says which (term, t) was sampled, so a
 sample is the minimum of one column, which Spark aggregates in place.
@@ -34,18 +35,16 @@ def _uniform(bits: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**32))
 
 
-def log_a(term: Column, log_weight: Column, sample: int) -> Column:
-    """ln a of a term (a 64-bit hash) for one sample.
+def gamma(term: Column, j: int) -> Column:
+    """The j-th Gamma(2, 1) variate of a term (a 64-bit hash): minus the logarithm of a product of two uniforms."""
+    h = F.xxhash64(term, F.lit(2 * j))
+    return -F.log(_uniform(F.shiftrightunsigned(h, 32)) * _uniform(h.bitwiseAND(F.lit(2**32 - 1))))
 
-    A Gamma(2, 1) variate is minus the logarithm of the product of two uniform ones.
-    """
-    x, y = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
-    low = F.lit(2**32 - 1)
-    halves = lambda h: _uniform(F.shiftrightunsigned(h, 32)) * _uniform(h.bitwiseAND(low))
-    r = -F.log(halves(x))
-    log_c = F.log(-F.log(halves(y)))
-    b = _uniform(F.xxhash64(x, y).bitwiseAND(low))
-    return log_c - r * (F.floor(log_weight / r + b) - b + 1)
+
+def value(term: Column, log_weight: Column, r: Column, c: Column, j: int) -> Column:
+    """a of a term for sample j."""
+    b = _uniform(F.shiftrightunsigned(F.xxhash64(term, F.lit(2 * j + 1)), 32))
+    return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
 
 
 def ordered_pairs(docs: DataFrame, rows_a_bucket: int = 512, most_buckets: int = 4096) -> DataFrame:
@@ -98,8 +97,10 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
     words = texts.select(*keys, F.explode(F.split(F.col(text), SPACE_RE)).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term"), (F.col("word") == "").alias("none")).agg(F.count("*").alias("tf"))
     # what splitting leaves at a text's ends is no word, but keeps texts without any
-    terms = terms.select(*keys, F.when(~F.col("none"), F.col("term")).alias("term"), F.log(F.col("tf").cast("double")).alias("weight"))
-    a = terms.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), log_a(F.col("term"), F.col("weight"), j))).alias(f"a{j}") for j in range(samples)))
+    # a null weight makes null values, which no minimum takes; without branches Spark shares the variates
+    terms = terms.select(*keys, "term", F.when(~F.col("none"), F.log(F.col("tf").cast("double"))).alias("weight"))
+    g = [gamma(F.col("term"), j) for j in range(samples)]
+    a = terms.groupBy(*keys).agg(*(F.min(value(F.col("term"), F.col("weight"), g[j], g[(j + 1) % samples], j)).alias(f"a{j}") for j in range(samples)))
     digits = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0")
     sample = lambda x: F.when(x.isNull(), F.lit("-" * DIGITS)).otherwise(digits(x))
     return a.select(*keys, F.concat(*(sample(F.col(f"a{j}")) for j in range(samples))).alias("fingerprint"))
