@@ -12,9 +12,9 @@ costs a few pairs a member, members first offer their most similar partner in an
 component; all other pairs follow once components have grown.
 
 A large node mostly within one component would stay together on every level. It is finished
-at once, in as many of the trees as find almost all pairs without further branching; so is
-every node left after the last level: the members outside the node's largest component are
-compared with the whole node on full sets, in blocks of bounded size.
+at once, in all trees: those that find most pairs come first, so that the others only hold
+what is still outside. So is every node left after the last level: the members outside the
+node's largest component are compared with the whole node on full sets, in blocks of bounded size.
 
 Defined results: null and wordless texts are empty sets, alone in their components; a text
 of fewer words than a shingle is one shingle; equal rows are in one class; a doc_id names
@@ -281,9 +281,14 @@ def near_duplicates(
         if rest.isEmpty():
             break
         last = level + 1 == levels
-        nearly = rest if last else rest.where(dense & (F.col("tree") < sure_trees))
-        if not nearly.isEmpty():
-            _finish(state, nearly)
+        first = F.col("tree") < sure_trees
+        for turn, of in enumerate((first, ~first)):
+            nearly = rest.where(of if last else dense & of)
+            if turn:
+                nearly = state.labelled(nearly.drop("label", "main", "members_n", "outside"))
+                nearly = materialize(nearly.join(_outside(nearly), "node"), "mixed-nodes")
+            if not nearly.isEmpty():
+                _finish(state, nearly)
         rest = rest.where(~dense)
         if last or rest.isEmpty():
             break

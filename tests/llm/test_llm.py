@@ -159,6 +159,21 @@ def test_near_duplicates_equal_brute_force(spark, small):
     assert {x["doc_id"]: (x["component_id"], x["n_shingles"], x["kept"]) for x in got} == {i: (component[i], size[i], component[i] == i) for i in range(len(texts))}
 
 
+def test_no_tree_is_left_out_around_a_big_group(spark, pairs=40):
+    """Pairs of similarity 0.82 in nodes that are mostly one big group: trees after the first are finished as well."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join([*base[:i], f"g{n}", *base[i + 1 :]]) for n in range(6 * pairs) for i in [n % 40]]
+    group = len(texts)
+    for n in range(pairs):
+        p = r.sample(base, 35) + [f"p{n}x{j}" for j in range(5)]
+        texts += [" ".join(p), " ".join(p[:36] + [f"q{n}x{j}" for j in range(4)])]
+    got = {x["doc_id"]: x["component_id"] for x in cpsjoin.near_duplicates(docs_of(spark, texts), k=1, percent=80, small=4, levels=4, sure_trees=1).collect()}
+    assert all(got[i] == 0 for i in range(group))
+    assert [i for i in range(group, len(texts), 2) if got[i] != got[i + 1]] == []
+    assert all(got[i] == i for i in range(group, len(texts), 2))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7), (1, 0)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
