@@ -58,7 +58,7 @@ def parse_variant_key(key: Column) -> list[Column]:
     return [F.substring_index(key, ":", 1).alias("chr"), F.get(rest, 0).cast("int").alias("pos"), F.get(rest, 1).alias("ref"), F.get(rest, 2).alias("alt")]
 
 
-def uniform(seed: int, purpose: str, *keys: Column) -> Column:
+def uniform(seed: int | str, purpose: str, *keys: Column) -> Column:
     """In (0, 1): a function of seed, purpose and keys alone, so retries and plans never change it."""
     key = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *(k.cast("string") for k in keys))
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))

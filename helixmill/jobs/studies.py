@@ -52,53 +52,77 @@ def run_metrics(results: DataFrame, scores: DataFrame) -> DataFrame:
     return reduce(lambda a, b: k(a).join(k(b).withColumnRenamed("_k", "_j"), F.col("_k") == F.col("_j")).drop("_k", "_j"), [one, auc, r2])
 
 
-def epsilon_sweep(cells: DataFrame, sums: DataFrame, base: DataFrame, variants: DataFrame, grid: Sequence[float], top_k: int, seed: int, line: float, y_clip: float = 50.0) -> DataFrame:
-    """eps_total, k, recall of baseline hits and rank correlation of -log10 p, from one reduction for all budgets."""
+def private_gwas(variants: DataFrame, cells: DataFrame, sums: dict[str, DataFrame], budgets: DataFrame, seed: int, y_clip: float = 50.0) -> DataFrame:
+    """`dp.dp_gwas` of both traits, with trait; T2D is a linear model of 0/1 clipped at 1, and draws noise of its own.
+
+    sums has `dp.dp_ols_sums` of y_quant as BMI and of cases as T2D.
+    """
+    bmi = dp.dp_gwas(variants, cells, sums["BMI"], budgets, seed, y_clip=y_clip)
+    t2d = dp.dp_gwas(variants, cells, sums["T2D"], budgets, f"{seed}-t2d", y_clip=1.0, binary=True)
+    return bmi.withColumn("trait", F.lit("BMI")).unionByName(t2d.withColumn("trait", F.lit("T2D")))
+
+
+def rank_agreement(results: DataFrame, base: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, trait and rho, the rank correlation of -log10 p with the baseline's."""
+    both = results.select(*by, "trait", "rsid", "p").join(base.select("trait", "rsid", F.col("p").alias("p_base")), ["trait", "rsid"])
+    return compare.spearman(both.withColumns({"x": neg_log10_p(F.col("p")), "y": neg_log10_p(F.col("p_base"))}), "x", "y", [*by, "trait"]).select(*by, "trait", "rho")
+
+
+def epsilon_sweep(cells: DataFrame, sums: dict[str, DataFrame], base: DataFrame, variants: DataFrame, grid: Sequence[float], top_k: int, seed: int, line: float, y_clip: float = 50.0) -> DataFrame:
+    """eps_total, trait, k, recall of baseline hits and rank correlation of -log10 p, from one reduction for all budgets.
+
+    base has trait, rsid and p.
+    """
     spark = cells.sparkSession
     budgets = dp.budget_table(spark.createDataFrame([(float(e), 1e-6, top_k) for e in grid], "eps_total double, delta_total double, top_k int"))
-    res = dp.dp_gwas(variants.select("variant_id", "rsid"), cells, sums, budgets, seed, y_clip=y_clip)
-    recall = compare.hit_recall(res, base, ["eps_total"], line)
-    both = res.join(base.select("rsid", F.col("p").alias("p_base")), "rsid")
-    rho = compare.spearman(both.withColumns({"x": neg_log10_p(F.col("p")), "y": neg_log10_p(F.col("p_base"))}), "x", "y", ["eps_total"])
-    k = res.groupBy("eps_total").agg(F.count("p").alias("k"))
-    return k.join(recall, "eps_total").join(rho.select("eps_total", "rho"), "eps_total", "left").orderBy("eps_total")
+    res = private_gwas(variants.select("variant_id", "rsid"), cells, sums, budgets, seed, y_clip).persist()
+    keys = ["eps_total", "trait"]
+    of = lambda d, t: d.where(F.col("trait") == t)
+    recall = reduce(DataFrame.unionByName, [compare.hit_recall(of(res, t), of(base, t), keys, line) for t in ("BMI", "T2D")])
+    k = res.groupBy(*keys).agg(F.count("p").alias("k"))
+    return k.join(recall, keys).join(rank_agreement(res, base, ["eps_total"]), keys, "left").orderBy(*keys)
 
 
 def k_sweep(genotypes: DataFrame, people: DataFrame, ks: Sequence[int], base: DataFrame, variants: DataFrame, line: float, seed: int = 1) -> DataFrame:
-    """sites, hits and lambda of the federated scan, AUC and R2 of its scores, rank correlation with the baseline.
+    """sites, trait, hits and lambda of the federated scans, AUC of the T2D scores, R2 of the BMI scores, rank correlation with the baseline.
 
-    The number of sites is one more key: every person occurs once for each, and one pass serves all.
+    base has trait, rsid and p. The number of sites is one more key: every person occurs once for each, and one pass serves all.
     """
     dealt = federated.sites_for_grid(people, ks, seed).withColumnRenamed("k", "sites")
     cells = C.genotype_cells(genotypes, dealt, ["sites", "site"]).persist()
-    fits = federated.federated_gwas(cells, "quant", ["sites"]).join(variants.select("variant_id", "rsid"), "variant_id").persist()
-    scores = federated.federated_scores(fits, genotypes, dealt, ["sites"], line)
-    d = gwas.hit_counts(fits, ["sites"], line=line).where("sites is not null").select("sites", "hits")
-    d = d.join(gwas.genomic_inflation(fits, ["sites"]).select("sites", "lambda"), "sites")
-    d = d.join(federated.federated_auc(scores, ["sites"]), "sites", "left").join(federated.federated_r2(scores, ["sites"]).select("sites", "r2"), "sites", "left")
-    both = fits.select("sites", "rsid", "p").join(base.select("rsid", F.col("p").alias("p_base")), "rsid")
-    rho = compare.spearman(both.withColumns({"x": neg_log10_p(F.col("p")), "y": neg_log10_p(F.col("p_base"))}), "x", "y", ["sites"])
-    return d.join(rho.select("sites", "rho"), "sites", "left").orderBy("sites")
+    fits = {t: federated.federated_gwas(cells, kind, ["sites"]).withColumn("trait", F.lit(t)).persist() for t, kind in (("BMI", "quant"), ("T2D", "binary"))}
+    scores = {t: federated.federated_scores(f.drop("trait"), genotypes, dealt, ["sites"], line) for t, f in fits.items()}
+    both = fits["BMI"].unionByName(fits["T2D"]).join(variants.select("variant_id", "rsid"), "variant_id")
+    keys = ["sites", "trait"]
+    d = gwas.hit_counts(both, keys, line=line).where("trait is not null").select(*keys, "hits")
+    d = d.join(gwas.genomic_inflation(both, keys).select(*keys, "lambda"), keys)
+    d = d.join(federated.federated_auc(scores["T2D"], ["sites"]).withColumn("trait", F.lit("T2D")), keys, "left")
+    d = d.join(federated.federated_r2(scores["BMI"], ["sites"]).select("sites", F.lit("BMI").alias("trait"), "r2"), keys, "left")
+    return d.join(rank_agreement(both, base, ["sites"]), keys, "left").orderBy(*keys)
 
 
 def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, causal: DataFrame, runs: Sequence[int], stats: DataFrame, most: int = 200, seed: int = 1000) -> DataFrame:
     """method, run, trait, rsid and beta for repeated runs over a subset of causal variants.
 
     Private runs differ by noise alone, so their sums are shared; federated runs by the split
-    into sites, which is one more key.
+    into sites, which is one more key. Both traits are fitted on the same subset.
     """
     subset = pgs.seeded_sample(variants.join(causal.select("rsid").distinct(), "rsid", "left_semi"), most, seed, "variant_id")
     small = broadcast_if_small(subset.select("variant_id"))
     g = genotypes.join(small, "variant_id", "left_semi")
     cells = C.genotype_cells(g, people).persist()
-    base = gwas.gwas_linear(cells).select("variant_id", "beta")
     moments = stats.join(small, "variant_id", "left_semi")
     age = people.agg(F.avg("age"), F.stddev_samp("age")).first()
     sums = dp.dp_ols_sums(cells, moments, age[0] or 0.0, age[1] or 0.0)
-    out = [base.select(F.lit("BASE").alias("method"), F.lit(0).alias("run"), "variant_id", "beta")]
-    out += [dp.quant_betas(sums, moments, 2.5, 1e-6, seed + r).select(F.lit("DP").alias("method"), F.lit(r).alias("run"), "variant_id", "beta") for r in runs]
+    each = 2.5 / max(1, moments.count())
+    table = dp.case_table(cells).persist()
+    row = lambda d, method, trait, run: d.select(F.lit(method).alias("method"), run.alias("run"), F.lit(trait).alias("trait"), "variant_id", "beta")
+    out = [row(f(cells), "BASE", t, F.lit(0)) for t, f in (("BMI", gwas.gwas_linear), ("T2D", gwas.gwas_logistic))]
+    for r in runs:
+        out.append(row(dp.quant_betas(sums, moments, 2.5, 1e-6, seed + r), "DP", "BMI", F.lit(r)))
+        out.append(row(dp.case_betas(dp.noisy_case_table(table, each, seed + r)), "DP", "T2D", F.lit(r)))
     dealt = reduce(DataFrame.unionByName, [federated.assign_sites(people, 5, seed + r).withColumn("run", F.lit(r)) for r in runs])
-    fed = federated.federated_gwas(C.genotype_cells(g, dealt, ["run", "site"]), "quant", ["run"], p_values=False)
-    out.append(fed.select(F.lit("FED").alias("method"), "run", "variant_id", "beta"))
+    sited = C.genotype_cells(g, dealt, ["run", "site"]).persist()
+    out += [row(federated.federated_gwas(sited, kind, ["run"], p_values=False), "FED", t, F.col("run")) for t, kind in (("BMI", "quant"), ("T2D", "binary"))]
     rows = reduce(DataFrame.unionByName, out)
-    return rows.join(variants.select("variant_id", "rsid"), "variant_id").select("method", "run", F.lit("BMI").alias("trait"), "rsid", "beta")
+    return rows.join(variants.select("variant_id", "rsid"), "variant_id").select("method", "run", "trait", "rsid", "beta")

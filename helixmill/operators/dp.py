@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import stats
 from helixmill.functions.columns import broadcast_if_small, clip, gaussian, gumbel, laplace, row_scale, split_budget, strong_composition, uniform, zcdp
+from helixmill.operators.gwas import chi2_p
 from helixmill.operators.pgs import with_bins
 from helixmill.operators.roc import roc_from_histogram
 
@@ -46,7 +47,7 @@ def utilities(cells: DataFrame, y_clip: float, binary: bool = False) -> DataFram
     return cells.groupBy("variant_id").agg(F.abs(F.sum((F.col("dosage") - 1) * y)).cast("double").alias("utility"))
 
 
-def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """variant_id, by, noisy and rank for each budget; the same uniform serves all of a variant's budgets."""
     b = F.broadcast(budgets.select(*by, "eps_sel", "top_k").withColumn("_k", F.lit(1)))
     d = u.withColumn("_k", F.lit(1)).join(b, "_k").drop("_k")
@@ -55,7 +56,7 @@ def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed:
     return d.withColumn("noisy", noisy).withColumn("rank", F.row_number().over(w))
 
 
-def dp_topk(cells: DataFrame, budgets: DataFrame, y_clip: float, seed: int, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+def dp_topk(cells: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """The top_k variants of each budget by utility plus Gumbel noise of scale y_clip / eps_sel."""
     return rank_by_noisy_utility(utilities(cells, y_clip, binary), budgets, y_clip, seed, by).where(F.col("rank") <= F.col("top_k"))
 
@@ -103,7 +104,7 @@ def dp_ols(sums: DataFrame, budgets: DataFrame, seed: int, ridge: float = 1.0, l
     return solve_noisy(d, seed, ridge, length, y_clip, by)
 
 
-def solve_noisy(d: DataFrame, seed: int, ridge: float, length: float, y_clip: float, by: Sequence[str]) -> DataFrame:
+def solve_noisy(d: DataFrame, seed: int | str, ridge: float, length: float, y_clip: float, by: Sequence[str]) -> DataFrame:
     """As `dp_ols`, for sums that already carry their budgets."""
     scale = noise_scales(length, y_clip)
     names = {c: "yy" if c == "yy" else c[0] for c in d.columns if c == "yy" or c[:2] in ("t_", "s_")}
@@ -129,7 +130,7 @@ def solve_noisy(d: DataFrame, seed: int, ridge: float, length: float, y_clip: fl
     return d.mapInPandas(solve, schema)
 
 
-def dp_gwas(variants: DataFrame, cells: DataFrame, sums: DataFrame, budgets: DataFrame, seed: int, ridge: float = 10.0, y_clip: float = 50.0, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+def dp_gwas(variants: DataFrame, cells: DataFrame, sums: DataFrame, budgets: DataFrame, seed: int | str, ridge: float = 10.0, y_clip: float = 50.0, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """All variants with the private p of those selected, null elsewhere, for each budget."""
     chosen = dp_topk(cells, budgets, y_clip, seed, binary, by).select("variant_id", *by)
     own = sums.join(broadcast_if_small(chosen), "variant_id").join(F.broadcast(budgets.select(*by, "rho_per", "eps_per", "delta_per")), list(by))
@@ -194,7 +195,7 @@ def case_betas(noisy: DataFrame, rounds: int = 12) -> DataFrame:
 
 
 def dp_chisq(table: DataFrame, eps: float, seed: int) -> DataFrame:
-    """variant_id and the chi-square of the noisy 2x2 table of carriers against cases."""
+    """variant_id, the chi-square of the noisy 2x2 table of carriers against cases, and its p."""
     two = table.select(
         "variant_id", F.col("ctrl_0").alias("n00"), F.col("case_0").alias("n01"), (F.col("ctrl_1") + F.col("ctrl_2")).alias("n10"), (F.col("case_1") + F.col("case_2")).alias("n11")
     )
@@ -206,7 +207,7 @@ def dp_chisq(table: DataFrame, eps: float, seed: int) -> DataFrame:
         for j in (0, 1):
             expected = (F.col(f"n{i}0") + F.col(f"n{i}1")) * (F.col(f"n0{j}") + F.col(f"n1{j}")) / total
             stat = stat + (F.col(f"n{i}{j}") - expected) * (F.col(f"n{i}{j}") - expected) / F.greatest(expected, F.lit(1e-12))
-    return d.select("variant_id", stat.alias("chi2"))
+    return d.select("variant_id", stat.alias("chi2")).withColumn("p", chi2_p(F.col("chi2"), F.lit(1.0)))
 
 
 def dp_roc(scores: DataFrame, eps: float, seed: int, points: int = 60, share: float = 0.1) -> DataFrame:

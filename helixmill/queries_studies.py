@@ -77,6 +77,11 @@ def dp_sums_of(s: SparkSession, d: str) -> DataFrame:
     return dp.dp_ols_sums(cells_of(s, d), stats_of(s, d), m, sd).persist()
 
 
+def both_sums_of(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    m, sd = view(s, d, "people").agg(F.avg("age"), F.stddev_samp("age")).first()
+    return {"BMI": dp_sums_of(s, d), "T2D": dp.dp_ols_sums(cells_of(s, d), stats_of(s, d), m, sd, y="cases", yy="cases").persist()}
+
+
 @query(DP_SELECT, DENSE, STATS, DP_SUMS)
 def x05_dp_ols_sums(s: SparkSession, d: str) -> DataFrame:
     return dp_sums_of(s, d).select("variant_id", "n", *(F.round(c, 3).alias(c) for c in DP_NAMES))
@@ -89,7 +94,7 @@ def x05_dp_ols(s: SparkSession, d: str) -> DataFrame:
 
 def dp_gwas_of(s: SparkSession, d: str) -> DataFrame:
     v = view(s, d, "variants").select("variant_id", "rsid", "chr", "bp")
-    return dp.dp_gwas(v, cells_of(s, d), dp_sums_of(s, d), dp.budget_table(grid_of(s, d)), SEED)
+    return studies.private_gwas(v, cells_of(s, d), both_sums_of(s, d), dp.budget_table(grid_of(s, d)), SEED)
 
 
 @query()
@@ -135,7 +140,7 @@ CHI = "nc AS (SELECT variant_id, " + ", ".join(
 
 @query("SELECT variant_id, round(" + " + ".join(f"(n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) * (n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) / greatest((n{i}0+n{i}1)*(n0{j}+n1{j})/n, 1e-12)" for i in (0, 1) for j in (0, 1)) + ", 6) + 0.0 AS chi2 FROM ne", DENSE, CASES, CHI)
 def x10_dp_chisq(s: SparkSession, d: str) -> DataFrame:
-    return dp.dp_chisq(dp.case_table(cells_of(s, d)), 1.0, SEED)
+    return dp.dp_chisq(dp.case_table(cells_of(s, d)), 1.0, SEED).select("variant_id", "chi2")
 
 
 EDGES60 = "edges60 AS (SELECT list_sort(list_distinct(quantile_cont(score::DOUBLE, [" + ",".join(str(i / 60) for i in range(61)) + "]))) AS e FROM scores)"
@@ -169,9 +174,13 @@ def base_p(s: SparkSession, d: str) -> DataFrame:
     return gwas.with_t_p(gwas.gwas_linear(cells_of(s, d))).join(v, "variant_id")
 
 
+def both_p(s: SparkSession, d: str) -> DataFrame:
+    return studies.long_results(studies.baseline_gwas(cells_of(s, d), view(s, d, "variants"))).persist()
+
+
 @query()
 def x13_epsilon_sweep(s: SparkSession, d: str) -> DataFrame:
-    return studies.epsilon_sweep(cells_of(s, d), dp_sums_of(s, d), base_p(s, d), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
+    return studies.epsilon_sweep(cells_of(s, d), both_sums_of(s, d), both_p(s, d), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
 
 
 # ---------------------------------------------------------------- federated
@@ -199,23 +208,22 @@ def g01_federated_gwas_binary(s: SparkSession, d: str) -> DataFrame:
     return federated.federated_gwas(sited_cells(s, d), "binary")
 
 
-def fed_scores_of(s: SparkSession, d: str) -> DataFrame:
+def fed_scores_of(s: SparkSession, d: str, trait: str) -> DataFrame:
     g, p = views(s, d, "genotypes", "people")
-    fits = federated.federated_gwas(sited_cells(s, d), "quant")
+    fits = federated.federated_gwas(sited_cells(s, d), trait)
     return federated.federated_scores(fits, g, federated.assign_sites(p, 5, SEED), line=0.05)
 
 
 @query()
 def g02_federated_pgs(s: SparkSession, d: str) -> DataFrame:
-    sc = fed_scores_of(s, d)
-    auc, r2 = federated.federated_auc(sc).withColumn("_k", F.lit(1)), federated.federated_r2(sc).withColumn("_k", F.lit(1))
+    auc, r2 = federated.federated_auc(fed_scores_of(s, d, "binary")).withColumn("_k", F.lit(1)), federated.federated_r2(fed_scores_of(s, d, "quant")).withColumn("_k", F.lit(1))
     return auc.join(r2, "_k").select("auc", "n", "r2", "r2_adj")
 
 
 @query()
 def g03_k_sweep(s: SparkSession, d: str) -> DataFrame:
     g, p, v = views(s, d, "genotypes", "people", "variants")
-    return studies.k_sweep(g, p, (2, 3, 4, 5, 6, 8, 10), base_p(s, d), v, line=0.05, seed=SEED)
+    return studies.k_sweep(g, p, (2, 3, 4, 5, 6, 8, 10), both_p(s, d), v, line=0.05, seed=SEED)
 
 
 @query()

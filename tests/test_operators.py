@@ -168,3 +168,24 @@ def test_scan_plan_has_partial_aggregation_and_broadcast(study):
     people, gt, _, _ = study
     plan = gwas.gwas_linear(C.genotype_cells(gt, people))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "partial_sum" in plan and "CartesianProduct" not in plan
+
+
+def test_studies_hold_both_traits(spark, study):
+    from helixmill.jobs import studies
+
+    people, gt, rows, g = study
+    variants = spark.createDataFrame([(v, f"rs{v}", 22, v) for v in g], "variant_id long, rsid string, chr int, bp long")
+    cells, moments = C.genotype_cells(gt, people).persist(), qc.variant_stats(gt, len(rows))
+    base = studies.long_results(studies.baseline_gwas(cells, variants)).persist()
+    beta = {(r["trait"], r["rsid"]): r["beta"] for r in base.collect()}
+    m, sd = people.agg(F.avg("age"), F.stddev_samp("age")).first()
+    sums = {t: dp.dp_ols_sums(cells, moments, m, sd, **how) for t, how in (("BMI", {}), ("T2D", {"y": "cases", "yy": "cases"}))}
+    sweep = studies.epsilon_sweep(cells, sums, base, variants, (1.0, 1e9), 3, 1, line=0.5).collect()
+    assert sorted((r["eps_total"], r["trait"], r["k"]) for r in sweep) == [(e, t, 3) for e in (1.0, 1e9) for t in ("BMI", "T2D")]
+    k = {r["trait"]: r for r in studies.k_sweep(gt, people, (2,), base, variants, line=1.0).collect()}
+    fed = federated.federated_gwas(C.genotype_cells(gt, federated.assign_sites(people, 2, 1), ["site"]), "binary")
+    auc = federated.federated_auc(federated.federated_scores(fed, gt, federated.assign_sites(people, 2, 1), line=1.0)).first()["auc"]
+    assert sorted(k) == ["BMI", "T2D"] and k["T2D"]["auc"] == pytest.approx(auc) and k["T2D"]["r2"] is None and k["BMI"]["r2"] is not None
+    runs = studies.run_to_run(gt, people, variants, variants, (1, 2), moments).collect()
+    assert sorted((r["method"], r["run"], r["trait"], r["rsid"]) for r in runs) == sorted((x, n, t, f"rs{v}") for x, ns in (("BASE", [0]), ("DP", [1, 2]), ("FED", [1, 2])) for n in ns for t in ("BMI", "T2D") for v in g)
+    assert all(r["beta"] == pytest.approx(beta[r["trait"], r["rsid"]]) for r in runs if r["method"] == "BASE")
