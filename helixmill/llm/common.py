@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,35 +24,79 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is made.
+    Where the session names none, it is the warehouse's, which a cluster shares as well; with a
+    master `local` all tasks run on this machine, and a temporary folder does.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="helixmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    return _temporary()
+
+
+@functools.cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="helixmill-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor never repeats the work above, and
-    gives the next steps real sizes to plan with.
+    gives the next steps real sizes to plan with. `discard` removes it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.written_to = path
+    return read
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove materialized tables that nothing will read any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """Materialized tables that belong together, and are removed together."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def clear(self, *but: DataFrame) -> None:
+        """Remove all tables `but` those."""
+        stay = {df.written_to for df in but if hasattr(df, "written_to")}
+        discard(*(df for df in self.tables if df.written_to not in stay))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 4_000_000) -> Iterator[None]:
+    """While tables are written within it, Arrow batches hold `most` bytes at most (one row at least)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in Arrow batches of `rows` rows at most, so that batches of long texts stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def fresh(name: str, *taken: DataFrame) -> str:
+    """`name`, with underscores in front until none of the tables has such a column (in any case)."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:

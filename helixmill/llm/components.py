@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import materialize
+from helixmill.llm.common import discard, materialize
 
 
-def components(edges: DataFrame, most_rounds: int = 60, one_task_rows: int = 200_000) -> DataFrame:
-    """node, component for each node of `edges` (a, b): component is the least node reachable.
+def components(edges: DataFrame) -> DataFrame | None:
+    """node, component for each node of `edges` (a, b): component is the least node reachable; none without edges.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the least
-    node that it knows (Kiveris et al. 2014), until the edges are stars. A node with many
-    edges is one row of the minimum that its edges are joined with, so hubs can be split.
-    Edges from a node to itself and repeated edges are allowed. Up to `one_task_rows` edges
-    are counted small enough for one task, which saves all shuffles.
+    node that it knows (Kiveris et al. 2014), until the edges are stars: about the logarithm
+    of the longest path. A node with many edges is one row of the minimum that its edges are
+    joined with, so hubs can be split. Edges from a node to itself and repeated edges are allowed.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    few = now.count() <= one_task_rows
+    if now.isEmpty():
+        discard(now)
+        return None
     mark = None
-    for _ in range(most_rounds):
-        now = now.coalesce(1) if few else now
+    for _ in itertools.count():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         small = small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        now = materialize(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        seen = Observation()
+        small = small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        before, now = now, materialize(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+        discard(before)
+        if seen.get == mark:
             break
-        mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        mark = seen.get
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -2,38 +2,45 @@
 
 Documents are sets of word shingles, embedded once as minwise tokens. Equal sets are one
 class, of which one representative goes on. In each of several independent trees a node
-holds representatives that share all tokens chosen on the way to it; a node chooses about
+holds the representatives that share all tokens chosen on the way to it; a node chooses about
 1/similarity further positions and branches by the tokens there, so that similar pairs meet
-in about as many nodes as on the level above, and others part. Nodes of a few members are
-compared exhaustively; in larger ones each member is first held against a few leaders.
-Pairs that look similar by their tokens are confirmed on full sets, linked classes merge,
-and nodes within one component have nothing left to find. So that a group of many copies
-costs a few pairs a member, members first offer their most similar partner in another
-component; all other pairs follow once components have grown.
-
-A large node mostly within one component would stay together on every level. It is finished
-at once, in all trees: those that find most pairs come first, so that the others only hold
-what is still outside. So is every node left after the last level: the members outside the
-node's largest component are compared with the whole node on full sets, in blocks of bounded size.
+in about as many nodes as on the level above, and others part. The first levels are walked
+without looking at the nodes; from there on, nodes of a few members are compared exhaustively
+and larger ones branch on.
+
+Pairs that look similar by their tokens are candidates, and links are confirmed on full sets,
+in three passes, so that a group of many copies costs a few confirmations a member:
+
+1. Each member offers its most similar partner among those before it in a fixed random order;
+   in large nodes, among a few leaders. Confirmed links form components.
+2. Each member offers its most similar partner of each other component that it has a candidate in.
+3. Where such a pair was no link, the member is held against that whole component, in blocks.
+
+A large node mostly within one component would stay together on every level, so it is
+compared at once instead: the members outside the component with all of the node. So is any
+node left on the last level. After the third pass no candidate of any node is unconfirmed,
+but for those within one component, which can change nothing.
 
 Defined results: null and wordless texts are empty sets, alone in their components; a text
 of fewer words than a shingle is one shingle; equal rows are in one class; a doc_id names
-one document, so rows that repeat it are linked; an empty table gives an empty result;
-further columns are kept by `keep_one`, whatever their names.
+one document, so rows that repeat it are linked; a row without doc_id is linked with nothing,
+has a null component_id and is kept; an empty table gives an empty result; further columns
+are kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import bounded_batches, bounded_broadcast, chunks, hash_words, materialize, mix64, split_words
+from helixmill.llm.common import Scratch, bounded_broadcast, chunks, discard, fresh, hash_words, materialize, mix64, small_batches, split_words
 from helixmill.llm.components import components
 
 TOKENS = 64
@@ -80,21 +87,27 @@ def _embed(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 sig = np.zeros((b.num_rows, TOKENS), np.uint32)
                 for j in range(TOKENS if len(real) else 0):
                     sig[real, j] = np.minimum.reduceat(((s ^ _XOR[j]) * _MUL[j]) >> np.uint64(32), end[real])
-                digest = [hashlib.blake2b(s[x:y].tobytes(), digest_size=16).hexdigest() for x, y in zip(end, end[1:])]
+                digest = np.frombuffer(b"".join(hashlib.blake2b(s[x:y].tobytes(), digest_size=16).digest() for x, y in zip(end, end[1:])), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(np.diff(end)), "set_hash": pa.array(digest), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
+                    {"doc_id": b.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(np.diff(end)), "h1": pa.array(digest[:, 0]), "h2": pa.array(digest[:, 1]), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
                 )
 
     return run
 
 
 def embed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash and sig (the minwise tokens) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_embed(k), "doc_id long, n_shingles long, set_hash string, sig binary")
+    """doc_id, n_shingles, h1 and h2 (a hash of the set) and sig (the minwise tokens) of each row."""
+    return docs.select("doc_id", "text").mapInArrow(_embed(k), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _tokens(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def _tokens(column: pa.Array | pa.ChunkedArray, kind: type = np.uint32) -> np.ndarray:
+    """The rows of a column of TOKENS numbers each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.zeros((0, TOKENS), kind)
+    end = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[end[0] : end[-1]].view(kind).reshape(-1, TOKENS)
 
 
 def _short(sig: np.ndarray) -> list[bytes]:
@@ -112,8 +125,15 @@ def _choices(node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([np.arange(len(node)), more]), np.concatenate([first, second])
 
 
-def _branch(trees: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Child nodes of each row: rep, n, sig and, below the roots, node."""
+def _children(node: np.ndarray, of: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The child nodes of nodes, and the rows of `sig` in them; `of` has the row in each node."""
+    which, place = _choices(node, similarity)
+    row = of[which]
+    return mix64(mix64(node[which] + place.astype(np.uint64) + np.uint64(1)) ^ sig[row, place].astype(np.uint64)), row
+
+
+def _paths(trees: int, depth: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node and rep for all nodes that a row's paths reach after `depth` levels, or from its `node` one level further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,80 +141,141 @@ def _branch(trees: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
                 continue
             sig = _tokens(b.column("sig"))
             if "node" in b.schema.names:
-                of, node, tree = np.arange(b.num_rows), b.column("node").to_numpy().view(np.uint64), b.column("tree").to_numpy()
+                node, of = _children(b.column("node").to_numpy().view(np.uint64), np.arange(b.num_rows), sig, similarity)
             else:
-                of, tree = np.repeat(np.arange(b.num_rows), trees), np.tile(np.arange(trees), b.num_rows)
-                node = mix64(tree.astype(np.uint64) + np.uint64(1))
-            which, place = _choices(node, similarity)
-            row = of[which]
-            child = mix64(mix64(node[which] + place.astype(np.uint64) + np.uint64(1)) ^ sig[row, place].astype(np.uint64))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_pydict(
-                {"tree": pa.array(tree[which], pa.int32()), "node": pa.array(child.view(np.int64)), "rep": b.column("rep").take(take), "n": b.column("n").take(take), "short": pa.array(_short(sig), pa.binary()).take(take)}
-            )
+                of, node = np.repeat(np.arange(b.num_rows), trees), mix64(np.tile(np.arange(1, trees + 1, dtype=np.uint64), b.num_rows))
+                for _ in range(depth):
+                    node, of = _children(node, of, sig, similarity)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "rep": b.column("rep").take(pa.array(of))})
 
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float, margin: float) -> np.ndarray:
-    """Whether pairs may be similar: by set sizes for sure, by tokens within the margin."""
-    sized = np.minimum(nx, ny) >= similarity * np.maximum(nx, ny) - 1e-9
-    return sized & ((x == y).mean(-1) >= similarity - margin)
+def _pairs_within(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat places of all pairs (first before second) within lists of the given sizes."""
+    end = np.cumsum(size)
+    later = np.repeat(end, size) - np.arange(size.sum()) - 1
+    first = np.repeat(np.arange(len(later)), later)
+    return first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
 
 
-def _compare_small(similarity: float, margin: float, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components within the nodes, whose members come as lists.
+class _Members:
+    """The members of nodes as arrays, and how alike two of them are."""
 
-    With `nearest`, each member's most similar partner alone; otherwise all that may be similar.
-    """
+    def __init__(self, t: pa.Table | pa.RecordBatch | pa.StructArray) -> None:
+        column = t.field if isinstance(t, pa.StructArray) else t.column
+        names = [f.name for f in t.type] if isinstance(t, pa.StructArray) else t.schema.names
+        self.rep, self.n = column("rep").to_numpy(), column("n").to_numpy()
+        self.label = column("label").to_numpy() if "label" in names else self.rep
+        self.short = _tokens(column("short"), np.uint8)
+
+    def alike(self, i: np.ndarray, other: _Members, j: np.ndarray, similarity: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs may be similar (by set sizes for sure, by tokens within the margin), and the shares of equal tokens of those."""
+        at = np.flatnonzero(np.minimum(self.n[i], other.n[j]) >= similarity * np.maximum(self.n[i], other.n[j]) - 1e-9)
+        near = np.zeros(len(at), np.float32)
+        for x in range(0, len(at), 1 << 17):
+            y = at[x : x + (1 << 17)]
+            near[x : x + (1 << 17)] = (self.short[i[y]] == other.short[j[y]]).mean(-1, dtype=np.float32)
+        ok = near >= similarity - margin
+        return at[ok], near[ok]
+
+
+def _best(keys: list[np.ndarray], near: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """Places of the most similar pair of each key (the lesser partner, of equals)."""
+    order = np.lexsort((partner, -near, *keys[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order[new]
+
+
+def _slices(b: pa.RecordBatch, column: str, most: int = 400) -> Iterator[pa.RecordBatch]:
+    for x in range(0, b.num_rows, most):
+        yield b.slice(x, most)
+
+
+def _before(rep: np.ndarray) -> np.ndarray:
+    """The fixed random order of representatives."""
+    return mix64(rep.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _offer_before(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rep, partner and near: each member's most similar partner before it, in nodes whose members come as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = [], []
-            for members in b.column("members"):
-                m = members.values
-                rep, n, label = (m.field(c).to_numpy() for c in ("rep", "n", "label"))
-                short = _tokens(m.field("short"), np.uint8)
-                if nearest:
-                    near = (short[:, None] == short[None]).mean(-1)
-                    sized = np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9
-                    near[(label[:, None] == label) | ~sized] = -1
-                    i, j = np.arange(len(rep)), near.argmax(1)
-                    ok = near[i, j] >= similarity - margin
-                else:
-                    i, j = np.triu_indices(len(rep), 1)
-                    differ = label[i] != label[j]
-                    i, j = i[differ], j[differ]
-                    ok = _alike(short[i], short[j], n[i], n[j], similarity, margin)
-                left.append(rep[i[ok]])
-                right.append(rep[j[ok]])
-            a, c = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, c)), "b": pa.array(np.maximum(a, c))})
+        for whole in batches:
+            for b in _slices(whole, "members"):
+                m = _Members(b.column("members").flatten())
+                i, j = _pairs_within(pc.list_value_length(b.column("members")).to_numpy())
+                turn = _before(m.rep)
+                i, j = np.where(turn[i] > turn[j], i, j), np.where(turn[i] > turn[j], j, i)
+                ok, near = m.alike(i, m, j, similarity, margin)
+                i, j = i[ok], j[ok]
+                best = _best([m.rep[i]], near, m.rep[j])
+                yield pa.RecordBatch.from_pydict({"rep": pa.array(m.rep[i[best]]), "partner": pa.array(m.rep[j[best]]), "near": pa.array(near[best])})
 
     return run
 
 
-def _compare_leaders(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each row's most similar leader in another component; a node's leaders come as a list."""
+def _offer_leaders(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rep, partner and near: each row's most similar leader before it; its node's leaders come as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            short, n, rep, label = _tokens(b.column("short"), np.uint8), *(b.column(c).to_numpy() for c in ("n", "rep", "label"))
-            lists = b.column("leaders")
-            size = pc.list_value_length(lists).to_numpy()
-            row, flat = np.repeat(np.arange(b.num_rows), size), lists.flatten()
-            near = np.full(len(row), -1.0)
-            for x in range(0, len(row), 1 << 18):
-                r, f = row[x : x + (1 << 18)], flat.slice(x, 1 << 18)
-                ok = (f.field("label").to_numpy() != label[r]) & _alike(short[r], _tokens(f.field("short"), np.uint8), n[r], f.field("n").to_numpy(), similarity, margin)
-                near[x : x + len(r)][ok] = (short[r[ok]] == _tokens(f.field("short"), np.uint8)[ok]).mean(-1)
-            order = np.lexsort((-near, row))
-            best = order[np.unique(row[order], return_index=True)[1]]
-            best = best[near[best] >= 0]
-            p = np.stack([rep[row[best]], flat.field("rep").to_numpy()[best]])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(p.min(0)), "b": pa.array(p.max(0))})
+        for whole in batches:
+            for b in _slices(whole, "leaders", 4000):
+                lists = b.column("leaders")
+                m, leader = _Members(b), _Members(lists.flatten())
+                i, j = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy()), np.arange(len(leader.rep))
+                earlier = _before(leader.rep)[j] < _before(m.rep)[i]
+                i, j = i[earlier], j[earlier]
+                ok, near = m.alike(i, leader, j, similarity, margin)
+                i, j = i[ok], j[ok]
+                best = _best([m.rep[i]], near, leader.rep[j])
+                yield pa.RecordBatch.from_pydict({"rep": pa.array(m.rep[i[best]]), "partner": pa.array(leader.rep[j[best]]), "near": pa.array(near[best])})
+
+    return run
+
+
+def _across(x: _Members, i: np.ndarray, y: _Members, j: np.ndarray, near: np.ndarray) -> dict[str, pa.Array]:
+    """Each member's most similar partner of each other component, for pairs seen from both ends."""
+    rep, label, n = np.concatenate([x.rep[i], y.rep[j]]), np.concatenate([x.label[i], y.label[j]]), np.concatenate([near, near])
+    partner, other = np.concatenate([y.rep[j], x.rep[i]]), np.concatenate([y.label[j], x.label[i]])
+    best = _best([rep, other], n, partner)
+    return {"rep": pa.array(rep[best]), "label": pa.array(label[best]), "other": pa.array(other[best]), "partner": pa.array(partner[best]), "near": pa.array(n[best])}
+
+
+ACROSS = "rep long, label long, other long, partner long, near float"
+
+
+def _across_small(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """ACROSS for nodes whose members come as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _slices(whole, "members"):
+                m = _Members(b.column("members").flatten())
+                i, j = _pairs_within(pc.list_value_length(b.column("members")).to_numpy())
+                differ = m.label[i] != m.label[j]
+                i, j = i[differ], j[differ]
+                ok, near = m.alike(i, m, j, similarity, margin)
+                yield pa.RecordBatch.from_pydict(_across(m, i[ok], m, j[ok], near))
+
+    return run
+
+
+def _across_blocks(similarity: float, margin: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """ACROSS for a block of a node's members and some members outside its largest component."""
+
+    def run(block: pa.Table, outside: pa.Table) -> pa.Table:
+        x, y = (_Members(t.combine_chunks()) for t in (block, outside.rename_columns([c.removeprefix("x_") for c in outside.column_names])))
+        i, j, near = [], [], []
+        for at in range(len(y.rep)):
+            a = np.flatnonzero(x.label != y.label[at])
+            ok, share = x.alike(a, y, np.full(len(a), at), similarity, margin)
+            i.append(a[ok]), j.append(np.full(len(ok), at)), near.append(share)
+        none = np.zeros(0, np.int64)
+        return pa.table(_across(x, np.concatenate([none, *i]), y, np.concatenate([none, *j]), np.concatenate([none.astype(np.float32), *near])))
 
     return run
 
@@ -227,193 +308,254 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """rep and full (its shingle set) for the doc_ids in `reps` (rep)."""
-    wanted = materialize(reps.select(F.col("rep").alias("want")).distinct(), "wanted")
-    wanted = bounded_broadcast(wanted, wanted.count())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("want"), "left_semi")
-    return materialize(texts.mapInArrow(_sets(k), "rep long, full binary"), "sets")
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
-    x, y = sets.select(F.col("rep").alias("a"), F.col("full").alias("x")), sets.select(F.col("rep").alias("b"), F.col("full").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets x with all sets y: a product of incidence matrices."""
+    shingles = np.unique(np.concatenate([*y, np.zeros(0, np.uint64)]))
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, levels: int = 4, small: int = 64, leaders: int = 8, margin: float = 0.18, sure_trees: int = 4
-) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of `docs`.
+    def incidence(sets: list[np.ndarray]) -> np.ndarray:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+        here = shingles[at] == flat
+        m = np.zeros((len(sets), len(shingles)), np.float32)
+        m[row[here], at[here]] = 1
+        return m
 
-    Links are pairs with 100 * intersection >= percent * union of their sets of k-word
-    shingles; component_id is the least doc_id reachable by links. Pairs at the limit share
-    a node of one tree with a chance of about `percent` / 100 on each level, so that ten
-    trees miss fewer than one pair in a thousand; `margin` is 3.5 standard deviations of
-    the estimate from 64 tokens.
-    """
-    bounded_batches(docs.sparkSession)
-    similarity = percent / 100
-    rows = materialize(embed(docs, k), "embedded")
-    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes.withColumnRenamed("set_hash", "of"), (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("of")))
-    reps = materialize(reps.select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep", "sig"]), "classes")
-    state = _State(docs, k, percent)
-    form = "tree int, node long, rep long, n long, short binary"
-    paths = materialize(reps.mapInArrow(_branch(trees, similarity), form), "nodes")
-    member = F.struct("rep", "n", "label", "short")
-    dense = F.col("outside") <= F.greatest(F.lit(small), F.col("members_n") / 4)
-    for level in range(levels):
-        count = materialize(_outside(state.labelled(paths)).drop("main"), "node-sizes")
-        few = materialize(paths.join(count.where(F.col("members_n") <= small), "node"), "small-nodes")
-        large = materialize(paths.join(count.where(F.col("members_n") > small), "node"), "large-nodes")
-        for rank, nearest in enumerate((True, False) if level == 0 else (False,)):
-            p = state.labelled(few)
-            lists = p.join(_mixed(p).select("node"), "node").groupBy("node").agg(F.collect_list(member).alias("members"))
-            found = lists.select("members").mapInArrow(_compare_small(similarity, margin, nearest), "a long, b long")
-            if rank == 0:
-                p = state.labelled(large.where(~dense))
-                found = found.unionByName(p.join(_leaders(p, leaders), "node").select("rep", "n", "label", "short", "leaders").mapInArrow(_compare_leaders(similarity, margin), "a long, b long"))
-            state.test(found)
-        rest = state.labelled(large.drop("members_n", "outside"))
-        rest = materialize(rest.join(_outside(rest), "node"), "mixed-nodes")
-        if rest.isEmpty():
-            break
-        last = level + 1 == levels
-        first = F.col("tree") < sure_trees
-        for turn, of in enumerate((first, ~first)):
-            nearly = rest.where(of if last else dense & of)
-            if turn:
-                nearly = state.labelled(nearly.drop("label", "main", "members_n", "outside"))
-                nearly = materialize(nearly.join(_outside(nearly), "node"), "mixed-nodes")
-            if not nearly.isEmpty():
-                _finish(state, nearly)
-        rest = rest.where(~dense)
-        if last or rest.isEmpty():
-            break
-        paths = materialize(rest.join(reps.select("rep", "sig"), "rep").select("tree", "node", "rep", "n", "sig").mapInArrow(_branch(trees, similarity), form), "nodes")
-    labels = state.labels
-    named = labels.withColumnsRenamed({"node": "l_node"})
-    by_class = classes.join(named, classes["rep"] == named["l_node"], "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("class_component"))
-    d = rows.join(by_class, (rows["set_hash"] == by_class["of"]) & (rows["n_shingles"] > 0), "left")
-    d = d.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
-    return d.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return incidence(x) @ incidence(y).T
 
 
 class _State:
-    """Which pairs have been tested, and the component of each representative that has a link."""
+    """The full sets gathered so far, the pairs tested, and the component of each representative that has a link."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
         spark = docs.sparkSession
-        self.docs, self.k, self.percent = docs, k, percent
+        self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent
+        self.scratch = Scratch()
+        self.sets: list[DataFrame] = []
+        self.have = spark.createDataFrame([], "rep long")
         self.tested = spark.createDataFrame([], "a long, b long")
         self.labels = spark.createDataFrame([], "node long, component long")
 
-    def labelled(self, p: DataFrame) -> DataFrame:
-        named = self.labels.withColumnsRenamed({"node": "l_node"})
-        return p.join(named, p["rep"] == named["l_node"], "left").select(p["*"], F.coalesce("component", "rep").alias("label"))
+    def labelled(self, p: DataFrame, of: str = "rep", label: str = "label") -> DataFrame:
+        """`p` with the component of the representative in column `of`."""
+        named = self.labels.withColumnsRenamed({"node": "l_node", "component": "l_component"})
+        return p.join(named, p[of] == named["l_node"], "left").withColumn(label, F.coalesce("l_component", of)).drop("l_node", "l_component")
+
+    def full(self, reps: DataFrame) -> DataFrame:
+        """rep and full (its shingle set) for at least the doc_ids in `reps` (rep)."""
+        new = self.scratch(reps.select("rep").distinct().join(self.have, "rep", "left_anti"), "wanted")
+        if not new.isEmpty():
+            self.have = self.have.unionByName(new)
+            want = bounded_broadcast(new, new.count()).withColumnRenamed("rep", "want")
+            texts = self.docs.join(want, F.col("doc_id") == F.col("want"), "left_semi")
+            self.sets.append(self.scratch(texts.mapInArrow(_sets(self.k), "rep long, full binary"), "sets"))
+        return functools.reduce(DataFrame.unionByName, self.sets) if self.sets else self.docs.sparkSession.createDataFrame([], "rep long, full binary")
 
     def test(self, pairs: DataFrame) -> None:
-        """Confirm those of the pairs that are new, and merge what they link."""
-        new = materialize(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "candidates")
+        """Confirm those of the pairs (a, b) that are new on full sets, and merge what they link."""
+        new = self.scratch(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti"), "candidates")
         if not new.isEmpty():
             self.tested = self.tested.unionByName(new)
-            self.link(materialize(confirm(self.docs, new, self.k, self.percent), "links"))
-
-    def link(self, links: DataFrame) -> bool:
-        """Merge components by confirmed links; false if there was nothing to merge."""
-        ends = self.labelled(links.withColumn("rep", F.col("a"))).withColumnRenamed("label", "x").withColumn("rep", F.col("b"))
-        ends = self.labelled(ends).select(F.col("x").alias("a"), F.col("label").alias("b")).where("a <> b")
-        ends = materialize(ends.distinct(), "merges")
-        if ends.isEmpty():
-            return False
-        moved = components(ends).withColumnsRenamed({"node": "m_node", "component": "moved"})
-        known = self.labels.unionByName(moved.select(F.col("m_node").alias("node"), F.col("m_node").alias("component")).join(self.labels.select("node"), "node", "left_anti"))
-        d = known.join(moved, known["component"] == moved["m_node"], "left")
-        self.labels = materialize(d.select("node", F.coalesce("moved", "component").alias("component")), "labels")
-        return True
-
-
-def _mixed(p: DataFrame) -> DataFrame:
-    """node and members_n of the nodes that hold more than one component."""
-    return p.groupBy("node").agg(F.count("*").alias("members_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "members_n")
+            sets = self.full(new.select(F.explode(F.array("a", "b")).alias("rep")))
+            x, y = sets.select(F.col("rep").alias("a"), F.col("full").alias("x")), sets.select(F.col("rep").alias("b"), F.col("full").alias("y"))
+            self.link(new.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long"))
+
+    def link(self, links: DataFrame) -> None:
+        """Merge components by confirmed links (a, b)."""
+        links = self.scratch(links, "links")
+        ends = self.labelled(self.labelled(links, "a", "x"), "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = components(ends)
+        if moved is not None:
+            moved = moved.withColumnsRenamed({"node": "m_node", "component": "moved"})
+            known = self.labels.unionByName(moved.select(F.col("m_node").alias("node"), F.col("m_node").alias("component")).join(self.labels.select("node"), "node", "left_anti"))
+            d = known.join(moved, known["component"] == moved["m_node"], "left")
+            self.labels = self.scratch(d.select("node", F.coalesce("moved", "component").alias("component")), "labels")
 
 
 def _leaders(p: DataFrame, most: int) -> DataFrame:
-    """node and leaders, a list of members of each node: in up to `most` slices of it, the one of least hash."""
-    item = F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "n", "label", "short")
+    """node and leaders, a list of members of each node: in up to `most` slices of it, the first in the order of a hash."""
+    item = F.struct(F.xxhash64(F.lit("leader"), "rep").alias("h"), "rep", "n", "short")
     sliced = p.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("part")).agg(F.min(item).alias("one"))
-    return sliced.groupBy("node").agg(F.collect_list("one").alias("some")).select(
-        "node", F.transform("some", lambda x: F.struct(x["rep"].alias("rep"), x["n"].alias("n"), x["label"].alias("label"), x["short"].alias("short"))).alias("leaders")
-    )
+    return sliced.groupBy("node").agg(F.collect_list(F.struct("one.rep", "one.n", "one.short")).alias("leaders"))
 
 
-def _outside(p: DataFrame) -> DataFrame:
-    """node, main, members_n and outside: of mixed nodes, the largest component and the members in and out of it."""
+def _mixed(p: DataFrame) -> DataFrame:
+    """node, size, main and outside of the nodes of several components: the largest one, and the members out of it."""
     sizes = p.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
-    d = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("members_n"), (F.sum("c") - F.max("c")).alias("outside"))
+    d = sizes.agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
     return d.where("outside > 0")
 
 
-def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets x with all sets y: a product of incidence matrices."""
-    shingles = np.unique(np.concatenate([*y, np.zeros(0, np.uint64)]))
+def _listed(p: DataFrame, *columns: str) -> DataFrame:
+    return p.groupBy("node").agg(F.collect_list(F.struct(*columns)).alias("members")).select("members")
 
-    def incidence(sets: list[np.ndarray]) -> np.ndarray:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
-        at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
-        here = shingles[at] == flat
-        m = np.zeros((len(sets), len(shingles)), np.float32)
-        m[row[here], at[here]] = 1
-        return m
 
-    return incidence(x) @ incidence(y).T
+def _parts(n: str, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+
+
+def _part(n: str, block: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), "rep"), _parts(n, block)).cast("int")
+
+
+def _every(n: str, block: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), _parts(n, block) - 1))
+
+
+def _blocks(p: DataFrame, how: Callable[[pa.Table, pa.Table], pa.Table], block: int = 1024) -> DataFrame:
+    """ACROSS for nodes of any size, given the members of mixed nodes: those outside the largest component against all.
+
+    Both are dealt in blocks of about `block` members, and each pair of blocks is a group of its own.
+    """
+    keys, cols = ["node", "one", "two"], ["rep", "n", "short", "label"]
+    members = p.withColumn("one", _part("size", block)).withColumn("two", _every("outside", block)).select(*keys, *cols)
+    outside = p.where("label <> main").withColumn("two", _part("outside", block)).withColumn("one", _every("size", block))
+    outside = outside.select(*(F.col(c).alias(f"x_{c}") for c in (*keys, *cols)))
+    return members.groupBy(*keys).cogroup(outside.groupBy(*(f"x_{c}" for c in keys))).applyInArrow(how, ACROSS)
 
 
 def _exact_block(percent: int, chunk: int = 16, cells: int = 8_000_000) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block of a node's members and some members to hold against it: one link to each component, if any."""
+    """Of a block of a component's members and some others: a link of each of the others to it, if any."""
 
-    def run(block: pa.Table, chosen: pa.Table) -> pa.Table:
+    def run(block: pa.Table, others: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        if block.num_rows and chosen.num_rows:
-            sets, others = ([np.frombuffer(v, np.uint64) for v in t[c].to_pylist()] for t, c in ((block, "full"), (chosen, "x_full")))
-            size, rep, label = np.array([len(v) for v in sets]), block["rep"].to_numpy(), block["label"].to_numpy()
-            o_rep, o_label = chosen["x_rep"].to_numpy(), chosen["x_label"].to_numpy()
-            for lo in range(0, len(others), chunk):
-                part = others[lo : lo + chunk]
+        if block.num_rows and others.num_rows:
+            sets, against = ([np.frombuffer(v, np.uint64) for v in t[c].to_pylist()] for t, c in ((block, "full"), (others, "x_full")))
+            size, rep, o_rep = np.array([len(v) for v in sets]), block["rep"].to_numpy(), others["x_rep"].to_numpy()
+            for lo in range(0, len(against), chunk):
+                part = against[lo : lo + chunk]
                 step = max(1, cells // max(1, sum(map(len, part))))
                 for at in range(0, len(sets), step):
-                    here = slice(at, at + step)
-                    both = _shared(sets[here], part)
-                    ok = 100 * both >= percent * (size[here, None] + np.array([len(v) for v in part]) - both)
-                    i, j = np.nonzero(ok & (label[here, None] != o_label[lo : lo + chunk]))
-                    _, first = np.unique(np.stack([label[here][i], j]), axis=1, return_index=True)
-                    out += zip(rep[here][i[first]].tolist(), o_rep[lo + j[first]].tolist())
+                    both = _shared(sets[at : at + step], part)
+                    ok = 100 * both >= percent * (size[at : at + step, None] + np.array([len(v) for v in part]) - both)
+                    j = np.flatnonzero(ok.any(0))
+                    out += zip(rep[at + ok.argmax(0)[j]].tolist(), o_rep[lo + j].tolist())
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _finish(state: _State, p: DataFrame, block: int = 512) -> None:
-    """Hold the members outside each node's largest component against the whole node.
+def _against_components(state: _State, left: DataFrame, members: DataFrame, block: int = 256) -> DataFrame:
+    """Links (a, b) between each `rep` of `left` (rep, other) and the members (other, rep) of that component."""
+    n = left.groupBy("other").agg(F.count("*").alias("n_left")).join(members.groupBy("other").agg(F.count("*").alias("n_in")), "other")
+    left, members = state.scratch(left.join(n, "other"), "outsiders"), state.scratch(members.join(n, "other"), "insiders")
+    sets = state.full(left.select("rep").unionByName(members.select("rep")))
+    left, members = left.join(sets, "rep"), members.join(sets, "rep")
+    keys = ["other", "one", "two"]
+    inside = members.withColumn("one", _part("n_in", block)).withColumn("two", _every("n_left", block)).select(*keys, "rep", "full")
+    outside = left.withColumn("two", _part("n_left", block)).withColumn("one", _every("n_in", block))
+    outside = outside.select(*(F.col(c).alias(f"x_{c}") for c in (*keys, "rep", "full")))
+    return inside.groupBy(*keys).cogroup(outside.groupBy(*(f"x_{c}" for c in keys))).applyInArrow(_exact_block(state.percent), "a long, b long")
+
 
-    Both are dealt in blocks of about `block` members, and each pair of blocks is a task's group.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, most_depth: int = 8, small: int = 64, leaders: int = 8, margin: float = 0.18) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of `docs`.
+
+    Links are pairs with 100 * intersection >= percent * union of their sets of k-word
+    shingles; component_id is the least doc_id reachable by links. A pair at the limit still
+    shares a node of a tree after three levels with a chance of 0.58, and ten trees miss
+    it with one of 0.0002; nodes of more than `small` members go deeper, down to `most_depth`
+    levels, where ten trees miss it with a chance of 0.005. `margin` is 3.5 standard
+    deviations of the estimate from 64 tokens.
     """
-    sets = full_sets(state.docs, p.select("rep"), state.k)
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("rep"), parts(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    p = p.join(sets, "rep")
-    cols = ["node", "one", "two", "rep", "label", "full"]
-    members = p.withColumn("one", part("members_n")).withColumn("two", every("outside")).select(*cols)
-    others = p.where("label <> main").withColumn("two", part("outside")).withColumn("one", every("members_n")).select(*(F.col(c).alias(f"x_{c}") for c in cols))
-    found = members.groupBy(*cols[:3]).cogroup(others.groupBy(*(f"x_{c}" for c in cols[:3]))).applyInArrow(_exact_block(state.percent), "a long, b long")
-    state.link(materialize(found, "links"))
+    with small_batches(docs.sparkSession):
+        rows, classes, labels = _join(docs, k, percent, trees, depth, most_depth, small, leaders, margin)
+    # a set that only one unlinked document has says nothing new
+    named = labels.withColumnsRenamed({"node": "l_node"})
+    known = classes.join(named, classes["rep"] == named["l_node"], "left").select("h1", "h2", "copies", "rep", F.coalesce("component", "rep").alias("component"))
+    known = materialize(known.where("copies > 1 or component <> rep").select(F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), "component"), "components")
+    d = rows.join(bounded_broadcast(known, known.count()), (rows["h1"] == known["c_h1"]) & (rows["h2"] == known["c_h2"]) & rows["doc_id"].isNotNull() & (rows["n_shingles"] > 0), "left")
+    d = d.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return d.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _join(docs: DataFrame, k: int, percent: int, trees: int, depth: int, most_depth: int, small: int, leaders: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The embedded rows (without tokens), the classes (h1, h2, rep, copies) and the component of each linked representative."""
+    similarity = percent / 100
+    state = _State(docs, k, percent)
+    rows = state.scratch(embed(docs, k), "embedded")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = state.scratch(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    reps = classes.select("rep", "n", "sig")
+    short = reps.mapInArrow(_sketch, "rep long, n long, short binary")
+    _link_repeated_ids(state, known, classes)
+    offers = (_offer_before(similarity, margin), _offer_leaders(similarity, margin), "rep long, partner long, near float")
+    across = []
+    paths = state.scratch(reps.mapInArrow(_paths(trees, depth, similarity), "node long, rep long"), "paths")
+    for level in range(depth, most_depth + 1):
+        sizes = paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("node", "s_node")
+        sizes = state.scratch(sizes, "sizes")
+        met = paths.join(sizes, paths["node"] == sizes["s_node"]).drop("s_node")
+        met = state.scratch(met.join(short, "rep").select("node", "size", "rep", "n", "short", *(["label"] if level > depth else [])), "met")
+        discard(paths, sizes)
+        if level == depth:
+            few = _listed(met.where(F.col("size") <= small), "rep", "n", "short").mapInArrow(offers[0], offers[2])
+            large = met.where(F.col("size") > small)
+            many = large.join(_leaders(large, leaders), "node").select("rep", "n", "short", "leaders").mapInArrow(offers[1], offers[2])
+            best = few.unionByName(many).groupBy("rep").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
+            state.test(best.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
+            short = state.scratch(state.labelled(short), "tagged")
+            bare, met = met, state.scratch(state.labelled(met), "met")
+            discard(bare)
+        mixed = state.scratch(_mixed(met), "mixed")
+        own = mixed.select(F.col("node").alias("m_node"), "main", "outside")
+        met_mixed = state.scratch(met.join(own, met["node"] == own["m_node"]).drop("m_node"), "mixed")
+        discard(met, mixed)
+        few, large = met_mixed.where(F.col("size") <= small), met_mixed.where(F.col("size") > small)
+        dense = F.col("outside") <= F.greatest(F.lit(small), F.col("size") / 4) if level < most_depth else F.lit(True)
+        found = _listed(few, "rep", "n", "short", "label").mapInArrow(_across_small(similarity, margin), ACROSS)
+        found = found.unionByName(_blocks(large.where(dense), _across_blocks(similarity, margin)))
+        across.append(state.scratch(found, "across"))
+        rest = state.scratch(large.where(~dense).select("node", "rep"), "rest")
+        discard(met_mixed)
+        if rest.isEmpty():
+            break
+        paths = state.scratch(rest.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig").mapInArrow(_paths(trees, 1, similarity), "node long, rep long"), "paths")
+    found = functools.reduce(DataFrame.unionByName, across).groupBy("rep", "label", "other").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
+    before = state.labels
+    n = before.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("in_it"))
+    size = lambda d, c: d.join(n.withColumnsRenamed({"of": f"{c}_of", "in_it": f"{c}_n"}), F.col(c) == F.col(f"{c}_of"), "left").drop(f"{c}_of").na.fill(1, [f"{c}_n"])
+    # of two components, members of the smaller one are held against the larger one
+    found = size(size(found, "label"), "other").where("label_n < other_n or (label_n = other_n and label < other)")
+    found = state.scratch(found, "across")
+    state.test(found.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
+    left = state.labelled(state.labelled(found.where("other_n > 1").select("rep", "other"), "rep", "now"), "other", "there").where("now <> there").select("rep", "other")
+    left = state.scratch(left, "left")
+    if not left.isEmpty():
+        wanted = left.select("other").distinct()
+        members = before.join(wanted, before["component"] == wanted["other"]).select("other", F.col("node").alias("rep"))
+        state.link(_against_components(state, left, members))
+    state.scratch.clear(rows, classes, state.labels)
+    return rows.drop("sig"), classes, state.labels
+
+
+def _link_repeated_ids(state: _State, rows: DataFrame, classes: DataFrame) -> None:
+    """Link the classes in which one doc_id occurs with different sets."""
+    twice = rows.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
+    twice = state.scratch(twice.select(F.col("doc_id").alias("t_id")), "repeated-ids")
+    if not twice.isEmpty():
+        found = rows.join(twice, F.col("doc_id") == F.col("t_id"), "left_semi").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+        state.link(found.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, n and short, eight bits of each token, of each representative."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_pydict({"rep": b.column("rep"), "n": b.column("n"), "short": pa.array(_short(_tokens(b.column("sig"))), pa.binary())})
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, **how: float) -> DataFrame:
-    """The rows of `docs` of the least doc_id of each group of near-duplicates, with all their columns."""
-    good = near_duplicates(docs, k, percent, **how).where("kept").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_good_id"], "left_semi")
+    """One row of each group of near-duplicates, with all its columns: that of the least doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay. Texts are shuffled
+    only if the ids to be left out are too many to broadcast.
+    """
+    found = materialize(near_duplicates(docs, k, percent, **how).select("doc_id", "kept"), "verdicts")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    odd = materialize(ids.where("not kept or n > 1").select(F.col("doc_id").alias("o_id"), F.when(F.col("kept"), 1).otherwise(0).alias("stays")), "odd-ids")
+    odd_id, stays = fresh("o_id", docs), fresh("stays", docs)
+    odd = bounded_broadcast(odd, odd.count()).withColumnsRenamed({"o_id": odd_id, "stays": stays})
+    alone = docs.join(odd, docs["doc_id"] == odd[odd_id], "left_anti")
+    repeated = docs.join(odd.where(F.col(stays) == 1), docs["doc_id"] == odd[odd_id], "left_semi")
+    return alone.unionByName(repeated.dropDuplicates(["doc_id"]))

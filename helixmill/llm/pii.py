@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import bounded_batches, chunks, materialize, text_or_empty
+from helixmill.llm.common import chunks, materialize, small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("contact", "number")
@@ -228,8 +228,8 @@ def joined(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of `docs`."""
-    bounded_batches(docs.sparkSession)
-    found = materialize(candidates(docs), "pii-candidates")
+    with small_batches(docs.sparkSession):
+        found = materialize(candidates(docs), "pii-candidates")
     patterns = found.select(F.explode("spans").alias("s")).groupBy("s.vote", "s.feature").agg(F.count("*").alias("n"))
     model = fit([tuple(r) for r in patterns.collect()])
     sure = model.probability(np.arange(1 << len(FEATURES))) >= least

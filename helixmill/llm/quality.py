@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import bounded_batches, chunks, codes, materialize, per_row, split_lines, split_words, text_or_empty
+from helixmill.llm.common import bounded_broadcast, chunks, codes, fresh, materialize, per_row, small_batches, split_lines, split_words, text_or_empty
 
 SYMBOLS_RE = r"[#*$%&|<>]"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
@@ -97,7 +97,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the measures of each row's whole text."""
-    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(_measure, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, source string, {MEASURES}")
 
 
@@ -179,13 +178,18 @@ def judge(measures: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataF
 
 def quality(docs: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
     """A row of measures, fences and verdict for each row of `docs`."""
-    return judge(materialize(measure(docs), "quality"), reach, min_rows)
+    with small_batches(docs.sparkSession):
+        measures = materialize(measure(docs), "quality")
+    return judge(measures, reach, min_rows)
 
 
 def filter_documents(docs: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
     """The rows of `docs` that pass, with all their columns.
 
-    Verdicts meet their rows by doc_id; a doc_id that repeats stays if any of its rows passes.
+    Verdicts meet their rows by doc_id (null is one, too); a doc_id that repeats stays if any
+    of its rows passes. Texts are shuffled only if the rejected ids are too many to broadcast.
     """
-    good = quality(docs, reach, min_rows).where("kept").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_good_id"], "left_semi")
+    by_id = quality(docs, reach, min_rows).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    out = fresh("out_id", docs)
+    rejected = materialize(by_id.where(~F.col("kept")).select(F.col("doc_id").alias(out)), "rejected")
+    return docs.join(bounded_broadcast(rejected, rejected.count()), docs["doc_id"].eqNullSafe(rejected[out]), "left_anti")

@@ -9,7 +9,6 @@ from typing import Any
 from pyspark.broadcast import Broadcast
 from pyspark.sql import SparkSession
 
-from helixmill.llm.common import bounded_batches
 
 MOST_BYTES = 64_000_000
 #: Encodings take many times the memory of their texts, so batches of about so many bytes are encoded at once.
@@ -19,7 +18,6 @@ _built: dict[tuple[str, str], Any] = {}
 
 def shared_file(spark: SparkSession, path: str) -> Broadcast[bytes]:
     """The bytes of a file that the driver can open, if it is small enough to broadcast."""
-    bounded_batches(spark)
     with open(path, "rb") as f:
         data = f.read(MOST_BYTES + 1)
     if len(data) > MOST_BYTES:

@@ -141,9 +141,9 @@ def brute_components(texts, k, percent):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("small", [64, 4])
-def test_near_duplicates_equal_brute_force(spark, small):
-    """With `small` at 4 nearly all nodes are large, so that leaders and the exact finish do the work."""
+@pytest.mark.parametrize("how", [{}, {"small": 4, "depth": 1, "most_depth": 2}, {"small": 2, "most_depth": 4, "leaders": 2}])
+def test_near_duplicates_equal_brute_force(spark, how):
+    """With a low `small` nearly all nodes are large, so that leaders, deeper levels and blocks do the work."""
     r = random.Random(9)
     words = [f"w{i}" for i in range(60)]
     texts = odd_texts()
@@ -154,13 +154,13 @@ def test_near_duplicates_equal_brute_force(spark, small):
             for _ in range(r.randrange(4)):
                 t[r.randrange(40)] = r.choice(words)
             texts.append(" ".join(t))
-    got = cpsjoin.near_duplicates(docs_of(spark, texts), k=2, percent=80, small=small, levels=2).collect()
+    got = cpsjoin.near_duplicates(docs_of(spark, texts), k=2, percent=80, **how).collect()
     component, size = brute_components(texts, 2, 80)
     assert {x["doc_id"]: (x["component_id"], x["n_shingles"], x["kept"]) for x in got} == {i: (component[i], size[i], component[i] == i) for i in range(len(texts))}
 
 
 def test_no_tree_is_left_out_around_a_big_group(spark, pairs=40):
-    """Pairs of similarity 0.82 in nodes that are mostly one big group: trees after the first are finished as well."""
+    """Pairs of similarity 0.82 in nodes that are mostly one big group."""
     r = random.Random(11)
     base = [f"b{i}" for i in range(40)]
     texts = [" ".join([*base[:i], f"g{n}", *base[i + 1 :]]) for n in range(6 * pairs) for i in [n % 40]]
@@ -168,12 +168,22 @@ def test_no_tree_is_left_out_around_a_big_group(spark, pairs=40):
     for n in range(pairs):
         p = r.sample(base, 35) + [f"p{n}x{j}" for j in range(5)]
         texts += [" ".join(p), " ".join(p[:36] + [f"q{n}x{j}" for j in range(4)])]
-    got = {x["doc_id"]: x["component_id"] for x in cpsjoin.near_duplicates(docs_of(spark, texts), k=1, percent=80, small=4, levels=4, sure_trees=1).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in cpsjoin.near_duplicates(docs_of(spark, texts), k=1, percent=80, small=4, most_depth=4).collect()}
     assert all(got[i] == 0 for i in range(group))
     assert [i for i in range(group, len(texts), 2) if got[i] != got[i + 1]] == []
     assert all(got[i] == i for i in range(group, len(texts), 2))
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    rows = [(None, text("a")), (1, text("a")), (2, text("a")), (2, text("b")), (5, text("b")), (7, text("c")), (7, text("c")), (None, None), (8, "")]
+    d = spark.createDataFrame([(*r, "en", "s", n) for n, r in enumerate(rows)], DOCS).withColumns({"stays": F.lit("x"), "o_id": F.lit("y")})
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in cpsjoin.near_duplicates(d).collect()}
+    assert got == {(None, 26): (None, True), (1, 26): (1, True), (2, 26): (1, False), (5, 26): (1, False), (7, 26): (7, True), (None, 0): (None, True), (8, 0): (8, True)}
+    kept = cpsjoin.keep_one(d)
+    assert kept.columns == d.columns and sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, ""), (-1, text("a")), (1, text("a")), (7, text("c")), (8, "")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7), (1, 0)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
