@@ -99,9 +99,14 @@ def split_budget(eps: Column, share: float = 0.2) -> tuple[Column, Column]:
     return select, F.greatest(eps - select, F.lit(1e-6))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """`df` with a broadcast hint if it has `most_rows` rows at most; otherwise joins with it shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def broadcast_if_small(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """`df` with a broadcast hint if Spark's estimate for its plan is at most `most_bytes`.
+
+    The estimate errs on the large side for joins and aggregates; what it misses, adaptive execution
+    still finds out from the sizes that it measures. Nothing is run to find the size.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size.toString()) <= most_bytes else df
 
 
 def standard_score(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:

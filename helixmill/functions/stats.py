@@ -77,61 +77,86 @@ def chi2_sf(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), np.nan, out)
 
 
-def irls(x: np.ndarray, n: np.ndarray, cases: np.ndarray, firth: bool = False, rounds: int = 25, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Grouped logistic regression: coefficients, standard errors and whether the fit converged.
+def _inverse(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of a stack of matrices, and which of them have one."""
+    det = np.linalg.det(m)
+    ok = np.isfinite(det) & (det != 0)
+    return np.linalg.inv(np.where(ok[:, None, None], m, np.eye(m.shape[-1]))), ok
 
-    Rows are cells of `n` people with `cases` cases. Stops when the deviance changes by less
-    than `tol` of itself. With `firth`, Jeffreys' prior penalises the score, which gives
-    finite estimates for separated data.
+
+def irls(x: np.ndarray, n: np.ndarray, cases: np.ndarray, firth: bool = False, rounds: int = 25, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stack of grouped logistic regressions: coefficients, standard errors and which fits converged.
+
+    x is (models, cells, terms), n and cases are (models, cells); cells of nobody count for
+    nothing. A fit stops when its deviance changes by less than `tol` of itself. With `firth`,
+    Jeffreys' prior penalises the score, which gives finite estimates for separated data.
     """
-    beta, before = np.zeros(x.shape[1]), np.inf
+    beta, se = np.zeros((len(x), x.shape[-1])), np.full((len(x), x.shape[-1]), np.nan)
+    before, live, good = np.full(len(x), np.inf), np.arange(len(x)), np.zeros(len(x), bool)
+
+    def chances(z: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((z @ b[..., None])[..., 0], -30, 30)))
+
+    def covariance(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _inverse((z * w[..., None]).transpose(0, 2, 1) @ z)
+
     for _ in range(rounds * (4 if firth else 1)):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = n * p * (1 - p)
-        try:
-            cov = np.linalg.inv((x * w[:, None]).T @ x)
-        except np.linalg.LinAlgError:
+        if not len(live):
             break
-        score = cases - n * p
+        z, m, c = x[live], n[live], cases[live]
+        p = chances(z, beta[live])
+        w = m * p * (1 - p)
+        cov, ok = covariance(z, w)
+        score = c - m * p
         if firth:
-            score = score + w * np.einsum("ij,jk,ik->i", x, cov, x) * (0.5 - p)
-        step = cov @ (x.T @ score)
-        beta = beta + (np.clip(step, -5, 5) if firth else step)
-        q = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-15, 1 - 1e-15)
-        deviance = -2 * float(cases @ np.log(q) + (n - cases) @ np.log(1 - q))
-        done = np.abs(step).max() < 1e-8 if firth else abs(deviance - before) < tol * (abs(deviance) + 0.1)
-        before = deviance
-        if done:
-            w = n * q * (1 - q)
-            try:
-                se = np.sqrt(np.diag(np.linalg.inv((x * w[:, None]).T @ x)))
-            except np.linalg.LinAlgError:
-                break
-            return beta, se, bool(np.isfinite(se).all())
-    return np.full(x.shape[1], np.nan), np.full(x.shape[1], np.nan), False
-
-
-def spd(m: np.ndarray, jitter: float = 1e-6, tries: int = 8, floor: float = 1e-8) -> np.ndarray:
-    """A positive definite matrix near `m`: the least of `tries` growing jitters that helps, else floored eigenvalues."""
-    m = (m + m.T) / 2
-    for i in range(tries):
-        try:
-            near = m + np.eye(len(m)) * jitter * 10**i
-            np.linalg.cholesky(near)
-            return near
-        except np.linalg.LinAlgError:
-            continue
+            score = score + w * ((z @ cov) * z).sum(-1) * (0.5 - p)
+        step = (cov @ (z.transpose(0, 2, 1) @ score[..., None]))[..., 0]
+        beta[live] += np.clip(step, -5, 5) if firth else step
+        q = np.clip(chances(z, beta[live]), 1e-15, 1 - 1e-15)
+        deviance = -2 * (c * np.log(q) + (m - c) * np.log(1 - q)).sum(-1)
+        with np.errstate(invalid="ignore"):
+            done = np.abs(step).max(-1) < 1e-8 if firth else np.abs(deviance - before[live]) < tol * (np.abs(deviance) + 0.1)
+        before[live] = deviance
+        done &= ok
+        if done.any():
+            cov, sound = covariance(z[done], (m * q * (1 - q))[done])
+            with np.errstate(invalid="ignore"):
+                se[live[done]] = np.sqrt(np.diagonal(cov, axis1=1, axis2=2))
+            good[live[done]] = sound & np.isfinite(se[live[done]]).all(-1)
+        live = live[ok & ~done]
+    return np.where(good[:, None], beta, np.nan), np.where(good[:, None], se, np.nan), good
+
+
+#: The first lift of a diagonal, how many times it may grow tenfold, and the least eigenvalue otherwise.
+LIFT, LIFTS, LEAST_EIGENVALUE = 1e-6, 8, 1e-8
+
+
+def positive(m: np.ndarray) -> np.ndarray:
+    """Positive definite matrices near a stack of symmetric ones.
+
+    A diagonal lifted by x moves all eigenvalues by x, so the lowest one tells which lift is
+    the first to be enough; where none is, low eigenvalues are raised.
+    """
+    m = (m + m.transpose(0, 2, 1)) / 2
     value, vector = np.linalg.eigh(m)
-    return (vector * np.maximum(value, floor)) @ vector.T
-
-
-def ridge(s: np.ndarray, t: np.ndarray, yy: float, n: int, ridge_by: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, standard errors and residual sum of squares from (noisy) sums of products."""
-    k = spd(s + ridge_by * np.eye(len(s)))
-    beta = np.linalg.solve(k, t)
-    sse = yy - 2 * beta @ t + beta @ s @ beta
-    if not np.isfinite(sse) or sse <= 0:
-        sse = max(1e-6, abs(yy))
-    var = np.maximum(np.diag(np.linalg.inv(k)), 1e-12) * sse / max(1, n - len(s))
-    se = np.sqrt(var)
-    return beta, np.where(np.isfinite(se) & (se > 0), se, 1e6), float(sse)
+    lifts = LIFT * 10.0 ** np.arange(LIFTS)
+    which = np.searchsorted(lifts, -value[:, 0], side="right")
+    lifted = m + lifts[np.minimum(which, LIFTS - 1), None, None] * np.eye(m.shape[-1])
+    raised = (vector * np.maximum(value, LEAST_EIGENVALUE)[:, None, :]) @ vector.transpose(0, 2, 1)
+    return np.where((which < LIFTS)[:, None, None], lifted, raised)
+
+
+def ridge(s: np.ndarray, t: np.ndarray, yy: np.ndarray, n: np.ndarray, by: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, standard errors and residual sums of squares of a stack of (noisy) sums of products.
+
+    Fixed values: a residual that noise made impossible is |yy|, 1e-6 at least, and an impossible error 1e6.
+    """
+    k = positive(s + by * np.eye(s.shape[-1]))
+    inverse = np.linalg.inv(k)
+    beta = (inverse @ t[..., None])[..., 0]
+    fitted = ((s @ beta[..., None])[..., 0] - 2 * t) * beta
+    sse = yy + fitted.sum(-1)
+    sse = np.where(np.isfinite(sse) & (sse > 0), sse, np.maximum(1e-6, np.abs(yy)))
+    spread = np.maximum(np.diagonal(inverse, axis1=1, axis2=2), 1e-12) * (sse / np.maximum(1, n - s.shape[-1]))[:, None]
+    se = np.sqrt(spread)
+    return beta, np.where(np.isfinite(se) & (se > 0), se, 1e6), sse

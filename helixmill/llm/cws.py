@@ -1,138 +1,150 @@
 """Document fingerprints by consistent weighted sampling (operator 5), in DataFrame functions only.
 
 Terms are words, weighted by how often they occur. For each sample, a term of weight S has
-gamma-distributed r and c and a uniform b, all functions of term and sample alone, and
+gamma-distributed r and c and a uniform b, all independent and functions of term and sample alone, and
 
     t = floor(ln S / r + b),  a = c * exp(-r * (t - b + 1))
 
-with the r of the next sample as c, which is independent of a sample's own r and halves
-the variates to draw. The term of least a is the sample (Ioffe 2010); two texts share a sample with a chance of
+The term of least a is the sample (Ioffe 2010); two texts share a sample with a chance of
 their generalised Jaccard similarity, sum of least weights over sum of greatest. As a is a
 function of term and t, its least value alone says which (term, t) was sampled, so a
 sample is the minimum of one column, which Spark aggregates in place.
 
+A text and its edited text share most terms, so both are counted at once: a term that
+occurs as often in both is drawn and weighed once for both.
+
 Defined results: null text is empty; texts without words share one fingerprint, which is
-like no other; the order of documents is doc_id (null first), then text, so rows that
-repeat a doc_id are documents of their own and equal rows are interchangeable; a single
-document is its own next one; an empty table gives an empty result; further columns are
-ignored.
+like no other but itself; the order of documents is doc_id (null first), then a hash of the
+text, so rows that repeat a doc_id are documents of their own; equal rows are one document
+in this order and get equal results, a row each; a single document is its own next one; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import SPACE_RE, materialize
+from helixmill.llm.common import SPACE_RE, discard, materialize
 
 SAMPLES = 64
 DIGITS = 4
+TEXT, EDITED, BOTH = 0, 1, 2
+#: What names a different row: whether it has a doc_id, the doc_id (else 0), and a hash of its text.
+KEY = ("known", "id", "hash")
+
 
+def _uniforms(bits: Column) -> list[Column]:
+    """Four values in (0, 1), from sixteen bits each."""
+    return [(F.shiftrightunsigned(bits, s).bitwiseAND(F.lit(0xFFFF)) + F.lit(0.5)) / F.lit(65536.0) for s in (0, 16, 32, 48)]
 
-def _uniform(bits: Column) -> Column:
-    """In (0, 1), from a whole number below 2**32."""
-    return (bits + F.lit(0.5)) / F.lit(float(2**32))
 
+def variates(term: Column, j: int) -> tuple[Column, Column, Column]:
+    """r, c and b of a term (a 64-bit hash) for sample j.
 
-def gamma(term: Column, j: int) -> Column:
-    """The j-th Gamma(2, 1) variate of a term (a 64-bit hash): minus the logarithm of a product of two uniforms."""
-    h = F.xxhash64(term, F.lit(2 * j))
-    return -F.log(_uniform(F.shiftrightunsigned(h, 32)) * _uniform(h.bitwiseAND(F.lit(2**32 - 1))))
+    r and c are independent Gamma(2, 1): a Gamma(4, 1) variate, minus the logarithm of a product
+    of four uniforms, split by a Beta(2, 2) variate, the middle one of three uniforms.
+    """
+    u, v = (_uniforms(F.xxhash64(F.lit(2 * j + i), term)) for i in (0, 1))
+    whole = -F.log(u[0] * u[1] * u[2] * u[3])
+    middle = F.greatest(F.least(v[0], v[1]), F.least(F.greatest(v[0], v[1]), v[2]))
+    return whole * middle, whole * (1 - middle), v[3]
 
 
-def value(term: Column, log_weight: Column, r: Column, c: Column, j: int) -> Column:
+def value(term: Column, log_weight: Column, j: int) -> Column:
     """a of a term for sample j."""
-    b = _uniform(F.shiftrightunsigned(F.xxhash64(term, F.lit(2 * j + 1)), 32))
+    r, c, b = variates(term, j)
     return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
 
 
-def ordered_pairs(docs: DataFrame, rows_a_bucket: int = 512, most_buckets: int = 4096) -> DataFrame:
-    """bucket, seq, doc_id, text, the next document's text, and the next one's bucket and seq.
+def ordered(rows: DataFrame) -> DataFrame:
+    """KEY, copies, n_chars and the KEY of the next one (next_known and so on) of each different row; after the last comes the first.
 
-    Buckets are ranges of doc_id between sketched quantiles. The first document of each
-    bucket is also dealt, as a ghost, to the bucket before it (that of the first bucket to
-    the last), so that every document meets its next one within its bucket.
+    Rows are dealt by ranges of KEY, and each range is ordered by itself; the only table in
+    one task has a row for each range.
     """
-    n, known, least = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
-    b = max(1, min(most_buckets, n // rows_a_bucket))
-    cut = docs.agg(F.percentile_approx("doc_id", F.lit([i / b for i in range(1, b)]), 10 * b)).first()[0] if b > 1 else []
-    cut = sorted({x for x in cut or [] if n > known or x > least})
-    bounds = F.lit(np.array(cut, np.int64))
-    i = F.col("doc_id").cast("long")
-    home = F.size(F.filter(bounds, lambda x: x <= i)) if cut else F.lit(0)
-    first = i.isNull() if n > known else (i == F.lit(least)) if n else F.lit(False)
-    ghost = F.when(first, F.lit(len(cut)))
-    if cut:
-        ghost = ghost.when((F.col("home") > 0) & (i == F.get(bounds, F.col("home") - 1)), F.col("home") - 1)
-    dealt = docs.select(i.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), home.alias("home"))
-    to = F.array_compact(F.array(F.struct(F.col("home").alias("bucket"), F.lit(0).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.alias("bucket"), F.lit(1).alias("ghost")))))
-    dealt = dealt.select("doc_id", "text", F.explode(to).alias("to")).select("to.bucket", "to.ghost", "doc_id", "text")
-    w = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
-    d = dealt.withColumns({"seq": F.row_number().over(w), "next_text": F.lead("text").over(w), "next_ghost": F.lead("ghost").over(w)}).where("ghost = 0")
-    last = F.col("next_ghost") == 1
-    return d.select(
-        "bucket",
-        "seq",
-        "doc_id",
-        "text",
-        "next_text",
-        F.when(last, (F.col("bucket") + 1) % (len(cut) + 1)).otherwise(F.col("bucket")).alias("next_bucket"),
-        F.when(last, 1).otherwise(F.col("seq") + 1).alias("next_seq"),
-    )
+    rows = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
+    rows = materialize(rows.repartitionByRange(*KEY).withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = rows.groupBy("range").agg(F.min(F.struct(*KEY)).alias("first"))
+    by_range = Window.orderBy("range")
+    ring = F.coalesce(F.lead("first").over(by_range), F.first("first").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select("range", ring.alias("follows"))
+    following = F.lead(F.struct(*KEY)).over(Window.partitionBy("range").orderBy(*KEY))
+    d = rows.withColumn("following", following).join(F.broadcast(firsts), "range").withColumn("following", F.coalesce("following", "follows"))
+    d = materialize(d.select(*KEY, "copies", "n_chars", *(F.col(f"following.{k}").alias(f"next_{k}") for k in KEY)), "order")
+    discard(rows)
+    return d
 
 
-def edited(text: Column, other: Column) -> Column:
-    """The last half of `text` (rounded down) replaced by as many of the first code points of `other`."""
-    n = F.char_length(text)
-    half = F.floor(n / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - half), F.substring(other, F.lit(1), half))
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{prefix}_{k}" for k in KEY})
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys and fingerprint, for texts that `keys` name; needs no shuffle if `texts` are dealt out by a key.
+def _on(prefix: str, other: str = "") -> list[Column]:
+    return [F.col(f"{other}{k}") == F.col(f"{prefix}_{k}") for k in KEY]
 
-    A fingerprint is a string of DIGITS hex digits for each sample.
+
+def edited_pairs(texts: DataFrame, order: DataFrame) -> DataFrame:
+    """KEY, text and changed: the last half of `text` (rounded down) replaced by as many of the first code points of the next one."""
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    before = _renamed(order, "to").select(*(f"to_{k}" for k in KEY), *(f"next_{k}" for k in KEY), half.alias("half"), (F.col("n_chars") - half).cast("int").alias("rest"))
+    # only as much of a text as the document before it takes is shuffled to there
+    heads = texts.join(before, _on("next")).select(*(f"to_{k}" for k in KEY), "rest", F.substring("text", F.lit(1), F.col("half")).alias("head"))
+    return texts.join(heads, _on("to")).select(*KEY, "text", F.concat(F.substring("text", F.lit(1), F.col("rest")), F.col("head")).alias("changed"))
+
+
+def signatures(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys, fingerprint and edited_fingerprint (binary, DIGITS hex digits a sample) of text and changed.
+
+    Needs no shuffle if `pairs` are dealt out by keys.
     """
-    words = texts.select(*keys, F.explode(F.split(F.col(text), SPACE_RE)).alias("word"))
-    terms = words.groupBy(*keys, F.xxhash64("word").alias("term"), (F.col("word") == "").alias("none")).agg(F.count("*").alias("tf"))
-    # what splitting leaves at a text's ends is no word, but keeps texts without any
-    # a null weight makes null values, which no minimum takes; without branches Spark shares the variates
-    terms = terms.select(*keys, "term", F.when(~F.col("none"), F.log(F.col("tf").cast("double"))).alias("weight"))
-    g = [gamma(F.col("term"), j) for j in range(samples)]
-    a = terms.groupBy(*keys).agg(*(F.min(value(F.col("term"), F.col("weight"), g[j], g[(j + 1) % samples], j)).alias(f"a{j}") for j in range(samples)))
-    digits = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0")
-    sample = lambda x: F.when(x.isNull(), F.lit("-" * DIGITS)).otherwise(digits(x))
-    return a.select(*keys, F.concat(*(sample(F.col(f"a{j}")) for j in range(samples))).alias("fingerprint"))
+    each = pairs.select(*keys, F.posexplode(F.array("text", "changed")).alias("which", "t"))
+    words = each.select(*keys, "which", F.explode(F.split(F.col("t"), SPACE_RE)).alias("word"))
+    terms = words.groupBy(*keys, F.xxhash64("word").alias("term"), (F.col("word") == "").alias("none")).agg(F.count_if(F.col("which") == TEXT).alias("n"), F.count_if(F.col("which") == EDITED).alias("m"))
+    # what splitting leaves at a text's ends is no word, but keeps texts without any: its null weight makes null values, which no minimum takes
+    state = lambda which, n: F.struct(F.lit(which).alias("which"), n.alias("n"))
+    one = F.array(state(BOTH, F.when(~F.col("none"), F.col("n"))))
+    two = F.filter(F.array(state(TEXT, F.col("n")), state(EDITED, F.col("m"))), lambda x: x["n"] > 0)
+    states = terms.select(*keys, "term", F.explode(F.when(F.col("none") | (F.col("n") == F.col("m")), one).otherwise(two)).alias("s"))
+    states = states.select(*keys, "term", "s.which", F.log(F.col("s.n").cast("double")).alias("weight"))
+    a = states.groupBy(*keys, "which").agg(*(F.min(value(F.col("term"), F.col("weight"), j)).alias(f"a{j}") for j in range(samples)))
+    of = lambda which: [F.min(F.when(F.col("which").isin(which, BOTH), F.col(f"a{j}"))).alias(f"a{which}_{j}") for j in range(samples)]
+    a = a.groupBy(*keys).agg(*of(TEXT), *of(EDITED))
+    digits = lambda x: F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(16**DIGITS - 1))), DIGITS, "0")
+    # a text without words has no sample: zeros, which `likeness` takes like any other
+    print_of = lambda which: F.unhex(F.concat(*(F.coalesce(F.when(F.col(f"a{which}_{j}").isNotNull(), digits(F.col(f"a{which}_{j}"))), F.lit("0" * DIGITS)) for j in range(samples))))
+    return a.select(*keys, print_of(TEXT).alias("fingerprint"), print_of(EDITED).alias("edited_fingerprint"))
 
 
 def likeness(x: Column, y: Column, samples: int = SAMPLES) -> Column:
     """Share of samples in which two fingerprints agree: estimates generalised Jaccard similarity."""
-    same = F.lit(0)
+    same, width = F.lit(0), DIGITS // 2
     for j in range(samples):
-        same = same + (F.substring(x, DIGITS * j + 1, DIGITS) == F.substring(y, DIGITS * j + 1, DIGITS)).cast("int")
+        same = same + (F.substring(x, width * j + 1, width) == F.substring(y, width * j + 1, width)).cast("int")
     return same / F.lit(float(samples))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row."""
-    pairs = ordered_pairs(docs).withColumn("changed", edited(F.col("text"), F.col("next_text")))
-    both = pairs.select("bucket", "seq", F.posexplode(F.array("text", "changed")).alias("which", "t"))
-    prints = signatures(both, ["bucket", "seq", "which"], "t", samples)
-    prints = prints.groupBy(F.col("bucket").alias("p_bucket"), F.col("seq").alias("p_seq")).agg(
-        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint")
-    )
-    facts = pairs.select("bucket", "seq", "next_bucket", "next_seq", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"))
-    own = facts.join(prints, (F.col("bucket") == F.col("p_bucket")) & (F.col("seq") == F.col("p_seq"))).drop("p_bucket", "p_seq")
-    own = materialize(own, "fingerprints")
-    following = own.select(F.col("bucket").alias("n_bucket"), F.col("seq").alias("n_seq"), F.col("fingerprint").alias("next_fingerprint"))
-    d = own.join(following, (F.col("next_bucket") == F.col("n_bucket")) & (F.col("next_seq") == F.col("n_seq")))
+    i = F.col("doc_id").cast("long")
+    texts = docs.select(i.isNotNull().alias("known"), F.coalesce(i, F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("known", "id", F.xxhash64("text").alias("hash"), "text")
+    order = ordered(texts.select(*KEY, F.char_length("text").cast("long").alias("n_chars")))
+    if not order.where("copies > 1").isEmpty():
+        texts = texts.dropDuplicates(list(KEY))
+    pairs = edited_pairs(texts, order)
+    prints = signatures(pairs, list(KEY), samples)
+    digests = pairs.select(*KEY, F.unhex(F.sha2("changed", 256)).alias("edited_sha256"))
+    own = materialize(digests.join(_renamed(prints, "p"), _on("p")).select(*KEY, "edited_sha256", "fingerprint", "edited_fingerprint"), "fingerprints")
+    following = _renamed(own, "f").select(*(f"f_{k}" for k in KEY), F.col("fingerprint").alias("next_fingerprint"))
+    d = own.join(_renamed(order, "o"), _on("o")).join(following, _on("f", "next_"))
     return d.select(
-        "doc_id",
+        F.when(F.col("known"), F.col("id")).alias("doc_id"),
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
-    )
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")

@@ -7,7 +7,6 @@ filter come from the data without noise and count as public. The seed must be se
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import stats
 from helixmill.functions.columns import broadcast_if_small, clip, gaussian, gumbel, laplace, row_scale, split_budget, strong_composition, uniform, zcdp
+from helixmill.operators.cells import is_flipped
 from helixmill.operators.gwas import chi2_p
 from helixmill.operators.pgs import with_bins
 from helixmill.operators.roc import roc_from_histogram
@@ -47,6 +47,22 @@ def utilities(cells: DataFrame, y_clip: float, binary: bool = False) -> DataFram
     return cells.groupBy("variant_id").agg(F.abs(F.sum((F.col("dosage") - 1) * y)).cast("double").alias("utility"))
 
 
+def utilities_sparse(genotypes: DataFrame, people: DataFrame, y_clip: float, binary: bool = False) -> DataFrame:
+    """As `utilities`, straight from sparse genotypes: carriers' dosage * y less the y of everybody who has a call.
+
+    Flipping dosages only turns the sign, which a utility has not.
+    """
+    y = F.col("y_bin") if binary else clip(F.col("y_quant"), -y_clip, y_clip)
+    y = F.coalesce(y.cast("double"), F.lit(0.0))
+    flipped = is_flipped(genotypes)
+    g = F.when(flipped, 2 - F.col("dosage")).otherwise(F.col("dosage"))
+    of = people.select("sample_id", y.alias("y"))
+    d = genotypes.join(broadcast_if_small(of), "sample_id").groupBy("variant_id").agg(F.coalesce(F.sum(g * F.col("y")), F.lit(0.0)).alias("gy"), F.coalesce(F.sum(F.when(F.col("dosage").isNull(), F.col("y"))), F.lit(0.0)).alias("lost"))
+    total = of.agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"))
+    d = d.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")  # one row
+    return d.select("variant_id", F.abs(F.col("gy") - F.col("total") + F.col("lost")).alias("utility"))
+
+
 def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """variant_id, by, noisy and rank for each budget; the same uniform serves all of a variant's budgets."""
     b = F.broadcast(budgets.select(*by, "eps_sel", "top_k").withColumn("_k", F.lit(1)))
@@ -118,13 +134,12 @@ def solve_noisy(d: DataFrame, seed: int | str, ridge: float, length: float, y_cl
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for r in pdf.to_dict("records"):
-                s = np.array([[r[f"s_{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
-                beta, se, _ = stats.ridge(s, np.array([r[f"t_{i}"] for i in range(4)]), r["yy"], int(r["n"]), ridge)
-                rows.append((r["variant_id"], *(r[k] for k in by), int(r["n"]), beta[1], se[1], beta[1] / se[1]))
-            out = pd.DataFrame(rows, columns=["variant_id", *by, "n", "beta", "se", "t"])
-            out["p"] = stats.t_two_sided(out["t"].to_numpy(float), np.maximum(1, out["n"].to_numpy() - 4)) if len(out) else []
+            n = pdf["n"].to_numpy()
+            s = np.stack([pdf[f"s_{min(i, j)}{max(i, j)}"].to_numpy(float) for i in range(4) for j in range(4)], 1).reshape(-1, 4, 4)
+            t = np.stack([pdf[f"t_{i}"].to_numpy(float) for i in range(4)], 1)
+            beta, se, _ = stats.ridge(s, t, pdf["yy"].to_numpy(float), n, ridge)
+            out = pdf[["variant_id", *by, "n"]].assign(beta=beta[:, 1], se=se[:, 1], t=beta[:, 1] / se[:, 1])
+            out["p"] = stats.t_two_sided(out["t"].to_numpy(float), np.maximum(1, n - 4)) if len(out) else []
             yield out
 
     return d.mapInPandas(solve, schema)
@@ -230,8 +245,3 @@ def dp_binned_means(binned: DataFrame, eps: float, seed: int, y_clip: float = 50
     n = F.greatest(F.lit(1.0), F.round(F.col("n") + laplace(uniform(seed, "bin-n", F.col("bin")), 1 / (0.4 * eps))))
     s = F.col("sum_y") + laplace(uniform(seed, "bin-sum", F.col("bin")), y_clip / (0.6 * eps))
     return binned.select("bin", n.alias("n"), s.alias("sum_y"), (s / (n + kappa)).alias("mean_y"))
-
-
-def laplace_tail(scale: float, x: float) -> float:
-    """P(|noise| > x): for tests and for reading off how far a noisy count may lie."""
-    return math.exp(-x / scale)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.functions import stats
-from helixmill.functions.columns import BIOBANK_LINE, clip_p, finite, neg_log10_p
+from helixmill.functions.columns import BIOBANK_LINE, broadcast_if_small, clip_p, finite, neg_log10_p
+from helixmill.operators.cells import is_flipped
 from helixmill.operators.qc import is_hit
 
 MEDIAN_CHI2 = 0.4549364231195724
@@ -47,14 +51,53 @@ def linear_sums(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum("n").alias("n"), *(e.cast("double").alias(c) for c, e in sums.items()))
 
 
+def sparse_linear_sums(genotypes: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What `linear_sums` gives by variant and `by`, straight from sparse genotypes.
+
+    Dosage 0 adds nothing to sums with dosage, and the other sums are those of all people
+    less missing calls, so nothing finer than a variant (and `by`) is ever shuffled. A flipped
+    variant is summed as it was before, and dosage g then read as 2 - g.
+    """
+    flipped = is_flipped(genotypes)
+    g = F.when(flipped, 2 - F.col("dosage")).otherwise(F.col("dosage"))
+    v = {"a": F.col("age"), "x": F.col("sex"), "y": F.col("y_quant")}
+    pairs = [(i, k) for n, i in enumerate(v) for k in list(v)[n:]]
+    base = {"n": F.lit(1)} | {f"s_{k}": e for k, e in v.items()} | {f"s_{i}{k}": v[i] * v[k] for i, k in pairs}
+    seen = genotypes.join(broadcast_if_small(people.select("sample_id", *by, "age", "sex", "y_quant")), "sample_id")
+    missing = F.col("dosage").isNull()
+    lost = {f"lost_{c}": F.sum(F.when(missing, e).otherwise(0)) for c, e in base.items()}
+    with_g = {"s_g": F.sum(g), "s_gg": F.sum(g * g)} | {f"s_g{k}": F.sum(g * e) for k, e in v.items()}
+    sums = {c: F.coalesce(e, F.lit(0)).cast("double") for c, e in (lost | with_g).items()}
+    d = seen.groupBy("variant_id", *by).agg(F.bool_or(flipped).alias("flipped"), *(e.alias(c) for c, e in sums.items()))
+    totals = people.groupBy(*by).agg(*(F.sum(e).cast("double").alias(c) for c, e in base.items()))
+    if by:  # one row a variant takes on a row for each value of `by`, also where nobody carries it
+        d = d.groupBy("variant_id").agg(F.bool_or("flipped").alias("flipped"), F.collect_list(F.struct(*by, *sums)).alias("given"))
+    d = d.withColumn("_k", F.lit(1)).join(broadcast_if_small(totals.withColumn("_k", F.lit(1))), "_k")
+    if by:
+        own = F.get(F.filter("given", lambda r: reduce(lambda a, b: a & b, [r[k] == F.col(k) for k in by])), 0)
+        d = d.withColumn("own", own).select("variant_id", *by, "flipped", *base, *(F.coalesce(F.col(f"own.{c}"), F.lit(0.0)).alias(c) for c in sums))
+    d = d.select("variant_id", *by, "flipped", *with_g, *((F.col(c) - F.col(f"lost_{c}")).alias(c) for c in base))
+    turn = {"s_g": 2 * F.col("n") - F.col("s_g"), "s_gg": 4 * F.col("n") - 4 * F.col("s_g") + F.col("s_gg")} | {f"s_g{k}": 2 * F.col(f"s_{k}") - F.col(f"s_g{k}") for k in v}
+    return d.select("variant_id", *by, F.col("n").cast("long").alias("n"), *(c for c in base if c != "n"), *(F.when(F.col("flipped"), e).otherwise(F.col(c)).alias(c) for c, e in turn.items()))
+
+
 def gwas_linear(cells: DataFrame, keys: Sequence[str] = ("variant_id",)) -> DataFrame:
-    """keys, n, beta, se, t and polymorphic of y ~ dosage + age + sex.
+    """`linear_fit` of cells."""
+    return linear_fit(linear_sums(cells, keys), keys)
+
+
+def gwas_linear_sparse(genotypes: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`linear_fit` of sparse genotypes, without cells."""
+    return linear_fit(sparse_linear_sums(genotypes, people, by), ["variant_id", *by])
+
+
+def linear_fit(sums: DataFrame, keys: Sequence[str] = ("variant_id",)) -> DataFrame:
+    """keys, n, beta, se, t and polymorphic of y ~ dosage + age + sex, from `linear_sums`.
 
     Dosage and y are freed of age and sex by the closed 2x2 solution on centred sums, all in
-    columns; null where the model has no unique solution. p follows with `with_p`.
+    columns; null where the model has no unique solution. p follows with `with_t_p`.
     """
-    d = linear_sums(cells, keys)
-    d = d.select(*keys, "n", *(e.alias(c) for c, e in _covariance("gaxy").items()))
+    d = sums.select(*keys, "n", *(e.alias(c) for c, e in _covariance("gaxy").items()))
     det = F.col("c_aa") * F.col("c_xx") - F.col("c_ax") * F.col("c_ax")
     d = d.withColumn("det", F.when(det > 1e-9 * F.col("c_aa") * F.col("c_xx"), det))
     for v in "gy":
@@ -74,36 +117,53 @@ def with_t_p(fits: DataFrame) -> DataFrame:
     return fits.withColumn("p", t_p(F.col("t"), (F.col("n") - 4).cast("double")))
 
 
-def _fit_cells(pdf: pd.DataFrame, firth: bool) -> tuple:
-    x = np.column_stack([np.ones(len(pdf)), pdf["dosage"], pdf["age"], pdf["sex"]]).astype(float)
-    n, cases = pdf["n"].to_numpy(float), pdf["cases"].to_numpy(float)
-    people, ill = int(n.sum()), float(cases.sum())
-    if np.ptp(x[:, 1]) == 0:
-        return people, None, None, "constant"
-    if ill == 0 or ill == people:
-        return people, None, None, "one_class"
-    scale = np.array([1, 1, 1 / 50, 1])
+def _design(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of each model as arrays of equal length, filled up with cells of nobody: x (1, dosage, age / 50, sex), n and cases."""
+    size = pc.list_value_length(lists).to_numpy()
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    x = np.zeros((len(size), max(1, size.max(initial=0)), 6))
+    for i, (c, unit) in enumerate((("dosage", 1), ("age", 50), ("sex", 1), ("n", 1), ("cases", 1))):
+        x[row, at, i + 1] = flat.field(c).to_numpy(zero_copy_only=False) / unit
+    x[..., 0] = x[..., 4] > 0
+    return x[..., :4], x[..., 4], x[..., 5]
+
+
+def _fit_lists(lists: pa.ListArray, firth: bool) -> dict[str, list | np.ndarray]:
+    """n, beta, se and status of each model."""
+    x, n, cases = _design(lists)
+    people, ill = n.sum(1), cases.sum(1)
+    low, high = np.where(n > 0, x[..., 1], np.inf).min(1), np.where(n > 0, x[..., 1], -np.inf).max(1)
+    status = np.where(high <= low, "constant", np.where((ill == 0) | (ill == people), "one_class", "model_error")).astype(object)
+    beta, se = np.full(len(n), np.nan), np.full(len(n), np.nan)
     for how in ("plain", "firth") if firth else ("plain",):
-        beta, se, ok = stats.irls(x * scale, n, cases, firth=how == "firth")
-        if ok and se[1] < 1e3:
-            return people, float(beta[1]), float(se[1]), how
-    return people, None, None, "model_error"
+        left = np.flatnonzero(status == "model_error")
+        b, e, ok = stats.irls(x[left], n[left], cases[left], firth=how == "firth")
+        ok &= e[:, 1] < 1e3
+        beta[left[ok]], se[left[ok]], status[left[ok]] = b[ok, 1], e[ok, 1], how
+    return {"n": people.astype(np.int64), "beta": beta, "se": se, "status": status}
 
 
-def gwas_logistic(cells: DataFrame, keys: Sequence[str] = ("variant_id",), firth: bool = False) -> DataFrame:
+def gwas_logistic(cells: DataFrame, keys: Sequence[str] = ("variant_id",), firth: bool = False, most: int = 500) -> DataFrame:
     """keys, n, beta, se, z, p and status of the logistic model case ~ dosage + age + sex.
 
-    Cells carry all the likelihood needs, so a group is a few hundred rows at most. With
-    `firth`, penalised estimates stand in where the plain ones are not finite.
+    Cells carry all the likelihood needs, so a model is a few hundred of them at most, and
+    `most` models at a time are fitted together in numpy. With `firth`, penalised estimates
+    stand in where the plain ones are not finite.
     """
-    kinds = dict(cells.dtypes)
-    schema = T.StructType([*(cells.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("beta", T.DoubleType()), T.StructField("se", T.DoubleType()), T.StructField("status", T.StringType())])
-    assert set(keys) <= set(kinds)
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *_fit_cells(pdf, firth))], columns=schema.names)
-
-    d = cells.select(*keys, "dosage", "age", "sex", "n", "cases").groupBy(*keys).applyInPandas(fit, schema)
+    more = "n long, beta double, se double, status string"
+    schema = T.StructType([*(cells.schema[k] for k in keys), *T.StructType.fromDDL(more).fields])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                b = whole.slice(at, most)
+                f = _fit_lists(b.column("cells"), firth)
+                new = [pa.array(f["n"]), *(pa.array(f[c], from_pandas=True) for c in ("beta", "se")), pa.array(f["status"], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *new], schema.names)
+
+    d = cells.groupBy(*keys).agg(F.collect_list(F.struct("dosage", "age", "sex", "n", "cases")).alias("cells")).mapInArrow(fit, schema)
     d = d.withColumn("z", F.try_divide("beta", "se"))
     return d.withColumn("p", F.when(F.col("z").isNotNull(), normal_p(F.coalesce("z", F.lit(0.0)))))
 

@@ -231,10 +231,29 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert cws.fingerprints(docs_of(spark, ["only one"])).first()["near_next"] == 1.0
 
 
-def test_many_buckets_agree_with_one(spark):
-    d = docs_of(spark, odd_texts())
-    a, b = (sorted((r["doc_id"], r["text"], r["next_text"]) for r in cws.ordered_pairs(d, n).collect()) for n in (3, 1000))
-    assert a == b
+def test_ranges_follow_each_other(spark):
+    d = docs_of(spark, odd_texts()).unionByName(docs_of(spark, ["twice", "twice"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs_of(spark, ["x"] * 300)).unionByName(docs_of(spark, ["y"]))
+    rows = [tuple(r) for r in d.select("doc_id", F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    every = sorted({(i is not None, i or 0, h, t) for i, t, h in rows})
+    i = F.col("doc_id").cast("long")
+    keyed = d.select(i.isNotNull().alias("known"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.lit(1).cast("long").alias("n_chars"))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in cws.ordered(keyed).select(*cws.KEY, *(f"next_{k}" for k in cws.KEY)).collect()}
+    assert got == {a[:3]: b[:3] for a, b in zip(every, every[1:] + every[:1])}
+    out = cws.fingerprints(d).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, *_ in rows)
+    sha = {(r["doc_id"], r["edited_sha256"]) for r in out}
+    for a, b in zip(every, every[1:] + every[:1]):
+        edited = a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2]
+        assert (a[1] if a[0] else None, hashlib.sha256(edited.encode()).hexdigest()) in sha
+
+
+def test_variates_are_gamma_and_independent(spark):
+    term = F.xxhash64("id")
+    d = spark.range(40_000).select(*(x.alias(f"{n}{j}") for j in (0, 1) for n, x in zip("rcb", cws.variates(term, j)))).toPandas()
+    for c in d:
+        mean, var = (0.5, 1 / 12) if c[0] == "b" else (2, 2)
+        assert abs(d[c].mean() - mean) < 0.03 and d[c].var() == pytest.approx(var, rel=0.05)
+    assert d.corr().where(~np.eye(6, dtype=bool)).abs().max().max() < 0.02
 
 
 def test_secret_spans(spark):
