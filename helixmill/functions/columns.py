@@ -106,7 +106,7 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame
     still finds out from the sizes that it measures. Nothing is run to find the size.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= most_bytes else df
+    return F.broadcast(df) if int(str(size)) <= most_bytes else df
 
 
 def standard_score(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.columns import broadcast_if_small, neg_log10_p
+from helixmill.functions.columns import BIOBANK_LINE, broadcast_if_small, neg_log10_p
+from helixmill.functions.ordering import beside
+from helixmill.functions.stored import store
 from helixmill.operators import cells as C
-from helixmill.operators import compare, dp, federated, gwas, harmonize, pgs, qc
+from helixmill.operators import compare, dp, federated, gwas, harmonize, pgs, qc, roc
+from helixmill.sources.writers import write_or_reuse
 
 
 def qc_genotypes(genotypes: DataFrame, people: DataFrame, maf: float = 0.01, missing: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -19,11 +22,22 @@ def qc_genotypes(genotypes: DataFrame, people: DataFrame, maf: float = 0.01, mis
     return qc.filter_maf_missing(genotypes, stats, maf, missing), stats
 
 
+def over_grid(df: DataFrame, column: str, values: str, kind: str = "double") -> DataFrame:
+    """`df` once for each of the comma-separated `values`, in `column`; repeated values count once, and there must be one."""
+    cells = [v.strip() for v in values.split(",") if v.strip()]
+    if not cells:
+        raise ValueError("empty grid")
+    return df.withColumn(column, F.explode(F.array_distinct(F.array(*(F.lit(v).cast(kind) for v in cells)))))
+
+
+def harmonized(genotypes: DataFrame, variants: DataFrame, weights: DataFrame) -> DataFrame:
+    """Genotypes that count the effect alleles of the scores."""
+    return harmonize.harmonize_alleles(genotypes, harmonize.allele_flips(variants, weights, ["trait", "line"]))
+
+
 def baseline_cells(genotypes: DataFrame, variants: DataFrame, weights: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cells of harmonised genotypes, dealt by variant so that every later grouping by it needs no shuffle."""
-    flips = harmonize.allele_flips(variants, weights, ["trait", "line"])
-    g = harmonize.harmonize_alleles(genotypes, flips)
-    return C.genotype_cells(g, people, by)
+    """Cells of harmonised genotypes."""
+    return C.genotype_cells(harmonized(genotypes, variants, weights), people, by)
 
 
 def baseline_gwas(cells: DataFrame, variants: DataFrame) -> DataFrame:
@@ -39,17 +53,26 @@ def long_results(results: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def run_metrics(results: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row: tested variants, lambda and hits of each trait, AUC and adjusted R2 of the scores."""
-    r = long_results(results)
-    lam = gwas.genomic_inflation(r, ["trait"]).join(gwas.hit_counts(r).where("trait is not null"), "trait")
-    one = lam.groupBy().pivot("trait", ["BMI", "T2D"]).agg(F.first("lambda").alias("lambda"), F.first("hits").alias("hits"), F.first("n").alias("n"))
-    from helixmill.operators.roc import auc_rank
+def trait_columns(d: DataFrame, *columns: str) -> DataFrame:
+    """One row of the columns of both traits (of each row's trait), as BMI_column and T2D_column."""
+    return d.agg(*(F.max(F.when(F.col("trait") == t, F.col(c))).alias(f"{t}_{c}") for t in ("BMI", "T2D") for c in columns))
 
-    auc = auc_rank(scores.where("trait = 'T2D'").select("score", "y_bin"))
-    r2 = pgs.r2_from_stats(pgs.ols_sufficient_stats(scores.where("trait = 'BMI'"), ["score", "age", "sex"], "y_quant")).select("r2_adj")
-    k = lambda d: d.withColumn("_k", F.lit(1))
-    return reduce(lambda a, b: k(a).join(k(b).withColumnRenamed("_k", "_j"), F.col("_k") == F.col("_j")).drop("_k", "_j"), [one, auc, r2])
+
+def run_metrics(results: DataFrame, scores: DataFrame, private: DataFrame | None = None, sites: int = 1, line: float = BIOBANK_LINE, eps: float = 1.0, seed: int = 1) -> DataFrame:
+    """One row: people, variants, sites, the line, lambda, hits and (if there are `private` results) selected variants of each trait, AUC, private AUC and adjusted R2 of the scores.
+
+    results and private have trait and p; scores has trait, sample_id, score, age, sex, y_bin and y_quant.
+    """
+    of = lambda t: scores.where(F.col("trait") == t)
+    fixed = scores.agg(F.countDistinct("sample_id").alias("n_people")).withColumns({"n_sites": F.lit(sites), "line": F.lit(line), "logp_line": F.lit(-1.0) * F.log10(F.lit(line))})
+    variants = results.agg(F.countDistinct("variant_id").alias("n_variants"))
+    parts = [variants, trait_columns(gwas.genomic_inflation(results, ["trait"]).join(gwas.hit_counts(results, line=line).where("trait is not null"), "trait"), "lambda", "hits", "tested")]
+    if private is not None:
+        parts.append(trait_columns(private.groupBy("trait").agg(F.count("p").alias("selected")), "selected"))
+    parts.append(roc.auc_rank(of("T2D").select("score", "y_bin")))
+    parts.append(roc.auc_trapezoid(dp.dp_roc(of("T2D").select("score", "y_bin"), eps, seed)).withColumnRenamed("auc", "private_auc"))
+    parts.append(pgs.r2_from_stats(pgs.ols_sufficient_stats(of("BMI"), ["score", "age", "sex"], "y_quant")).select("r2_adj"))
+    return reduce(beside, parts, fixed)
 
 
 def private_gwas(variants: DataFrame, cells: DataFrame, sums: dict[str, DataFrame], budgets: DataFrame, seed: int, y_clip: float = 50.0) -> DataFrame:
@@ -75,7 +98,7 @@ def epsilon_sweep(cells: DataFrame, sums: dict[str, DataFrame], base: DataFrame,
     """
     spark = cells.sparkSession
     budgets = dp.budget_table(spark.createDataFrame([(float(e), 1e-6, top_k) for e in grid], "eps_total double, delta_total double, top_k int"))
-    res = private_gwas(variants.select("variant_id", "rsid"), cells, sums, budgets, seed, y_clip).persist()
+    res = store(private_gwas(variants.select("variant_id", "rsid"), cells, sums, budgets, seed, y_clip), "epsilon-sweep")
     keys = ["eps_total", "trait"]
     of = lambda d, t: d.where(F.col("trait") == t)
     recall = reduce(DataFrame.unionByName, [compare.hit_recall(of(res, t), of(base, t), keys, line) for t in ("BMI", "T2D")])
@@ -88,11 +111,11 @@ def k_sweep(genotypes: DataFrame, people: DataFrame, ks: Sequence[int], base: Da
 
     base has trait, rsid and p. The number of sites is one more key: every person occurs once for each, and one pass serves all.
     """
-    dealt = federated.sites_for_grid(people, ks, seed).withColumnRenamed("k", "sites")
-    cells = C.genotype_cells(genotypes, dealt, ["sites", "site"]).persist()
-    fits = {t: federated.federated_gwas(cells, kind, ["sites"]).withColumn("trait", F.lit(t)).persist() for t, kind in (("BMI", "quant"), ("T2D", "binary"))}
-    scores = {t: federated.federated_scores(f.drop("trait"), genotypes, dealt, ["sites"], line) for t, f in fits.items()}
-    both = fits["BMI"].unionByName(fits["T2D"]).join(variants.select("variant_id", "rsid"), "variant_id")
+    genotypes, dealt = store(genotypes, "genotypes"), store(federated.sites_for_grid(people, ks, seed).withColumnRenamed("k", "sites"), "sites")
+    fits = {"BMI": federated.federated_linear(genotypes, dealt, ["sites"]), "T2D": federated.federated_gwas(C.genotype_cells(genotypes, dealt, ["sites", "site"]), "binary", ["sites"])}
+    both = reduce(DataFrame.unionByName, [f.withColumn("trait", F.lit(t)) for t, f in fits.items()])
+    both = store(both.join(variants.select("variant_id", "rsid"), "variant_id"), "k-sweep")
+    scores = {t: federated.federated_scores(both.where(F.col("trait") == t).drop("trait"), genotypes, dealt, ["sites"], line) for t in fits}
     keys = ["sites", "trait"]
     d = gwas.hit_counts(both, keys, line=line).where("trait is not null").select(*keys, "hits")
     d = d.join(gwas.genomic_inflation(both, keys).select(*keys, "lambda"), keys)
@@ -101,28 +124,60 @@ def k_sweep(genotypes: DataFrame, people: DataFrame, ks: Sequence[int], base: Da
     return d.join(rank_agreement(both, base, ["sites"]), keys, "left").orderBy(*keys)
 
 
-def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, causal: DataFrame, runs: Sequence[int], stats: DataFrame, most: int = 200, seed: int = 1000) -> DataFrame:
+def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, causal: DataFrame, runs: Sequence[int], stats: DataFrame, path: str, most: int = 200, seed: int = 1000) -> DataFrame:
     """method, run, trait, rsid and beta for repeated runs over a subset of causal variants.
 
-    Private runs differ by noise alone, so their sums are shared; federated runs by the split
-    into sites, which is one more key. Both traits are fitted on the same subset.
+    Each (method, run) is stored below `path` when it is done, and a rerun makes only what is
+    missing there. Private runs differ by noise alone, so their sums are shared; federated
+    runs by the split into sites, which is one more key. Both traits are fitted on the same subset.
     """
     subset = pgs.seeded_sample(variants.join(causal.select("rsid").distinct(), "rsid", "left_semi"), most, seed, "variant_id")
-    small = broadcast_if_small(subset.select("variant_id"))
-    g = genotypes.join(small, "variant_id", "left_semi")
-    cells = C.genotype_cells(g, people).persist()
-    moments = stats.join(small, "variant_id", "left_semi")
+    small = broadcast_if_small(store(subset.select("variant_id", "rsid"), "subset"))
+    g = store(genotypes.join(small.select("variant_id"), "variant_id", "left_semi"), "subset-genotypes")
+    row = lambda d, method, trait, run: d.select(F.lit(method).alias("method"), run.cast("int").alias("run"), F.lit(trait).alias("trait"), "variant_id", "beta")
+
+    def build(missing: DataFrame) -> DataFrame:
+        todo: dict[str, list[int]] = {}
+        for r in missing.orderBy("method", "run").collect():  # the grid of runs
+            todo.setdefault(r["method"], []).append(r["run"])
+        out = []
+        if "BASE" in todo or "DP" in todo:
+            cells = store(C.genotype_cells(g, people), "run-cells")
+        if "BASE" in todo:
+            out += [row(f(cells), "BASE", t, F.lit(0)) for t, f in (("BMI", gwas.gwas_linear), ("T2D", gwas.gwas_logistic))]
+        if "DP" in todo:
+            moments = store(stats.join(small, "variant_id", "left_semi"), "run-moments")
+            age = people.agg(F.avg("age"), F.stddev_samp("age")).first()
+            sums, table = store(dp.dp_ols_sums(cells, moments, age[0] or 0.0, age[1] or 0.0), "run-sums"), store(dp.case_table(cells), "run-tables")
+            each = 2.5 / max(1, moments.count())
+            for r in todo["DP"]:
+                out.append(row(dp.quant_betas(sums, moments, 2.5, 1e-6, seed + r), "DP", "BMI", F.lit(r)))
+                out.append(row(dp.case_betas(dp.noisy_case_table(table, each, seed + r)), "DP", "T2D", F.lit(r)))
+        if "FED" in todo:
+            dealt = store(reduce(DataFrame.unionByName, [federated.assign_sites(people, 5, seed + r).withColumn("run", F.lit(r)) for r in todo["FED"]]), "run-sites")
+            out.append(row(federated.federated_linear(g, dealt, ["run"], p_values=False), "FED", "BMI", F.col("run")))
+            out.append(row(federated.federated_gwas(C.genotype_cells(g, dealt, ["run", "site"]), "binary", ["run"], p_values=False), "FED", "T2D", F.col("run")))
+        return reduce(DataFrame.unionByName, out)
+
+    grid = people.sparkSession.createDataFrame([("BASE", 0), *((m, int(r)) for r in runs for m in ("DP", "FED"))], "method string, run int")
+    rows = write_or_reuse(people.sparkSession, path, grid, ["method", "run"], build)
+    return rows.join(small, "variant_id").select("method", "run", "trait", "rsid", "beta")
+
+
+def method_effects(genotypes: DataFrame, people: DataFrame, stats: DataFrame, eps_total: float = 2.5, delta_total: float = 1e-6, sites: int = 5, seed: int = 1) -> DataFrame:
+    """method (base, dp, fed), trait, variant_id and beta of every variant: the baseline's fits, private ones and federated ones."""
+    people = store(people, "people")
+    cells = store(C.genotype_cells(genotypes, people), "cells")
+    dealt = store(federated.assign_sites(people, sites, seed), "sites")
     age = people.agg(F.avg("age"), F.stddev_samp("age")).first()
-    sums = dp.dp_ols_sums(cells, moments, age[0] or 0.0, age[1] or 0.0)
-    each = 2.5 / max(1, moments.count())
-    table = dp.case_table(cells).persist()
-    row = lambda d, method, trait, run: d.select(F.lit(method).alias("method"), run.alias("run"), F.lit(trait).alias("trait"), "variant_id", "beta")
-    out = [row(f(cells), "BASE", t, F.lit(0)) for t, f in (("BMI", gwas.gwas_linear), ("T2D", gwas.gwas_logistic))]
-    for r in runs:
-        out.append(row(dp.quant_betas(sums, moments, 2.5, 1e-6, seed + r), "DP", "BMI", F.lit(r)))
-        out.append(row(dp.case_betas(dp.noisy_case_table(table, each, seed + r)), "DP", "T2D", F.lit(r)))
-    dealt = reduce(DataFrame.unionByName, [federated.assign_sites(people, 5, seed + r).withColumn("run", F.lit(r)) for r in runs])
-    sited = C.genotype_cells(g, dealt, ["run", "site"]).persist()
-    out += [row(federated.federated_gwas(sited, kind, ["run"], p_values=False), "FED", t, F.col("run")) for t, kind in (("BMI", "quant"), ("T2D", "binary"))]
-    rows = reduce(DataFrame.unionByName, out)
-    return rows.join(variants.select("variant_id", "rsid"), "variant_id").select("method", "run", "trait", "rsid", "beta")
+    sums = dp.dp_ols_sums(cells, stats, age[0] or 0.0, age[1] or 0.0)
+    each = eps_total / max(1, stats.count())
+    fits = {
+        ("base", "BMI"): gwas.gwas_linear(cells),
+        ("base", "T2D"): gwas.gwas_logistic(cells),
+        ("dp", "BMI"): dp.quant_betas(sums, stats, eps_total, delta_total, seed),
+        ("dp", "T2D"): dp.case_betas(dp.noisy_case_table(dp.case_table(cells), each, seed)),
+        ("fed", "BMI"): federated.federated_linear(genotypes, dealt, p_values=False),
+        ("fed", "T2D"): federated.federated_gwas(C.genotype_cells(genotypes, dealt, ["site"]), "binary", p_values=False),
+    }
+    return reduce(DataFrame.unionByName, [d.select(F.lit(m).alias("method"), F.lit(t).alias("trait"), "variant_id", "beta") for (m, t), d in fits.items()])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import BIOBANK_LINE, finite, neg_log10_p
+from helixmill.functions.ordering import beside, counted
 from helixmill.operators.harmonize import align_results
 from helixmill.operators.pgs import seeded_sample
 from helixmill.operators.qc import is_hit
@@ -21,10 +22,9 @@ def hit_recall(method: DataFrame, base: DataFrame, by: Sequence[str] = (), line:
 
 
 def average_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """`df` with the mean rank of equal values, by one sort."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    same = Window.partitionBy(*by, column)
-    return df.withColumn(out, F.rank().over(w.orderBy(column)) + (F.count("*").over(same) - 1) / 2)
+    """`df` with the mean rank of equal values; null has none. Values are ranked once, whoever has them."""
+    c = counted(df, column, by)
+    return df.join(c.select(*by, column, (F.col("upto_n") - (F.col("n") - 1) / 2).alias(out)), [*by, column], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +48,7 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, by: Sequence[str]
     """by, x_bin, y_bin and n over the range of each axis (of each group)."""
     d = df.select(*by, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).dropna(subset=["x", "y"])
     span = d.groupBy(*by).agg(*(f(c).alias(f"{k}_{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))))
-    d = d.join(F.broadcast(span), list(by)) if by else d.withColumn("_k", F.lit(1)).join(F.broadcast(span.withColumn("_k", F.lit(1))), "_k")
+    d = beside(d, span, by)
     b = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.least(F.lit(bins), F.floor((F.col(c) - F.col(f"lo_{c}")) * bins / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))) + 1)).otherwise(1).cast("int")
     return d.groupBy(*by, b("x").alias("x_bin"), b("y").alias("y_bin")).agg(F.count("*").alias("n"))
 

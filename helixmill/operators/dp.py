@@ -77,6 +77,11 @@ def dp_topk(cells: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str
     return rank_by_noisy_utility(utilities(cells, y_clip, binary), budgets, y_clip, seed, by).where(F.col("rank") <= F.col("top_k"))
 
 
+def dp_topk_sparse(genotypes: DataFrame, people: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+    """`dp_topk` straight from sparse genotypes."""
+    return rank_by_noisy_utility(utilities_sparse(genotypes, people, y_clip, binary), budgets, y_clip, seed, by).where(F.col("rank") <= F.col("top_k"))
+
+
 def dp_ols_sums(cells: DataFrame, moments: DataFrame, age_mean: float, age_sd: float, length: float = 3.0, y: str = "sum_yc", yy: str = "sum_yyc") -> DataFrame:
     """variant_id, n and the sums of products of rows (1, g_z, age_z, sex) clipped to `length`, and of y.
 

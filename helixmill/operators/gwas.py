@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from helixmill.functions import stats
 from helixmill.functions.columns import BIOBANK_LINE, broadcast_if_small, clip_p, finite, neg_log10_p
+from helixmill.functions.ordering import counted, neighbours
 from helixmill.operators.cells import is_flipped
 from helixmill.operators.qc import is_hit
 
@@ -204,18 +205,10 @@ def hit_counts(results: DataFrame, by: Sequence[str] = ("trait",), p: str = "p",
 
 def genomic_inflation(results: DataFrame, by: Sequence[str] = (), p: str = "p") -> DataFrame:
     """by, n, median p and lambda: the median chi-square of the p-values over its expectation."""
-    ok = results.select(*by, clip_p(finite(F.col(p))).alias("p")).where("p is not null")
-    # chi-square falls as p rises, so its median is the mean of the quantiles at the two middle p's
-    d = ok.groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.array(F.percentile("p", 0.5))).alias("m")).withColumn("median_p", F.col("m")[0])
-    low = Window.partitionBy(*by).orderBy("p")
-    ranked = ok.withColumn("r", F.row_number().over(low)).withColumn("c", F.count("*").over(Window.partitionBy(*by)))
-    mid = ranked.where((F.col("r") == F.floor((F.col("c") + 1) / 2)) | (F.col("r") == F.floor(F.col("c") / 2) + 1))
-    mid = mid.groupBy(*by).agg(F.avg(chi2_of(F.col("p"))).alias("chi2")) if by else mid.agg(F.avg(chi2_of(F.col("p"))).alias("chi2"))
-    if by:
-        d = d.join(mid, list(by))
-    else:
-        d = d.withColumn("k", F.lit(1)).join(mid.withColumn("k", F.lit(1)), "k")
-    return d.select(*by, "n", "median_p", (F.col("chi2") / MEDIAN_CHI2).alias("lambda"))
+    # chi-square falls as p rises, so its median is the mean of the chi-squares of the two middle p's
+    d = neighbours(results.select(*by, clip_p(finite(F.col(p))).alias("p")), "p", [0.5], by)
+    chi2 = (chi2_of(F.col("lo")) + chi2_of(F.col("hi"))) / 2
+    return d.select(*by, "n", ((F.col("lo") + F.col("hi")) / 2).alias("median_p"), (chi2 / MEDIAN_CHI2).alias("lambda"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -230,8 +223,9 @@ def qq_points(results: DataFrame, by: Sequence[str] = (), p: str = "p") -> DataF
     Plotting positions are (i - a) / (n + 1 - 2a) with a of 3/8 for up to ten points, else 1/2.
     """
     ok = results.select(*by, "rsid", clip_p(finite(F.col(p))).alias("p")).where("p is not null")
-    part = Window.partitionBy(*by)
-    d = ok.withColumn("rank", F.row_number().over(part.orderBy("p", "rsid"))).withColumn("n", F.count("*").over(part))
+    c = counted(ok, "p", by).select(*by, "p", (F.col("upto_n") - F.col("n")).alias("before"), F.col("total_n").alias("n"))
+    same = Window.partitionBy(*by, "p").orderBy("rsid")
+    d = ok.join(c, [*by, "p"]).withColumn("rank", (F.col("before") + F.row_number().over(same)).cast("int"))
     a = F.when(F.col("n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     return d.select(*by, "rsid", "rank", neg_log10_p(F.col("p")).alias("observed"), (-F.log10((F.col("rank") - a) / (F.col("n") + 1 - 2 * a))).alias("expected"))
 

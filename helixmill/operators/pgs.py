@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import broadcast_if_small, clip, finite, gaussian, standard_score, uniform
+from helixmill.functions.ordering import beside, quantiles
 from helixmill.operators.harmonize import non_score_variants
 
 
@@ -49,8 +50,8 @@ def pgs_score(genotypes: DataFrame, weights: DataFrame, people: DataFrame, by: S
 
 def case_threshold(df: DataFrame, liability: str, prevalence: float = 0.119) -> DataFrame:
     """`df` with y_bin: liability above its (1 - prevalence) quantile (linear interpolation)."""
-    cut = df.agg(F.percentile(liability, 1 - prevalence)).first()[0]
-    return df.withColumn("y_bin", (F.col(liability) > F.lit(cut)).cast("int"))
+    cut = quantiles(df, liability, [1 - prevalence]).first()
+    return df.withColumn("y_bin", (F.col(liability) > F.lit(cut["q"][0] if cut else None).cast("double")).cast("int"))
 
 
 def compose_phenotype(scores: DataFrame, h2: float = 0.5, seed: int = 1, kind: str = "quant") -> DataFrame:
@@ -92,10 +93,8 @@ def genetic_component(genotypes: DataFrame, variants: DataFrame, weights: DataFr
 
 def quantile_edges(df: DataFrame, column: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """by and edges: n + 1 quantiles (linear interpolation), each kept once; a single one widens to the range."""
-    probs = [i / n for i in range(n + 1)]
-    d = df.groupBy(*by).agg(F.percentile(column, F.lit(probs)).alias("q"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-    e = F.array_distinct("q")
-    return d.select(*by, F.when(F.size(e) < 2, F.array_distinct(F.array("lo", "hi"))).otherwise(e).alias("edges"))
+    # the first and the last quantile are the range, so a single edge is one value that all have
+    return quantiles(df, column, [i / n for i in range(n + 1)], by).select(*by, F.array_distinct("q").alias("edges"))
 
 
 def assign_bin(x: Column, edges: Column) -> Column:
@@ -106,12 +105,7 @@ def assign_bin(x: Column, edges: Column) -> Column:
 
 def with_bins(df: DataFrame, column: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """`df` with bin, by quantile edges (of each group); edges are one row a group, and broadcast only if few."""
-    e = quantile_edges(df, column, n, by)
-    if not by:
-        d = df.withColumn("_k", F.lit(1)).join(F.broadcast(e.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    else:
-        d = df.join(broadcast_if_small(e), list(by))
-    return d.withColumn("bin", assign_bin(F.col(column), F.col("edges")))
+    return beside(df, quantile_edges(df, column, n, by), by).withColumn("bin", assign_bin(F.col(column), F.col("edges")))
 
 
 def binned_means(df: DataFrame, x: str, y: str, bins: int = 10, clip_at: float = 50.0) -> DataFrame:

@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import broadcast_if_small, clip
+from helixmill.functions.ordering import quantiles, running_sums
 
 
 def _up_to(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _counts_down(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, score, pos and neg at each distinct score, with their sums from the highest score down and in all."""
+    c = scores.where("score is not null and y_bin is not null").groupBy(*by, "score").agg(F.sum("y_bin").alias("pos"), F.sum(1 - F.col("y_bin")).alias("neg"))
+    return running_sums(c, "score", ["pos", "neg"], by, down=True)
+
+
 def roc_exact(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, score, fpr and tpr at each distinct score from the highest down, and the origin (null score).
 
     Ties are one point: people are counted by score before anything is ordered.
     """
-    c = scores.where("score is not null and y_bin is not null").groupBy(*by, "score").agg(F.sum("y_bin").alias("pos"), F.sum(1 - F.col("y_bin")).alias("neg"))
-    part = Window.partitionBy(*by)
-    down = _up_to(part.orderBy(F.col("score").desc()))
-    d = c.select(*by, "score", F.sum("neg").over(down).alias("fp"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(part).alias("n_neg"), F.sum("pos").over(part).alias("n_pos"))
-    d = d.select(*by, "score", F.try_divide("fp", "n_neg").alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"))
+    d = _counts_down(scores, by).select(*by, "score", F.try_divide("upto_neg", "total_neg").alias("fpr"), F.try_divide("upto_pos", "total_pos").alias("tpr"))
     origin = d.select(*by).distinct() if by else d.limit(1).select(F.lit(1).alias("_one"))
     origin = origin.select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return d.unionByName(origin)
@@ -76,18 +79,22 @@ def auc_trapezoid(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc_rank(scores: DataFrame, by: Sequence[str] = (), auto_direction: bool = False) -> DataFrame:
-    """by and auc: the chance that a case scores above a control, ties counting half."""
-    d = auc_trapezoid(roc_exact(scores, by), by)
+    """by and auc: the chance that a case scores above a control, ties counting half; null without cases or controls."""
+    won = F.sum(F.col("neg") * (F.col("upto_pos") - F.col("pos") / 2))
+    d = _counts_down(scores, by).groupBy(*by).agg(F.try_divide(won, F.max("total_pos") * F.max("total_neg")).alias("auc"))
     return d.withColumn("auc", F.greatest("auc", 1 - F.col("auc"))) if auto_direction else d
 
 
 def weighted_thresholds(site_quantiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by and thresholds: quantiles of the sites (arrays `q`), averaged by site size (`n`) at each probability."""
+    """by and thresholds: quantiles of the sites (arrays `q`), averaged by site size (`n`) at each probability.
+
+    They are held to nine digits, so that the average of equal quantiles is no other value.
+    """
     d = site_quantiles.select(*by, "n", F.posexplode("q").alias("pos", "v"))
-    d = d.groupBy(*by, "pos").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
+    d = d.groupBy(*by, "pos").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 9).alias("v"))
     return d.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("thresholds"))
 
 
 def site_quantiles(scores: DataFrame, by: Sequence[str] = (), points: int = 61) -> DataFrame:
     """by, site, n and q: quantiles of the scores of each site."""
-    return scores.groupBy(*by, "site").agg(F.count("*").alias("n"), F.percentile("score", F.lit([i / (points - 1) for i in range(points)])).alias("q"))
+    return quantiles(scores, "score", [i / (points - 1) for i in range(points)], [*by, "site"])

@@ -11,6 +11,7 @@ from helixmill.functions import columns as K
 from helixmill.jobs import studies
 from helixmill.operators import cells as C
 from helixmill.operators import compare, dp, federated, gwas, harmonize, pgs, qc, roc
+from helixmill.sql_models import chi2_of_p, least_squares, logistic, normal_p, t_p
 from helixmill.views import prelude, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +48,7 @@ def stats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.genotype_cells(*views(spark, sf_dir, "genotypes", "people")).persist()
+    return C.genotype_cells(*views(spark, sf_dir, "genotypes", "people"))
 
 
 # all person-level genotypes, which the Spark side never builds
@@ -244,7 +245,7 @@ def j07_roc_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT k, count(*) AS n, sum((sample_id % k)::BIGINT)::BIGINT AS s FROM people CROSS JOIN (SELECT unnest([2, 3, 5]) AS k) g GROUP BY k")
 def j08_param_grid(s: SparkSession, d: str) -> DataFrame:
-    p = view(s, d, "people").withColumn("k", F.explode(F.split(F.lit("2,3,5"), ",").cast("array<int>")))
+    p = studies.over_grid(view(s, d, "people"), "k", "2, 3,5,3", "int")
     return p.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("sample_id") % F.col("k")).alias("s"))
 
 
@@ -305,17 +306,17 @@ def a06_genotype_cells(s: SparkSession, d: str) -> DataFrame:
     return c.select("variant_id", "dosage", "age", "sex", "n", "cases", F.round("sum_y", 4).alias("sum_y"), F.round("sum_yy", 3).alias("sum_yy"))
 
 
-def linear_sql(keys: str) -> tuple[str, ...]:
-    """Person-level least squares on dosage, age and sex, freed of age and sex in closed form."""
+def linear_sql(keys: str, tag: str = "") -> tuple[str, ...]:
+    """Person-level least squares on dosage, age and sex, freed of age and sex in closed form; `tag` tells two such sets of CTEs apart."""
     return (
         DENSE,
-        f"""m AS (SELECT {keys}, count(*)::DOUBLE AS n, avg(dosage) AS mg, avg(age) AS ma, avg(sex) AS mx, avg(y_quant) AS my FROM dense WHERE dosage IS NOT NULL GROUP BY {keys})""",
-        f"""c AS (SELECT {', '.join(f'm.{k.strip()}' for k in keys.split(','))}, any_value(m.n) AS n, sum((dosage-mg)*(dosage-mg)) AS gg, sum((dosage-mg)*(age-ma)) AS ga, sum((dosage-mg)*(sex-mx)) AS gx, sum((dosage-mg)*(y_quant-my)) AS gy,
+        f"""m{tag} AS (SELECT {keys}, count(*)::DOUBLE AS n, avg(dosage) AS mg, avg(age) AS ma, avg(sex) AS mx, avg(y_quant) AS my FROM dense WHERE dosage IS NOT NULL GROUP BY {keys})""",
+        f"""c{tag} AS (SELECT {', '.join(f'm.{k.strip()}' for k in keys.split(','))}, any_value(m.n) AS n, sum((dosage-mg)*(dosage-mg)) AS gg, sum((dosage-mg)*(age-ma)) AS ga, sum((dosage-mg)*(sex-mx)) AS gx, sum((dosage-mg)*(y_quant-my)) AS gy,
   sum((age-ma)*(age-ma)) AS aa, sum((age-ma)*(sex-mx)) AS ax, sum((age-ma)*(y_quant-my)) AS ay, sum((sex-mx)*(sex-mx)) AS xx, sum((sex-mx)*(y_quant-my)) AS xy, sum((y_quant-my)*(y_quant-my)) AS yy
-  FROM dense d JOIN m ON {' AND '.join(f'm.{k.strip()} = d.{k.strip()}' for k in keys.split(','))} WHERE dosage IS NOT NULL GROUP BY {', '.join(f'm.{k.strip()}' for k in keys.split(','))})""",
-        f"""b AS (SELECT {keys}, n, gg, gg - ((ga*xx-gx*ax)*ga + (gx*aa-ga*ax)*gx)/(aa*xx-ax*ax) AS rgg, gy - ((ga*xx-gx*ax)*ay + (gx*aa-ga*ax)*xy)/(aa*xx-ax*ax) AS rgy,
-  yy - ((ay*xx-xy*ax)*ay + (xy*aa-ay*ax)*xy)/(aa*xx-ax*ax) AS ryy FROM c)""",
-        f"""fit AS (SELECT {keys}, n::BIGINT AS n, rgy / rgg AS beta, sqrt(greatest(0, ryy - rgy * rgy / rgg) / (n - 4) / rgg) AS se, gg > 1e-9 AS polymorphic FROM b)""",
+  FROM dense d JOIN m{tag} m ON {' AND '.join(f'm.{k.strip()} = d.{k.strip()}' for k in keys.split(','))} WHERE dosage IS NOT NULL GROUP BY {', '.join(f'm.{k.strip()}' for k in keys.split(','))})""",
+        f"""b{tag} AS (SELECT {keys}, n, gg, gg - ((ga*xx-gx*ax)*ga + (gx*aa-ga*ax)*gx)/(aa*xx-ax*ax) AS rgg, gy - ((ga*xx-gx*ax)*ay + (gx*aa-ga*ax)*xy)/(aa*xx-ax*ax) AS rgy,
+  yy - ((ay*xx-xy*ax)*ay + (xy*aa-ay*ax)*xy)/(aa*xx-ax*ax) AS ryy FROM c{tag})""",
+        f"""fit{tag} AS (SELECT {keys}, n::BIGINT AS n, rgy / rgg AS beta, sqrt(greatest(0, ryy - rgy * rgy / rgg) / (n - 4) / rgg) AS se, gg > 1e-9 AS polymorphic FROM b{tag})""",
     )
 
 
@@ -324,12 +325,15 @@ def a07_gwas_linear(s: SparkSession, d: str) -> DataFrame:
     return gwas.gwas_linear(cells_of(s, d))
 
 
-@query()
+@query(f"SELECT variant_id, n, {r6('beta', 'se')}, round(beta / se, 6) + 0.0 AS t, polymorphic, round({t_p('beta / se', 'n - 4')}, 6) + 0.0 AS p FROM fit", *linear_sql("variant_id"))
 def a07_gwas_linear_p(s: SparkSession, d: str) -> DataFrame:
     return gwas.with_t_p(gwas.gwas_linear(cells_of(s, d)))
 
 
-@query()
+LOGISTIC = f"{r6('beta', 'se', 'z')}, round({normal_p('z')}, 6) + 0.0 AS p, status"
+
+
+@query(f"SELECT variant_id, n, {LOGISTIC} FROM lg", DENSE, logistic("lg", ["variant_id"], "dense"))
 def a08_gwas_logistic(s: SparkSession, d: str) -> DataFrame:
     return gwas.gwas_logistic(cells_of(s, d))
 
@@ -344,7 +348,7 @@ def a09_site_gwas_linear(s: SparkSession, d: str) -> DataFrame:
     return gwas.gwas_linear(site_cells(s, d), ["variant_id", "site"])
 
 
-@query()
+@query(f"SELECT variant_id, site::INT AS site, n, {LOGISTIC} FROM lg", DENSE, logistic("lg", ["variant_id", "site"], "dense", firth=True))
 def a10_site_gwas_logistic(s: SparkSession, d: str) -> DataFrame:
     return gwas.gwas_logistic(site_cells(s, d), ["variant_id", "site"], firth=True)
 
@@ -364,8 +368,17 @@ def a11_meta_fixed_effect(s: SparkSession, d: str) -> DataFrame:
 def a12_median_p(s: SparkSession, d: str) -> DataFrame:
     return gwas.genomic_inflation(view(s, d, "results"), ["trait"]).select("trait", "n", "median_p")
 
+def inflation_sql(source: str, *keys: str) -> tuple[str, ...]:
+    """CTEs: the two middle p-values of each group of `source`, and ml with lambda from their chi-squares."""
+    k = ", ".join(keys)
+    return (
+        f"md AS (SELECT {k}, n, p FROM (SELECT {k}, greatest(2.220446e-16, least(p, 1 - 1e-15)) AS p, row_number() OVER (PARTITION BY {k} ORDER BY p) AS r, count(*) OVER (PARTITION BY {k}) AS n FROM {source} WHERE p IS NOT NULL) z WHERE r IN ((n + 1) // 2, n // 2 + 1))",
+        chi2_of_p("mc", "md", [*keys, "n"]),
+        f"ml AS (SELECT {k}, any_value(n) AS n, avg(chi2) / 0.4549364231195724 AS lambda FROM mc GROUP BY {k})",
+    )
 
-@query()
+
+@query("SELECT l.trait, l.n, round(m.median_p, 6) + 0.0 AS median_p, round(l.lambda, 6) + 0.0 AS lambda FROM ml l JOIN (SELECT trait, avg(p) AS median_p FROM md GROUP BY trait) m ON m.trait = l.trait", *inflation_sql("results", "trait"))
 def a12_genomic_inflation(s: SparkSession, d: str) -> DataFrame:
     return gwas.genomic_inflation(view(s, d, "results"), ["trait"])
 
@@ -427,15 +440,24 @@ def a17_pool_stats(s: SparkSession, d: str) -> DataFrame:
     return pgs.pool_stats(ols_of(s, d)).select("n", *(F.round(c, k).alias(c) for c, k in OLS_DIGITS.items()))
 
 
-@query()
+R2_DIGITS = {"b0": 5, "b1": 5, "b2": 5, "b3": 5, "sse": 3, "sst": 3, "r2": 6, "r2_adj": 6}
+POOLED = f"po AS (SELECT sum(n)::BIGINT AS n, {', '.join(f'sum({c}) AS {c}' for c in OLS_COLUMNS)} FROM st)"
+
+
+@query(f"SELECT n, {', '.join(f'round({c}, {k}) + 0.0 AS {c}' for c, k in R2_DIGITS.items())} FROM rr", OLS, POOLED, least_squares("rr", "po"))
 def a18_r2_from_stats(s: SparkSession, d: str) -> DataFrame:
-    return pgs.r2_from_stats(pgs.pool_stats(ols_of(s, d)))
+    r = pgs.r2_from_stats(pgs.pool_stats(ols_of(s, d)))
+    r = r.select("n", *(F.get("beta", i).alias(f"b{i}") for i in range(4)), "sse", "sst", "r2", "r2_adj")
+    return r.select("n", *(F.round(c, k).alias(c) for c, k in R2_DIGITS.items()))
 
 
-@query("""SELECT bin, count(*) AS n, round(sum(greatest(-50.0, least(50.0, y_quant))), 4) + 0.0 AS sum_y, round(sum(greatest(-50.0, least(50.0, y_quant))) / count(*), 6) + 0.0 AS mean_y
-  FROM (SELECT y_quant, (1 + len(list_filter(e[2:len(e) - 1], lambda x: x < score)))::INT AS bin FROM scores CROSS JOIN edges) z GROUP BY bin""", QEDGES)
+@query("""SELECT bin, n, sum_y, floor(round(sum_y * 10000) * 100 / n) / 1e6 + 0.0 AS mean_y FROM
+  (SELECT bin, count(*) AS n, round(sum(greatest(-50.0, least(50.0, y_quant))), 4) + 0.0 AS sum_y
+  FROM (SELECT y_quant, (1 + len(list_filter(e[2:len(e) - 1], lambda x: x < score)))::INT AS bin FROM scores CROSS JOIN edges) z GROUP BY bin) y""", QEDGES)
 def a19_binned_means(s: SparkSession, d: str) -> DataFrame:
-    return pgs.binned_means(view(s, d, "scores"), "score", "y_quant").withColumn("sum_y", F.round("sum_y", 4))
+    """Sums have four decimals, so means are cut, not rounded, from whole numbers: a quotient can lie half-way between two rounded values."""
+    b = pgs.binned_means(view(s, d, "scores"), "score", "y_quant").withColumn("sum_y", F.round("sum_y", 4))
+    return b.withColumn("mean_y", F.floor(F.round(F.col("mean_y") * F.col("n") * 10000) * 100 / F.col("n")) / 1e6)
 
 
 @query("""SELECT count(*) FILTER (WHERE b.p < 0.05) AS true_hits, count(*) FILTER (WHERE b.p < 0.05 AND a.p < 0.5) AS found,
@@ -487,7 +509,7 @@ def a24_quantile_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 WTHR = f"""wq AS (SELECT site, count(*) AS n, quantile_cont(score::DOUBLE, {P61}) AS q FROM scores GROUP BY site),
-wt AS (SELECT pos, sum(v * n) / sum(n) AS threshold FROM (SELECT n, unnest(range(0, 61)) AS pos, unnest(q) AS v FROM wq) z GROUP BY pos)"""
+wt AS (SELECT pos, round(sum(v * n) / sum(n), 9) AS threshold FROM (SELECT n, unnest(range(0, 61)) AS pos, unnest(q) AS v FROM wq) z GROUP BY pos)"""
 
 
 @query("SELECT pos::INT AS pos, round(threshold, 6) + 0.0 AS threshold FROM wt", WTHR)

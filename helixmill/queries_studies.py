@@ -6,11 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import columns as K
+from helixmill.functions.stored import fresh_path, store
 from helixmill.jobs import studies
 from helixmill.operators import cells as C
 from helixmill.operators import compare, dp, federated, gwas, pgs, roc
-from helixmill.queries import CASES, DENSE, FLIPS, META, PGS, QEDGES, RUNS, SEED, STATS, cells_of, linear_sql, query, r6, runs_of, scores_of, site_cells, stats_of, uniform_sql, views
-from helixmill.queries import area as area_sql
+from helixmill.queries import (
+    CASES,
+    DENSE,
+    FED_ROC,
+    FLIPS,
+    META,
+    OLS,
+    OLS_COLUMNS,
+    PGS,
+    POOLED,
+    QEDGES,
+    RUNS,
+    SEED,
+    STATS,
+    WTHR,
+    area,
+    cells_of,
+    inflation_sql,
+    linear_sql,
+    query,
+    r6,
+    runs_of,
+    scores_of,
+    stats_of,
+    uniform_sql,
+    views,
+)
+from helixmill.sql_models import chi2_p, least_squares, logistic, normal_p, t_p
 from helixmill.views import view
 
 GRID = "grid AS (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0, 4.0])::DOUBLE AS eps_total, 1e-6::DOUBLE AS delta_total, 40 AS top_k)"
@@ -18,32 +45,40 @@ EPS = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 Y_CLIP = 50.0
 
 
-def grid_of(s: SparkSession, d: str, top_k: int = 40) -> DataFrame:
-    """A budget for each epsilon of the grid, for as many queries as the variants of `d` allow."""
-    n = view(s, d, "variants").count()
-    return s.createDataFrame([(e, 1e-6, min(top_k, n)) for e in EPS], "eps_total double, delta_total double, top_k int")
+def grid_of(s: SparkSession, top_k: int = 40) -> DataFrame:
+    """A budget for each epsilon of the grid."""
+    return s.createDataFrame([(e, 1e-6, top_k) for e in EPS], "eps_total double, delta_total double, top_k int")
+
+
+#: Budgets of each trait, for as many queries as it has promising variants.
+TRAIT_GRID = "tg AS (SELECT trait, k AS top_k, eps_total, delta_total FROM (SELECT trait, greatest(1, count(*) FILTER (WHERE p < 0.5)) AS k FROM results GROUP BY trait) c CROSS JOIN (SELECT eps_total, delta_total FROM grid) g)"
+
 
+def trait_grid(s: SparkSession, d: str) -> DataFrame:
+    k = gwas.hit_counts(view(s, d, "results"), line=0.5).where("trait is not null").select("trait", F.greatest(F.lit(1), "hits").alias("top_k"), F.lit(1e-6).alias("delta_total"))
+    return studies.over_grid(k, "eps_total", ",".join(map(str, EPS)))
 
-@query("""SELECT eps_total, round(greatest((sqrt(b*b + 4*top_k*eps_total) - b) / (2*top_k), 1e-6), 6) AS eps_per, greatest(delta_total * 0.5 / top_k, 1e-12) * 1e9 AS delta_per_1e9
-  FROM (SELECT *, sqrt(2 * top_k * ln(1 / greatest(delta_total * 0.5, 1e-12))) AS b FROM grid) z""", GRID)
+
+@query("""SELECT trait, eps_total, round(greatest((sqrt(b*b + 4*top_k*eps_total) - b) / (2*top_k), 1e-6), 6) AS eps_per, round(greatest(delta_total * 0.5 / top_k, 1e-12) * 1e9, 6) AS delta_per_1e9
+  FROM (SELECT *, sqrt(2 * top_k * ln(1 / greatest(delta_total * 0.5, 1e-12))) AS b FROM tg) z""", GRID, TRAIT_GRID)
 def x01_budget_strong(s: SparkSession, d: str) -> DataFrame:
     e, delta = K.strong_composition(F.col("eps_total"), F.col("delta_total"), F.col("top_k"))
-    return grid_of(s, d).select("eps_total", e.alias("eps_per"), (delta * 1e9).alias("delta_per_1e9"))
+    return trait_grid(s, d).select("trait", "eps_total", e.alias("eps_per"), (delta * 1e9).alias("delta_per_1e9"))
 
 
 RHO = "greatest((sqrt(ln(1/{d}) + {e}) - sqrt(ln(1/{d}))) * (sqrt(ln(1/{d}) + {e}) - sqrt(ln(1/{d}))), 1e-16)"
 
 
-@query(f"SELECT eps_total, round({RHO.format(d='delta_total', e='eps_total')}, 6) AS rho_total, round({RHO.format(d='delta_total', e='eps_total')} / top_k, 6) AS rho_per FROM grid", GRID)
+@query(f"SELECT trait, eps_total, round({RHO.format(d='delta_total', e='eps_total')}, 6) AS rho_total, round({RHO.format(d='delta_total', e='eps_total')} / top_k, 6) AS rho_per FROM tg", GRID, TRAIT_GRID)
 def x02_budget_zcdp(s: SparkSession, d: str) -> DataFrame:
     total, per = K.zcdp(F.col("eps_total"), F.col("delta_total"), F.col("top_k"))
-    return grid_of(s, d).select("eps_total", total.alias("rho_total"), per.alias("rho_per"))
+    return trait_grid(s, d).select("trait", "eps_total", total.alias("rho_total"), per.alias("rho_per"))
 
 
-@query("SELECT eps_total, round(greatest(eps_total * 0.2, 1e-6), 6) AS eps_sel, round(greatest(eps_total - greatest(eps_total * 0.2, 1e-6), 1e-6), 6) AS eps_est FROM grid", GRID)
+@query("SELECT trait, eps_total, round(greatest(eps_total * 0.2, 1e-6), 6) AS eps_sel, round(greatest(eps_total - greatest(eps_total * 0.2, 1e-6), 1e-6), 6) AS eps_est FROM tg", GRID, TRAIT_GRID)
 def x03_split_budget(s: SparkSession, d: str) -> DataFrame:
     sel, est = K.split_budget(F.col("eps_total"))
-    return grid_of(s, d).select("eps_total", sel.alias("eps_sel"), est.alias("eps_est"))
+    return trait_grid(s, d).select("trait", "eps_total", sel.alias("eps_sel"), est.alias("eps_est"))
 
 
 UTIL = f"""ut AS (SELECT variant_id, abs(sum((dosage - 1) * greatest(-50.0, least(50.0, y_quant)))) AS utility FROM dense WHERE dosage IS NOT NULL GROUP BY variant_id),
@@ -53,14 +88,14 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eps_total ORDER
 
 @query("SELECT eps_total, variant_id, round(utility, 4) AS utility, round(noisy, 4) AS noisy, rank::INT AS rank FROM tk", DENSE, GRID, UTIL)
 def x04_dp_topk(s: SparkSession, d: str) -> DataFrame:
-    t = dp.dp_topk(cells_of(s, d), dp.budget_table(grid_of(s, d)), Y_CLIP, SEED)
+    t = dp.dp_topk_sparse(*views(s, d, "genotypes", "people"), dp.budget_table(grid_of(s)), Y_CLIP, SEED)
     return t.select("eps_total", "variant_id", F.round("utility", 4).alias("utility"), F.round("noisy", 4).alias("noisy"), "rank")
 
 
 @query("SELECT eps_total, variant_id, rank::INT AS rank FROM (SELECT eps_total, variant_id, row_number() OVER (PARTITION BY eps_total ORDER BY noisy DESC, variant_id) AS rank FROM nz) z", DENSE, GRID, UTIL)
 def w07_rank_by_noisy_utility(s: SparkSession, d: str) -> DataFrame:
     u = dp.utilities(cells_of(s, d), Y_CLIP)
-    return dp.rank_by_noisy_utility(u, dp.budget_table(grid_of(s, d)), Y_CLIP, SEED).select("eps_total", "variant_id", "rank")
+    return dp.rank_by_noisy_utility(u, dp.budget_table(grid_of(s)), Y_CLIP, SEED).select("eps_total", "variant_id", "rank")
 
 
 DP_SUMS = """rw AS (SELECT d.variant_id, greatest(-50.0, least(50.0, y_quant)) AS y, 1.0 AS x0, CASE WHEN t.sd > 0 THEN (dosage - t.mean) / t.sd ELSE 0 END AS x1, (age - m) / sd_a AS x2, sex::DOUBLE AS x3
@@ -72,14 +107,15 @@ DP_SELECT = "SELECT variant_id, count(*) AS n, round(sum(y*y), 3) + 0.0 AS yy, "
 ) + " FROM sc GROUP BY variant_id"
 
 
-def dp_sums_of(s: SparkSession, d: str) -> DataFrame:
+def dp_sums_of(s: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
     m, sd = view(s, d, "people").agg(F.avg("age"), F.stddev_samp("age")).first()
-    return dp.dp_ols_sums(cells_of(s, d), stats_of(s, d), m, sd).persist()
+    return dp.dp_ols_sums(cells_of(s, d) if cells is None else cells, stats_of(s, d), m, sd)
 
 
-def both_sums_of(s: SparkSession, d: str) -> dict[str, DataFrame]:
+def both_sums_of(s: SparkSession, d: str, cells: DataFrame) -> dict[str, DataFrame]:
     m, sd = view(s, d, "people").agg(F.avg("age"), F.stddev_samp("age")).first()
-    return {"BMI": dp_sums_of(s, d), "T2D": dp.dp_ols_sums(cells_of(s, d), stats_of(s, d), m, sd, y="cases", yy="cases").persist()}
+    moments = stats_of(s, d)
+    return {"BMI": dp.dp_ols_sums(cells, moments, m, sd), "T2D": dp.dp_ols_sums(cells, moments, m, sd, y="cases", yy="cases")}
 
 
 @query(DP_SELECT, DENSE, STATS, DP_SUMS)
@@ -89,12 +125,13 @@ def x05_dp_ols_sums(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x05_dp_ols(s: SparkSession, d: str) -> DataFrame:
-    return dp.dp_ols(dp_sums_of(s, d), dp.budget_table(grid_of(s, d)), SEED, ridge=10.0, y_clip=Y_CLIP)
+    return dp.dp_ols(dp_sums_of(s, d), dp.budget_table(grid_of(s)), SEED, ridge=10.0, y_clip=Y_CLIP)
 
 
 def dp_gwas_of(s: SparkSession, d: str) -> DataFrame:
     v = view(s, d, "variants").select("variant_id", "rsid", "chr", "bp")
-    return studies.private_gwas(v, cells_of(s, d), both_sums_of(s, d), dp.budget_table(grid_of(s, d)), SEED)
+    cells = store(cells_of(s, d), "cells")
+    return studies.private_gwas(v, cells, both_sums_of(s, d, cells), dp.budget_table(grid_of(s)), SEED)
 
 
 @query()
@@ -105,7 +142,7 @@ def x06_dp_gwas(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT g.eps_total, (SELECT count(*) FROM variants)::INT AS m, count(*) AS selected, round(any_value(g.eps_total) * 0.2, 6) AS eps_sel, round(any_value(g.eps_total) * 0.8, 6) AS eps_est
   FROM grid g JOIN tk ON tk.eps_total = g.eps_total GROUP BY g.eps_total""", DENSE, GRID, UTIL)
 def x07_dp_selection_summary(s: SparkSession, d: str) -> DataFrame:
-    b = dp.budget_table(grid_of(s, d))
+    b = dp.budget_table(grid_of(s))
     return dp.dp_selection_summary(b, dp.dp_topk(cells_of(s, d), b, Y_CLIP, SEED), view(s, d, "variants").count()).select("eps_total", "m", "selected", "eps_sel", "eps_est")
 
 
@@ -135,12 +172,12 @@ def x09_dp_case_betas(s: SparkSession, d: str) -> DataFrame:
 
 CHI = "nc AS (SELECT variant_id, " + ", ".join(
     f"greatest(0.0, {e} + {lap('chi-' + c, 'variant_id', '1 / 1.0')}) + 1e-6 AS {c}" for c, e in (("n00", "ctrl_0"), ("n01", "case_0"), ("n10", "ctrl_1 + ctrl_2"), ("n11", "case_1 + case_2"))
-) + " FROM ct), ne AS (SELECT *, n00 + n01 + n10 + n11 AS n FROM nc)"
+) + " FROM ct), ne AS (SELECT *, n00 + n01 + n10 + n11 AS n FROM nc), nx AS (SELECT variant_id, " + " + ".join(f"(n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) * (n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) / greatest((n{i}0+n{i}1)*(n0{j}+n1{j})/n, 1e-12)" for i in (0, 1) for j in (0, 1)) + " AS chi2 FROM ne)"
 
 
-@query("SELECT variant_id, round(" + " + ".join(f"(n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) * (n{i}{j} - (n{i}0+n{i}1)*(n0{j}+n1{j})/n) / greatest((n{i}0+n{i}1)*(n0{j}+n1{j})/n, 1e-12)" for i in (0, 1) for j in (0, 1)) + ", 6) + 0.0 AS chi2 FROM ne", DENSE, CASES, CHI)
+@query(f"SELECT variant_id, round(chi2, 6) + 0.0 AS chi2, round({normal_p('sqrt(chi2)')}, 6) + 0.0 AS p FROM nx", DENSE, CASES, CHI)
 def x10_dp_chisq(s: SparkSession, d: str) -> DataFrame:
-    return dp.dp_chisq(dp.case_table(cells_of(s, d)), 1.0, SEED).select("variant_id", "chi2")
+    return dp.dp_chisq(dp.case_table(cells_of(s, d)), 1.0, SEED)
 
 
 EDGES60 = "edges60 AS (SELECT list_sort(list_distinct(quantile_cont(score::DOUBLE, [" + ",".join(str(i / 60) for i in range(61)) + "]))) AS e FROM scores)"
@@ -171,16 +208,18 @@ def x12_dp_binned_means(s: SparkSession, d: str) -> DataFrame:
 
 def base_p(s: SparkSession, d: str) -> DataFrame:
     v = view(s, d, "variants").select("variant_id", "rsid")
-    return gwas.with_t_p(gwas.gwas_linear(cells_of(s, d))).join(v, "variant_id")
+    return gwas.with_t_p(gwas.gwas_linear_sparse(*views(s, d, "genotypes", "people"))).join(v, "variant_id")
 
 
-def both_p(s: SparkSession, d: str) -> DataFrame:
-    return studies.long_results(studies.baseline_gwas(cells_of(s, d), view(s, d, "variants"))).persist()
+def both_p(s: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+    """Baseline results of both traits, stored."""
+    return store(studies.long_results(studies.baseline_gwas(cells_of(s, d) if cells is None else cells, view(s, d, "variants"))), "baseline")
 
 
 @query()
 def x13_epsilon_sweep(s: SparkSession, d: str) -> DataFrame:
-    return studies.epsilon_sweep(cells_of(s, d), both_sums_of(s, d), both_p(s, d), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
+    cells = store(cells_of(s, d), "cells")
+    return studies.epsilon_sweep(cells, both_sums_of(s, d, cells), both_p(s, d, cells), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
 
 
 # ---------------------------------------------------------------- federated
@@ -194,41 +233,98 @@ def sited_cells(s: SparkSession, d: str) -> DataFrame:
     return C.genotype_cells(g, federated.assign_sites(p, 5, SEED), ["site"])
 
 
-FED_CTES = (SITED, SITES, *linear_sql("variant_id, site")[1:], META)
+def meta_sql(name: str, fits: str, *keys: str) -> str:
+    """CTE `name` (keys, beta, se, z, p, q, i2, p_het, k): inverse-variance meta-analysis of `fits` (keys, beta, se)."""
+    k = ", ".join(keys)
+    return f"""{name} AS (SELECT *, beta / se AS z, {normal_p('beta / se')} AS p, CASE WHEN q <= df THEN 0.0 ELSE (q - df) / q END AS i2, {chi2_p('q', 'df')} AS p_het FROM
+  (SELECT {k}, sum(w*b)/sum(w) AS beta, sqrt(1/sum(w)) AS se, CASE WHEN count(*) = 1 THEN 0.0 ELSE greatest(0, sum(w*b*b) - sum(w*b)*sum(w*b)/sum(w)) END AS q, count(*) AS k, greatest(1, count(*) - 1) AS df FROM
+  (SELECT {k}, beta AS b, 1 / (se * se) AS w FROM {fits} WHERE se > 0 AND isfinite(se) AND isfinite(beta)) y GROUP BY {k}) z)"""
+
 
+FED_CTES = (SITED, SITES, *linear_sql("variant_id, site")[1:], meta_sql("mt", "fit", "variant_id"))
+FED_BINARY = (logistic("lg", ["variant_id", "site"], "dense", firth=True), meta_sql("mb", "lg", "variant_id"))
+FED_SELECT = f"SELECT {{key}}, {r6('beta', 'se', 'z', 'p', 'q', 'i2', 'p_het')}, k FROM"
 
-@query(f"SELECT v.rsid, {r6('m.beta', 'm.se').replace('AS m.', 'AS ')}, round(m.beta / m.se, 6) + 0.0 AS z, round(q, 6) + 0.0 AS q, round(CASE WHEN q <= greatest(1, k - 1) THEN 0.0 ELSE (q - greatest(1, k - 1)) / q END, 6) + 0.0 AS i2, k FROM mt m JOIN variants v ON m.variant_id = v.variant_id", *FED_CTES)
+
+@query(f"{FED_SELECT.format(key='rsid')} (SELECT m.*, v.rsid FROM mt m JOIN variants v ON m.variant_id = v.variant_id) z", *FED_CTES)
 def g01_federated_gwas(s: SparkSession, d: str) -> DataFrame:
-    f = federated.federated_gwas(sited_cells(s, d), "quant", p_values=False)
-    return f.join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id").select("rsid", "beta", "se", "z", "q", "i2", "k")
+    g, p = views(s, d, "genotypes", "people")
+    f = federated.federated_linear(g, federated.assign_sites(p, 5, SEED))
+    return f.join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id").drop("variant_id")
 
 
-@query()
+@query(f"{FED_SELECT.format(key='variant_id')} mb", SITED, SITES, *FED_BINARY)
 def g01_federated_gwas_binary(s: SparkSession, d: str) -> DataFrame:
     return federated.federated_gwas(sited_cells(s, d), "binary")
 
 
 def fed_scores_of(s: SparkSession, d: str, trait: str) -> DataFrame:
     g, p = views(s, d, "genotypes", "people")
-    fits = federated.federated_gwas(sited_cells(s, d), trait)
-    return federated.federated_scores(fits, g, federated.assign_sites(p, 5, SEED), line=0.05)
+    dealt = store(federated.assign_sites(p, 5, SEED), "sites")
+    fits = federated.federated_linear(g, dealt) if trait == "quant" else federated.federated_gwas(C.genotype_cells(g, dealt, ["site"]), trait)
+    return store(federated.federated_scores(fits, g, dealt, line=0.05), "scores")
 
 
-@query()
+def scored_sql(name: str, fits: str) -> str:
+    """CTE `name`: people with site and the score of the effects of significant variants."""
+    return f"""{name} AS (SELECT p.*, coalesce(round(x.score, 6), 0) AS score FROM sited p LEFT JOIN
+  (SELECT g.sample_id, sum(g.dosage * m.beta) AS score FROM genotypes g JOIN {fits} m ON m.variant_id = g.variant_id WHERE m.p < 0.05 GROUP BY g.sample_id) x ON x.sample_id = p.sample_id)"""
+
+
+FED_PGS = (scored_sql("bs", "mb"), WTHR.replace("FROM scores", "FROM bs"), FED_ROC.replace("FROM scores", "FROM bs"), scored_sql("qs", "mt"), OLS.replace("FROM scores", "FROM qs"), POOLED, least_squares("rr", "po"))
+
+
+@query(f"SELECT a.auc, r.n, {r6('r2', 'r2_adj')} FROM rr r CROSS JOIN ({area('mr')}) a", *FED_CTES, *FED_BINARY, *FED_PGS)
 def g02_federated_pgs(s: SparkSession, d: str) -> DataFrame:
     auc, r2 = federated.federated_auc(fed_scores_of(s, d, "binary")).withColumn("_k", F.lit(1)), federated.federated_r2(fed_scores_of(s, d, "quant")).withColumn("_k", F.lit(1))
     return auc.join(r2, "_k").select("auc", "n", "r2", "r2_adj")
 
 
-@query()
+KS = (2, 3, 4, 5, 6, 8, 10)
+P61 = "[" + ",".join(str(i / 60) for i in range(61)) + "]"
+K_SITES = "ks AS (" + " UNION ALL ".join(f"SELECT p.*, {k} AS sites, ntile({k}) OVER (ORDER BY md5('42|site|' || sample_id), sample_id)::INT AS site FROM people p" for k in KS) + ")"
+K_DENSE = DENSE.replace("dense AS", "kd AS").replace("p.sample_id % 5 + 1 AS site", "p.sites, p.site").replace("CROSS JOIN people p", "CROSS JOIN ks p")
+K_FITS = (*(c.replace("dense", "kd") for c in linear_sql("variant_id, sites, site", tag="k")[1:]), logistic("kl", ["variant_id", "sites", "site"], "kd", firth=True), meta_sql("kq", "fitk", "variant_id", "sites"), meta_sql("kb", "kl", "variant_id", "sites"))
+K_BOTH = "kr AS (SELECT variant_id, sites, 'BMI' AS trait, beta, p FROM kq UNION ALL SELECT variant_id, sites, 'T2D', beta, p FROM kb)"
+
+
+def k_scores(name: str, fits: str) -> str:
+    return f"""{name} AS (SELECT p.*, coalesce(round(x.score, 6), 0) AS score FROM ks p LEFT JOIN (SELECT g.sample_id, m.sites, sum(g.dosage * m.beta) AS score FROM genotypes g JOIN {fits} m ON m.variant_id = g.variant_id
+  WHERE m.p < 0.05 GROUP BY g.sample_id, m.sites) x ON x.sample_id = p.sample_id AND x.sites = p.sites)"""
+
+
+K_AUC = (
+    k_scores("kbs", "kb"),
+    f"kw AS (SELECT sites, site, count(*) AS n, quantile_cont(score::DOUBLE, {P61}) AS q FROM kbs GROUP BY sites, site)",
+    "kt AS (SELECT DISTINCT sites, threshold FROM (SELECT sites, pos, round(sum(v * n) / sum(n), 9) AS threshold FROM (SELECT sites, n, unnest(range(0, 61)) AS pos, unnest(q) AS v FROM kw) z GROUP BY sites, pos) y)",
+    "kp AS (SELECT s.sites, threshold, count(*) FILTER (WHERE y_bin = 1 AND score >= threshold) / count(*) FILTER (WHERE y_bin = 1)::DOUBLE AS tpr, count(*) FILTER (WHERE y_bin = 0 AND score >= threshold) / count(*) FILTER (WHERE y_bin = 0)::DOUBLE AS fpr FROM kbs s JOIN kt t ON t.sites = s.sites GROUP BY s.sites, threshold)",
+    "km AS (SELECT sites, max(fpr) OVER w AS fpr, max(tpr) OVER w AS tpr FROM kp WINDOW w AS (PARTITION BY sites ORDER BY fpr, tpr ROWS UNBOUNDED PRECEDING))",
+    "ka AS (SELECT sites, greatest(0, least(1, sum(a))) AS auc FROM (SELECT sites, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM km WINDOW w AS (PARTITION BY sites ORDER BY fpr, tpr)) z GROUP BY sites)",
+)
+K_R2 = (k_scores("kqs", "kq"), OLS.replace("st AS (SELECT site,", "ko AS (SELECT sites,").replace("FROM scores GROUP BY site)", "FROM kqs GROUP BY sites)"), least_squares("k2", "ko", ["sites"]))
+K_RHO = """kx AS (SELECT r.sites, r.trait, rank() OVER (PARTITION BY r.sites, r.trait ORDER BY -r.p) + (count(*) OVER (PARTITION BY r.sites, r.trait, r.p) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY r.sites, r.trait ORDER BY -b.p) + (count(*) OVER (PARTITION BY r.sites, r.trait, b.p) - 1) / 2.0 AS ry FROM kr r JOIN br b ON b.variant_id = r.variant_id AND b.trait = r.trait WHERE r.p IS NOT NULL AND b.p IS NOT NULL),
+kc AS (SELECT sites, trait, corr(rx, ry) AS rho FROM kx GROUP BY sites, trait)"""
+BOTH_FITS = (*linear_sql("variant_id", tag="0")[1:], logistic("lb", ["variant_id"], "dense"))
+BOTH_P = f"""br AS (SELECT variant_id, 'BMI' AS trait, {t_p('beta / se', 'n - 4')} AS p FROM fit0 UNION ALL SELECT variant_id, 'T2D', {normal_p('z')} FROM lb)"""
+
+
+@query("""SELECT h.sites, h.trait, h.hits, round(l."lambda", 6) + 0.0 AS lambda, CASE WHEN h.trait = 'T2D' THEN round(a.auc, 6) + 0.0 END AS auc, CASE WHEN h.trait = 'BMI' THEN round(r2, 6) + 0.0 END AS r2, round(rho, 6) + 0.0 AS rho
+  FROM (SELECT sites, trait, count(*) FILTER (WHERE p < 0.05) AS hits FROM kr GROUP BY sites, trait) h JOIN ml l ON l.sites = h.sites AND l.trait = h.trait JOIN ka a ON a.sites = h.sites JOIN k2 q ON q.sites = h.sites
+  JOIN kc c ON c.sites = h.sites AND c.trait = h.trait""", DENSE, *BOTH_FITS, BOTH_P, K_SITES, K_DENSE, *K_FITS, K_BOTH, *inflation_sql("kr", "sites", "trait"), *K_AUC, *K_R2, K_RHO)
 def g03_k_sweep(s: SparkSession, d: str) -> DataFrame:
     g, p, v = views(s, d, "genotypes", "people", "variants")
-    return studies.k_sweep(g, p, (2, 3, 4, 5, 6, 8, 10), both_p(s, d), v, line=0.05, seed=SEED)
+    return studies.k_sweep(g, p, KS, both_p(s, d), v, line=0.05, seed=SEED)
 
 
-@query()
+BASE_FIT = linear_sql("variant_id", tag="0")[1:]
+
+
+@query(f"""SELECT v.rsid, round(-log10(greatest(2.220446e-16, least(f.p, 1 - 1e-15))), 6) + 0.0 AS logp_fed, round(-log10(greatest(2.220446e-16, least(b.p, 1 - 1e-15))), 6) + 0.0 AS logp_base, round(f.beta, 6) + 0.0 AS beta_fed, round(b.beta, 6) + 0.0 AS beta_base, round(f.i2, 6) + 0.0 AS i2
+  FROM mt f JOIN (SELECT variant_id, beta, {t_p('beta / se', 'n - 4')} AS p FROM fit0) b ON b.variant_id = f.variant_id JOIN variants v ON v.variant_id = f.variant_id""", *FED_CTES, *BASE_FIT)
 def g04_concordance(s: SparkSession, d: str) -> DataFrame:
-    fed = federated.federated_gwas(sited_cells(s, d), "quant").join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id")
+    g, p = views(s, d, "genotypes", "people")
+    fed = federated.federated_linear(g, federated.assign_sites(p, 5, SEED)).join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id")
     return compare.concordance(fed, base_p(s, d))
 
 
@@ -268,10 +364,62 @@ def m03_per_person_pairs(s: SparkSession, d: str) -> DataFrame:
     return compare.per_person_pairs(method_scores_of(s, d))
 
 
+FITTED = f"""fe AS (SELECT 'base' AS method, 'BMI' AS trait, variant_id, beta FROM fit0 UNION ALL SELECT 'base', 'T2D', variant_id, beta FROM lb
+  UNION ALL SELECT 'fed', 'BMI', variant_id, beta FROM mt UNION ALL SELECT 'fed', 'T2D', variant_id, beta FROM mb UNION ALL SELECT 'dp', 'T2D', variant_id, b1 FROM nw WHERE i = 12)"""
+ALL_DENSE = DENSE.replace("dense AS", "everybody AS")
+FITTED_CTES = (
+    SITED, SITES, *linear_sql("variant_id, site")[1:], meta_sql("mt", "fit", "variant_id"), *FED_BINARY, ALL_DENSE, *(c.replace("dense", "everybody") for c in linear_sql("variant_id", tag="0")[1:]),
+    logistic("lb", ["variant_id"], "everybody"), CASES, NOISY.replace("1 / 1.0", "(SELECT count(DISTINCT variant_id) FROM genotypes) / 2.5"), NEWTON, FITTED,
+)
+
+
+def effects_of(s: SparkSession, d: str) -> DataFrame:
+    """The effects of all methods; those of private least squares, which SQL cannot express, have a query of their own."""
+    return store(studies.method_effects(*views(s, d, "genotypes", "people"), stats_of(s, d), seed=SEED), "effects")
+
+
+@query("SELECT method, trait, variant_id, round(beta, 5) + 0.0 AS beta FROM fe", *FITTED_CTES)
+def m02_fitted_effects(s: SparkSession, d: str) -> DataFrame:
+    e = effects_of(s, d).where("not (method = 'dp' and trait = 'BMI')")
+    return e.withColumn("beta", F.round("beta", 5))
+
+
+@query("""SELECT k.method, k.trait, p.sample_id, round(coalesce(x.s, 0), 4) + 0.0 AS score FROM people p CROSS JOIN (SELECT DISTINCT method, trait FROM fe) k LEFT JOIN
+  (SELECT g.sample_id, method, trait, sum(g.dosage * coalesce(fe.beta, 0)) AS s FROM genotypes g JOIN fe ON fe.variant_id = g.variant_id GROUP BY g.sample_id, method, trait) x
+  ON x.sample_id = p.sample_id AND x.method = k.method AND x.trait = k.trait""", *FITTED_CTES)
+def m02_fitted_scores(s: SparkSession, d: str) -> DataFrame:
+    g, p = views(s, d, "genotypes", "people")
+    w = effects_of(s, d).where("not (method = 'dp' and trait = 'BMI')").withColumnRenamed("beta", "weight")
+    return pgs.pgs_score(g, w, p, ["method", "trait"]).withColumn("score", F.round("score", 4))
+
+
+@query()
+def m02_all_scores(s: SparkSession, d: str) -> DataFrame:
+    """All six score vectors: three methods, two traits."""
+    g, p = views(s, d, "genotypes", "people")
+    return pgs.pgs_score(g, effects_of(s, d).withColumnRenamed("beta", "weight"), p, ["method", "trait"])
+
+
+@query("""SELECT least(30, floor((x - lx) * 30 / (hx - lx)) + 1)::INT AS x_bin, least(30, floor((y - ly) * 30 / (hy - ly)) + 1)::INT AS y_bin, count(*) AS n
+  FROM fa CROSS JOIN (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM fa) z GROUP BY 1, 2""",
+       *FITTED_CTES, "fa AS (SELECT b.beta AS x, f.beta AS y FROM fe b JOIN fe f ON f.variant_id = b.variant_id WHERE b.method = 'base' AND f.method = 'fed' AND b.trait = 'T2D' AND f.trait = 'T2D' AND b.beta IS NOT NULL AND f.beta IS NOT NULL)")
+def m01_federated_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Baseline and federated effects of T2D."""
+    e = effects_of(s, d).join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id").where("trait = 'T2D'")
+    return compare.effect_agreement(e.where("method = 'base'"), e.where("method = 'fed'"))
+
+
+@query()
+def m01_private_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Baseline and private effects of BMI."""
+    e = effects_of(s, d).join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id").where("trait = 'BMI'")
+    return compare.effect_agreement(e.where("method = 'base'"), e.where("method = 'dp'"))
+
+
 @query()
 def m04_run_to_run(s: SparkSession, d: str) -> DataFrame:
     g, p, v, w = views(s, d, "genotypes", "people", "variants", "weights")
-    return studies.run_to_run(g, p, v, w, range(1, 4), stats_of(s, d))
+    return studies.run_to_run(g, p, v, w, range(1, 4), stats_of(s, d), fresh_path(s, "runs"))
 
 
 @query("SELECT method, trait, rsid, round(u.beta - r.beta, 6) + 0.0 AS delta FROM runs u JOIN results r USING (rsid, trait)", RUNS)
@@ -286,19 +434,26 @@ def f09_fit_counts(s: SparkSession, d: str) -> DataFrame:
     return qc.fit_counts(gwas.gwas_linear(cells_of(s, d)))
 
 
-@query()
-def a31_run_metrics(s: SparkSession, d: str) -> DataFrame:
-    v, p = views(s, d, "variants", "people")
-    res = studies.baseline_gwas(cells_of(s, d), v)
-    return studies.run_metrics(res, scores_of(s, d).join(p, "sample_id"))
+LINE = 0.05
+ROC_POINTS = "rp AS (SELECT g.sample_id, round(g.score, 9) AS score, p.y_bin FROM pg g JOIN people p ON p.sample_id = g.sample_id WHERE g.trait = 'T2D')"
+RUN_EDGES = EDGES60.replace("edges60", "run_edges").replace("FROM scores", "FROM rp")
+RUN_DP = DP_ROC.replace("FROM scores CROSS JOIN edges60", "FROM rp CROSS JOIN run_edges")
+RUN_OLS = (OLS.replace("FROM scores", "FROM (SELECT p.*, g.score, 1 AS site FROM pg g JOIN people p ON p.sample_id = g.sample_id WHERE g.trait = 'BMI')"), POOLED, least_squares("rr", "po"))
+EXACT_AUC = "(sum(r) FILTER (WHERE y_bin = 1) - sum(y_bin) * (sum(y_bin) + 1) / 2.0) / (sum(y_bin) * sum(1 - y_bin))"
 
 
-@query()
-def baseline_study(s: SparkSession, d: str) -> DataFrame:
-    """Quality control, harmonised alleles, cells, and both scans with p-values."""
-    g, v, w, p = views(s, d, "genotypes", "variants", "weights", "people")
-    kept, _ = studies.qc_genotypes(g, p)
-    return studies.baseline_gwas(studies.baseline_cells(kept, v, w, p), v)
+@query(f"""SELECT (SELECT count(*) FROM people) AS n_people, 5 AS n_sites, {LINE}::DOUBLE AS line, round(-log10({LINE}), 6) AS logp_line, (SELECT count(DISTINCT variant_id) FROM br) AS n_variants,
+  {', '.join(f"(SELECT {e} FROM {t} WHERE trait = '{k}') AS \"{k}_{c}\"" for k in ('BMI', 'T2D') for c, e, t in (('lambda', 'round("lambda", 6) + 0.0', 'ml'), ('hits', f'count(*) FILTER (WHERE p < {LINE})', 'br'), ('tested', 'count(*)', 'br')))},
+  40::BIGINT AS "BMI_selected", 40::BIGINT AS "T2D_selected",
+  (SELECT round({EXACT_AUC}, 6) + 0.0 FROM (SELECT y_bin, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM rp) z) AS auc,
+  (SELECT round(greatest(0, least(1, sum(a))), 6) + 0.0 FROM (SELECT (least(1, fpr) - lag(least(1, fpr)) OVER (ORDER BY least(1, fpr), least(1, tpr))) * (least(1, tpr) + lag(least(1, tpr)) OVER (ORDER BY least(1, fpr), least(1, tpr))) / 2 AS a FROM dr) z) AS private_auc,
+  (SELECT round(r2_adj, 6) + 0.0 FROM rr) AS r2_adj""", DENSE, *BOTH_FITS, BOTH_P, *inflation_sql("br", "trait"), PGS, ROC_POINTS, RUN_EDGES, RUN_DP, *RUN_OLS)
+def a31_run_metrics(s: SparkSession, d: str) -> DataFrame:
+    v, p = views(s, d, "variants", "people")
+    cells = store(cells_of(s, d), "cells")
+    private = studies.private_gwas(v.select("variant_id", "rsid", "chr", "bp"), cells, both_sums_of(s, d, cells), dp.budget_table(grid_of(s)).where("eps_total = 1"), SEED)
+    scores = store(scores_of(s, d).withColumn("score", F.round("score", 9)).join(p, "sample_id"), "scores")
+    return studies.run_metrics(both_p(s, d, cells), scores, private, sites=5, line=LINE, eps=1.0, seed=SEED)
 
 
 FLIPPED = DENSE.replace("CASE WHEN g.sample_id IS NULL THEN 0 ELSE g.dosage END AS dosage", "CASE WHEN f.effect_allele <> f.alt THEN 2 - CASE WHEN g.sample_id IS NULL THEN 0 ELSE g.dosage END WHEN g.sample_id IS NULL THEN 0 ELSE g.dosage END AS dosage").replace(
@@ -312,4 +467,13 @@ def flagship_linear_scan(s: SparkSession, d: str) -> DataFrame:
     """Per-variant linear association after quality control and allele harmonisation."""
     g, v, w, p = views(s, d, "genotypes", "variants", "weights", "people")
     kept, _ = studies.qc_genotypes(g, p)
-    return gwas.gwas_linear(studies.baseline_cells(kept, v, w, p)).select("variant_id", "n", "beta", "se", "t")
+    return gwas.gwas_linear_sparse(studies.harmonized(kept, v, w), p).select("variant_id", "n", "beta", "se", "t")
+
+
+@query(f"""SELECT f.variant_id, v.rsid, v.chr, v.bp, round(f.beta, 6) + 0.0 AS beta_bmi, round({t_p('f.beta / f.se', 'f.n - 4')}, 6) + 0.0 AS p_bmi, round(l.beta, 6) + 0.0 AS beta_t2d, round({normal_p('l.z')}, 6) + 0.0 AS p_t2d
+  FROM fit0 f JOIN lb l ON l.variant_id = f.variant_id JOIN variants v ON v.variant_id = f.variant_id WHERE f.variant_id IN (SELECT variant_id FROM stats WHERE maf >= 0.01 AND missing_rate <= 0.05 AND polymorphic)""", FLIPS, FLIPPED, STATS, *BOTH_FITS)
+def baseline_study(s: SparkSession, d: str) -> DataFrame:
+    """Quality control, harmonised alleles, cells, and both scans with p-values."""
+    g, v, w, p = views(s, d, "genotypes", "variants", "weights", "people")
+    kept, _ = studies.qc_genotypes(g, p)
+    return studies.baseline_gwas(store(studies.baseline_cells(kept, v, w, p), "cells"), v)

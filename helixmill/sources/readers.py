@@ -6,20 +6,21 @@ gzipped file is read by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.columns import broadcast_if_small
 from helixmill.operators.qc import normalize_columns
 
 WEIGHTS = "chr_name string, rsid string, effect_allele string, effect_weight double"
 
 
 def read_pgs_weights(spark: SparkSession, path: str, trait: str) -> DataFrame:
-    """trait, line, chr_name, rsid, effect_allele and effect_weight of a tab-separated score file with comments."""
+    """trait, line, chr_name, rsid, effect_allele and effect_weight of tab-separated score files with comments; lines are counted over all files."""
     raw = spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=False)
     names = {"chr_name": ["hm_chr"], "rsid": ["rsID", "hm_rsID"], "effect_allele": [], "effect_weight": []}
-    d = normalize_columns(raw, names)
-    return d.select(F.lit(trait).alias("trait"), F.monotonically_increasing_id().alias("line"), "chr_name", "rsid", "effect_allele", F.col("effect_weight").try_cast("double").alias("effect_weight"))
+    d = normalize_columns(raw, names).select(*names, "_metadata")
+    return number_lines(d).select(F.lit(trait).alias("trait"), "line", "chr_name", "rsid", "effect_allele", F.col("effect_weight").try_cast("double").alias("effect_weight"))
 
 
 def read_sample_panel(spark: SparkSession, path: str) -> DataFrame:
@@ -58,18 +59,18 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return d.select("variant_id", "chr", "bp", "rsid", "ref", "alt"), d.select("variant_id", F.transform("calls", _alt_count).alias("dosages"))
 
 
-def vcf_samples(spark: SparkSession, path: str) -> list[str]:
-    """Sample names in the order of the dosages; the header is one line."""
-    row = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
-    return row["value"].split("\t")[9:] if row else []
+def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """i and sample_id: sample names in the order of the dosages; the header is one line."""
+    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1)
+    f = F.split("value", "\t")
+    return head.select(F.posexplode(F.slice(f, F.lit(10), F.greatest(F.lit(0), F.size(f) - 9))).alias("i", "sample_id"))
 
 
-def unpack(packed: DataFrame, samples: list[str], sparse: bool = True) -> DataFrame:
+def unpack(packed: DataFrame, samples: DataFrame, sparse: bool = True) -> DataFrame:
     """variant_id, sample_id and dosage; in sparse form without rows of dosage 0."""
-    names = F.array(*map(F.lit, samples))
     d = packed.select("variant_id", F.posexplode("dosages").alias("i", "dosage"))
     d = d.where("dosage is null or dosage <> 0") if sparse else d
-    return d.select("variant_id", F.get(names, F.col("i")).alias("sample_id"), "dosage")
+    return d.join(broadcast_if_small(samples), "i").select("variant_id", "sample_id", "dosage")
 
 
 def read_gen(spark: SparkSession, path: str, call_threshold: float = 0.9) -> DataFrame:
@@ -86,21 +87,27 @@ def read_gen(spark: SparkSession, path: str, call_threshold: float = 0.9) -> Dat
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(f[0].alias("snp_id"), f[1].alias("rsid"), f[2].cast("int").alias("bp"), f[3].alias("ref"), f[4].alias("alt"), dosages.alias("dosages"))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """`lines` (value, part, at) with its line number, from the counts of the parts before it: no global sort of lines."""
-    from pyspark.sql import Window
+def number_lines(rows: DataFrame) -> DataFrame:
+    """`rows`, just read with _metadata, with `line` instead: their number over all files in order of their paths.
+
+    A split is read in order, so a line's number is its place in its split and what the
+    splits before it hold; only one row a split is ordered in a task.
+    """
+    d = rows.withColumns({"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}).drop("_metadata")
+    sizes = d.groupBy("_path", "_start").agg(F.count("*").alias("c"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_path", "_start", "_first", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_before"))
+    d = d.join(broadcast_if_small(sizes), ["_path", "_start"])
+    return d.withColumn("line", F.col("_before") + F.col("_at") - F.col("_first")).drop("_path", "_start", "_at", "_first", "_before")
 
-    d = lines.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = d.groupBy("_part").agg(F.count("*").alias("c"), F.min("_at").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(F.broadcast(before.select("_part", "first", "before")), "_part").select("value", (F.col("before") + F.col("_at") - F.col("first")).alias("line"))
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    return number_lines(spark.read.text(path).select("value", "_metadata"))
 
 
 def read_hap_legend(spark: SparkSession, hap: str, legend: str) -> DataFrame:
     """line, id, position, a0, a1, n_alt and n_haplotypes: line i of the haplotypes with line i of the legend."""
-    haps = number_lines(spark.read.text(hap))
-    names = number_lines(spark.read.text(legend)).where("line > 0").withColumn("line", F.col("line") - 1)
-    f, h = F.split(F.trim("value"), r"\s+"), F.split(F.trim("value"), r"\s+")
-    left = names.select("line", f[0].alias("id"), f[1].cast("long").alias("position"), f[2].alias("a0"), f[3].alias("a1"))
-    right = haps.select("line", F.size(F.filter(h, lambda x: x == "1")).alias("n_alt"), F.size(h).alias("n_haplotypes"))
+    f = F.split(F.trim("value"), r"\s+")
+    left = text_lines(spark, legend).where("line > 0").select((F.col("line") - 1).alias("line"), f[0].alias("id"), f[1].cast("long").alias("position"), f[2].alias("a0"), f[3].alias("a1"))
+    right = text_lines(spark, hap).select("line", F.size(F.filter(f, lambda x: x == "1")).alias("n_alt"), F.size(f).alias("n_haplotypes"))
     return left.join(right, "line")

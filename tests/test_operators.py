@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import columns as K
+from helixmill.functions import ordering
+from helixmill.functions.stored import store
 from helixmill.operators import cells as C
 from helixmill.operators import compare, dp, federated, gwas, harmonize, pgs, qc, roc
 from helixmill.sources import readers, writers
@@ -117,6 +119,7 @@ def test_readers(spark, tmp_path):
     vcf.write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\nchr22\t10\trs1\tA\tG\t.\t.\t.\tGT\t0|0\t0/1:9\t./.\n22\t11\trs2\tA\tG,T\t.\t.\t.\tGT\t0|0\t0|1\t1|2\n")
     variants, packed = readers.read_vcf(spark, str(vcf))
     names = readers.vcf_samples(spark, str(vcf))
+    assert [r["sample_id"] for r in names.orderBy("i").collect()] == ["s1", "s2", "s3"]
     assert [(r["chr"], r["bp"], r["alt"]) for r in variants.collect()] == [("22", 10, "G")]
     assert sorted((r["sample_id"], r["dosage"]) for r in readers.unpack(packed, names).collect()) == [("s2", 1), ("s3", None)]
     gen = tmp_path / "a.gen"
@@ -127,6 +130,14 @@ def test_readers(spark, tmp_path):
     h = readers.read_hap_legend(spark, str(tmp_path / "h"), str(tmp_path / "l"))
     assert sorted((r["position"], r["n_alt"]) for r in h.collect()) == [(5, 1), (6, 0), (7, 3)]
     assert qc.first_polymorphic_locus(h).first()["position"] == 5
+    # many files, cut into splits and packed by size: lines keep their order
+    rows = spark.range(500).select(F.concat_ws(" ", F.lit("r"), "id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("value"), "id")
+    rows.repartitionByRange(7, "id").sortWithinPartitions("id").select("value").write.text(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert [r["value"].split()[1] for r in readers.text_lines(spark, str(tmp_path / "many")).orderBy("line").collect()] == [str(i) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "p").write_text("Sample POP Super-Pop\na x EUR\nb y AFR\n")
     assert sorted(tuple(r) for r in readers.read_sample_panel(spark, str(tmp_path / "p")).collect()) == [("a", "EUR"), ("b", "AFR")]
     (tmp_path / "w.tsv").write_text("#c\nrsID\tchr_name\teffect_allele\teffect_weight\nrs1\t22\tA\t0.5\nrs2\t22\tC\tx\n")
@@ -158,6 +169,62 @@ def test_streamed_cells_equal_batch_cells(spark, study, tmp_path):
     assert key(stored_cells(spark.read.parquet(str(tmp_path / "out")))) == key(C.genotype_cells(gt, people, sparse=False))
 
 
+def test_sums_ranks_and_quantiles_of_ranges(spark):
+    r = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in r.integers(0, 300, 2000)] + [("b", float(v)) for v in r.normal(size=777)] + [("c", 1.0)] * 400 + [("d", 2.5), ("a", None)]
+    d = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    probs = [i / 60 for i in range(61)]
+    q = {v["g"]: v for v in ordering.quantiles(d, "x", probs, ["g"]).collect()}
+    ranks = compare.average_rank(d, "x", "r", ["g"]).collect()
+    for g in "abcd":
+        x = np.array([v for k, v in rows if k == g and v is not None])
+        assert (q[g]["n"], q[g]["q"]) == (len(x), pytest.approx(np.quantile(x, probs)))
+        assert {v["x"]: v["r"] for v in ranks if v["g"] == g and v["x"] is not None} == {v: (x < v).sum() + ((x == v).sum() + 1) / 2 for v in x}
+    down = ordering.running_sums(ordering.counted(d, "x", ["g"]).select("g", "x", "n"), "x", ["n"], ["g"], down=True)
+    assert all(v["upto_n"] == sum(k == v["g"] and x is not None and x >= v["x"] for k, x in rows) for v in down.where("g <> 'b'").collect())
+
+
+def test_sparse_sums_equal_sums_of_cells(study):
+    people, gt, _, _ = study
+    sited = people.withColumn("site", F.col("sample_id") % 3)
+    for by in ([], ["site"]):
+        for flipped in (False, True):
+            g = gt.withColumn("flipped", F.col("variant_id") == 2).withColumn("dosage", F.when(F.col("flipped"), 2 - F.col("dosage")).otherwise(F.col("dosage"))) if flipped else gt
+            key = lambda df: {(r["variant_id"], *(r[k] for k in by)): (r["n"], pytest.approx(r["beta"]), pytest.approx(r["se"])) for r in df.collect()}
+            assert key(gwas.gwas_linear_sparse(g, sited, by)) == key(gwas.gwas_linear(C.genotype_cells(g, sited, by), ["variant_id", *by]))
+    b = dp.budget_table(people.sparkSession.createDataFrame([(1.0, 1e-6, 2)], "eps_total double, delta_total double, top_k int"))
+    pick = lambda d: sorted((r["variant_id"], round(r["utility"], 6), r["rank"]) for r in d.collect())
+    assert pick(dp.dp_topk_sparse(gt, people, b, 50.0, 1)) == pick(dp.dp_topk(C.genotype_cells(gt, people), b, 50.0, 1))
+
+
+def test_private_fits_equal_numpy_at_every_scale(study):
+    """Noise is a function of seed and variant, so the same noisy sums solved one by one must give the same fits."""
+    people, gt, rows, _ = study
+    cells, moments = C.genotype_cells(gt, people), qc.variant_stats(gt, len(rows))
+    m, sd = people.agg(F.avg("age"), F.stddev_samp("age")).first()
+    sums = dp.dp_ols_sums(cells, moments, m, sd)
+    for eps in (0.01, 1.0, 1e9):
+        b = dp.budget_table(people.sparkSession.createDataFrame([(eps, 1e-6, 3)], "eps_total double, delta_total double, top_k int"))
+        scale = {k: F.lit(1.0) * v for k, v in dp.noise_scales(3.0, 50.0).items()}
+        names = [c for c in sums.columns if c == "yy" or c[:2] in ("t_", "s_")]
+        noisy = sums.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k")
+        draw = lambda c, i: K.uniform(1, f"ols-{c}-{i}", F.col("variant_id"))
+        noisy = {r["variant_id"]: r for r in noisy.select("variant_id", "n", *((F.col(c) + K.gaussian(draw(c, 0), draw(c, 1), scale["yy" if c == "yy" else c[0]])).alias(c) for c in names)).collect()}
+        for r in dp.dp_ols(sums, b, 1, ridge=10.0, y_clip=50.0).collect():
+            v = noisy[r["variant_id"]]
+            k = np.array([[v[f"s_{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)]) + 10 * np.eye(4)
+            low = np.linalg.eigvalsh(k)[0]
+            lift = next((x for x in 10.0 ** np.arange(-6, 2) if low + x > 0), None)
+            if lift is None:
+                w, u = np.linalg.eigh(k)
+                k = u @ np.diag(np.maximum(w, 1e-8)) @ u.T
+            else:
+                k = k + lift * np.eye(4)
+            t = np.array([v[f"t_{i}"] for i in range(4)])
+            beta = np.linalg.solve(k, t)
+            assert r["beta"] == pytest.approx(beta[1], rel=1e-3, abs=1e-9)
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
@@ -165,12 +232,12 @@ def test_entry_runs(spark):
 
 
 def test_scan_plan_has_partial_aggregation_and_broadcast(study):
-    people, gt, _, _ = study
+    people, gt = (store(d, "plan-test") for d in study[:2])  # tables whose size is known
     plan = gwas.gwas_linear(C.genotype_cells(gt, people))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "partial_sum" in plan and "CartesianProduct" not in plan
 
 
-def test_studies_hold_both_traits(spark, study):
+def test_studies_hold_both_traits(spark, study, tmp_path):
     from helixmill.jobs import studies
 
     people, gt, rows, g = study
@@ -186,6 +253,10 @@ def test_studies_hold_both_traits(spark, study):
     fed = federated.federated_gwas(C.genotype_cells(gt, federated.assign_sites(people, 2, 1), ["site"]), "binary")
     auc = federated.federated_auc(federated.federated_scores(fed, gt, federated.assign_sites(people, 2, 1), line=1.0)).first()["auc"]
     assert sorted(k) == ["BMI", "T2D"] and k["T2D"]["auc"] == pytest.approx(auc) and k["T2D"]["r2"] is None and k["BMI"]["r2"] is not None
-    runs = studies.run_to_run(gt, people, variants, variants, (1, 2), moments).collect()
+    path = str(tmp_path / "runs")
+    studies.run_to_run(gt, people, variants, variants, (1,), moments, path)
+    files = {f for f in (tmp_path / "runs").rglob("*.parquet")}
+    runs = studies.run_to_run(gt, people, variants, variants, (1, 2), moments, path).collect()
+    assert files <= set((tmp_path / "runs").rglob("*.parquet"))  # stored runs stay as they are
     assert sorted((r["method"], r["run"], r["trait"], r["rsid"]) for r in runs) == sorted((x, n, t, f"rs{v}") for x, ns in (("BASE", [0]), ("DP", [1, 2]), ("FED", [1, 2])) for n in ns for t in ("BMI", "T2D") for v in g)
     assert all(r["beta"] == pytest.approx(beta[r["trait"], r["rsid"]]) for r in runs if r["method"] == "BASE")

@@ -61,7 +61,7 @@ def test_ridge_with_a_large_budget_is_least_squares():
     y = x @ np.array([1.0, 2, 0, -1]) + r.normal(size=500)
     beta, se, sse = stats.ridge((x.T @ x)[None], (x.T @ y)[None], np.array([y @ y]), np.array([500]), 0.0)
     assert beta[0] == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0], abs=1e-6)
-    assert sse[0] == pytest.approx(float(((y - x @ beta) ** 2).sum()), rel=1e-6)
+    assert sse[0] == pytest.approx(float(((y - x @ beta[0]) ** 2).sum()), rel=1e-6)
 
 
 def test_noisy_sums_that_are_not_positive_are_mended():
