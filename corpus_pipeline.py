@@ -1,6 +1,11 @@
 """A corpus from raw documents to token ids: each stage is one operator of helixmill.llm.
 
 Stages hand over Parquet: each result is written to the shared folder and read again.
+
+Defined results: a null text counts as empty, so quality rules reject it; a null doc_id, lang
+or source is a value like others (near-dedup links no row without doc_id); of rows that repeat
+a doc_id, near-dedup keeps one; very long texts are worked on whole; an empty table gives an
+empty result; further columns pass all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.llm import cpsjoin, linededup, mixing, quality, spm
-from helixmill.llm.common import materialize
+from helixmill.llm.common import fresh, materialize
 
 #: A public SentencePiece model; the operator takes its path as a parameter.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -25,7 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents share."""
-    return linededup.dedup_lines(docs, min_docs=10).select(*docs.columns)
+    d = linededup.dedup_lines(docs, min_docs=10, n_lines=fresh("n_lines", docs), n_dropped=fresh("n_dropped", docs))
+    return d.select(*(d[c] for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.functions.stored import fresh_path
+
 #: White space as the contracts define it, for RE2, Java and Python patterns alike.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -23,25 +22,6 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where the session names none, it is the warehouse's, which a cluster shares as well; with a
-    master `local` all tasks run on this machine, and a temporary folder does.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
-    return _temporary()
-
-
-@functools.cache
-def _temporary() -> str:
-    return tempfile.mkdtemp(prefix="helixmill-")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
@@ -49,7 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     gives the next steps real sizes to plan with. `discard` removes it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.written_to = path

@@ -27,7 +27,8 @@ from helixmill.llm.common import chunks, text_or_empty
 SIZES = (1, 2, 3)
 BITS = 16
 UNKNOWN = "und"
-MOST_LANGUAGES = 256
+#: Languages times buckets; more languages share fewer buckets, so that the broadcast matrix is bounded.
+MOST_CELLS = 1 << 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,10 +81,10 @@ def train(labelled: DataFrame, docs_a_language: int = 4000, bits: int = BITS, sm
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("docs"))
-    per = {r["lang"]: r["docs"] for r in sizes.limit(MOST_LANGUAGES + 1).collect()}
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    per = {r["lang"]: r["docs"] for r in sizes.collect()}  # one row a language
     languages = sorted(per)
+    while bits > 4 and len(languages) << bits > MOST_CELLS:
+        bits -= 1
     if not languages:
         return Model([], np.zeros(0), np.zeros((1 << bits, 0)))
     share = F.create_map(*(F.lit(v) for k in languages for v in (k, min(1.0, docs_a_language / per[k]))))

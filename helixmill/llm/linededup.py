@@ -7,7 +7,8 @@ is put together again from the positions that are left.
 Defined results: a null or empty text is one empty line; empty keys are never dropped
 (min_key_chars is 1 or more); a text that loses all lines becomes empty; each row counts
 as a document of its own, also where a doc_id repeats; an empty table gives an empty
-result; further columns are kept as they are, whatever their names.
+result; further columns are kept as they are, but those that go by the names given for
+`n_lines` and `n_dropped` are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import bounded_broadcast, materialize
+from helixmill.llm.common import bounded_broadcast, fresh, materialize
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,14 +32,10 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _row_key() -> list[Column]:
-    return [F.col("doc_id").alias("_drop_id"), F.xxhash64("text").alias("_drop_text")]
-
-
 def _hashed(docs: DataFrame, min_key_chars: int) -> DataFrame:
-    """Row key, pos and a 128-bit hash of the key of each line that may be dropped."""
-    lines = docs.select(*_row_key(), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    return lines.where(F.char_length("key") >= max(1, min_key_chars)).select("_drop_id", "_drop_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    """drop_id and drop_text (doc_id and a hash of the text), pos and a 128-bit hash of the key of each line that may be dropped."""
+    lines = docs.select(F.col("doc_id").alias("drop_id"), F.xxhash64("text").alias("drop_text"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    return lines.where(F.char_length("key") >= max(1, min_key_chars)).select("drop_id", "drop_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def shared_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1) -> DataFrame:
@@ -55,17 +52,18 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1) ->
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """`docs` with the shared lines taken out of text, and the columns `n_lines` and `n_dropped`."""
+    docs = docs.drop(n_lines, n_dropped)
     shared = materialize(shared_lines(docs, min_docs, min_key_chars).select("h1", "h2"), "shared-lines")
     shared = bounded_broadcast(shared, shared.count())
-    drop = _hashed(docs, min_key_chars).join(shared, ["h1", "h2"]).groupBy("_drop_id", "_drop_text").agg(F.collect_set("pos").alias("_drop"))
+    drop = _hashed(docs, min_key_chars).join(shared, ["h1", "h2"]).groupBy("drop_id", "drop_text").agg(F.collect_set("pos").alias("drop"))
+    drop = drop.withColumnsRenamed({c: fresh(c, docs) for c in drop.columns})
+    drop_id, drop_text, gone = (drop[c] for c in drop.columns)
     lines = lines_of(docs["text"])
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop["_drop"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     rest = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")), 0)
-    text = F.when(drop["_drop"].isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(rest)
-    return docs.join(
-        drop.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs["text"]) == drop["_drop_text"]), "left"
-    ).select(
-        *(text.alias("text") if c == "text" else docs[c] for c in docs.columns),
+    text = F.when(gone.isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(rest)
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop_id) & (F.xxhash64(docs["text"]) == drop_text), "left").select(
+        *(text.alias(c) if c == "text" else docs[c] for c in docs.columns),
         F.size(lines).cast("long").alias(n_lines),
-        F.coalesce(F.size(drop["_drop"]), F.lit(0)).cast("long").alias(n_dropped),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped),
     )

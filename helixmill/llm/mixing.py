@@ -11,9 +11,9 @@ summed sizes say which documents are surely in or out; only the one bucket of ea
 in which the target is reached is sorted.
 
 Defined results: null text has size 0; a null source is a source of its own, the last in
-order; rows that repeat a doc_id are documents of their own (equal rows are
-interchangeable, of which some may be taken); documents of size 0 follow their key; an
-empty table gives an empty result; further columns are kept.
+order; rows that repeat a doc_id are documents of their own (rows of equal doc_id, source
+and text are interchangeable, of which some may be taken); documents of size 0 follow their
+key; an empty table gives an empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import WORD_RE, materialize
+from helixmill.llm.common import WORD_RE, bounded_broadcast, fresh, materialize
 
 CYCLE = (5, 2, 1)
 BUCKETS = 4096
@@ -80,8 +80,11 @@ def plan(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0,
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("end", F.sum("words").over(upto))
     # the first bucket of each source whose end goes beyond the rest, and what comes before it
+    t = bounded_broadcast(t, t.count())
     cut = sums.join(t, same(sums, t)).where(F.col("end") > F.col("rest")).groupBy(t["source"].alias("source")).agg(F.min("bucket").alias("cut"), F.min_by(F.col("end") - F.col("words"), "bucket").alias("before"))
     t = t.join(cut, same(t, cut), "left").select(t["source"].alias("t_source"), "source_size", "target", "epochs", "rest", F.coalesce("cut", F.lit(n)).alias("cut"), "before")
+    t = materialize(t, "mix-cuts")
+    t = bounded_broadcast(t, t.count())
     d = rows.join(t, rows["source"].eqNullSafe(t["t_source"]), "left").drop("t_source")
     sure = d.where(F.col("bucket") != F.col("cut")).withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
     w = Window.partitionBy("source").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
@@ -91,12 +94,33 @@ def plan(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0,
     return sure.unionByName(edge).select("doc_id", "source", "text_hash", "size", "source_size", "target", "epochs", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE, slices: int = 64) -> DataFrame:
     """The mixed rows of `docs`, each as often as the plan takes it, with the columns of `docs`.
 
-    Equal rows share their copies evenly; where that leaves a remainder they round up.
+    Rows of equal doc_id, source and text share their copies evenly; a remainder goes to the
+    first of them. Those are numbered in `slices`, so that one group is never in one task.
     """
-    p = plan(docs, seed, share, most, cycle).groupBy("doc_id", "source", "text_hash").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    p = p.where(F.col("_copies") > 0).withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source", "text_hash": "_mix_text"})
-    on = docs["doc_id"].eqNullSafe(p["_mix_id"]) & docs["source"].eqNullSafe(p["_mix_source"]) & (F.xxhash64(docs["text"]) == p["_mix_text"])
-    return docs.join(p.hint("shuffle_hash"), on).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    p = plan(docs, seed, share, most, cycle).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    p = p.where("copies > 0").select("doc_id", "source", "text_hash", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("more"))
+    p = materialize(p, "mix-copies")
+    p = p.withColumnsRenamed({c: fresh(c, docs) for c in p.columns})
+    mix_id, source, text_hash, each, more = p.columns
+    on = docs["doc_id"].eqNullSafe(p[mix_id]) & docs["source"].eqNullSafe(p[source]) & (F.xxhash64(docs["text"]) == p[text_hash])
+    copies = lambda d, n: d.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), n.cast("int"))).alias(each)).drop(each)
+    even, uneven = p.where(F.col(more) == 0), p.where(F.col(more) > 0)
+    out = copies(docs.join(even, on), F.col(each))
+    if uneven.isEmpty():
+        return out
+    rows = materialize(docs.join(uneven, on).withColumn(fresh("slice", docs, p), F.pmod(F.monotonically_increasing_id(), F.lit(slices))), "mix-repeated")
+    part = fresh("slice", docs, p)
+    key = [mix_id, source, text_hash]
+    sizes = rows.groupBy(*key, part).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = fresh("at", docs, p)
+    sizes = sizes.select(*(F.col(c).alias(fresh(f"s_{c}", docs, p)) for c in (*key, part)), before.alias(at))
+    same = [rows[c].eqNullSafe(sizes[s]) for c, s in zip((*key, part), sizes.columns)]
+    # numbers within a slice of a group; which of equal rows comes first does not matter
+    number = F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(0)))
+    d = rows.withColumn(fresh("number", docs, p), number).join(sizes, same)
+    n = F.col(each) + (F.col(at) + F.col(fresh("number", docs, p)) <= F.col(more)).cast("int")
+    return out.unionByName(copies(d.where(n > 0), n))

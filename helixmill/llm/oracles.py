@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from helixmill.llm import quality
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8 = rf"""
@@ -73,4 +75,53 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
+LN_GAMMA = repr(quality._LN_GAMMA)
+LOWEST = quality._LOWEST
+#: rule: (value, least spread, whether too low is also bad)
+RULES = {
+    "spw": ("n_symbols / n_words::DOUBLE", 0.05, False),
+    "dup": ("n_dup_lines / n_lines::DOUBLE", 0.1, False),
+    "rep": ("n_repeat_words / n_words::DOUBLE", 0.05, False),
+    "mean": ("word_chars / n_words::DOUBLE", 0.5, True),
+}
+
+
+def _fences(name: str, *keys: str) -> str:
+    """CTE with the quartiles of the sketches merged by `keys` and rule."""
+    k = ", ".join([*keys, "rule"])
+    value = f"CASE WHEN b <= {LOWEST} THEN 0.0 ELSE 2 * exp(b * {LN_GAMMA}) / (exp({LN_GAMMA}) + 1) END"
+    quartile = lambda q: f"min(CASE WHEN upto >= {q} * total THEN b END)"
+    return f"""{name} AS (SELECT {k}, total, {value.replace('b ', 'b1 ')} AS q1, {value.replace('b ', 'b3 ')} AS q3 FROM (SELECT {k}, max(total) AS total, {quartile(0.25)} AS b1, {quartile(0.75)} AS b3 FROM
+  (SELECT *, sum(n) OVER (PARTITION BY {k} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {k}) AS total FROM (SELECT {k}, b, sum(n) AS n FROM sk GROUP BY {k}, b) z) y GROUP BY {k}) x)"""
+
+
+def _inside() -> str:
+    out = []
+    for k, (x, _, both) in RULES.items():
+        out.append(f"coalesce(({x}) <= {k}_high, TRUE)" + (f" AND coalesce(({x}) >= {k}_low, TRUE)" if both else ""))
+    return " AND ".join(out)
+
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS a FROM documents),
+g AS (SELECT doc_id, i, list_slice(a, i, i + 4) AS k FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM d WHERE len(a) > 4) z),
+r AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) z CROSS JOIN (SELECT unnest(range(0, 5)) AS o) q WHERE c > 1),
+rn AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+li AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) z WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, lang, source, len(a)::BIGINT AS n_words, coalesce(list_sum(list_transform(a, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(li.dup, 0)::BIGINT AS n_dup_lines, nullif(coalesce(li.n, 0), 0) AS n_lines, coalesce(rn.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN li ON li.doc_id = d.doc_id LEFT JOIN rn ON rn.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+x AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS rule, {e} AS x FROM f WHERE NOT base_failed" for k, (e, _, _) in RULES.items())}),
+sk AS (SELECT lang, source, rule, CASE WHEN x <= 1e-6 THEN {LOWEST} ELSE ceil(ln(x) / {LN_GAMMA})::INT END AS b, count(*) AS n FROM x WHERE x IS NOT NULL GROUP BY ALL),
+{_fences("own", "lang", "source")},
+{_fences("bylang", "lang")},
+{_fences("byall")},
+p AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= 100 THEN o.q1 WHEN l.total >= 100 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.total >= 100 THEN o.q3 WHEN l.total >= 100 THEN l.q3 ELSE e.q3 END AS q3
+  FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN byall e ON e.rule = o.rule),
+s AS (SELECT *, 4 * greatest(q3 - q1, CASE rule {' '.join(f"WHEN '{k}' THEN {s}" for k, (_, s, _) in RULES.items())} END) AS spread FROM p),
+v AS (SELECT lang, source, {', '.join(f"max(q3 + spread) FILTER (WHERE rule = '{k}') AS {k}_high, max(q1 - spread) FILTER (WHERE rule = '{k}') AS {k}_low" for k in RULES)} FROM s GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_inside()} AS kept
+FROM f LEFT JOIN v ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}

@@ -59,7 +59,7 @@ NEAR = 40
 WORD = re.compile(r"[A-Za-z-]+")
 
 LABELERS = ("shape", "checksum", "ending", "name", "context_for", "context_against")
-FEATURES = ("has_plus", "has_at", "separators", "digits_9_11", "digits_12_19", "luhn", "grouped", "near_word")
+FEATURES = ("has_plus", "has_at", "separators", "digits_9_11", "digits_12_19", "luhn", "grouped", "near_word", "known_ending", "near_name", "near_against")
 
 Span = tuple[int, int, str]
 
@@ -132,7 +132,7 @@ def votes_and_features(text: str, span: Span) -> tuple[int, int]:
     for v in (shape, checksum, ending, name, context_for, context_against):
         vote = 3 * vote + v
     feature = 0
-    for f in (s.startswith("+"), mail, any(c in " ().-" for c in s), 9 <= len(digits) <= 11, 12 <= len(digits) <= 19, checked, grouped, context_for == 2):
+    for f in (s.startswith("+"), mail, any(c in " ().-" for c in s), 9 <= len(digits) <= 11, 12 <= len(digits) <= 19, checked, grouped, context_for == 2, ending == 2, name == 2, context_against == 1):
         feature = 2 * feature + f
     return vote, feature
 

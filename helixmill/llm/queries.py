@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("doc_id", "text")
-    return spm.round_trip(d, SPM_MODEL).select("doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip")
+    return spm.round_trip(d, SPM_MODEL, verify=True).select("doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip", "same_ids", "same_text")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

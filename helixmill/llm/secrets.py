@@ -1,8 +1,8 @@
 """Secret scans by character Markov models (operator 6).
 
-Fixed patterns find the base spans. Beside them, long tokens are judged by two first-order
-character Markov models, of random strings and of ordinary identifiers: a token whose
-log-likelihood ratio is high enough is a span of kind `random`. The models are trained from
+Fixed patterns find the base spans. Beside them, all tokens of 12 characters or more are judged
+by two first-order character Markov models, of random strings and of ordinary identifiers: a
+token whose log-likelihood ratio is high enough is a span of kind `random`. The models are trained from
 labelled samples: base matches of a bounded sample of documents and seeded random strings
 against the other tokens of those documents.
 
@@ -32,7 +32,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-LEAST_TOKEN = 20
+LEAST_TOKEN = 12
+LONG = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}")
 #: RE2 patterns that every text with a match of the kind has.
 HINTS = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
@@ -84,15 +85,11 @@ def _steps(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return c[:-1] * (EDGE + 1) + c[1:], token[:-1]
 
 
-def _mixed(token: str) -> bool:
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-
-
 def random_strings(n: int = 3000, seed: int = 6) -> list[str]:
     """Labelled samples of random strings over the usual alphabets."""
     r = random.Random(seed)
     alphabets = (string.digits + "abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-")
-    return ["".join(r.choices(alphabets[i % len(alphabets)], k=r.randint(20, 48))) for i in range(n)]
+    return ["".join(r.choices(alphabets[i % len(alphabets)], k=r.randint(LEAST_TOKEN, 48))) for i in range(n)]
 
 
 def train(docs: DataFrame, sample_docs: int = 5000, smoothing: float = 0.5, backoff: float = 5.0) -> np.ndarray:
@@ -152,7 +149,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, least: float = 12.0, least_a_char:
                     base = base_spans(text, {k for k in KINDS if hints[k][i]})
                     more: list[Span] = []
                     if hints["random"][i]:
-                        more = _free([(*m.span(), "random") for m in TOKEN.finditer(text) if m.end() - m.start() >= LEAST_TOKEN and _mixed(m[0])], base)
+                        more = _free([(*m.span(), "random") for m in LONG.finditer(text)], base)
                         value = scores([text[x:y] for x, y, _ in more], shared.value)
                         more = [s for s, v in zip(more, value) if v >= max(least, least_a_char * (s[1] - s[0]))]
                     for s in (*base, *more):

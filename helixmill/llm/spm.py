@@ -4,11 +4,12 @@ The model file is a protobuf; its pieces, scores, normaliser and byte fallback a
 from the wire format and rebuilt as a tokenizers backend: unigram models from their scores,
 BPE models from merges in order of the scores of their results. White space becomes the
 marker U+2581. Ids are decoded by joining the bytes of their pieces in Arrow; where that is
-no text, or there are control pieces, by the backend. `parity` holds ids and decoded texts against the sentencepiece library
-itself.
+no text, or there are control pieces, by the backend. `parity`, and `round_trip`
+on request, hold ids and decoded texts against the sentencepiece library itself.
 
-Defined results: null text is empty and has no ids; equal rows give equal results; an
-empty table gives an empty result; further columns are kept by `encode` and `decode`.
+Defined results: null text is empty and has no ids; null ids stand for an empty text; equal
+rows give equal results; an empty table gives an empty result; further columns are kept, but
+a column that goes by the name of a new one (in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from helixmill.llm.common import chunks, text_or_empty
 from helixmill.llm.tokens import ENCODE_BYTES, once, shared_file, use_threads
 
 MARKER = "▁"
+#: A code point that is no character, and is set before pieces that stand for no text.
+UNMATCHED = "\ufdd0"
 #: Fixed values of the model format: model types, and types of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -105,8 +109,11 @@ def build(data: bytes) -> Tokenizer:
         # texts must not match control pieces, so those are not in any merge
         model = models.BPE(vocab=every, merges=_merges(m, usable), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     elif m.kind == UNIGRAM:
-        low = min(s for _, s, _ in m.pieces) - 1e6
-        model = models.Unigram([(p, s if t in (NORMAL, USER_DEFINED) else low) for p, s, t in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback)
+        # the library takes the cost of unknown characters from the least score of normal pieces; pieces
+        # that no text may match go by names that no text has, and byte pieces are kept from it below
+        low = min((s for _, s, t in m.pieces if t == NORMAL), default=0.0)
+        scored = [(p, s) if t in (NORMAL, USER_DEFINED) else (p if t == BYTE else f"{UNMATCHED}{p}", low) for p, s, t in m.pieces]
+        model = models.Unigram(scored, unk_id=unknown, byte_fallback=m.byte_fallback)
     else:
         raise ValueError(f"model type {m.kind} is neither unigram nor BPE")
     t = Tokenizer(model)
@@ -119,6 +126,8 @@ def build(data: bytes) -> Tokenizer:
         steps.append(normalizers.Replace(" ", MARKER))
     if steps:
         t.normalizer = normalizers.Sequence(steps)
+    if m.kind == UNIGRAM and m.byte_fallback:
+        t.pre_tokenizer = pre_tokenizers.Split(Regex("<(?=0x[0-9A-F]{2}>)"), "isolated")
     undo: list = [decoders.Replace(MARKER, " ")] if m.escape_spaces else []
     undo += [decoders.ByteFallback(), decoders.Fuse()]
     if m.dummy_prefix:
@@ -129,7 +138,7 @@ def build(data: bytes) -> Tokenizer:
 
 def encode(docs: DataFrame, model_path: str, threads: int = 2, ids: str = "ids") -> DataFrame:
     """`docs` with a column of token ids of each whole text."""
-    data = shared_file(docs.sparkSession, model_path)
+    docs, data = docs.drop(ids), shared_file(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
@@ -192,7 +201,7 @@ def _parts(b: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa
 
 def decode(encoded: DataFrame, model_path: str, threads: int = 2, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`encoded` with the text that each row's ids stand for."""
-    data = shared_file(encoded.sparkSession, model_path)
+    encoded, data = encoded.drop(text), shared_file(encoded.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
@@ -204,12 +213,21 @@ def decode(encoded: DataFrame, model_path: str, threads: int = 2, ids: str = "id
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
 
 
-def round_trip(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
+def _library(data: bytes) -> Any:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def round_trip(docs: DataFrame, model_path: str, threads: int = 2, verify: bool = False) -> DataFrame:
     """`docs` with ids, n_tokens, decoded_sha256 and round_trip, which says if decoding gives the text again.
 
-    Encodes and decodes in one pass, so that decoded texts never leave the task.
+    Encodes and decodes in one pass, so that decoded texts never leave the task. With `verify`,
+    same_ids and same_text say whether the sentencepiece library finds the same ids and reads them alike.
     """
-    data = shared_file(docs.sparkSession, model_path)
+    verdicts = ", same_ids boolean, same_text boolean" if verify else ""
+    more = T.StructType.fromDDL(f"ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean{verdicts}")
+    docs, data = docs.drop(*more.names), shared_file(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
@@ -217,14 +235,20 @@ def round_trip(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
         for whole in batches:
             for b in chunks(whole, "text", ENCODE_BYTES):
                 texts = text_or_empty(b.column("text"))
-                ids = pa.array([e.ids for e in backend.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+                said = texts.to_pylist()
+                found = [e.ids for e in backend.encode_batch_fast(said, add_special_tokens=False)]
+                ids = pa.array(found, pa.list_(pa.int32()))
                 decoded = decoder(ids, backend)
                 digest = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string())
                 new = [ids, pc.list_value_length(ids).cast(pa.int64()), digest, pc.equal(decoded, texts)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "ids", "n_tokens", "decoded_sha256", "round_trip"])
+                if verify:
+                    library = once("spm-library", data.value, _library)
+                    same_ids = [x == y for x, y in zip(found, library.encode(said, num_threads=threads))]
+                    same_text = [x == y for x, y in zip(decoded.to_pylist(), library.decode(found, num_threads=threads))]
+                    new += [pa.array(same_ids, pa.bool_()), pa.array(same_text, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *more.names])
 
-    more = "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more.fields]))
 
 
 def parity(docs: DataFrame, model_path: str) -> DataFrame:
@@ -232,9 +256,7 @@ def parity(docs: DataFrame, model_path: str) -> DataFrame:
     data = shared_file(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        own, other = once("spm", data.value, build), sentencepiece.SentencePieceProcessor(model_proto=data.value)
+        own, other = once("spm", data.value, build), once("spm-library", data.value, _library)
         for b in batches:
             texts = text_or_empty(b.column("text")).to_pylist()
             a, c = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)], other.encode(texts, num_threads=1)
