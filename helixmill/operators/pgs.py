@@ -76,14 +76,14 @@ def seeded_sample(df: DataFrame, k: int, seed: int, key: str, by: Sequence[str]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(u, key))).where(F.col("_r") <= k).drop("_r")
 
 
-def genetic_component(genotypes: DataFrame, variants: DataFrame, weights: DataFrame, people: DataFrame, mode: str, seed: int = 1, k: int = 300) -> DataFrame:
-    """sample_id and score_z: from catalog weights (PGS), seeded variants outside the score (SPARSE), or nothing (NULL)."""
+def genetic_component(genotypes: DataFrame, variants: DataFrame, weights: DataFrame, people: DataFrame, mode: str, seed: int = 1, k: int = 300, least: int = 500) -> DataFrame:
+    """sample_id and score_z: from catalog weights (PGS), `k` seeded variants outside the score (SPARSE), or nothing (NULL)."""
     if mode == "NULL":
         return people.select("sample_id", F.lit(0.0).alias("score_z"))
     if mode == "PGS":
         w = collapse_weights(weights).join(variants.select("rsid", "variant_id"), "rsid").select("variant_id", "weight")
     elif mode == "SPARSE":
-        pool = seeded_sample(non_score_variants(variants, weights), k, seed, "variant_id").select("variant_id")
+        pool = seeded_sample(non_score_variants(variants, weights, least), k, seed, "variant_id").select("variant_id")
         w = pool.withColumn("weight", gaussian(uniform(seed, "effect-u", F.col("variant_id")), uniform(seed, "effect-v", F.col("variant_id")), 0.1))
     else:
         raise ValueError(f"no mode {mode}")

@@ -544,10 +544,7 @@ def a29_regression_line(s: SparkSession, d: str) -> DataFrame:
 e AS (SELECT variant_id, 0.1 * sqrt(-2 * ln({uniform_sql('effect-u', 'variant_id')})) * cos(2 * pi() * {uniform_sql('effect-v', 'variant_id')}) AS weight FROM pool)""")
 def a30_genetic_component(s: SparkSession, d: str) -> DataFrame:
     v, w, g, p = views(s, d, "variants", "weights", "genotypes", "people")
-    pool = pgs.seeded_sample(harmonize.non_score_variants(v, w, least=10), 20, SEED, "variant_id").select("variant_id")
-    effects = pool.withColumn("weight", K.gaussian(K.uniform(SEED, "effect-u", F.col("variant_id")), K.uniform(SEED, "effect-v", F.col("variant_id")), 0.1))
-    sc = pgs.pgs_score(g, effects.withColumn("trait", F.lit("SPARSE")), p)
-    return K.standard_score(sc, "score", "score_z").select("sample_id", "score_z")
+    return pgs.genetic_component(g, v, w, p, "SPARSE", SEED, k=20, least=10)
 
 
 # ---------------------------------------------------------------- windows, sorts and samples

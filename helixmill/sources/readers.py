@@ -1,7 +1,7 @@
 """Readers of score files, panels, VCF, GEN and haplotype text, as DataFrames in narrow tables.
 
-Text formats are split by Spark; land them as Parquet (`land`) before the scans, since a
-gzipped file is read by one task.
+Text formats are split by Spark; store them as Parquet (`functions.stored`) before the
+scans, since a gzipped file is read by one task.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from helixmill.functions.columns import broadcast_if_small
 from helixmill.operators.qc import normalize_columns
 
-WEIGHTS = "chr_name string, rsid string, effect_allele string, effect_weight double"
-
 
 def read_pgs_weights(spark: SparkSession, path: str, trait: str) -> DataFrame:
     """trait, line, chr_name, rsid, effect_allele and effect_weight of tab-separated score files with comments; lines are counted over all files."""
