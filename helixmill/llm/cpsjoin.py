@@ -13,8 +13,10 @@ in three passes, so that a group of many copies costs a few confirmations a memb
 
 1. Each member offers its most similar partner among those before it in a fixed random order;
    in large nodes, among a few leaders. Confirmed links form components.
-2. Each member offers its most similar partner of each other component that it has a candidate in.
-3. Where such a pair was no link, the member is held against that whole component, in blocks.
+2. Each member offers its most similar partner in any other component.
+3. The members that still have a candidate in another component are held against each other
+   on their full sets, node by node, in blocks where nodes are large. Only links that join
+   components leave a node, so no pass writes more than a row or two for each member of a node.
 
 A large node mostly within one component would stay together on every level, so it is
 compared at once instead: the members outside the component with all of the node. So is any
@@ -166,6 +168,7 @@ class _Members:
         column = t.field if isinstance(t, pa.StructArray) else t.column
         names = [f.name for f in t.type] if isinstance(t, pa.StructArray) else t.schema.names
         self.rep, self.n = column("rep").to_numpy(), column("n").to_numpy()
+        self.node = column("node").to_numpy() if "node" in names else self.rep
         self.label = column("label").to_numpy() if "label" in names else self.rep
         self.short = _tokens(column("short"), np.uint8)
 
@@ -237,19 +240,26 @@ def _offer_leaders(similarity: float, margin: float) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _across(x: _Members, i: np.ndarray, y: _Members, j: np.ndarray, near: np.ndarray) -> dict[str, pa.Array]:
-    """Each member's most similar partner of each other component, for pairs seen from both ends."""
-    rep, label, n = np.concatenate([x.rep[i], y.rep[j]]), np.concatenate([x.label[i], y.label[j]]), np.concatenate([near, near])
-    partner, other = np.concatenate([y.rep[j], x.rep[i]]), np.concatenate([y.label[j], x.label[i]])
-    best = _best([rep, other], n, partner)
-    return {"rep": pa.array(rep[best]), "label": pa.array(label[best]), "other": pa.array(other[best]), "partner": pa.array(partner[best]), "near": pa.array(n[best])}
+OFFER = "rep long, partner long, near float"
+FLAG = "node long, rep long, n long"
+Report = Callable[["_Members", np.ndarray, "_Members", np.ndarray, np.ndarray], dict[str, pa.Array]]
 
 
-ACROSS = "rep long, label long, other long, partner long, near float"
+def _offer(x: _Members, i: np.ndarray, y: _Members, j: np.ndarray, near: np.ndarray) -> dict[str, pa.Array]:
+    """OFFER: each member's most similar partner of another component, for pairs seen from both ends."""
+    rep, partner, near = np.concatenate([x.rep[i], y.rep[j]]), np.concatenate([y.rep[j], x.rep[i]]), np.concatenate([near, near])
+    best = _best([rep], near, partner)
+    return {"rep": pa.array(rep[best]), "partner": pa.array(partner[best]), "near": pa.array(near[best])}
 
 
-def _across_small(similarity: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """ACROSS for nodes whose members come as lists."""
+def _flag(x: _Members, i: np.ndarray, y: _Members, j: np.ndarray, near: np.ndarray) -> dict[str, pa.Array]:
+    """FLAG: the members of each node that have a candidate of another component in it."""
+    a, b = np.unique(i), np.unique(j)
+    return {c: pa.array(np.concatenate([getattr(x, c)[a], getattr(y, c)[b]])) for c in ("node", "rep", "n")}
+
+
+def _across_small(similarity: float, margin: float, report: Report) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `report` says of the candidates of different components in nodes whose members come as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,23 +269,22 @@ def _across_small(similarity: float, margin: float) -> Callable[[Iterator[pa.Rec
                 differ = m.label[i] != m.label[j]
                 i, j = i[differ], j[differ]
                 ok, near = m.alike(i, m, j, similarity, margin)
-                yield pa.RecordBatch.from_pydict(_across(m, i[ok], m, j[ok], near))
+                yield pa.RecordBatch.from_pydict(report(m, i[ok], m, j[ok], near))
 
     return run
 
 
-def _across_blocks(similarity: float, margin: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """ACROSS for a block of a node's members and some members outside its largest component."""
+def _across_blocks(similarity: float, margin: float, report: Report) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As `_across_small`, for a block of a node's members and some members outside its largest component."""
 
     def run(block: pa.Table, outside: pa.Table) -> pa.Table:
         x, y = (_Members(t.combine_chunks()) for t in (block, outside.rename_columns([c.removeprefix("x_") for c in outside.column_names])))
-        i, j, near = [], [], []
+        i, j, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for at in range(len(y.rep)):
             a = np.flatnonzero(x.label != y.label[at])
             ok, share = x.alike(a, y, np.full(len(a), at), similarity, margin)
             i.append(a[ok]), j.append(np.full(len(ok), at)), near.append(share)
-        none = np.zeros(0, np.int64)
-        return pa.table(_across(x, np.concatenate([none, *i]), y, np.concatenate([none, *j]), np.concatenate([none.astype(np.float32), *near])))
+        return pa.table(report(x, np.concatenate(i), y, np.concatenate(j), np.concatenate(near)))
 
     return run
 
@@ -310,7 +319,9 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets x with all sets y: a product of incidence matrices."""
-    shingles = np.unique(np.concatenate([*y, np.zeros(0, np.uint64)]))
+    shingles = np.unique(np.concatenate(y)) if y else np.zeros(0)
+    if not len(shingles) or not x:
+        return np.zeros((len(x), len(y)), np.float32)
 
     def incidence(sets: list[np.ndarray]) -> np.ndarray:
         flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
@@ -359,9 +370,13 @@ class _State:
             x, y = sets.select(F.col("rep").alias("a"), F.col("full").alias("x")), sets.select(F.col("rep").alias("b"), F.col("full").alias("y"))
             self.link(new.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long"))
 
+    def test_best(self, offers: DataFrame) -> None:
+        """`test` the most similar partner that each rep was offered."""
+        best = offers.groupBy("rep").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
+        self.test(best.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
+
     def link(self, links: DataFrame) -> None:
         """Merge components by confirmed links (a, b)."""
-        links = self.scratch(links, "links")
         ends = self.labelled(self.labelled(links, "a", "x"), "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         moved = components(ends)
         if moved is not None:
@@ -379,9 +394,9 @@ def _leaders(p: DataFrame, most: int) -> DataFrame:
 
 
 def _mixed(p: DataFrame) -> DataFrame:
-    """node, size, main and outside of the nodes of several components: the largest one, and the members out of it."""
-    sizes = p.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
-    d = sizes.agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
+    """node, size, shingles, main and outside of the nodes of several components: the largest one, and the members out of it."""
+    sizes = p.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("node")
+    d = sizes.agg(F.sum("c").alias("size"), F.sum("s").alias("shingles"), F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
     return d.where("outside > 0")
 
 
@@ -401,65 +416,135 @@ def _every(n: str, block: int) -> Column:
     return F.explode(F.sequence(F.lit(0), _parts(n, block) - 1))
 
 
-def _blocks(p: DataFrame, how: Callable[[pa.Table, pa.Table], pa.Table], block: int = 1024) -> DataFrame:
-    """ACROSS for nodes of any size, given the members of mixed nodes: those outside the largest component against all.
+def _blocks(p: DataFrame, how: Callable[[pa.Table, pa.Table], pa.Table], cols: tuple[str, ...], schema: str, block: int = 1024) -> DataFrame:
+    """What `how` gives for mixed nodes of any size: the members outside the largest component against all.
 
     Both are dealt in blocks of about `block` members, and each pair of blocks is a group of its own.
     """
-    keys, cols = ["node", "one", "two"], ["rep", "n", "short", "label"]
+    keys = ["node", "one", "two"]
     members = p.withColumn("one", _part("size", block)).withColumn("two", _every("outside", block)).select(*keys, *cols)
     outside = p.where("label <> main").withColumn("two", _part("outside", block)).withColumn("one", _every("size", block))
     outside = outside.select(*(F.col(c).alias(f"x_{c}") for c in (*keys, *cols)))
-    return members.groupBy(*keys).cogroup(outside.groupBy(*(f"x_{c}" for c in keys))).applyInArrow(how, ACROSS)
-
-
-def _exact_block(percent: int, chunk: int = 16, cells: int = 8_000_000) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block of a component's members and some others: a link of each of the others to it, if any."""
-
-    def run(block: pa.Table, others: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        if block.num_rows and others.num_rows:
-            sets, against = ([np.frombuffer(v, np.uint64) for v in t[c].to_pylist()] for t, c in ((block, "full"), (others, "x_full")))
-            size, rep, o_rep = np.array([len(v) for v in sets]), block["rep"].to_numpy(), others["x_rep"].to_numpy()
-            for lo in range(0, len(against), chunk):
-                part = against[lo : lo + chunk]
-                step = max(1, cells // max(1, sum(map(len, part))))
-                for at in range(0, len(sets), step):
-                    both = _shared(sets[at : at + step], part)
-                    ok = 100 * both >= percent * (size[at : at + step, None] + np.array([len(v) for v in part]) - both)
-                    j = np.flatnonzero(ok.any(0))
-                    out += zip(rep[at + ok.argmax(0)[j]].tolist(), o_rep[lo + j].tolist())
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return members.groupBy(*keys).cogroup(outside.groupBy(*(f"x_{c}" for c in keys))).applyInArrow(how, schema)
+
+
+class _Merged:
+    """Components of a node as links join them."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while label in self.up:
+            label = self.up[label]
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether that is news."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class _Sets:
+    """The full sets of members of a node, and which nodes before it each of them is in."""
+
+    columns = ("node", "nodes", "rep", "label", "full")
+
+    def __init__(self, node: pa.Array, nodes: pa.Array, rep: pa.Array, label: pa.Array, full: pa.Array) -> None:
+        self.rep, self.label, self.sets = rep.to_numpy(), label.to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in full]
+        self.size = np.array([len(v) for v in self.sets])
+        self.before = [(lambda a: a[a < v])(n.values.to_numpy()) for v, n in zip(node.to_numpy(), nodes)]
+
+
+def _links(x: _Sets, y: _Sets, percent: int, chunk: int = 16, cells: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Links between members of `x` and `y` of different components, and of these only such as join components that no earlier one did.
+
+    A pair that meets in several nodes is held against each other in the first of them alone.
+    """
+    merged = _Merged()
+    for lo in range(0, len(y.sets), chunk):
+        part, size, label = y.sets[lo : lo + chunk], y.size[lo : lo + chunk], y.label[lo : lo + chunk]
+        step = max(1, cells // max(1, int(size.sum())))
+        new = (x.label[:, None] != label) & (_shared(x.before, y.before[lo : lo + chunk]) == 0)
+        rows = np.flatnonzero(new.any(1))
+        for at in range(0, len(rows), step):
+            i = rows[at : at + step]
+            both = _shared([x.sets[k] for k in i], part)
+            ok = (100 * both >= percent * (x.size[i, None] + size - both)) & new[i]
+            for k, j in np.argwhere(ok):
+                if merged.join(int(x.label[i[k]]), int(label[j])):
+                    yield int(x.rep[i[k]]), int(y.rep[lo + j])
+
+
+LINK = "a long, b long"
+
+
+def _link_table(found: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {c: pa.array([link[k] for link in found], pa.int64()) for k, c in enumerate("ab")}
+
+
+def _exact_small(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The links of nodes whose members come as lists with their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for members in b.column("members"):
+                m = _Sets(*(members.values.field(c) for c in _Sets.columns))
+                found += _links(m, m, percent)
+            yield pa.RecordBatch.from_pydict(_link_table(found))
 
     return run
 
 
-def _against_components(state: _State, left: DataFrame, members: DataFrame, block: int = 256) -> DataFrame:
-    """Links (a, b) between each `rep` of `left` (rep, other) and the members (other, rep) of that component."""
-    n = left.groupBy("other").agg(F.count("*").alias("n_left")).join(members.groupBy("other").agg(F.count("*").alias("n_in")), "other")
-    left, members = state.scratch(left.join(n, "other"), "outsiders"), state.scratch(members.join(n, "other"), "insiders")
-    sets = state.full(left.select("rep").unionByName(members.select("rep")))
-    left, members = left.join(sets, "rep"), members.join(sets, "rep")
-    keys = ["other", "one", "two"]
-    inside = members.withColumn("one", _part("n_in", block)).withColumn("two", _every("n_left", block)).select(*keys, "rep", "full")
-    outside = left.withColumn("two", _part("n_left", block)).withColumn("one", _every("n_in", block))
-    outside = outside.select(*(F.col(c).alias(f"x_{c}") for c in (*keys, "rep", "full")))
-    return inside.groupBy(*keys).cogroup(outside.groupBy(*(f"x_{c}" for c in keys))).applyInArrow(_exact_block(state.percent), "a long, b long")
+def _exact_block(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The links between a block of a node's members and some members outside its largest component."""
+
+    def run(block: pa.Table, outside: pa.Table) -> pa.Table:
+        x, y = (_Sets(*(t.column(f"{p}{c}").combine_chunks() for c in _Sets.columns)) for p, t in (("", block), ("x_", outside)))
+        return pa.table(_link_table(list(_links(x, y, percent))))
+
+    return run
+
+
+def _confirm_within(state: _State, flagged: DataFrame, small: int) -> None:
+    """Hold all flagged members (node, rep, n) of a node that are of different components against each other on full sets, and link."""
+    p = state.scratch(state.labelled(flagged.distinct()), "flagged")
+    own = _mixed(p).withColumnRenamed("node", "m_node")
+    p = state.scratch(p.join(own, p["node"] == own["m_node"]).drop("m_node"), "flagged")
+    if p.isEmpty():
+        return
+    nodes = p.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+    p = p.join(state.full(p).join(nodes, "rep"), "rep")
+    few = _listed(p.where(F.col("size") <= small), *_Sets.columns).mapInArrow(_exact_small(state.percent), LINK)
+    # blocks are bounded by their members and by their shingles
+    by = lambda c: F.greatest(F.col(c), F.ceil(F.col("shingles") / 4000))
+    many = p.where(F.col("size") > small).withColumns({"size": by("size"), "outside": by("outside")})
+    state.link(few.unionByName(_blocks(many, _exact_block(state.percent), ("nodes", "rep", "label", "full"), LINK, 512)))
+
+
+def _across(p: DataFrame, similarity: float, margin: float, small: int, report: Report, schema: str) -> DataFrame:
+    """What `report` says of the candidates between components in mixed nodes (node, size, main, outside, rep, n, short, label)."""
+    few, large = p.where(F.col("size") <= small), p.where(F.col("size") > small)
+    found = _listed(few, "node", "rep", "n", "short", "label").mapInArrow(_across_small(similarity, margin, report), schema)
+    return found.unionByName(_blocks(large, _across_blocks(similarity, margin, report), ("rep", "n", "short", "label"), schema))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, most_depth: int = 8, small: int = 64, leaders: int = 8, margin: float = 0.18) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, most_depth: int = 8, small: int = 64, few_enough: int = 4096, leaders: int = 8, margin: float = 0.18) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs`.
 
     Links are pairs with 100 * intersection >= percent * union of their sets of k-word
     shingles; component_id is the least doc_id reachable by links. A pair at the limit still
     shares a node of a tree after three levels with a chance of 0.58, and ten trees miss
-    it with one of 0.0002; nodes of more than `small` members go deeper, down to `most_depth`
-    levels, where ten trees miss it with a chance of 0.005. `margin` is 3.5 standard
+    it with one of 0.0002; nodes of more than `small` members go one level deeper, and those of
+    more than `few_enough` on, down to `most_depth` levels, where ten trees miss it with a
+    chance of 0.005. `margin` is 3.5 standard
     deviations of the estimate from 64 tokens.
     """
     with small_batches(docs.sparkSession):
-        rows, classes, labels = _join(docs, k, percent, trees, depth, most_depth, small, leaders, margin)
+        rows, classes, labels = _join(docs, k, percent, trees, depth, most_depth, small, few_enough, leaders, margin)
     # a set that only one unlinked document has says nothing new
     named = labels.withColumnsRenamed({"node": "l_node"})
     known = classes.join(named, classes["rep"] == named["l_node"], "left").select("h1", "h2", "copies", "rep", F.coalesce("component", "rep").alias("component"))
@@ -469,7 +554,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     return d.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _join(docs: DataFrame, k: int, percent: int, trees: int, depth: int, most_depth: int, small: int, leaders: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _join(docs: DataFrame, k: int, percent: int, trees: int, depth: int, most_depth: int, small: int, few_enough: int, leaders: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The embedded rows (without tokens), the classes (h1, h2, rep, copies) and the component of each linked representative."""
     similarity = percent / 100
     state = _State(docs, k, percent)
@@ -479,52 +564,40 @@ def _join(docs: DataFrame, k: int, percent: int, trees: int, depth: int, most_de
     reps = classes.select("rep", "n", "sig")
     short = reps.mapInArrow(_sketch, "rep long, n long, short binary")
     _link_repeated_ids(state, known, classes)
-    offers = (_offer_before(similarity, margin), _offer_leaders(similarity, margin), "rep long, partner long, near float")
-    across = []
+    offers, kept = [], []
     paths = state.scratch(reps.mapInArrow(_paths(trees, depth, similarity), "node long, rep long"), "paths")
     for level in range(depth, most_depth + 1):
         sizes = paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("node", "s_node")
-        sizes = state.scratch(sizes, "sizes")
         met = paths.join(sizes, paths["node"] == sizes["s_node"]).drop("s_node")
         met = state.scratch(met.join(short, "rep").select("node", "size", "rep", "n", "short", *(["label"] if level > depth else [])), "met")
-        discard(paths, sizes)
+        discard(paths)
         if level == depth:
-            few = _listed(met.where(F.col("size") <= small), "rep", "n", "short").mapInArrow(offers[0], offers[2])
+            few = _listed(met.where(F.col("size") <= small), "rep", "n", "short").mapInArrow(_offer_before(similarity, margin), OFFER)
             large = met.where(F.col("size") > small)
-            many = large.join(_leaders(large, leaders), "node").select("rep", "n", "short", "leaders").mapInArrow(offers[1], offers[2])
-            best = few.unionByName(many).groupBy("rep").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
-            state.test(best.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
+            many = large.join(_leaders(large, leaders), "node").select("rep", "n", "short", "leaders").mapInArrow(_offer_leaders(similarity, margin), OFFER)
+            state.test_best(few.unionByName(many))
             short = state.scratch(state.labelled(short), "tagged")
             bare, met = met, state.scratch(state.labelled(met), "met")
             discard(bare)
-        mixed = state.scratch(_mixed(met), "mixed")
-        own = mixed.select(F.col("node").alias("m_node"), "main", "outside")
-        met_mixed = state.scratch(met.join(own, met["node"] == own["m_node"]).drop("m_node"), "mixed")
-        discard(met, mixed)
-        few, large = met_mixed.where(F.col("size") <= small), met_mixed.where(F.col("size") > small)
-        dense = F.col("outside") <= F.greatest(F.lit(small), F.col("size") / 4) if level < most_depth else F.lit(True)
-        found = _listed(few, "rep", "n", "short", "label").mapInArrow(_across_small(similarity, margin), ACROSS)
-        found = found.unionByName(_blocks(large.where(dense), _across_blocks(similarity, margin)))
-        across.append(state.scratch(found, "across"))
-        rest = state.scratch(large.where(~dense).select("node", "rep"), "rest")
-        discard(met_mixed)
+        own = _mixed(met).select(F.col("node").alias("m_node"), "main", "outside")
+        # every node has a chance to part; one that then has few enough members is compared
+        dense = F.col("outside") <= F.greatest(F.lit(small), F.col("size") / 4)
+        dense = dense if level == depth else dense | (F.col("size") <= few_enough) if level < most_depth else F.lit(True)
+        mixed = met.join(own, met["node"] == own["m_node"]).drop("m_node").withColumn("done", dense | (F.col("size") <= small))
+        mixed = state.scratch(mixed, "mixed")
+        discard(met)
+        kept.append(mixed.where("done"))
+        offers.append(_across(kept[-1], similarity, margin, small, _offer, OFFER))
+        rest = mixed.where("not done").select("node", "rep")
         if rest.isEmpty():
             break
         paths = state.scratch(rest.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig").mapInArrow(_paths(trees, 1, similarity), "node long, rep long"), "paths")
-    found = functools.reduce(DataFrame.unionByName, across).groupBy("rep", "label", "other").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
-    before = state.labels
-    n = before.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("in_it"))
-    size = lambda d, c: d.join(n.withColumnsRenamed({"of": f"{c}_of", "in_it": f"{c}_n"}), F.col(c) == F.col(f"{c}_of"), "left").drop(f"{c}_of").na.fill(1, [f"{c}_n"])
-    # of two components, members of the smaller one are held against the larger one
-    found = size(size(found, "label"), "other").where("label_n < other_n or (label_n = other_n and label < other)")
-    found = state.scratch(found, "across")
-    state.test(found.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
-    left = state.labelled(state.labelled(found.where("other_n > 1").select("rep", "other"), "rep", "now"), "other", "there").where("now <> there").select("rep", "other")
-    left = state.scratch(left, "left")
-    if not left.isEmpty():
-        wanted = left.select("other").distinct()
-        members = before.join(wanted, before["component"] == wanted["other"]).select("other", F.col("node").alias("rep"))
-        state.link(_against_components(state, left, members))
+    state.test_best(functools.reduce(DataFrame.unionByName, offers))
+    members = functools.reduce(DataFrame.unionByName, kept).select("node", "rep", "n", "short")
+    members = state.labelled(members)
+    own = _mixed(members).withColumnRenamed("node", "m_node").drop("shingles")
+    mixed = state.scratch(members.join(own, members["node"] == own["m_node"]).drop("m_node"), "mixed")
+    _confirm_within(state, _across(mixed, similarity, margin, small, _flag, FLAG), small)
     state.scratch.clear(rows, classes, state.labels)
     return rows.drop("sig"), classes, state.labels
 
