@@ -22,10 +22,13 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import SPACE_RE, discard, materialize
+from helixmill.llm.common import SPACE_RE, discard, materialize, mix64
 
 SAMPLES = 64
 DIGITS = 4
@@ -34,27 +37,38 @@ TEXT, EDITED, BOTH = 0, 1, 2
 KEY = ("known", "id", "hash")
 
 
-def _uniforms(bits: Column) -> list[Column]:
-    """Four values in (0, 1), from sixteen bits each."""
-    return [(F.shiftrightunsigned(bits, s).bitwiseAND(F.lit(0xFFFF)) + F.lit(0.5)) / F.lit(65536.0) for s in (0, 16, 32, 48)]
+def _seed(i: int) -> Column:
+    """The i-th of a fixed sequence of 64-bit numbers without pattern."""
+    return F.lit(int(mix64(np.array([i + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])).cast("long")
+
+
+def _sixteen(bits: Column, at: int) -> Column:
+    shifted = F.shiftrightunsigned(bits, at) if at else bits
+    return shifted if at == 48 else shifted.bitwiseAND(F.lit(0xFFFF))
 
 
 def variates(term: Column, j: int) -> tuple[Column, Column, Column]:
     """r, c and b of a term (a 64-bit hash) for sample j.
 
     r and c are independent Gamma(2, 1): a Gamma(4, 1) variate, minus the logarithm of a product
-    of four uniforms, split by a Beta(2, 2) variate, the middle one of three uniforms.
+    of four uniforms, split by a Beta(2, 2) variate, the middle one of three uniforms. Uniforms
+    have sixteen bits each; the product is of whole numbers and a half, so its scale comes off at the end.
     """
-    u, v = (_uniforms(F.xxhash64(F.lit(2 * j + i), term)) for i in (0, 1))
-    whole = -F.log(u[0] * u[1] * u[2] * u[3])
-    middle = F.greatest(F.least(v[0], v[1]), F.least(F.greatest(v[0], v[1]), v[2]))
-    return whole * middle, whole * (1 - middle), v[3]
+    x, y = (F.xxhash64(term.bitwiseXOR(_seed(2 * j + i))) for i in (0, 1))
+    half, unit = F.lit(0.5), F.lit(1 / 65536)
+    product = (_sixteen(x, 0) + half) * (_sixteen(x, 16) + half) * (_sixteen(x, 32) + half) * (_sixteen(x, 48) + half)
+    whole = F.lit(64 * math.log(2)) - F.log(product)
+    v = [_sixteen(y, at) for at in (0, 16, 32)]
+    middle = (F.greatest(F.least(v[0], v[1]), F.least(F.greatest(v[0], v[1]), v[2])) + half) * unit
+    r = whole * middle
+    return r, whole - r, (_sixteen(y, 48) + half) * unit
 
 
 def value(term: Column, log_weight: Column, j: int) -> Column:
-    """a of a term for sample j."""
+    """a of a term for sample j; a weight of one needs no division, as b is below 1."""
     r, c, b = variates(term, j)
-    return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
+    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
+    return c * F.exp(r * (b - 1 - t))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -93,23 +107,31 @@ def edited_pairs(texts: DataFrame, order: DataFrame) -> DataFrame:
     return texts.join(heads, _on("to")).select(*KEY, "text", F.concat(F.substring("text", F.lit(1), F.col("rest")), F.col("head")).alias("changed"))
 
 
-def signatures(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, fingerprint and edited_fingerprint (binary, DIGITS hex digits a sample) of text and changed.
+def states(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, which and n: how often each word occurs in text, in changed, or in BOTH where that is as often.
 
-    Needs no shuffle if `pairs` are dealt out by keys.
+    Needs no shuffle if `pairs` are dealt out by keys. What splitting leaves at a text's ends is
+    no word, but keeps texts without any: its null n makes null values, which no minimum takes.
     """
     each = pairs.select(*keys, F.posexplode(F.array("text", "changed")).alias("which", "t"))
     words = each.select(*keys, "which", F.explode(F.split(F.col("t"), SPACE_RE)).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term"), (F.col("word") == "").alias("none")).agg(F.count_if(F.col("which") == TEXT).alias("n"), F.count_if(F.col("which") == EDITED).alias("m"))
-    # what splitting leaves at a text's ends is no word, but keeps texts without any: its null weight makes null values, which no minimum takes
     state = lambda which, n: F.struct(F.lit(which).alias("which"), n.alias("n"))
     one = F.array(state(BOTH, F.when(~F.col("none"), F.col("n"))))
     two = F.filter(F.array(state(TEXT, F.col("n")), state(EDITED, F.col("m"))), lambda x: x["n"] > 0)
-    states = terms.select(*keys, "term", F.explode(F.when(F.col("none") | (F.col("n") == F.col("m")), one).otherwise(two)).alias("s"))
-    states = states.select(*keys, "term", "s.which", F.log(F.col("s.n").cast("double")).alias("weight"))
-    a = states.groupBy(*keys, "which").agg(*(F.min(value(F.col("term"), F.col("weight"), j)).alias(f"a{j}") for j in range(samples)))
-    of = lambda which: [F.min(F.when(F.col("which").isin(which, BOTH), F.col(f"a{j}"))).alias(f"a{which}_{j}") for j in range(samples)]
-    a = a.groupBy(*keys).agg(*of(TEXT), *of(EDITED))
+    d = terms.select(*keys, "term", F.explode(F.when(F.col("none") | (F.col("n") == F.col("m")), one).otherwise(two)).alias("s"))
+    return d.select(*keys, "term", "s.which", "s.n")
+
+
+def signatures(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys, fingerprint and edited_fingerprint (binary, DIGITS hex digits a sample) of text and changed.
+
+    Needs no shuffle if `pairs` are dealt out by keys.
+    """
+    d = states(pairs, keys).withColumn("weight", F.log(F.col("n").cast("double")))
+    a = d.groupBy(*keys, "which").agg(*(F.min(value(F.col("term"), F.col("weight"), j)).alias(f"a{j}") for j in range(samples)))
+    both = lambda which: [F.min(F.when(F.col("which").isin(which, BOTH), F.col(f"a{j}"))).alias(f"a{which}_{j}") for j in range(samples)]
+    a = a.groupBy(*keys).agg(*both(TEXT), *both(EDITED))
     digits = lambda x: F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(16**DIGITS - 1))), DIGITS, "0")
     # a text without words has no sample: zeros, which `likeness` takes like any other
     print_of = lambda which: F.unhex(F.concat(*(F.coalesce(F.when(F.col(f"a{which}_{j}").isNotNull(), digits(F.col(f"a{which}_{j}"))), F.lit("0" * DIGITS)) for j in range(samples))))
