@@ -107,7 +107,8 @@ WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS a
 g AS (SELECT doc_id, i, list_slice(a, i, i + 4) AS k FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM d WHERE len(a) > 4) z),
 r AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) z CROSS JOIN (SELECT unnest(range(0, 5)) AS o) q WHERE c > 1),
 rn AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
-li AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) z WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+li AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) z WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, source, len(a)::BIGINT AS n_words, coalesce(list_sum(list_transform(a, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(li.dup, 0)::BIGINT AS n_dup_lines, nullif(coalesce(li.n, 0), 0) AS n_lines, coalesce(rn.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN li ON li.doc_id = d.doc_id LEFT JOIN rn ON rn.doc_id = d.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
@@ -124,4 +125,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN v ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
+OP11 = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS a FROM documents),
+g AS (SELECT doc_id, i, list_aggregate(list_slice(a, i, i + 49), 'string_agg', ' ') AS k FROM (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS i FROM d WHERE len(a) >= 50) z),
+r AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS owner FROM g) z CROSS JOIN (SELECT unnest(range(0, 50)) AS o) q WHERE owner < doc_id),
+w AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS word FROM d),
+m AS (SELECT w.*, r.i IS NOT NULL AS gone FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.i = r.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op11_substring_dedup": OP11, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, pii, quality, secrets, spm
+from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, pii, quality, repeats, secrets, spm
 
 #: Public vocabulary files; the operators take their paths as parameters.
 SPM_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,6 +68,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=50)
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_line_dedup,
         op10_personal_data,
+        op11_substring_dedup,
     )
 }
