@@ -136,4 +136,60 @@ SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op11_substring_dedup": OP11, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
+
+
+def _spent(state: str, cost: str, edits: str) -> str:
+    """A state (cost in eight digits, then the audit) after further edits; the lesser string is cheaper, or least of equals."""
+    return f"lpad((substr({state}, 1, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{edits}'"
+
+
+def _retained(edit: str, more: int, *before: str) -> str:
+    return "least(" + ", ".join(_spent(b, f"{more} + late", edit) for b in (*before, before[0])) + ")"
+
+
+ROLE_NEXT = "CASE WHEN r = 'u' THEN 'assistant' ELSE 'user' END"
+
+OP12 = rf"""
+WITH RECURSIVE z AS (
+  SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)) q),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+f AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM k, z),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM f WHERE fate <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM f WHERE fate = 3),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS init,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM d),
+t AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lead(init) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM o),
+c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, {', '.join(f"count(*) FILTER (WHERE fault = '{x}')::BIGINT AS {x}" for x in ('blank', 'duplicate', 'truncated'))},
+    (count(*) FILTER (WHERE following IS NOT NULL AND init || following NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal FROM t GROUP BY conv_id),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, '00000000' AS q, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM c
+  UNION ALL
+  SELECT conv_id, i, {_spent('q', '4', 'D')},
+    least({_spent('s', '4', 'D')}, CASE WHEN stays AND init = 's' THEN {_retained('K', 0, 'q')} END),
+    least({_spent('u', '4', 'D')}, CASE WHEN stays AND init = 'u' THEN {_retained('K', 0, 'q', 's', 'a')} END, CASE WHEN stays THEN {_retained('R', 3, 'q', 's', 'a')} END),
+    least({_spent('a', '4', 'D')}, CASE WHEN stays AND init = 'a' THEN {_retained('K', 0, 'u')} END, CASE WHEN stays THEN {_retained('R', 3, 'u')} END)
+  FROM (SELECT conv_id, i, init, stays, late, q, s, u, least(a, {_spent('u', '3', 'I')}) AS a FROM (
+    SELECT t.conv_id, t.i, t.init, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late, q, s, a,
+      least(u, {_spent('q', '3', 'I')}, {_spent('s', '3', 'I')}, {_spent('a', '3', 'I')}) AS u FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1) v) w),
+e AS (
+  SELECT c.*, least(q, a, {_spent('u', '3', 'I')}, {_spent('s', '6', 'II')}) AS best FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i),
+b AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, substr(best, 1, 8)::BIGINT AS cost, substr(best, 9) AS audit FROM e),
+r AS (
+  SELECT conv_id, audit, 0::BIGINT AS i, 0::BIGINT AS pos, '' AS r, NULL::VARCHAR AS said FROM b
+  UNION ALL
+  SELECT conv_id, audit, i + CASE edit WHEN 'I' THEN 0 ELSE 1 END, pos + 1, CASE edit WHEN 'D' THEN r WHEN 'K' THEN left(role, 1) ELSE left({ROLE_NEXT}, 1) END,
+    CASE edit WHEN 'D' THEN said ELSE concat_ws(chr(10), said, CASE edit WHEN 'K' THEN role || ':' || text WHEN 'R' THEN {ROLE_NEXT} || ':' || text ELSE {ROLE_NEXT} || ':' END) END
+  FROM (SELECT r.*, substr(audit, pos::INT + 1, 1) AS edit, t.role, t.text FROM r LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i + 1 WHERE pos < length(audit)) v),
+h AS (SELECT conv_id, sha256(coalesce(said, '')) AS repaired_sha256 FROM r WHERE pos = length(audit))
+SELECT x.conv_id, {', '.join(f'coalesce({n}, 0)::BIGINT AS {n}' for n in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal', 'cost'))}, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op11_substring_dedup": OP11, "op12_conversation_repair": OP12, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, pii, quality, repeats, secrets, spm
+from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, pii, quality, repair, repeats, secrets, spm
 
 #: Public vocabulary files; the operators take their paths as parameters.
 SPM_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,6 +73,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.audit_all(turns, repair.damage(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_personal_data,
         op11_substring_dedup,
+        op12_conversation_repair,
     )
 }
