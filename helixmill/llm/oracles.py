@@ -161,7 +161,9 @@ d AS (
   UNION ALL SELECT conv_id, turn, role, text FROM f WHERE fate = 3),
 o AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS init,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM d),
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending FROM d),
 t AS (
   SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lead(init) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM o),
@@ -192,4 +194,24 @@ SELECT x.conv_id, {', '.join(f'coalesce({n}, 0)::BIGINT AS {n}' for n in ('gaps'
 FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM x.conv_id
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op11_substring_dedup": OP11, "op12_conversation_repair": OP12, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}
+OP13 = r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS a FROM p),
+g AS (SELECT lang, m, list_aggregate(list_slice(a, i, i + m - 1), 'string_agg', ' ') AS phrase FROM (SELECT lang, a, m, unnest(range(1, len(a) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) q WHERE len(a) >= m) z),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT f.lang, phrase, m, f AS a, n, string_split(phrase, ' ') AS ws FROM f JOIN n ON n.lang = f.lang WHERE m > 1 AND f >= 100),
+k AS (SELECT *, list_aggregate(ws[1:k], 'string_agg', ' ') AS head, list_aggregate(ws[k + 1:], 'string_agg', ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c) z),
+s AS (
+  SELECT k.*, h.f AS l, t.f AS r, (1000 * a::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM k JOIN f h ON h.lang = k.lang AND h.phrase = k.head AND h.m = k.k JOIN f t ON t.lang = k.lang AND t.phrase = k.tail AND t.m = k.m - k.k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT DISTINCT lang, list_aggregate(ws[i:i + j - 1], 'string_agg', ' ') AS phrase, a FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c WHERE m > 2) z) y),
+o AS (
+  SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100 * x.a >= 100 * b.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op11_substring_dedup": OP11, "op12_conversation_repair": OP12, "op13_phrase_collocations": OP13, "op4_chat_formatting": OP4, "op3_minhash_near_dedup": OP3, "op8_source_mixing": OP8, "op9_line_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, pii, quality, repair, repeats, secrets, spm
+from helixmill.llm import chat, cpsjoin, cws, langid, linededup, mixing, phrases, pii, quality, repair, repeats, secrets, spm
 
 #: Public vocabulary files; the operators take their paths as parameters.
 SPM_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -78,6 +78,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit_all(turns, repair.damage(turns))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), max_words=5, min_count=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_personal_data,
         op11_substring_dedup,
         op12_conversation_repair,
+        op13_phrase_collocations,
     )
 }
