@@ -40,9 +40,10 @@ def genotype_lines(s: SparkSession, d: str, sep: str, names: tuple[str, str, str
     none, one, two, unknown = (f"{sep}{x}" for x in names)
     name = F.when(F.col("dosage").isNull(), unknown).when(F.col("dosage") == 1, one).otherwise(two)
     calls = g.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct((F.col("sample_id") - first).cast("int").alias("at"), name.alias("call")))).alias("seen"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("next"))
-    add = lambda acc, x: F.struct(F.concat(acc["text"], F.repeat(F.lit(none), x["at"] - acc["next"]), x["call"]).alias("text"), (x["at"] + 1).alias("next"))
-    text = F.aggregate("seen", start, add, lambda acc: F.concat(acc["text"], F.repeat(F.lit(none), (n - acc["next"]).cast("int"))))
+    gap = lambda i, x: x["at"] - F.when(i == 0, 0).otherwise(F.get("seen", i - 1)["at"] + 1)
+    parts = F.transform("seen", lambda x, i: F.concat(F.repeat(F.lit(none), gap(i, x)), x["call"]))
+    rest = F.repeat(F.lit(none), (n - 1 - F.element_at("seen", -1)["at"]).cast("int"))
+    text = F.concat(F.array_join(parts, ""), rest)
     return v.join(calls.select("variant_id", text.alias("calls")), "variant_id")
 
 

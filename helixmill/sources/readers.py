@@ -6,6 +6,11 @@ scans, since a gzipped file is read by one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +76,44 @@ def unpack(packed: DataFrame, samples: DataFrame, sparse: bool = True) -> DataFr
     return d.join(broadcast_if_small(samples), "i").select("variant_id", "sample_id", "dosage")
 
 
-def read_gen(spark: SparkSession, path: str, call_threshold: float = 0.9) -> DataFrame:
-    """snp_id, rsid, bp, ref, alt and dosages of Oxford GEN lines: hard calls where a genotype is likely enough."""
-    f = F.split(F.trim("value"), r"\s+")
-    p = F.transform(F.slice(f, F.lit(6), F.greatest(F.lit(0), F.size(f) - 5)), lambda x: x.cast("double"))
+def _gen_lines(call_threshold: float, most_bytes: int = 16_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """GEN lines as columns: all fields of some lines are split once and lie in one array, of which triplets are slices."""
+
+    def parse(lines: pa.Array) -> pa.RecordBatch:
+        fields = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lines))
+        size, flat = pc.list_value_length(fields).to_numpy(), fields.flatten()
+        if (size < 5).any():
+            raise ValueError("a GEN line has fewer than five fields")
+        start = np.cumsum(size) - size
+        n = (size - 5) // 3
+        first = np.cumsum(n) - n
+        at = np.repeat(start + 5 - 3 * first, n) + 3 * np.arange(n.sum())
+        p = np.stack([flat.take(pa.array(at + k)).cast(pa.float64()).to_numpy() for k in range(3)], 1)
+        best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
+        sure = p[np.arange(len(p)), best] >= call_threshold
+        dosages = pa.ListArray.from_arrays(pa.array(np.append(first, n.sum()), pa.int32()), pa.array(best.astype(np.int8), mask=~sure))
+        names = [flat.take(pa.array(start + k)) for k in range(5)]
+        names[2] = names[2].cast(pa.int32())
+        return pa.RecordBatch.from_arrays([*names, dosages], ["snp_id", "rsid", "bp", "ref", "alt", "dosages"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.cumsum(pc.binary_length(b.column("value")).to_numpy()) // most_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    yield parse(b.column("value").slice(x, y - x))
+
+    return run
 
-    def call(i: Column) -> Column:
-        a, b, c = (F.get(p, i + k) for k in (0, 1, 2))
-        top = F.greatest(a, b, c)
-        return F.when(top >= call_threshold, F.when(a == top, 0).when(b == top, 1).otherwise(2)).cast("tinyint")
 
-    dosages = F.when(F.size(p) >= 3, F.transform(F.sequence(F.lit(0), F.size(p) - 3, F.lit(3)), call)).otherwise(F.array().cast("array<tinyint>"))
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(f[0].alias("snp_id"), f[1].alias("rsid"), f[2].cast("int").alias("bp"), f[3].alias("ref"), f[4].alias("alt"), dosages.alias("dosages"))
+def read_gen(spark: SparkSession, path: str, call_threshold: float = 0.9) -> DataFrame:
+    """snp_id, rsid, bp, ref, alt and dosages of Oxford GEN lines: hard calls where a genotype is likely enough.
+
+    A line of any number of samples takes time in proportion to them; probabilities after the last whole triplet are left out.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return lines.mapInArrow(_gen_lines(call_threshold), "snp_id string, rsid string, bp int, ref string, alt string, dosages array<tinyint>")
 
 
 def number_lines(rows: DataFrame) -> DataFrame:

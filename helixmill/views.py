@@ -24,13 +24,14 @@ VIEWS = {
         concat(CASE WHEN variant_id % 10 < 4 THEN 'rs' ELSE 'other' END, variant_id) AS rsid,
         CASE WHEN p_partkey % 3 = 0 THEN 'A' WHEN variant_id % 2 = 0 THEN 'C' ELSE 'G' END AS effect_allele, (p_retailprice - 1000) / 1000 AS effect_weight
         FROM part_variants""",
-    # carriers against everyone: the difference of means, and a bound on its normal tail as p
-    "everyone": "SELECT avg(y_quant) AS m, stddev_samp(y_quant) AS s, avg(y_bin) AS mb, stddev_samp(y_bin) AS sb FROM people",
-    "carriers": """SELECT g.variant_id, count(*) AS n, avg(p.y_quant) AS m, avg(p.y_bin) AS mb FROM genotypes g JOIN people p ON g.sample_id = p.sample_id
+    # carriers against everyone: the difference of means, and a bound on its normal tail as p; means come from whole
+    # ten-thousandths and effects are cut to five digits, so that no order of a sum can move a value that another rounds
+    "everyone": "SELECT CAST(sum(CAST(round(y_quant * 10000) AS BIGINT)) AS DOUBLE) / 10000e0 / count(*) AS m, stddev_samp(y_quant) AS s, avg(y_bin) AS mb, stddev_samp(y_bin) AS sb FROM people",
+    "carriers": """SELECT g.variant_id, count(*) AS n, CAST(sum(CAST(round(p.y_quant * 10000) AS BIGINT)) AS DOUBLE) / 10000e0 / count(*) AS m, avg(p.y_bin) AS mb FROM genotypes g JOIN people p ON g.sample_id = p.sample_id
         WHERE g.dosage > 0 GROUP BY g.variant_id""",
-    "results": """SELECT v.variant_id, v.rsid, v.chr, v.bp, 'BMI' AS trait, c.m - e.m AS beta, exp(-4 * c.n * (c.m - e.m) * (c.m - e.m) / (e.s * e.s)) AS p
+    "results": """SELECT v.variant_id, v.rsid, v.chr, v.bp, 'BMI' AS trait, floor((c.m - e.m) * 100000e0) / 100000e0 AS beta, exp(-4 * c.n * (c.m - e.m) * (c.m - e.m) / (e.s * e.s)) AS p
         FROM carriers c JOIN variants v ON c.variant_id = v.variant_id JOIN everyone e ON 1 = 1 UNION ALL
-        SELECT v.variant_id, v.rsid, v.chr, v.bp, 'T2D' AS trait, c.mb - e.mb AS beta, exp(-4 * c.n * (c.mb - e.mb) * (c.mb - e.mb) / (e.sb * e.sb)) AS p
+        SELECT v.variant_id, v.rsid, v.chr, v.bp, 'T2D' AS trait, floor((c.mb - e.mb) * 100000e0) / 100000e0 AS beta, exp(-4 * c.n * (c.mb - e.mb) * (c.mb - e.mb) / (e.sb * e.sb)) AS p
         FROM carriers c JOIN variants v ON c.variant_id = v.variant_id JOIN everyone e ON 1 = 1""",
     # a score of each person: the weighted dosages of all variants
     "scores": """SELECT p.sample_id, p.age, p.sex, p.y_bin, p.y_quant, CAST(p.sample_id % 5 + 1 AS INT) AS site, round(coalesce(s.score, 0), 4) AS score FROM people p LEFT JOIN
