@@ -7,10 +7,13 @@ up to is added. Results are exact wherever the cuts lie; only one row a range me
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixmill.functions.columns import broadcast_if_small
 
@@ -67,3 +70,49 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
     d = neighbours(df, column, probs, by).withColumn("v", F.col("lo") + F.col("share") * (F.col("hi") - F.col("lo")))
     q = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
     return d.groupBy(*by).agg(F.max("n").alias("n"), q.alias("q"))
+
+
+def _first(table: pa.Table, by: Sequence[str], order: Sequence[tuple[str, bool]], k: str, rank: str | None = None) -> pa.Table:
+    """The first rows of each group of `by`, as many as its column `k` says, with their place as `rank`."""
+    t = table.sort_by([*((c, "ascending") for c in by), *((c, "descending" if down else "ascending") for c, down in order)])
+    n = t.num_rows
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for c in by:
+            # groups are numbered, so that nulls and values of any kind compare
+            code = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    place = np.arange(n) - start
+    kept = pa.array(place < t.column(k).to_numpy())
+    t = t.append_column(rank, pa.array((place + 1).astype(np.int32))) if rank else t
+    return t.filter(kept)
+
+
+def top_k(df: DataFrame, k: str | int, order: Sequence[tuple[str, bool]], by: Sequence[str] = (), rank: str = "rank", parts: int = 32) -> DataFrame:
+    """The first `k` rows (a number or a column, one value a group) of each group by `order` (column, whether descending), with `rank`.
+
+    Each task keeps no more than k rows a group while its rows stream through, `parts` tasks merge what the tasks of a group
+    kept, and one merges theirs: no task holds or orders a group. Ties must be settled by a last column of `order`;
+    nulls come last.
+    """
+    count = k if isinstance(k, str) else "_most"
+    d = df if isinstance(k, str) else df.withColumn("_most", F.lit(k))
+
+    def kept(name: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                held = _first(pa.concat_tables([held, t]) if held is not None else t, by, order, count)
+            if held is not None:
+                yield from _first(held, by, order, count, name).combine_chunks().to_batches()
+
+        return run
+
+    some = d.mapInArrow(kept(None), d.schema).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    some = some.repartition(*by, "_part").drop("_part").mapInArrow(kept(None), d.schema)
+    some = some.repartition(*by) if by else some.coalesce(1)
+    out = some.mapInArrow(kept(rank), T.StructType([*d.schema.fields, T.StructField(rank, T.IntegerType())]))
+    return out if isinstance(k, str) else out.drop("_most")

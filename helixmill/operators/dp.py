@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import stats
 from helixmill.functions.columns import broadcast_if_small, clip, gaussian, gumbel, laplace, row_scale, split_budget, strong_composition, uniform, zcdp
+from helixmill.functions.ordering import counted, top_k
 from helixmill.operators.cells import is_flipped
 from helixmill.operators.gwas import chi2_p
 from helixmill.operators.pgs import with_bins
@@ -63,23 +64,37 @@ def utilities_sparse(genotypes: DataFrame, people: DataFrame, y_clip: float, bin
     return d.select("variant_id", F.abs(F.col("gy") - F.col("total") + F.col("lost")).alias("utility"))
 
 
-def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
-    """variant_id, by, noisy and rank for each budget; the same uniform serves all of a variant's budgets."""
+def noisy_utilities(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+    """variant_id, utility, by, top_k and noisy for each budget; the same uniform serves all of a variant's budgets."""
     b = F.broadcast(budgets.select(*by, "eps_sel", "top_k").withColumn("_k", F.lit(1)))
     d = u.withColumn("_k", F.lit(1)).join(b, "_k").drop("_k")
-    noisy = F.col("utility") + gumbel(uniform(seed, "gumbel", F.col("variant_id")), y_clip / F.greatest(F.lit(1e-8), F.col("eps_sel")))
-    w = Window.partitionBy(*by).orderBy(F.col("noisy").desc(), "variant_id")
-    return d.withColumn("noisy", noisy).withColumn("rank", F.row_number().over(w))
+    return d.withColumn("noisy", F.col("utility") + gumbel(uniform(seed, "gumbel", F.col("variant_id")), y_clip / F.greatest(F.lit(1e-8), F.col("eps_sel"))))
+
+
+def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+    """variant_id, by, noisy and rank of all variants for each budget; equal values follow by variant_id.
+
+    Values are ranked by ranges, and those that are equal among themselves, so no task orders a whole budget.
+    """
+    d = noisy_utilities(u, budgets, y_clip, seed, by).withColumn("_turn", -F.col("noisy"))
+    same = Window.partitionBy(*by, "_turn").orderBy("variant_id")
+    d = d.join(counted(d, "_turn", by).select(*by, "_turn", (F.col("upto_n") - F.col("n")).alias("_before")), [*by, "_turn"])
+    return d.withColumn("rank", (F.col("_before") + F.row_number().over(same)).cast("int")).drop("_turn", "_before")
+
+
+def first_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
+    """The first top_k of `rank_by_noisy_utility`, each task keeping top_k of a budget at most."""
+    return top_k(noisy_utilities(u, budgets, y_clip, seed, by), "top_k", [("noisy", True), ("variant_id", False)], by)
 
 
 def dp_topk(cells: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """The top_k variants of each budget by utility plus Gumbel noise of scale y_clip / eps_sel."""
-    return rank_by_noisy_utility(utilities(cells, y_clip, binary), budgets, y_clip, seed, by).where(F.col("rank") <= F.col("top_k"))
+    return first_by_noisy_utility(utilities(cells, y_clip, binary), budgets, y_clip, seed, by)
 
 
 def dp_topk_sparse(genotypes: DataFrame, people: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """`dp_topk` straight from sparse genotypes."""
-    return rank_by_noisy_utility(utilities_sparse(genotypes, people, y_clip, binary), budgets, y_clip, seed, by).where(F.col("rank") <= F.col("top_k"))
+    return first_by_noisy_utility(utilities_sparse(genotypes, people, y_clip, binary), budgets, y_clip, seed, by)
 
 
 def dp_ols_sums(cells: DataFrame, moments: DataFrame, age_mean: float, age_sd: float, length: float = 3.0, y: str = "sum_yc", yy: str = "sum_yyc") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import broadcast_if_small, clip, finite, gaussian, standard_score, uniform
-from helixmill.functions.ordering import beside, quantiles
+from helixmill.functions.ordering import beside, quantiles, top_k
 from helixmill.operators.harmonize import non_score_variants
 
 
@@ -69,11 +69,8 @@ def compose_phenotype(scores: DataFrame, h2: float = 0.5, seed: int = 1, kind: s
 def seeded_sample(df: DataFrame, k: int, seed: int, key: str, by: Sequence[str] = ()) -> DataFrame:
     """`k` rows (of each group), chosen by a keyed hash: the same on every run and plan."""
     u = uniform(seed, "sample", F.col(key))
-    if not by:
-        return df.orderBy(u, key).limit(k)
-    from pyspark.sql import Window
-
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(u, key))).where(F.col("_r") <= k).drop("_r")
+    d = top_k(df.withColumn("_u", u), k, [("_u", False), (key, False)], by, rank="_r")
+    return d.drop("_u", "_r")
 
 
 def genetic_component(genotypes: DataFrame, variants: DataFrame, weights: DataFrame, people: DataFrame, mode: str, seed: int = 1, k: int = 300, least: int = 500) -> DataFrame:

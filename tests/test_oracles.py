@@ -2,7 +2,7 @@
 
 import pytest
 
-from helixmill import queries, queries_sources, queries_studies  # noqa: F401
+from helixmill import queries, queries_packed, queries_sources, queries_studies  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
