@@ -131,19 +131,23 @@ def irls(x: np.ndarray, n: np.ndarray, cases: np.ndarray, firth: bool = False, r
 LIFT, LIFTS, LEAST_EIGENVALUE = 1e-6, 8, 1e-8
 
 
-def positive(m: np.ndarray) -> np.ndarray:
-    """Positive definite matrices near a stack of symmetric ones.
+def positive_spectrum(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of positive definite matrices near a stack of symmetric ones.
 
     A diagonal lifted by x moves all eigenvalues by x, so the lowest one tells which lift is
     the first to be enough; where none is, low eigenvalues are raised.
     """
-    m = (m + m.transpose(0, 2, 1)) / 2
-    value, vector = np.linalg.eigh(m)
+    value, vector = np.linalg.eigh((m + m.transpose(0, 2, 1)) / 2)
     lifts = LIFT * 10.0 ** np.arange(LIFTS)
     which = np.searchsorted(lifts, -value[:, 0], side="right")
-    lifted = m + lifts[np.minimum(which, LIFTS - 1), None, None] * np.eye(m.shape[-1])
-    raised = (vector * np.maximum(value, LEAST_EIGENVALUE)[:, None, :]) @ vector.transpose(0, 2, 1)
-    return np.where((which < LIFTS)[:, None, None], lifted, raised)
+    lifted = value + lifts[np.minimum(which, LIFTS - 1), None]
+    return np.where((which < LIFTS)[:, None], lifted, np.maximum(value, LEAST_EIGENVALUE)), vector
+
+
+def positive(m: np.ndarray) -> np.ndarray:
+    """Positive definite matrices near a stack of symmetric ones."""
+    value, vector = positive_spectrum(m)
+    return (vector * value[:, None, :]) @ vector.transpose(0, 2, 1)
 
 
 def ridge(s: np.ndarray, t: np.ndarray, yy: np.ndarray, n: np.ndarray, by: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +155,8 @@ def ridge(s: np.ndarray, t: np.ndarray, yy: np.ndarray, n: np.ndarray, by: float
 
     Fixed values: a residual that noise made impossible is |yy|, 1e-6 at least, and an impossible error 1e6.
     """
-    k = positive(s + by * np.eye(s.shape[-1]))
-    inverse = np.linalg.inv(k)
+    value, vector = positive_spectrum(s + by * np.eye(s.shape[-1]))
+    inverse = (vector / value[:, None, :]) @ vector.transpose(0, 2, 1)
     beta = (inverse @ t[..., None])[..., 0]
     fitted = ((s @ beta[..., None])[..., 0] - 2 * t) * beta
     sse = yy + fitted.sum(-1)

@@ -167,7 +167,7 @@ def p08_variant_key(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "variants").select(K.variant_key(*(F.col(c) for c in ("chr", "bp", "ref", "alt"))).alias("key")).select("key", *K.parse_variant_key(F.col("key")))
 
 
-def uniform_sql(purpose: str, *keys: str, seed: int = SEED) -> str:
+def uniform_sql(purpose: str, *keys: str, seed: int | str = SEED) -> str:
     key = " || '|' || ".join([f"'{seed}|{purpose}'", *(f"({k})" for k in keys)])
     return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 

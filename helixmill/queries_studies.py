@@ -37,7 +37,7 @@ from helixmill.queries import (
     uniform_sql,
     views,
 )
-from helixmill.sql_models import chi2_p, least_squares, logistic, normal_p, t_p
+from helixmill.sql_models import chi2_p, integral, least_squares, logistic, normal_p, private_ridge, significant, t_p
 from helixmill.views import view
 
 GRID = "grid AS (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0, 4.0])::DOUBLE AS eps_total, 1e-6::DOUBLE AS delta_total, 40 AS top_k)"
@@ -98,7 +98,7 @@ def w07_rank_by_noisy_utility(s: SparkSession, d: str) -> DataFrame:
     return dp.rank_by_noisy_utility(u, dp.budget_table(grid_of(s)), Y_CLIP, SEED).select("eps_total", "variant_id", "rank")
 
 
-DP_SUMS = """rw AS (SELECT d.variant_id, greatest(-50.0, least(50.0, y_quant)) AS y, 1.0 AS x0, CASE WHEN t.sd > 0 THEN (dosage - t.mean) / t.sd ELSE 0 END AS x1, (age - m) / sd_a AS x2, sex::DOUBLE AS x3
+DP_SUMS = """rw AS (SELECT d.variant_id, y_bin AS case_y, greatest(-50.0, least(50.0, y_quant)) AS y, 1.0 AS x0, CASE WHEN t.sd > 0 THEN (dosage - t.mean) / t.sd ELSE 0 END AS x1, (age - m) / sd_a AS x2, sex::DOUBLE AS x3
   FROM dense d JOIN stats t ON d.variant_id = t.variant_id CROSS JOIN (SELECT avg(age) AS m, stddev_samp(age) AS sd_a FROM people) a WHERE dosage IS NOT NULL),
 sc AS (SELECT *, least(1.0, 3.0 / (sqrt(x0*x0 + x1*x1 + x2*x2 + x3*x3) + 1e-12)) AS f FROM rw)"""
 DP_NAMES = ["yy", *(f"t_{i}" for i in range(4)), *(f"s_{i}{j}" for i in range(4) for j in range(i, 4))]
@@ -123,9 +123,39 @@ def x05_dp_ols_sums(s: SparkSession, d: str) -> DataFrame:
     return dp_sums_of(s, d).select("variant_id", "n", *(F.round(c, 3).alias(c) for c in DP_NAMES))
 
 
-@query()
+def dp_sum_rows(name: str, y: str = "y") -> str:
+    """CTE `name` (variant_id, n, yy, t_i, s_ij) of the clipped rows, with `y` as the outcome."""
+    rows = "sc" if y == "y" else f"(SELECT sc.* EXCLUDE (y), {y} AS y FROM sc) z"
+    return f"{name} AS ({DP_SELECT.replace('round(', '(').replace(', 3) + 0.0', ')').replace('FROM sc', f'FROM {rows}')})"
+
+
+def noisy_sums(name: str, sums: str, y_clip: float, seed: int | str = SEED, grid: str = "(SELECT eps_total, {rho} / top_k AS rho, top_k FROM (SELECT *, greatest(eps_total - greatest(eps_total * 0.2, 1e-6), 1e-6) AS eps_est, delta_total * 0.5 AS half FROM grid) q)") -> str:
+    """CTE `name` (variant_id, eps_total, n and sums with their noise) for each budget by zero-concentrated privacy."""
+    rho = RHO.format(d="half", e="eps_est")
+    size = {"s": (9.0, 0.2), "t": (3 * y_clip, 0.7), "y": (y_clip**2, 0.1)}
+    noise = lambda c: f"{size[c[0]][0]} / sqrt(2 * rho * {size[c[0]][1]}) * sqrt(-2 * ln({uniform_sql(f'ols-{c}-0', 'variant_id', seed=seed)})) * cos(2 * pi() * {uniform_sql(f'ols-{c}-1', 'variant_id', seed=seed)})"
+    return f"{name} AS (SELECT variant_id, eps_total, n, {', '.join(f'{c} + {noise(c)} AS {c}' for c in DP_NAMES)} FROM {sums} CROSS JOIN {grid.format(rho=rho)} b)"
+
+
+def private_p(t: str, df: str = "greatest(1, n - 4)") -> str:
+    """As `t_p`, and exact to a share of the value where t is large: there the tail is an integral over 1 / t."""
+    front = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi())"
+    tail = integral(f"CASE WHEN @ > 0 THEN pow(1 + 1 / (({df}) * @ * @), -(({df}) + 1) / 2.0) / (@ * @) ELSE 0 END", f"1 / abs({t})")
+    return f"CASE WHEN abs({t}) > 40 THEN 0.0 WHEN abs({t}) > 3 THEN 2 * {front} * {tail} ELSE {t_p(t, df)} END"
+
+
+def significant_columns(d: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """As `sql_models.significant`."""
+    return d.withColumns({c: F.when(F.abs(c) < 100, F.round(c, digits)).otherwise(F.format_string("%.4e", c).try_cast("double")) for c in columns})
+
+
+PRIVATE_BMI = (dp_sum_rows("ds"), noisy_sums("dn", "ds", Y_CLIP), private_ridge("dr", "dn", ["variant_id", "eps_total"], 10.0))
+
+
+@query(f"SELECT variant_id, eps_total, n, {significant('beta')} AS beta, {significant('se')} AS se, {significant('beta / se')} AS t, round({private_p('beta / se')}, 6) + 0.0 AS p FROM dr", DENSE, STATS, DP_SUMS, GRID, *PRIVATE_BMI)
 def x05_dp_ols(s: SparkSession, d: str) -> DataFrame:
-    return dp.dp_ols(dp_sums_of(s, d), dp.budget_table(grid_of(s)), SEED, ridge=10.0, y_clip=Y_CLIP)
+    fits = dp.dp_ols(dp_sums_of(s, d), dp.budget_table(grid_of(s)), SEED, ridge=10.0, y_clip=Y_CLIP)
+    return significant_columns(fits, "beta", "se", "t")
 
 
 def dp_gwas_of(s: SparkSession, d: str) -> DataFrame:
@@ -134,9 +164,21 @@ def dp_gwas_of(s: SparkSession, d: str) -> DataFrame:
     return studies.private_gwas(v, cells, both_sums_of(s, d, cells), dp.budget_table(grid_of(s)), SEED)
 
 
-@query()
+UTIL_T2D = f"""ut2 AS (SELECT variant_id, abs(sum((dosage - 1) * y_bin)) AS utility FROM dense WHERE dosage IS NOT NULL GROUP BY variant_id),
+tk2 AS (SELECT * FROM (SELECT eps_total, variant_id, row_number() OVER (PARTITION BY eps_total ORDER BY utility - 1.0 / greatest(1e-8, eps_total * 0.2) * ln(-ln({uniform_sql('gumbel', 'variant_id', seed=f'{SEED}-t2d')})) DESC, variant_id) AS rank FROM ut2 CROSS JOIN grid) z WHERE rank <= 40)"""
+PRIVATE_T2D = (dp_sum_rows("ds2", "case_y"), noisy_sums("dn2", "ds2", 1.0, f"{SEED}-t2d"), private_ridge("dr2", "dn2", ["variant_id", "eps_total"], 10.0))
+#: pr: trait, eps_total, variant_id, beta, se and p of the selected variants.
+PRIVATE = (
+    DENSE, STATS, DP_SUMS, GRID, UTIL, UTIL_T2D, *PRIVATE_BMI, *PRIVATE_T2D,
+    f"""pr AS (SELECT 'BMI' AS trait, d.*, {private_p('beta / se')} AS p FROM dr d JOIN tk k ON k.variant_id = d.variant_id AND k.eps_total = d.eps_total
+  UNION ALL SELECT 'T2D', d.*, {private_p('beta / se')} FROM dr2 d JOIN tk2 k ON k.variant_id = d.variant_id AND k.eps_total = d.eps_total)""",
+)
+
+
+@query(f"""SELECT v.variant_id, v.rsid, v.chr, v.bp, g.eps_total, t.trait, {significant('r.beta')} AS beta, {significant('r.se')} AS se, round(r.p, 6) + 0.0 AS p
+  FROM variants v CROSS JOIN grid g CROSS JOIN (SELECT unnest(['BMI', 'T2D']) AS trait) t LEFT JOIN pr r ON r.trait = t.trait AND r.eps_total = g.eps_total AND r.variant_id = v.variant_id""", *PRIVATE)
 def x06_dp_gwas(s: SparkSession, d: str) -> DataFrame:
-    return dp_gwas_of(s, d)
+    return significant_columns(dp_gwas_of(s, d), "beta", "se")
 
 
 @query("""SELECT g.eps_total, (SELECT count(*) FROM variants)::INT AS m, count(*) AS selected, round(any_value(g.eps_total) * 0.2, 6) AS eps_sel, round(any_value(g.eps_total) * 0.8, 6) AS eps_est
@@ -146,9 +188,23 @@ def x07_dp_selection_summary(s: SparkSession, d: str) -> DataFrame:
     return dp.dp_selection_summary(b, dp.dp_topk(cells_of(s, d), b, Y_CLIP, SEED), view(s, d, "variants").count()).select("eps_total", "m", "selected", "eps_sel", "eps_est")
 
 
-@query()
+def each_private(name: str, seed: int, stats: str = "stats", sums: str = "ds") -> tuple[str, ...]:
+    """CTEs that end in `name` (variant_id, beta): private effects on y_quant of every variant, each with an equal part of epsilon and delta."""
+    scale = f"(SELECT 2.5 AS eps_total, 0.5 / pow(sqrt(2 * ln(1.25 / (1e-6 / m))) / (2.5 / m), 2) AS rho FROM (SELECT count(*) AS m FROM {stats}) q)"
+    # deviations are here a share of the noise, not of its square
+    noisy = noisy_sums(f"{name}_n", sums, 80.0, seed, scale)
+    for share in (0.2, 0.7, 0.1):
+        noisy = noisy.replace(f"/ sqrt(2 * rho * {share})", f"/ sqrt(2 * rho) / {share}")
+    fit = private_ridge(f"{name}_r", f"{name}_n", ["variant_id"], 1.0)
+    return noisy, fit, f"{name} AS (SELECT r.variant_id, r.beta / CASE WHEN t.sd > 0 THEN t.sd ELSE 1 END AS beta FROM {name}_r r JOIN {stats} t ON t.variant_id = r.variant_id)"
+
+
+EACH_BMI = each_private("qb", SEED)
+
+
+@query(f"SELECT variant_id, {significant('beta')} AS beta FROM qb", DENSE, STATS, DP_SUMS, dp_sum_rows("ds"), *EACH_BMI)
 def x08_dp_quant_betas(s: SparkSession, d: str) -> DataFrame:
-    return dp.quant_betas(dp_sums_of(s, d), stats_of(s, d), 2.5, 1e-6, SEED)
+    return significant_columns(dp.quant_betas(dp_sums_of(s, d), stats_of(s, d), 2.5, 1e-6, SEED), "beta")
 
 
 def lap(purpose: str, key: str, scale: str) -> str:
@@ -216,12 +272,6 @@ def both_p(s: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame
     return store(studies.long_results(studies.baseline_gwas(cells_of(s, d) if cells is None else cells, view(s, d, "variants"))), "baseline")
 
 
-@query()
-def x13_epsilon_sweep(s: SparkSession, d: str) -> DataFrame:
-    cells = store(cells_of(s, d), "cells")
-    return studies.epsilon_sweep(cells, both_sums_of(s, d, cells), both_p(s, d, cells), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
-
-
 # ---------------------------------------------------------------- federated
 
 SITES = DENSE.replace("p.sample_id % 5 + 1 AS site", "p.site").replace("CROSS JOIN people p", "CROSS JOIN sited p")
@@ -317,6 +367,18 @@ def g03_k_sweep(s: SparkSession, d: str) -> DataFrame:
     return studies.k_sweep(g, p, KS, both_p(s, d), v, line=0.05, seed=SEED)
 
 
+SWEEP = """xa AS (SELECT r.eps_total, r.trait, r.variant_id, greatest(2.220446e-16, least(r.p, 1 - 1e-15)) AS p, greatest(2.220446e-16, least(b.p, 1 - 1e-15)) AS q FROM pr r JOIN br b ON b.variant_id = r.variant_id AND b.trait = r.trait WHERE r.p IS NOT NULL AND b.p IS NOT NULL),
+xk AS (SELECT eps_total, trait, rank() OVER (PARTITION BY eps_total, trait ORDER BY -p) + (count(*) OVER (PARTITION BY eps_total, trait, p) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY eps_total, trait ORDER BY -q) + (count(*) OVER (PARTITION BY eps_total, trait, q) - 1) / 2.0 AS ry FROM xa),
+xo AS (SELECT eps_total, trait, count(*) AS k, CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM xk GROUP BY eps_total, trait),
+xh AS (SELECT g.eps_total, b.trait, count(*) FILTER (WHERE b.p < 0.05) AS true_hits, count(*) FILTER (WHERE b.p < 0.05 AND r.p < 0.05) AS found FROM grid g CROSS JOIN br b LEFT JOIN pr r ON r.eps_total = g.eps_total AND r.trait = b.trait AND r.variant_id = b.variant_id GROUP BY g.eps_total, b.trait)"""
+
+
+@query("SELECT h.eps_total, h.trait, o.k, h.true_hits, h.found, round(found / nullif(true_hits, 0)::DOUBLE, 6) + 0.0 AS recall, round(o.rho, 6) + 0.0 AS rho FROM xh h JOIN xo o ON o.eps_total = h.eps_total AND o.trait = h.trait", *PRIVATE, *BOTH_FITS, BOTH_P, SWEEP)
+def x13_epsilon_sweep(s: SparkSession, d: str) -> DataFrame:
+    cells = store(cells_of(s, d), "cells")
+    return studies.epsilon_sweep(cells, both_sums_of(s, d, cells), both_p(s, d, cells), view(s, d, "variants"), EPS, 40, SEED, line=0.05)
+
+
 BASE_FIT = linear_sql("variant_id", tag="0")[1:]
 
 
@@ -374,7 +436,7 @@ FITTED_CTES = (
 
 
 def effects_of(s: SparkSession, d: str) -> DataFrame:
-    """The effects of all methods; those of private least squares, which SQL cannot express, have a query of their own."""
+    """The effects of all methods."""
     return store(studies.method_effects(*views(s, d, "genotypes", "people"), stats_of(s, d), seed=SEED), "effects")
 
 
@@ -393,11 +455,19 @@ def m02_fitted_scores(s: SparkSession, d: str) -> DataFrame:
     return pgs.pgs_score(g, w, p, ["method", "trait"]).withColumn("score", F.round("score", 4))
 
 
-@query()
+ALL_FITTED = ("fa AS (SELECT * FROM fe UNION ALL SELECT 'dp', 'BMI', variant_id, beta FROM qb)",)
+#: All rows of everybody, as private sums take them, beside those dealt to sites.
+ALL_PRIVATE = (STATS.replace("FROM dense", "FROM everybody"), DP_SUMS.replace("FROM dense", "FROM everybody"), dp_sum_rows("ds"), *EACH_BMI)
+
+
+@query(f"""SELECT k.method, k.trait, p.sample_id, {significant('coalesce(x.s, 0)', 4)} AS score FROM people p CROSS JOIN (SELECT DISTINCT method, trait FROM fa) k LEFT JOIN
+  (SELECT g.sample_id, method, trait, sum(g.dosage * coalesce(fa.beta, 0)) AS s FROM genotypes g JOIN fa ON fa.variant_id = g.variant_id GROUP BY g.sample_id, method, trait) x
+  ON x.sample_id = p.sample_id AND x.method = k.method AND x.trait = k.trait""", *FITTED_CTES, *ALL_PRIVATE, *ALL_FITTED)
 def m02_all_scores(s: SparkSession, d: str) -> DataFrame:
     """All six score vectors: three methods, two traits."""
     g, p = views(s, d, "genotypes", "people")
-    return pgs.pgs_score(g, effects_of(s, d).withColumnRenamed("beta", "weight"), p, ["method", "trait"])
+    all_of = pgs.pgs_score(g, effects_of(s, d).withColumnRenamed("beta", "weight"), p, ["method", "trait"])
+    return significant_columns(all_of, "score", digits=4)
 
 
 @query("""SELECT least(30, floor((x - lx) * 30 / (hx - lx)) + 1)::INT AS x_bin, least(30, floor((y - ly) * 30 / (hy - ly)) + 1)::INT AS y_bin, count(*) AS n
@@ -409,7 +479,9 @@ def m01_federated_agreement(s: SparkSession, d: str) -> DataFrame:
     return compare.effect_agreement(e.where("method = 'base'"), e.where("method = 'fed'"))
 
 
-@query()
+@query("""SELECT least(30, floor((x - lx) * 30 / (hx - lx)) + 1)::INT AS x_bin, least(30, floor((y - ly) * 30 / (hy - ly)) + 1)::INT AS y_bin, count(*) AS n
+  FROM ap CROSS JOIN (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM ap) z GROUP BY 1, 2""",
+       DENSE, STATS, DP_SUMS, dp_sum_rows("ds"), *EACH_BMI, *BASE_FIT, "ap AS (SELECT b.beta AS x, q.beta AS y FROM fit0 b JOIN qb q ON q.variant_id = b.variant_id WHERE b.beta IS NOT NULL)")
 def m01_private_agreement(s: SparkSession, d: str) -> DataFrame:
     """Baseline and private effects of BMI."""
     e = effects_of(s, d).join(view(s, d, "variants").select("variant_id", "rsid"), "variant_id").where("trait = 'BMI'")

@@ -125,3 +125,55 @@ def least_squares(name: str, source: str, keys: Sequence[str] = (), p: int = 4)
     k = "".join(f"{x}, " for x in keys)
     return f"""{name} AS (SELECT {k}n, b0, b1, b2, b3, sse, sst, 1 - sse / sst AS r2, 1 - (sse / (n - {p})) / (sst / (n - 1)) AS r2_adj FROM
   (SELECT *, yy - ({fitted}) AS sse, yy - sum_y * sum_y / n AS sst FROM (SELECT *, {', '.join(f'{b} AS b{i}' for i, b in enumerate(beta))} FROM (SELECT *, {determinant(whole(h))} AS det FROM {source}) x) y) z)"""
+
+
+def significant(x: str, digits: int = 6) -> str:
+    """`x` with `digits` decimals, or from 100 on five digits: what two engines agree on for values of any size."""
+    return f"CASE WHEN abs({x}) < 100 THEN round({x}, {digits}) + 0.0 ELSE printf('%.4e', {x})::DOUBLE END"
+
+
+def jacobi(name: str, source: str, keys: Sequence[str], sweeps: int = 10, n: int = 4) -> str:
+    """CTE `name` (keys, l0.., v00..): eigenvalues and vectors (column k belongs to lk) of the symmetric matrices h_ij (i <= j) of `source`.
+
+    Cyclic Jacobi rotations, a sweep over all places a step; those of 4x4 matrices are exact to the last digits after six sweeps or so.
+    """
+    k = ", ".join(keys)
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    h_all = [h(i, j) for i, j in itertools.combinations_with_replacement(range(n), 2)]
+    v_all = [f"v{i}{j}" for i in range(n) for j in range(n)]
+    rows = f"SELECT * FROM {name}_j WHERE sweep < {sweeps}"
+    for p, q in itertools.combinations(range(n), 2):
+        a, b, c = h(p, p), h(q, q), h(p, q)
+        half = f"(({b} - {a}) / (2 * {c}))"
+        rows = f"SELECT *, CASE WHEN abs({c}) <= 1e-17 * (abs({a}) + abs({b})) THEN 0.0 ELSE CASE WHEN {half} < 0 THEN -1 ELSE 1 END / (abs({half}) + sqrt({half} * {half} + 1)) END AS t FROM ({rows}) x"
+        rows = f"SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM ({rows}) x"
+        new = {a: f"{a} - t * {c}", b: f"{b} + t * {c}", c: "0.0"}
+        for r in range(n):
+            if r not in (p, q):
+                new |= {h(r, p): f"c * {h(r, p)} - s * {h(r, q)}", h(r, q): f"s * {h(r, p)} + c * {h(r, q)}"}
+            new |= {f"v{r}{p}": f"c * v{r}{p} - s * v{r}{q}", f"v{r}{q}": f"s * v{r}{p} + c * v{r}{q}"}
+        rows = f"SELECT {k}, sweep, {', '.join(f'{new.get(x, x)} AS {x}' for x in (*h_all, *v_all))} FROM ({rows}) x"
+    start = ", ".join([*(f"{x}::DOUBLE AS {x}" for x in h_all), *(f"{float(v[1] == v[2])}::DOUBLE AS {v}" for v in v_all)])
+    return f"""{name}_j AS (SELECT {k}, 0 AS sweep, {start} FROM {source} UNION ALL SELECT {k}, sweep + 1, {', '.join((*h_all, *v_all))} FROM ({rows}) y),
+{name} AS (SELECT {k}, {', '.join(f'{h(i, i)} AS l{i}' for i in range(n))}, {', '.join(v_all)} FROM {name}_j WHERE sweep = {sweeps})"""
+
+
+def private_ridge(name: str, source: str, keys: Sequence[str], ridge: float) -> str:
+    """CTEs that end in `name` (keys, n, beta, se): the second coefficient of ridge regression on noisy sums (keys, n, yy, t_i, s_ij) of `source`.
+
+    Matrices that noise made indefinite are lifted by the first of 1e-6, 1e-5, .. 10 that exceeds the lowest eigenvalue's size, or else have eigenvalues of 1e-8 at least.
+    """
+    k = ", ".join(keys)
+    least = "least(l0, l1, l2, l3)"
+    lifts = " ".join(f"WHEN -{least} < 1e{e} THEN l{{i}} + 1e{e}" for e in range(-6, 2))
+    s = lambda i, j: f"s_{min(i, j)}{max(i, j)}"
+    inverse = lambda i, j: "(" + " + ".join(f"v{i}{m} * v{j}{m} / e{m}" for m in range(4)) + ")"
+    fitted = " + ".join(f"({' + '.join(f'{s(i, j)} * b{j}' for j in range(4))} - 2 * t_{i}) * b{i}" for i in range(4))
+    on = " AND ".join(f"a.{x} = m.{x}" for x in keys)
+    h = ", ".join(f"{s(i, j)} + {ridge if i == j else 0.0} AS h{i}{j}" for i, j in PAIRS)
+    return f"""{name}_h AS (SELECT {k}, {h} FROM {source}),
+{jacobi(f'{name}_e', f'{name}_h', keys)},
+{name}_l AS (SELECT *, {', '.join(f'CASE {lifts.format(i=i)} ELSE greatest(l{i}, 1e-8) END AS e{i}' for i in range(4))} FROM {name}_e),
+{name}_b AS (SELECT a.*, {', '.join(' + '.join(f'{inverse(i, j)} * t_{j}' for j in range(4)) + f' AS b{i}' for i in range(4))}, {inverse(1, 1)} AS spread FROM {source} a JOIN {name}_l m ON {on}),
+{name}_s AS (SELECT *, yy + {fitted} AS fit FROM {name}_b),
+{name} AS (SELECT {k}, n, b1 AS beta, coalesce(nullif(sqrt(greatest(spread, 1e-12) * CASE WHEN fit > 0 AND isfinite(fit) THEN fit ELSE greatest(1e-6, abs(yy)) END / greatest(1, n - 4)), 0), 1e6) AS se FROM {name}_s)"""
