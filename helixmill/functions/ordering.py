@@ -1,8 +1,8 @@
 """Running sums, ranks and exact quantiles of large groups, without ordering a whole group in one task.
 
-Equal values are counted into one row first. Approximate quantiles then cut the values of
-each group into ranges; each range is ordered by itself, and what the ranges before it add
-up to is added. Results are exact wherever the cuts lie; only one row a range meets in a task.
+Rows are stored and counted, and dealt by sampled ranges of their order to as many parts as they need, so that none is
+much larger than ROWS_A_RANGE. Each part of a group is ordered by itself, and what the parts before it add up to is
+carried into it. Results are exact wherever the cuts lie; only one row a part meets in a task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.functions.columns import broadcast_if_small
+from helixmill.functions.stored import store
 
-RANGES = 64
+#: Rows that a task orders, about.
+ROWS_A_RANGE = 1_000_000
+#: How often parts that came out too large are dealt anew, to twice as many.
+CUTS = 4
 
 
 def beside(df: DataFrame, one: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -27,27 +31,70 @@ def beside(df: DataFrame, one: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
-def running_sums(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), down: bool = False, cut: Column | None = None) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """`df`, stored, with _part: rising with the order within a group, and about `rows` rows each (ROWS_A_RANGE).
+
+    The number of parts follows from the rows that are there. Bounds are sampled, so the largest part is looked at, and
+    rows are dealt to more parts where it is above twice as many.
+    """
+    rows = rows or ROWS_A_RANGE
+    d = store(df, "ordered")
+    parts = -(-d.count() // rows)
+    if parts <= 1:
+        return d.withColumn("_part", F.lit(0))
+    for _ in range(CUTS):
+        r = store(d.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+        if r.groupBy("_part").count().agg(F.max("count")).first()[0] <= 2 * rows:
+            break
+        parts *= 2
+    return r
+
+
+def running_sums(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), down: bool = False, cut: Column | None = None, rows: int | None = None) -> DataFrame:
     """`df` with upto_c and total_c for each c of `sums`: its sum over the group's rows up to this one by `key`, and over all.
 
-    A value of `key` is one row of its group. `cut` may name the range of a row, rising with
-    `key`; else quantile sketches do. With `down` the order is descending.
+    A value of `key` is one row of its group. `cut` may name the part of a row, rising with
+    `key`; else `ranged` does. With `down` the order is descending.
     """
-    if cut is None:
-        edges = df.groupBy(*by).agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_edges"))
-        d = beside(df, edges, by).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
-    else:
-        d = df.withColumn("_range", cut)
-    turn = (lambda c: F.col(c).desc()) if down else F.col
+    turn = F.col(key).desc() if down else F.col(key)
+    d = ranged(df, [turn], by, rows) if cut is None else df.withColumn("_part", cut)
     group = Window.partitionBy(*by)
-    earlier = group.orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*by, "_range").agg(*(F.sum(c).alias(c) for c in sums))
-    totals = totals.select(*by, "_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums), *(F.sum(c).over(group).alias(f"total_{c}") for c in sums))
-    inside = Window.partitionBy(*by, "_range").orderBy(turn(key)).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(broadcast_if_small(totals), [*by, "_range"])
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*by, "_part").agg(*(F.sum(c).alias(c) for c in sums))
+    totals = totals.select(*by, "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums), *(F.sum(c).over(group).alias(f"total_{c}") for c in sums))
+    inside = Window.partitionBy(*by, "_part").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(broadcast_if_small(totals), [*by, "_part"])
     return d.select(*df.columns, *((F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"upto_{c}") for c in sums), *(f"total_{c}" for c in sums))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), number: str = "_row", total: str = "_n", rows: int | None = None) -> DataFrame:
+    """`df` with the place of each row of its group by `order`, from 1, and the rows of the group; ties of the first columns are no hot spot."""
+    d = ranged(df, order, by, rows)
+    group = Window.partitionBy(*by)
+    totals = d.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    earlier = F.coalesce(F.sum("_c").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "_part", earlier.alias("_before"), F.sum("_c").over(group).alias(total))
+    d = d.withColumn(number, F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    return d.join(broadcast_if_small(totals), [*by, "_part"]).withColumn(number, F.col("_before") + F.col(number)).drop("_part", "_before")
+
+
+def before(df: DataFrame, key: str, by: Sequence[str] = (), greatest: Sequence[str] = (), last: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """`df` with max_c, the greatest c of the group's rows before this one by `key`, and last_c, that of the row just before; null for the first.
+
+    A value of `key` is one row of its group. Between parts go their greatest values and their last rows.
+    """
+    d = ranged(df, [F.col(key)], by, rows)
+    ends = d.groupBy(*by, "_part").agg(*(F.max(c).alias(f"_m_{c}") for c in greatest), F.max_by(F.struct(F.lit(1).alias("_one"), *last), key).alias("_end"))
+    parts = Window.partitionBy(*by).orderBy("_part")
+    carried = [F.max(f"_m_{c}").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{c}") for c in greatest]
+    ends = ends.select(*by, "_part", *carried, F.lag("_end").over(parts).alias("_end"))
+    inside = Window.partitionBy(*by, "_part").orderBy(key)
+    first = F.row_number().over(inside) == 1
+    d = d.join(broadcast_if_small(ends), [*by, "_part"])
+    most = [F.greatest(F.max(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_c_{c}")).alias(f"max_{c}") for c in greatest]
+    return d.select(*df.columns, *most, *(F.when(first, F.col(f"_end.{c}")).otherwise(F.lag(c).over(inside)).alias(f"last_{c}") for c in last))
+
+
 def counted(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """by, column, n, upto_n and total_n of each value that is there, in rising order."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))

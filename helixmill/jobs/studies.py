@@ -35,6 +35,16 @@ def harmonized(genotypes: DataFrame, variants: DataFrame, weights: DataFrame) ->
     return harmonize.harmonize_alleles(genotypes, harmonize.allele_flips(variants, weights, ["trait", "line"]))
 
 
+def linear_study(genotypes: DataFrame, people: DataFrame, variants: DataFrame, weights: DataFrame, maf: float = 0.01, missing: float = 0.05) -> DataFrame:
+    """variant_id, n, beta, se, t and polymorphic of the variants that pass quality control, for the scores' effect alleles.
+
+    Genotypes are read once: both the control and the fit follow from one reduction, and flips turn sums of variants.
+    """
+    sums = gwas.passing_sums(gwas.sparse_linear_sums(genotypes, people), maf, missing)
+    flips = harmonize.allele_flips(variants, weights, ["trait", "line"]).select("variant_id", "flipped")
+    return gwas.linear_fit(gwas.turned(sums.join(broadcast_if_small(flips), "variant_id")))
+
+
 def baseline_cells(genotypes: DataFrame, variants: DataFrame, weights: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cells of harmonised genotypes."""
     return C.genotype_cells(harmonized(genotypes, variants, weights), people, by)
@@ -129,10 +139,11 @@ def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, cau
 
     Each (method, run) is stored below `path` when it is done, and a rerun makes only what is
     missing there. Private runs differ by noise alone, so their sums are shared; federated
-    runs by the split into sites, which is one more key. Both traits are fitted on the same subset.
+    runs by the split into sites, which is one more key. causal has trait and rsid: each trait has a subset of its own.
     """
-    subset = pgs.seeded_sample(variants.join(causal.select("rsid").distinct(), "rsid", "left_semi"), most, seed, "variant_id")
-    small = broadcast_if_small(store(subset.select("variant_id", "rsid"), "subset"))
+    subset = pgs.seeded_sample(variants.join(causal.select("trait", "rsid").distinct(), "rsid"), most, seed, "variant_id", ["trait"])
+    small = broadcast_if_small(store(subset.select("trait", "variant_id", "rsid"), "subset"))
+    of = {t: small.where(F.col("trait") == t).select("variant_id") for t in ("BMI", "T2D")}
     g = store(genotypes.join(small.select("variant_id"), "variant_id", "left_semi"), "subset-genotypes")
     row = lambda d, method, trait, run: d.select(F.lit(method).alias("method"), run.cast("int").alias("run"), F.lit(trait).alias("trait"), "variant_id", "beta")
 
@@ -146,10 +157,10 @@ def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, cau
         if "BASE" in todo:
             out += [row(f(cells), "BASE", t, F.lit(0)) for t, f in (("BMI", gwas.gwas_linear), ("T2D", gwas.gwas_logistic))]
         if "DP" in todo:
-            moments = store(stats.join(small, "variant_id", "left_semi"), "run-moments")
+            moments = store(stats.join(of["BMI"], "variant_id", "left_semi"), "run-moments")
             age = people.agg(F.avg("age"), F.stddev_samp("age")).first()
-            sums, table = store(dp.dp_ols_sums(cells, moments, age[0] or 0.0, age[1] or 0.0), "run-sums"), store(dp.case_table(cells), "run-tables")
-            each = 2.5 / max(1, moments.count())
+            sums, table = store(dp.dp_ols_sums(cells, moments, age[0] or 0.0, age[1] or 0.0), "run-sums"), store(dp.case_table(cells.join(of["T2D"], "variant_id", "left_semi")), "run-tables")
+            each = 2.5 / max(1, table.count())
             for r in todo["DP"]:
                 out.append(row(dp.quant_betas(sums, moments, 2.5, 1e-6, seed + r), "DP", "BMI", F.lit(r)))
                 out.append(row(dp.case_betas(dp.noisy_case_table(table, each, seed + r)), "DP", "T2D", F.lit(r)))
@@ -161,7 +172,7 @@ def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, cau
 
     grid = people.sparkSession.createDataFrame([("BASE", 0), *((m, int(r)) for r in runs for m in ("DP", "FED"))], "method string, run int")
     rows = write_or_reuse(people.sparkSession, path, grid, ["method", "run"], build)
-    return rows.join(small, "variant_id").select("method", "run", "trait", "rsid", "beta")
+    return rows.join(small, ["trait", "variant_id"]).select("method", "run", "trait", "rsid", "beta")
 
 
 def method_effects(genotypes: DataFrame, people: DataFrame, stats: DataFrame, eps_total: float = 2.5, delta_total: float = 1e-6, sites: int = 5, seed: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import stats
 from helixmill.functions.columns import broadcast_if_small, clip, gaussian, gumbel, laplace, row_scale, split_budget, strong_composition, uniform, zcdp
-from helixmill.functions.ordering import counted, top_k
+from helixmill.functions.ordering import numbered, top_k
 from helixmill.operators.cells import is_flipped
 from helixmill.operators.gwas import chi2_p
 from helixmill.operators.pgs import with_bins
@@ -72,14 +72,9 @@ def noisy_utilities(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int |
 
 
 def rank_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:
-    """variant_id, by, noisy and rank of all variants for each budget; equal values follow by variant_id.
-
-    Values are ranked by ranges, and those that are equal among themselves, so no task orders a whole budget.
-    """
-    d = noisy_utilities(u, budgets, y_clip, seed, by).withColumn("_turn", -F.col("noisy"))
-    same = Window.partitionBy(*by, "_turn").orderBy("variant_id")
-    d = d.join(counted(d, "_turn", by).select(*by, "_turn", (F.col("upto_n") - F.col("n")).alias("_before")), [*by, "_turn"])
-    return d.withColumn("rank", (F.col("_before") + F.row_number().over(same)).cast("int")).drop("_turn", "_before")
+    """variant_id, by, noisy and rank of all variants for each budget; equal values follow by variant_id."""
+    d = noisy_utilities(u, budgets, y_clip, seed, by)
+    return numbered(d, [F.col("noisy").desc(), F.col("variant_id")], by, "rank").withColumn("rank", F.col("rank").cast("int")).drop("_n")
 
 
 def first_by_noisy_utility(u: DataFrame, budgets: DataFrame, y_clip: float, seed: int | str, by: Sequence[str] = ("eps_total",)) -> DataFrame:

@@ -9,13 +9,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.functions import stats
 from helixmill.functions.columns import BIOBANK_LINE, broadcast_if_small, clip_p, finite, neg_log10_p
-from helixmill.functions.ordering import counted, neighbours
+from helixmill.functions.ordering import neighbours, numbered
 from helixmill.operators.cells import is_flipped
 from helixmill.operators.qc import is_hit
 
@@ -53,7 +53,7 @@ def linear_sums(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sparse_linear_sums(genotypes: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """What `linear_sums` gives by variant and `by`, straight from sparse genotypes.
+    """What `linear_sums` gives by variant and `by`, straight from sparse genotypes, and n_all, the people with or without a call.
 
     Dosage 0 adds nothing to sums with dosage, and the other sums are those of all people
     less missing calls, so nothing finer than a variant (and `by`) is ever shuffled. A flipped
@@ -77,9 +77,25 @@ def sparse_linear_sums(genotypes: DataFrame, people: DataFrame, by: Sequence[str
     if by:
         own = F.get(F.filter("given", lambda r: reduce(lambda a, b: a & b, [r[k] == F.col(k) for k in by])), 0)
         d = d.withColumn("own", own).select("variant_id", *by, "flipped", *base, *(F.coalesce(F.col(f"own.{c}"), F.lit(0.0)).alias(c) for c in sums))
-    d = d.select("variant_id", *by, "flipped", *with_g, *((F.col(c) - F.col(f"lost_{c}")).alias(c) for c in base))
-    turn = {"s_g": 2 * F.col("n") - F.col("s_g"), "s_gg": 4 * F.col("n") - 4 * F.col("s_g") + F.col("s_gg")} | {f"s_g{k}": 2 * F.col(f"s_{k}") - F.col(f"s_g{k}") for k in v}
-    return d.select("variant_id", *by, F.col("n").cast("long").alias("n"), *(c for c in base if c != "n"), *(F.when(F.col("flipped"), e).otherwise(F.col(c)).alias(c) for c, e in turn.items()))
+    d = d.select("variant_id", *by, "flipped", *with_g, F.col("n").cast("long").alias("n_all"), *((F.col(c) - F.col(f"lost_{c}")).alias(c) for c in base))
+    return turned(d.withColumn("n", F.col("n").cast("long")))
+
+
+def turned(sums: DataFrame) -> DataFrame:
+    """`sums` with dosage g read as 2 - g where `flipped`, which goes."""
+    n, s, ss = (F.col(c) for c in ("n", "s_g", "s_gg"))
+    turn = {"s_g": 2 * n - s, "s_gg": 4 * n - 4 * s + ss} | {f"s_g{k}": 2 * F.col(f"s_{k}") - F.col(f"s_g{k}") for k in "axy"}
+    return sums.select(*(c for c in sums.columns if c not in (*turn, "flipped")), *(F.when(F.col("flipped"), e).otherwise(F.col(c)).alias(c) for c, e in turn.items()))
+
+
+def passing_sums(sums: DataFrame, maf: float = 0.01, missing: float = 0.05) -> DataFrame:
+    """`sums` of variants that pass `qc.filter_maf_missing`: the sums of dosage, of its square and of calls say all that it asks for."""
+    n, s = F.col("n"), F.col("s_g")
+    two = (F.col("s_gg") - s) / 2
+    levels = [n - s + two, s - 2 * two, two]
+    freq = F.when(n > 0, s / n / 2)
+    kinds = reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in levels])
+    return sums.where((F.least(freq, 1 - freq) >= maf) & ((F.col("n_all") - n) / F.col("n_all") <= missing) & (kinds > 1))
 
 
 def gwas_linear(cells: DataFrame, keys: Sequence[str] = ("variant_id",)) -> DataFrame:
@@ -223,9 +239,7 @@ def qq_points(results: DataFrame, by: Sequence[str] = (), p: str = "p") -> DataF
     Plotting positions are (i - a) / (n + 1 - 2a) with a of 3/8 for up to ten points, else 1/2.
     """
     ok = results.select(*by, "rsid", clip_p(finite(F.col(p))).alias("p")).where("p is not null")
-    c = counted(ok, "p", by).select(*by, "p", (F.col("upto_n") - F.col("n")).alias("before"), F.col("total_n").alias("n"))
-    same = Window.partitionBy(*by, "p").orderBy("rsid")
-    d = ok.join(c, [*by, "p"]).withColumn("rank", (F.col("before") + F.row_number().over(same)).cast("int"))
+    d = numbered(ok, [F.col("p"), F.col("rsid")], by, "rank", "n").withColumn("rank", F.col("rank").cast("int"))
     a = F.when(F.col("n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     return d.select(*by, "rsid", "rank", neg_log10_p(F.col("p")).alias("observed"), (-F.log10((F.col("rank") - a) / (F.col("n") + 1 - 2 * a))).alias("expected"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import broadcast_if_small, clip
-from helixmill.functions.ordering import quantiles, running_sums
+from helixmill.functions.ordering import before, quantiles, running_sums
 
 
 def _up_to(w: Window) -> Window:
@@ -64,18 +64,25 @@ def roc_from_histogram(bins: DataFrame, by: Sequence[str] = (), pos: str = "pos"
     return bins.select(*by, "bin", (F.sum(neg).over(down) / F.col(n_neg)).alias("fpr"), (F.sum(pos).over(down) / F.col(n_pos)).alias("tpr"))
 
 
-def monotone_roc(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Points by (fpr, tpr), both raised to their running maximum and held within [0, 1]."""
-    w = _up_to(Window.partitionBy(*by).orderBy("fpr", "tpr"))
-    return roc.select(*by, clip(F.max("fpr").over(w), 0, 1).alias("fpr"), clip(F.max("tpr").over(w), 0, 1).alias("tpr"))
+def monotone_roc(roc: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Points by (fpr, tpr), both raised to their running maximum and held within [0, 1].
+
+    Points of one fpr follow by tpr, so only the greatest tpr of lower fprs matters, which is carried between parts.
+    """
+    top = before(roc.groupBy(*by, "fpr").agg(F.max("tpr").alias("tpr")), "fpr", by, greatest=["tpr"], rows=rows)
+    d = roc.select(*by, "fpr", F.col("tpr").alias("_t")).join(broadcast_if_small(top.select(*by, "fpr", "max_tpr")), [*by, "fpr"])
+    return d.select(*by, clip(F.col("fpr"), 0, 1).alias("fpr"), clip(F.greatest("_t", "max_tpr"), 0, 1).alias("tpr"))
 
 
-def auc_trapezoid(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by and auc: the trapezoid rule over points by (fpr, tpr), held within [0, 1]; null for fewer than two points."""
-    w = Window.partitionBy(*by).orderBy("f", "t")
+def auc_trapezoid(roc: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """by and auc: the trapezoid rule over points by (fpr, tpr), held within [0, 1]; null for fewer than two points.
+
+    Points of one fpr span no area, so each fpr is one row of its lowest and highest tpr; the last row of a part is carried to the next.
+    """
     d = roc.where("fpr is not null and tpr is not null").select(*by, clip(F.col("fpr"), 0, 1).alias("f"), clip(F.col("tpr"), 0, 1).alias("t"))
-    d = d.select(*by, ((F.col("f") - F.lag("f").over(w)) * (F.col("t") + F.lag("t").over(w)) / 2).alias("area"))
-    return d.groupBy(*by).agg(F.when(F.count("*") > 1, clip(F.sum("area"), 0, 1)).alias("auc"))
+    d = before(d.groupBy(*by, "f").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n")), "f", by, last=["f", "high"], rows=rows)
+    area = F.coalesce(F.sum((F.col("f") - F.col("last_f")) * (F.col("low") + F.col("last_high")) / 2), F.lit(0.0))
+    return d.groupBy(*by).agg(F.when(F.sum("n") > 1, clip(area, 0, 1)).alias("auc"))
 
 
 def auc_rank(scores: DataFrame, by: Sequence[str] = (), auto_direction: bool = False) -> DataFrame:

@@ -207,8 +207,8 @@ def x08_dp_quant_betas(s: SparkSession, d: str) -> DataFrame:
     return significant_columns(dp.quant_betas(dp_sums_of(s, d), stats_of(s, d), 2.5, 1e-6, SEED), "beta")
 
 
-def lap(purpose: str, key: str, scale: str) -> str:
-    u = uniform_sql(purpose, key)
+def lap(purpose: str, key: str, scale: str, seed: int = SEED) -> str:
+    u = uniform_sql(purpose, key, seed=seed)
     return f"(-({scale}) * sign({u} - 0.5) * ln(1 - 2 * abs({u} - 0.5)))"
 
 
@@ -488,10 +488,31 @@ def m01_private_agreement(s: SparkSession, d: str) -> DataFrame:
     return compare.effect_agreement(e.where("method = 'base'"), e.where("method = 'dp'"))
 
 
-@query()
+RUN_SEED = 1000
+RUN_NOS = (1, 2, 3)
+#: The names of the counts of a case table, and the scale of the noise on them.
+COUNTS = [f"{k}_{g}" for g in (0, 1, 2) for k in ("case", "ctrl")]
+RUN_SCALE = "(SELECT count(*) FROM sub WHERE trait = 'T2D') / 2.5"
+RUN_SITES = "rs AS (" + " UNION ALL ".join(f"SELECT p.*, {r} AS run, ntile(5) OVER (ORDER BY md5('{RUN_SEED + r}|site|' || sample_id), sample_id)::INT AS site FROM people p" for r in RUN_NOS) + ")"
+RUN_DENSE = DENSE.replace("dense AS", "rd AS").replace("p.sample_id % 5 + 1 AS site", "p.run, p.site").replace("CROSS JOIN people p", "CROSS JOIN rs p")
+RUN_TABLES = " UNION ALL ".join(f"SELECT variant_id, {r} AS run, " + ", ".join(f"greatest(0.0, {c} + {lap(c, 'variant_id', RUN_SCALE, RUN_SEED + r)}) + 1e-6 AS {c}" for c in COUNTS) + " FROM ct" for r in RUN_NOS)
+RUN_FITS = (
+    f"sub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY {uniform_sql('sample', 'variant_id', seed=RUN_SEED)}, variant_id) AS r FROM (SELECT DISTINCT w.trait, v.variant_id, v.rsid FROM variants v JOIN weights w ON w.rsid = v.rsid) z) y WHERE r <= 200)",
+    DENSE, STATS, DP_SUMS, dp_sum_rows("ds"), "mo AS (SELECT t.* FROM stats t JOIN sub b ON b.variant_id = t.variant_id AND b.trait = 'BMI')",
+    *(c for r in RUN_NOS for c in each_private(f"q{r}", RUN_SEED + r, "mo")), CASES, f"ntr AS ({RUN_TABLES})",
+    NEWTON.replace("nw AS", "nwr AS").replace("FROM nw", "FROM nwr").replace("FROM nt ", "FROM ntr ").replace("SELECT variant_id, case_0", "SELECT variant_id, run, case_0"),
+    RUN_SITES, RUN_DENSE, *(c.replace("dense", "rd") for c in linear_sql("variant_id, run, site", tag="r")[1:]), logistic("rl", ["variant_id", "run", "site"], "rd", firth=True),
+    meta_sql("rq", "fitr", "variant_id", "run"), meta_sql("rb", "rl", "variant_id", "run"), *BOTH_FITS,
+    "ra AS (SELECT 'BASE' AS method, 0 AS run, 'BMI' AS trait, variant_id, beta FROM fit0 UNION ALL SELECT 'BASE', 0, 'T2D', variant_id, beta FROM lb"
+    + "".join(f" UNION ALL SELECT 'DP', {r}, 'BMI', variant_id, beta FROM q{r}" for r in RUN_NOS)
+    + " UNION ALL SELECT 'DP', run, 'T2D', variant_id, b1 FROM nwr WHERE i = 12 UNION ALL SELECT 'FED', run, 'BMI', variant_id, beta FROM rq UNION ALL SELECT 'FED', run, 'T2D', variant_id, beta FROM rb)",
+)
+
+
+@query(f"SELECT method, run::INT AS run, a.trait, b.rsid, {significant('beta', 5)} AS beta FROM ra a JOIN sub b ON b.variant_id = a.variant_id AND b.trait = a.trait", *RUN_FITS)
 def m04_run_to_run(s: SparkSession, d: str) -> DataFrame:
     g, p, v, w = views(s, d, "genotypes", "people", "variants", "weights")
-    return studies.run_to_run(g, p, v, w, range(1, 4), stats_of(s, d), fresh_path(s, "runs"))
+    return significant_columns(studies.run_to_run(g, p, v, w, RUN_NOS, stats_of(s, d), fresh_path(s, "runs"), seed=RUN_SEED), "beta", digits=5)
 
 
 @query("SELECT method, trait, rsid, round(u.beta - r.beta, 6) + 0.0 AS delta FROM runs u JOIN results r USING (rsid, trait)", RUNS)
@@ -538,8 +559,7 @@ FLIPPED = DENSE.replace("CASE WHEN g.sample_id IS NULL THEN 0 ELSE g.dosage END
 def flagship_linear_scan(s: SparkSession, d: str) -> DataFrame:
     """Per-variant linear association after quality control and allele harmonisation."""
     g, v, w, p = views(s, d, "genotypes", "variants", "weights", "people")
-    kept, _ = studies.qc_genotypes(g, p)
-    return gwas.gwas_linear_sparse(studies.harmonized(kept, v, w), p).select("variant_id", "n", "beta", "se", "t")
+    return studies.linear_study(g, p, v, w).select("variant_id", "n", "beta", "se", "t")
 
 
 @query(f"""SELECT f.variant_id, v.rsid, v.chr, v.bp, round(f.beta, 6) + 0.0 AS beta_bmi, round({t_p('f.beta / f.se', 'f.n - 4')}, 6) + 0.0 AS p_bmi, round(l.beta, 6) + 0.0 AS beta_t2d, round({normal_p('l.z')}, 6) + 0.0 AS p_t2d
