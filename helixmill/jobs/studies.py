@@ -139,8 +139,11 @@ def run_to_run(genotypes: DataFrame, people: DataFrame, variants: DataFrame, cau
 
     Each (method, run) is stored below `path` when it is done, and a rerun makes only what is
     missing there. Private runs differ by noise alone, so their sums are shared; federated
-    runs by the split into sites, which is one more key. causal has trait and rsid: each trait has a subset of its own.
+    runs by the split into sites, which is one more key. causal has trait and rsid: each trait has a subset
+    of its own; without trait, the same variants serve both.
     """
+    if "trait" not in causal.columns:
+        causal = over_grid(causal, "trait", "BMI,T2D", "string")
     subset = pgs.seeded_sample(variants.join(causal.select("trait", "rsid").distinct(), "rsid"), most, seed, "variant_id", ["trait"])
     small = broadcast_if_small(store(subset.select("trait", "variant_id", "rsid"), "subset"))
     of = {t: small.where(F.col("trait") == t).select("variant_id") for t in ("BMI", "T2D")}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from helixmill.functions import ordering
 from helixmill.functions.stored import fresh_path
 from helixmill.operators import cells as C
-from helixmill.operators import packed, pgs, qc
-from helixmill.sources import landing, readers
+from helixmill.operators import gwas, packed, pgs, qc, roc
+from helixmill.sources import landing, readers, writers
 from tests.test_operators import study  # noqa: F401
 
 
@@ -122,3 +122,90 @@ def test_top_k_by_group(spark, k):
     alone = ordering.top_k(d.drop("k"), k, [("v", False), ("id", False)])
     assert [x["id"] for x in alone.orderBy("rank").collect()] == [x[0] for x in sorted(rows, key=lambda x: (x[2], x[0]))[:k]]
     assert ordering.top_k(d.where("false"), "k", [("v", True)], ["g"]).count() == 0
+
+
+@pytest.fixture
+def many_scores(spark):
+    """Scores of 30,000 people, all distinct but for some ties, in two groups; one fpr in three is shared by many."""
+    r = np.random.default_rng(5)
+    y = r.random(30_000) < 0.3
+    score = np.round(r.normal(0, 1, len(y)) + y, 6)
+    rows = [(int(i % 2), float(s), int(c)) for i, (s, c) in enumerate(zip(score, y))]
+    return spark.createDataFrame(rows, "g int, score double, y_bin int"), rows
+
+
+def test_ranges_are_about_as_large_as_asked_for(spark, many_scores):
+    d, rows = many_scores
+    p = ordering.ranged(d.select("score"), [F.col("score")], rows=2_000)
+    sizes = [x["count"] for x in p.groupBy("_part").count().collect()]
+    assert max(sizes) <= 4_000 and len(sizes) >= len(rows) / 4_000
+    ends = sorted(tuple(x) for x in p.groupBy("_part").agg(F.min("score"), F.max("score")).collect())
+    assert all(a[2] < b[1] or a[2] == b[1] for a, b in zip(ends, ends[1:]))
+
+
+def test_areas_over_many_points_are_carried_between_ranges(spark, many_scores, monkeypatch):
+    d, rows = many_scores
+    monkeypatch.setattr(ordering, "ROWS_A_RANGE", 3_000)
+    points = roc.roc_exact(d, ["g"]).drop("score")
+    area = {x["g"]: x["auc"] for x in roc.auc_trapezoid(points, ["g"]).collect()}
+    ranks = {x["g"]: x["auc"] for x in roc.auc_rank(d, ["g"]).collect()}
+    assert area == {g: pytest.approx(a, abs=1e-9) for g, a in ranks.items()} and all(0.6 < a < 0.9 for a in area.values())
+    alone = roc.auc_trapezoid(points.where("g = 0").drop("g")).first()["auc"]
+    assert alone == pytest.approx(ranks[0], abs=1e-9)
+    assert roc.auc_trapezoid(points.limit(1).drop("g")).first()["auc"] is None
+
+
+def test_running_maximum_by_ranges(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(g, round(r.random(), 2), r.random() * 1.1) for g in ("a", "b") for _ in range(3000)]
+    monkeypatch.setattr(ordering, "ROWS_A_RANGE", 20)
+    got = sorted(tuple(x) for x in roc.monotone_roc(spark.createDataFrame(rows, "g string, fpr double, tpr double"), ["g"]).collect())
+    want = []
+    for g in ("a", "b"):
+        top = 0.0
+        for _, f, t in sorted(x for x in rows if x[0] == g):
+            top = max(top, t)
+            want.append((g, f, min(1.0, top)))
+    assert got == sorted(want)
+
+
+def test_one_p_value_for_all_is_no_hot_spot(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_A_RANGE", 500)
+    rows = [(f"rs{i:06d}", 1e-300 if i % 3 else 0.5, "x" if i % 5 else None) for i in range(8000)]
+    d = spark.createDataFrame(rows, "rsid string, p double, trait string").repartition(5).where("trait is not null")
+    got = {x["rsid"]: x["rank"] for x in gwas.qq_points(d, ["trait"]).collect()}
+    some = sorted((max(p, 2.220446e-16), s) for s, p, t in rows if t)
+    assert got == {s: n + 1 for n, (_, s) in enumerate(some)}
+    parts = ordering.ranged(d, [F.col("p"), F.col("rsid")], ["trait"], rows=500).groupBy("_part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 1000
+
+
+def test_a_run_that_broke_off_is_made_again(spark):
+    path = fresh_path(spark, "runs")
+    made = []
+
+    def build(missing):
+        keys = sorted(x["k"] for x in missing.collect())
+        made.append(keys)
+        return spark.createDataFrame([(k, i) for k in keys for i in range(3)], "k int, v int")
+
+    wanted = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    spark.createDataFrame([(1, 7)], "k int, v int").write.partitionBy("k").parquet(f"{path}/batch-broken")  # written, but never recorded
+    read = lambda *ks: sorted(tuple(x) for x in writers.write_or_reuse(spark, path, wanted(*ks), ["k"], build).select("k", "v").collect())
+    assert read(1, 2) == [(k, v) for k in (1, 2) for v in range(3)] and read(1, 2, 3) == [(k, v) for k in (1, 2, 3) for v in range(3)]
+    assert made == [[1, 2], [3]]
+    # the files of a key are lost: its record counts for nothing
+    batch = next(r["batch"] for r in spark.read.parquet(f"{path}/commits").collect() if r["k"] == 2)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{batch}/k=2")
+    gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
+    assert read(1, 2, 3) == [(k, v) for k in (1, 2, 3) for v in range(3)] and made[-1] == [2]
+
+
+def test_control_and_fit_from_one_reduction(spark, study):  # noqa: F811
+    people, genotypes, _, _ = study
+    sums = gwas.sparse_linear_sums(genotypes, people)
+    for maf, missing in ((0.01, 0.05), (0.05, 0.05), (0.3, 1.0), (0.0, 0.01)):
+        kept = {x["variant_id"] for x in qc.filter_maf_missing(genotypes, qc.variant_stats(genotypes, people.count()), maf, missing).select("variant_id").distinct().collect()}
+        assert {x["variant_id"] for x in gwas.passing_sums(sums, maf, missing).collect()} == kept
+    lines = plan(gwas.linear_fit(gwas.passing_sums(sums))).count("Scan ExistingRDD")
+    assert lines == plan(gwas.linear_fit(sums)).count("Scan ExistingRDD")
