@@ -99,6 +99,15 @@ def _merges(m: Model, vocab: dict[str, int]) -> list[tuple[str, str]]:
     return out
 
 
+def _stand_ins(m: Model) -> dict[str, str]:
+    """A private character for each user-defined piece, longest pieces first: such pieces are cut out of a text before it is merged.
+
+    Characters are taken from the end of the last private plane; a text that has them itself is read as having the pieces.
+    """
+    own = sorted((p for p, _, t in m.pieces if t == USER_DEFINED), key=lambda p: (-len(p), p))
+    return {p: chr(0x10FFFD - i) for i, p in enumerate(own)}
+
+
 def build(data: bytes) -> Tokenizer:
     """The tokenizers backend of a SentencePiece model file."""
     m = parse(data)
@@ -107,6 +116,7 @@ def build(data: bytes) -> Tokenizer:
     if m.kind == BPE:
         every = {p: i for i, (p, *_) in enumerate(m.pieces)}
         # texts must not match control pieces, so those are not in any merge
+        every |= {c: every[p] for p, c in _stand_ins(m).items()}
         model = models.BPE(vocab=every, merges=_merges(m, usable), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     elif m.kind == UNIGRAM:
         # the library takes the cost of unknown characters from the least score of normal pieces; pieces
@@ -117,9 +127,10 @@ def build(data: bytes) -> Tokenizer:
     else:
         raise ValueError(f"model type {m.kind} is neither unigram nor BPE")
     t = Tokenizer(model)
-    steps: list[normalizers.Normalizer] = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-    if m.remove_extra_spaces:
-        steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
+    steps: list[normalizers.Normalizer] = [normalizers.Replace(p.replace(MARKER, " ") if m.escape_spaces else p, c) for p, c in _stand_ins(m).items()] if m.kind == BPE else []
+    steps += [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+    if m.remove_extra_spaces:  # U+0020 alone: tabs and line ends stay, unless the charsmap made spaces of them
+        steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARKER if m.escape_spaces else " "))
     if m.escape_spaces:
