@@ -9,7 +9,8 @@ outside the base. Vote and feature patterns are counted by Spark; what reaches t
 are their counts, bounded by 3**labelers * 2**features rows whatever the input.
 
 Defined results: a null text is empty; base spans always stay; candidates that touch base
-spans are left out; equal rows give equal results; without candidates nothing is added; an
+spans are left out; equal rows give equal results; a span whose likelihood lies just on the threshold is
+taken; texts and runs of any length are worked on whole; without candidates nothing is added; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -46,8 +47,9 @@ HINTS = {
     "contact": r"(?i)[a-z0-9] ?[\[(] ?at ?[\])] ?[a-z0-9]",
     "number": r"[0-9](?:[ ().-]{0,2}[0-9]){8}",
 }
-CONTACT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE | re.ASCII)
-NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,40}")
+# whole runs, which only begin where nothing of them stands before, so that long ones stay linear
+CONTACT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++", re.IGNORECASE | re.ASCII)
+NUMBER = re.compile(r"\(?(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9])++")
 
 #: Words near a span that speak for or against personal data.
 CONTEXT_FOR = frozenset("call phone tel telephone mobile cell fax contact email mail e-mail address reach whatsapp ssn social card credit visa iban account passport dob born".split())
@@ -58,6 +60,9 @@ NAMES = frozenset("anna james john mary robert patricia michael linda david mari
 NEAR = 40
 WORD = re.compile(r"[A-Za-z-]+")
 
+#: Rows that the candidates count as, together, against the ridge on the classifier's weights: the same at every size.
+STRENGTH = 10_000
+
 LABELERS = ("shape", "checksum", "ending", "name", "context_for", "context_against")
 FEATURES = ("has_plus", "has_at", "separators", "digits_9_11", "digits_12_19", "luhn", "grouped", "near_word", "known_ending", "near_name", "near_against")
 
@@ -212,7 +217,7 @@ def fit(counts: list[tuple[int, int, int]], rounds: int = 100) -> Model:
         right = np.clip((agrees + 8) / ((n[:, None] * (yes | no)).sum(0) + 10), 0.55, 0.99)
         prior = float(np.clip((n * true).sum() / n.sum(), 0.01, 0.99))
     x, w = _design(feature), np.zeros(1 + len(FEATURES))
-    weight = n / n.sum() * min(n.sum(), 10_000)
+    weight = n / n.sum() * STRENGTH
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (weight * (true - p)) - w)
