@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.llm import chat, components, cpsjoin, cws, langid, linededup, mixing, oracles, pii, quality, queries, secrets, spm
+from helixmill.llm import chat, components, cpsjoin, cws, langid, linededup, mixing, oracles, phrases, pii, quality, queries, repair, repeats, secrets, spm
+from helixmill.llm import words as word_places
 from tests.conftest import SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,7 +58,7 @@ def clashing(d):
     return d.withColumns({c: F.lit(i) for i, c in enumerate(NAMES)})
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if not n.startswith("op4_")])
+@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if not n.startswith(("op4_", "op12_", "op13_"))])
 def test_odd_rows_and_clashing_columns(name, spark, tmp_path):
     clashing(docs_of(spark, odd_texts())).write.parquet(str(tmp_path / "documents.parquet"))
     out = queries.QUERIES[name](spark, str(tmp_path))
@@ -156,8 +158,8 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert again.where("decoded <> coalesce(text, '')").count() == 1
 
 
-def model_bytes(pieces, byte_fallback=False, **normaliser):
-    """A unigram model file with the given (piece, score, type)."""
+def model_bytes(pieces, byte_fallback=False, kind=1, **normaliser):
+    """A model file (kind 1: unigram, 2: BPE) with the given (piece, score, type)."""
 
     def varint(n):
         return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
@@ -166,7 +168,7 @@ def model_bytes(pieces, byte_fallback=False, **normaliser):
         return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
 
     out = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + np.float32(s).tobytes() + field(3, t)) for p, s, t in pieces)
-    return out + field(2, field(3, 1) + field(35, int(byte_fallback))) + field(3, b"".join(field(k, normaliser.get(n, 1)) for n, k in (("dummy_prefix", 3), ("remove_extra_spaces", 4), ("escape", 5))))
+    return out + field(2, field(3, kind) + field(35, int(byte_fallback))) + field(3, b"".join(field(k, normaliser.get(n, 1)) for n, k in (("dummy_prefix", 3), ("remove_extra_spaces", 4), ("escape", 5))))
 
 
 def test_unigram_models_are_rebuilt():
@@ -191,6 +193,23 @@ def test_unigram_models_with_byte_fallback_agree_with_the_library(spark, tmp_pat
     assert p.where("not same_ids").count() == 0 and p.where("not same_text").count() == 0
 
 
+@pytest.mark.parametrize("spaces", [0, 1])
+@pytest.mark.parametrize("kind", [1, 2])
+def test_user_defined_pieces_and_white_space_at_ends(kind, spaces):
+    """Pieces that are cut out before a text is segmented, and ends of which only U+0020 goes, against the library."""
+    import sentencepiece
+
+    merges = "wa al wal walk ru run ▁w ▁wal ▁walk ed walked be ta beta ▁a alp ▁alp ha alpha in ing ne er ent".split()
+    own = [(p, 0.0, 4) for p in ("<ent>", "<e", "<ent>run")]
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *own, *((m, -float(i), 1) for i, m in enumerate(merges)), *((c, -100.0 - i, 1) for i, c in enumerate("abdefghiklnprtuw<>▁\t\n"))]
+    data = model_bytes(pieces, kind=kind, remove_extra_spaces=spaces)
+    library, built = sentencepiece.SentencePieceProcessor(model_proto=data), spm.build(data)
+    r = random.Random(3)
+    texts = ["walked<ent>run", "<ent>", " <ent> walked", "<e<ent>", "\talpha beta\n", "  alpha  beta  ", "\n", " \n \n "]
+    texts += ["".join(r.choices(["walked", "run", " ", "<ent>", "<e", "alpha", "\t", "\n", "be", "ta", "  "], k=r.randint(1, 9))) for _ in range(500)]
+    assert [built.encode(t, add_special_tokens=False).ids for t in texts] == library.encode(texts)
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
@@ -428,6 +447,22 @@ def test_personal_data_spans(spark):
     assert [(got[i]["n_email"], got[i]["n_ip"], got[i]["n_card"], got[i]["n_phone"]) for i in range(4)] == [(1, 0, 0, 0), (0, 2, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1)]
 
 
+def test_candidates_are_whole_runs():
+    """Runs of any length are one candidate or none; nothing is cut out of them."""
+    assert pii.more_spans("9" * 60, {"number"}) == [] and pii.more_spans("a " + "1" * 19 + " b", {"number"}) == [(2, 21, "number")]
+    long = "x" * 80 + "(at)" + "y" * 90 + ".z" * 20
+    assert pii.more_spans(f"- {long} -", {"contact"}) == [(2, 2 + len(long), "contact")]
+    began = time.time()
+    pii.more_spans("9" * 300_000 + "a" * 300_000 + " (at) " + "b." * 100_000, {"number", "contact"})
+    assert time.time() - began < 5
+
+
+def test_the_classifier_is_the_same_at_every_size():
+    counts = [(0b0, 3, 40), (2 * 3**5, 17, 25), (2 * 3**5 + 2, 131, 10), (1, 5, 30)]
+    small, large = pii.fit(counts), pii.fit([(v, f, 1000 * n) for v, f, n in counts])
+    assert np.allclose(small.probability(np.array([3, 17, 131, 5])), large.probability(np.array([3, 17, 131, 5])), atol=0.1)
+
+
 def test_reliable_labelers_are_found():
     r = np.random.default_rng(6)
     counts = collections.Counter()
@@ -516,3 +551,167 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert all(found[i] * size == taken for i, size, _, _, taken in c.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({oracles.OP8}) q").fetchall())
     assert {r["doc_id"] for r in out} <= unique and all(r["round_trip"] and r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest() for r in out)
     assert len({r["doc_id"] for r in out}) > 0.5 * len(unique)
+
+
+def brute_repeats(rows, window):
+    """doc_id, text -> words, removed and kept by comparing all windows."""
+    first = {}
+    rank = lambda i: (i is None, i or 0)
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in words:
+        for j in range(len(w) - window + 1):
+            k = tuple(w[j : j + window])
+            first[k] = min(first.get(k, rank(i)), rank(i))
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for j in range(len(w) - window + 1):
+            if first[tuple(w[j : j + window])] < rank(i):
+                gone[j : j + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("window, seed, block", [(50, 16, 6_000_000), (8, 3, 400), (5, 5, 200), (4, 1, 10_000)])
+def test_repeats_by_brute_force(spark, window, seed, block, monkeypatch):
+    """Passages within passages, within one document, at ends, in copies and by chance, with large and small blocks."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    r = random.Random(window)
+    some = [f"w{i}" for i in range(12 if window < 50 else 400)]
+    make = lambda n: r.choices(some, k=n)
+    shared = [make(window + k) for k in (0, 1, 7, 40)]
+    rows = [(None, "a b"), (0, None), (1, ""), (2, " \n ")]
+    for i in range(3, 60):
+        w = make(r.randrange(3 * window))
+        for _ in range(r.randrange(3)):
+            p = r.choice(shared)
+            at = r.randrange(len(w) + 1)
+            w = w[:at] + p[r.randrange(3) :] + w[at:]
+        rows.append((i, r.choice([" ", "\n", " \t "]).join(w)))
+    twice = " ".join(shared[2])
+    rows += [(60, f"{twice} x {twice}"), (61, twice), (61, twice), (61, twice + " more"), (None, twice), (None, twice), (-5, "é " + " ".join(shared[3])), (62, rows[9][1]), (63, rows[9][1])]
+    r.shuffle(rows)
+    d = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n_words long").withColumns({"id": F.lit(3), "h": F.lit("x"), "_text": F.lit(2), "spans": F.lit(1), "Row": F.col("n_words")})
+    got = repeats.remove_repeats(d.repartition(3), window, seed)
+    assert got.columns == ["doc_id", "text", "id", "h", "_text", "spans", "Row", "n_words", "n_removed"]
+    assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["text"]) for x in got.collect()), key=str) == sorted(brute_repeats(rows, window), key=str)
+
+
+def test_spans_and_long_texts_of_repeats(spark):
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    long = " ".join(r.choices(words, k=1_000_000))
+    part = long.split()[500_000:500_080]
+    d = spark.createDataFrame([(1, long), (2, "x y " + " ".join(part) + " z"), (3, "q " * 49)], "doc_id long, text string")
+    found = {x["id"]: x["spans"] for x in repeats.find_repeats(d).collect()}
+    assert found == {2: [2, 82]}
+    assert {x["doc_id"]: x["n_removed"] for x in repeats.remove_repeats(d).collect()} == {1: 0, 2: 80, 3: 0}
+
+
+def test_word_places_and_hashes():
+    texts = pa.array(["a  b\tc", None, "", " ", "é\x85ü\u2003z", "x" * 3000, "end\n"])
+    w = word_places.words(texts)
+    said = [w.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)]
+    assert said == [x for t in texts.to_pylist() for x in WORD.findall(t or "")] and w.row.tolist() == [0, 0, 0, 4, 5, 6]
+    again = word_places.words(pa.array(["end c a"]))
+    h = dict(zip(said, word_places.hashes(w)))
+    assert word_places.hashes(again).tolist() == [h["end"], h["c"], h["a"]] and len(set(h.values())) == len(h)
+    assert word_places.joined(w, np.array([True, False, True, True, True, False]), len(texts)).to_pylist() == ["a c", "", "", "", "é\x85ü\u2003z", "x" * 3000, ""]
+    x = np.random.default_rng(1).integers(0, 99, 300).astype(np.uint64)
+    for k in (1, 2, 3, 7, 35, 64, 300):
+        assert word_places.sliding_least(x, k).tolist() == [min(x[i : i + k]) for i in range(len(x) - k + 1)]
+
+
+def plain_edits(turns):
+    """The least cost and the least audit of it, over all sequences of edits, by costs of states (none, s, u, a)."""
+    best = {"": (0, "", ())}
+    after = lambda state, edit, role: {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((state, role))
+
+    def offer(into, state, cost, audit, out):
+        if state is not None and (state not in into or (cost, audit) < into[state][:2]):
+            into[state] = (cost, audit, out)
+
+    def inserted(states):
+        for _ in range(3):
+            for state, (cost, audit, out) in list(states.items()):
+                for role in "ua":
+                    offer(states, after(state, "I", role), cost + 3, audit + "I", (*out, ({"u": "user", "a": "assistant"}[role], "")))
+        return states
+
+    for t in turns:
+        new = {}
+        for state, (cost, audit, out) in inserted(best).items():
+            offer(new, state, cost + 4, audit + "D", out)
+            if t.fault in ("blank", "duplicate"):
+                continue
+            late = 3 * (t.fault == "truncated")
+            offer(new, after(state, "K", t.role[:1]) if t.role[:1] in ("s", "u", "a") else None, cost + late, audit + "K", (*out, (t.role, t.text)))
+            for role in ("user", "assistant"):
+                offer(new, after(state, "R", role[0]), cost + late + 3, audit + "R", (*out, (role, t.text)))
+        best = new
+    done = {k: v for k, v in inserted(best).items() if k in ("", "a")}
+    return min(done.values())
+
+
+def test_repairs_by_all_edits():
+    r = random.Random(14)
+    for _ in range(3000):
+        rows = [(r.choice([None, i]), r.choice(["user", "assistant", "system", "user", "assistant", "u2", "tool", "", " "]), r.choice(["Yes.", "No", "", " \n", "Well!", "Hm?  ", f"Text {i}."])) for i in range(r.randrange(9))]
+        turns = repair.faults(rows)
+        mine, (cost, audit, out) = repair.repair(turns), plain_edits(turns)
+        assert (mine.cost, mine.audit, tuple(mine.turns)) == (cost, audit, out)
+        assert re.fullmatch("(s?(ua)+)?", "".join(role[0] for role, _ in mine.turns))
+
+
+def test_repaired_conversations(spark):
+    said = [(1, 0, "system", "Be brief."), (1, 1, "user", "Hi?"), (1, 1, "user", "Hi?"), (1, 4, "assistant", "Ho"), (None, None, None, None), (2, 5, "assistant", "x" * 100_000 + "."), (3, 0, "user", ""), (4, 2, "user", "a."), (4, 1, "user", "b."), (4, None, "system", "c.")]
+    d = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "audit": F.lit("x"), "cost": F.lit(2)})
+    got = {x["conv_id"]: x for x in repair.audit(d).collect()}
+    key = lambda c: tuple(got[c][k] for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"))
+    assert key(1) == (2, 0, 1, 1, 1, 7, "KKDK") and key(None) == (0, 1, 0, 0, 0, 4, "D") and key(2) == (0, 0, 0, 0, 0, 3, "IK") and key(3) == (0, 1, 0, 0, 0, 4, "D")
+    assert key(4) == (0, 0, 0, 0, 1, 3, "KKR")
+    turns = [tuple(x) for x in repair.repaired(d).orderBy("conv_id", "place").collect()]
+    assert turns == [(1, 0, "system", "Be brief."), (1, 1, "user", "Hi?"), (1, 2, "assistant", "Ho"), (2, 0, "user", ""), (2, 1, "assistant", "x" * 100_000 + "."), (4, 0, "system", "c."), (4, 1, "user", "b."), (4, 2, "assistant", "a.")]
+    nothing = hashlib.sha256(b"").hexdigest()
+    every = {x["conv_id"]: x for x in repair.audit_all(d, d.where("conv_id = 1")).collect()}
+    assert set(every) == {1, 2, 3, 4, None} and tuple(every[None])[1:] == (0, 0, 0, 0, 0, 0, "", nothing) and every[1]["audit"] == "KKDK"
+
+
+def brute_phrases(rows, max_words, min_count, top):
+    f, n = collections.Counter(), collections.Counter()
+    for lang, t in rows:
+        lang, t = lang or "und", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", t):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + m])) for m in range(1, max_words + 1) for i in range(len(w) - m + 1))
+    out = []
+    for (lang, w), a in f.items():
+        if len(w) < 2 or a < min_count:
+            continue
+        score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+        longer = any(b >= max(min_count, a) and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1)) for (l2, v), b in f.items() if l2 == lang)
+        if not longer:
+            out.append((lang, -score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]], n[lang]))
+    ranks = collections.Counter()
+    for lang, s, a, p, l, r, m in sorted(out):
+        ranks[lang] += 1
+        if ranks[lang] <= top:
+            yield lang, ranks[lang], p.decode(), -a, l, r, m, -s
+
+
+@pytest.mark.parametrize("block, part", [(6_000_000, 1 << 15), (300, 7)])
+def test_phrases_by_brute_force(spark, block, part, monkeypatch):
+    """With blocks of a few texts and rows of a few entries, all counts meet over blocks."""
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
+    monkeypatch.setattr(phrases, "PART", part)
+    monkeypatch.setattr(phrases, "GATHERED", 50)
+    r = random.Random(3)
+    words = ["The", "the", "cat", "sat", "é", "on", "a", "mat", "x\x0by", "\u2003"]
+    ends = [". ", ", ", " ", "\n", "!", "\t", " ? "]
+    rows = [(r.choice(["en", "de", None, "und"]), "".join(r.choice(words[: r.randint(2, 10)]) + r.choice(ends[: r.randint(3, 7)]) + r.choice([" ", ""]) for _ in range(r.randrange(60)))) for _ in range(120)]
+    rows += [("en", "a a a a a a a"), ("fr", None), ("fr", ""), ("es", "once only"), (None, "New York City is New York City. new york city")] * 6
+    d = spark.createDataFrame(rows, "lang string, text string").withColumns({"id": F.lit(1), "phrase": F.lit("p"), "block": F.lit(2), "n": F.lit(3)}).repartition(5)
+    for least, top in ((5, 1000), (12, 7)):
+        got = sorted(tuple(x) for x in phrases.collocations(d, 5, least, top).collect())
+        assert got == sorted(brute_phrases(rows, 5, least, top)) and len(got) > 6
