@@ -102,11 +102,13 @@ def split_budget(eps: Column, share: float = 0.2) -> tuple[Column, Column]:
 def broadcast_if_small(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
     """`df` with a broadcast hint if Spark's estimate for its plan is at most `most_bytes`.
 
-    The estimate errs on the large side for joins and aggregates; what it misses, adaptive execution
-    still finds out from the sizes that it measures. Nothing is run to find the size.
+    The estimate errs on the large side for joins and aggregates, and knows nothing of how many rows arrays
+    explode into, so plans that do that get no hint; what it misses, adaptive execution still finds
+    out from the sizes that it measures. Nothing is run to find the size.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= most_bytes else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = "Generate " not in plan.toString()
+    return F.broadcast(df) if known and int(str(plan.stats().sizeInBytes())) <= most_bytes else df
 
 
 def standard_score(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:

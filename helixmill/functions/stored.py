@@ -5,18 +5,25 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; without it a folder in the warehouse, or with a master `local` a temporary one."""
+    """spark.checkpoint.dir; without it a folder in the warehouse, or with a master `local` a temporary one.
+
+    On a cluster a warehouse on the machine's own disk is refused: other machines would not see what is stored there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     master = spark.sparkContext.master
     if master.startswith("local-cluster") or not master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if urlsplit(warehouse).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return f"{warehouse}/_intermediate"
     return _temporary()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -135,21 +135,24 @@ def r2_from_stats(stats: DataFrame, by: Sequence[str] = (), p: int = 4) -> DataF
     """by, n, beta, sse, sst, r2 and r2_adj from sufficient statistics; nulls if singular or without variance."""
     schema = ", ".join([*(f"{k} {dict(stats.dtypes)[k]}" for k in by), "n long, beta array<double>, sse double, sst double, r2 double, r2_adj double"])
 
-    def solve(frames):  # one small row a group
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for r in pdf.to_dict("records"):
-                s = np.array([[r[f"s_{min(i, j)}{max(i, j)}"] for j in range(p)] for i in range(p)], float)
-                t, n = np.array([r[f"t_{i}"] for i in range(p)], float), int(r["n"])
-                sst = r["yy"] - r["sum_y"] ** 2 / n if n else 0.0
-                scale = np.sqrt(np.maximum(np.diag(s), 1e-300))
-                if n <= p or sst <= 0 or np.linalg.cond(s / np.outer(scale, scale)) > 1e10:
-                    rows.append((*(r[k] for k in by), n, None, None, None, None, None))
-                    continue
-                beta = np.linalg.solve(s, t)
-                sse = r["yy"] - 2 * beta @ t + beta @ s @ beta
-                rows.append((*(r[k] for k in by), n, beta.tolist(), sse, sst, 1 - sse / sst, 1 - (sse / (n - p)) / (sst / (n - 1))))
-            yield pd.DataFrame(rows, columns=[*by, "n", "beta", "sse", "sst", "r2", "r2_adj"])
+            n = pdf["n"].to_numpy(np.int64)
+            s = np.stack([pdf[f"s_{min(i, j)}{max(i, j)}"].to_numpy(float) for i in range(p) for j in range(p)], 1).reshape(-1, p, p)
+            t, yy, sum_y = np.stack([pdf[f"t_{i}"].to_numpy(float) for i in range(p)], 1), pdf["yy"].to_numpy(float), pdf["sum_y"].to_numpy(float)
+            sst = yy - sum_y**2 / np.maximum(n, 1)
+            scale = np.sqrt(np.maximum(np.diagonal(s, axis1=1, axis2=2), 1e-300))
+            scaled = s / (scale[:, :, None] * scale[:, None, :])
+            fine = (n > p) & (sst > 0) & np.isfinite(scaled).all((1, 2))
+            fine[fine] = np.linalg.cond(scaled[fine]) <= 1e10
+            beta, out = np.full((len(n), p), np.nan), {c: np.full(len(n), np.nan) for c in ("sse", "sst", "r2", "r2_adj")}
+            beta[fine] = np.linalg.solve(s[fine], t[fine][..., None])[..., 0]
+            sse = yy - 2 * (beta * t).sum(1) + ((s @ beta[..., None])[..., 0] * beta).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for c, v in (("sse", sse), ("sst", sst), ("r2", 1 - sse / sst), ("r2_adj", 1 - (sse / (n - p)) / (sst / (n - 1)))):
+                    out[c] = np.where(fine, v, np.nan)
+            lists = [b.tolist() if ok else None for b, ok in zip(beta, fine)]
+            yield pd.DataFrame({**{k: pdf[k] for k in by}, "n": n, "beta": pd.Series(lists, pdf.index, object), **{c: pd.Series(v, pdf.index).astype(object).where(fine, None) for c, v in out.items()}})
 
     return stats.mapInPandas(solve, schema)
 

@@ -547,6 +547,22 @@ def a30_genetic_component(s: SparkSession, d: str) -> DataFrame:
     return pgs.genetic_component(g, v, w, p, "SPARSE", SEED, k=20, least=10)
 
 
+COMPONENT = "SELECT sample_id, round(coalesce((s - avg(s) OVER ()) / nullif(stddev_samp(s) OVER (), 0), 0), 6) + 0.0 AS score_z FROM (SELECT sample_id, score AS s FROM pgc) z"
+
+
+@query(COMPONENT, """cwc AS (SELECT v.variant_id, sum(effect_weight) AS weight FROM weights w JOIN variants v ON w.rsid = v.rsid GROUP BY v.variant_id),
+pgc AS (SELECT p.sample_id, coalesce(sum(g.dosage * c.weight), 0) AS score FROM people p LEFT JOIN (genotypes g JOIN cwc c ON g.variant_id = c.variant_id) ON g.sample_id = p.sample_id GROUP BY p.sample_id)""")
+def a30_catalog_component(s: SparkSession, d: str) -> DataFrame:
+    v, w, g, p = views(s, d, "variants", "weights", "genotypes", "people")
+    return pgs.genetic_component(g, v, w, p, "PGS", SEED)
+
+
+@query("SELECT sample_id, 0.0::DOUBLE AS score_z FROM people")
+def a30_no_component(s: SparkSession, d: str) -> DataFrame:
+    v, w, g, p = views(s, d, "variants", "weights", "genotypes", "people")
+    return pgs.genetic_component(g, v, w, p, "NULL", SEED)
+
+
 # ---------------------------------------------------------------- windows, sorts and samples
 
 ROC = """rc AS (SELECT score, sum(y_bin) AS pos, sum(1 - y_bin) AS neg FROM scores GROUP BY score),

@@ -470,6 +470,18 @@ def m02_all_scores(s: SparkSession, d: str) -> DataFrame:
     return significant_columns(all_of, "score", digits=4)
 
 
+@query(f"""SELECT sample_id, trait, {significant('score_base', 4)} AS score_base, {significant('score_dp', 4)} AS score_dp FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY {uniform_sql('sample', 'sample_id', seed=1)}, sample_id) AS r FROM
+  (SELECT p.sample_id, k.trait, coalesce(x.base, 0) AS score_base, coalesce(x.dp, 0) AS score_dp FROM people p CROSS JOIN (SELECT DISTINCT trait FROM fa) k LEFT JOIN
+    (SELECT g.sample_id, trait, sum(g.dosage * coalesce(fa.beta, 0)) FILTER (WHERE method = 'base') AS base, sum(g.dosage * coalesce(fa.beta, 0)) FILTER (WHERE method = 'dp') AS dp FROM genotypes g JOIN fa ON fa.variant_id = g.variant_id GROUP BY g.sample_id, trait) x
+    ON x.sample_id = p.sample_id AND x.trait = k.trait) z) y WHERE r <= 6000""", *FITTED_CTES, *ALL_PRIVATE, *ALL_FITTED)
+def m03_fitted_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Each person's scores by the baseline's effects and by private ones, all fitted."""
+    g, p = views(s, d, "genotypes", "people")
+    w = effects_of(s, d).where("method <> 'fed'").withColumnRenamed("beta", "weight")
+    pairs = compare.per_person_pairs(pgs.pgs_score(g, w, p, ["method", "trait"]))
+    return significant_columns(pairs.select("sample_id", "trait", "score_base", "score_dp"), "score_base", "score_dp", digits=4)
+
+
 @query("""SELECT least(30, floor((x - lx) * 30 / (hx - lx)) + 1)::INT AS x_bin, least(30, floor((y - ly) * 30 / (hy - ly)) + 1)::INT AS y_bin, count(*) AS n
   FROM fa CROSS JOIN (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM fa) z GROUP BY 1, 2""",
        *FITTED_CTES, "fa AS (SELECT b.beta AS x, f.beta AS y FROM fe b JOIN fe f ON f.variant_id = b.variant_id WHERE b.method = 'base' AND f.method = 'fed' AND b.trait = 'T2D' AND f.trait = 'T2D' AND b.beta IS NOT NULL AND f.beta IS NOT NULL)")
