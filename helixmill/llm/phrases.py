@@ -33,15 +33,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.llm import words as W
-from helixmill.llm.common import Scratch, bounded_broadcast, chunks
+from helixmill.llm.common import Scratch, bounded_broadcast, chunks, mix64, small_batches, text_or_empty
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 SPACE = W.byte_table(0x20, 0x09)
 BREAK = W.byte_table(*b".,;:!?", *range(0x0A, 0x0E))
 #: A block holds about so many bytes of text.
-BLOCK_BYTES = 12_000_000
-BLOCK = "block long, lang string, codes binary, "
+BLOCK_BYTES = 6_000_000
+BLOCK = "block long, lang string, codes binary, base int, "
+#: A row holds so many entries of its block.
+PART = 1 << 15
+#: Pairs that a task adds up before it sends them on, and about half of which a bucket of pairs holds.
+GATHERED = 1 << 22
 #: Parts in which the first phrases of a language are found before they meet.
 PARTS = 64
 
@@ -54,28 +58,72 @@ def _block() -> int:
 def pieces(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     """The words of all pieces, and whether each is the first of its piece."""
     w = W.words(pc.ascii_lower(texts), SPACE | BREAK)
-    n_breaks = np.concatenate([[0], np.cumsum(BREAK[w.data])])
+    at = np.flatnonzero(BREAK[w.data])
+    before = np.searchsorted(at, w.start) - 1
     first = np.ones(len(w.start), bool)
-    first[1:] = (w.row[1:] != w.row[:-1]) | (n_breaks[w.start[1:]] > n_breaks[w.end[:-1]])
+    first[1:] = (w.row[1:] != w.row[:-1]) | ((before[1:] >= 0) & (at[np.maximum(before[1:], 0)] >= w.end[:-1]) if len(at) else False)
     return w, first
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Codes as planes of bytes, compressed: the more frequent a code the smaller it is, so the upper planes are nearly empty."""
+    planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return len(codes).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _codes(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:8], "little")
+    planes = np.frombuffer(pa.decompress(squeezed[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values from the most frequent on, with the place of a first one, and their counts; and the number of each value among them."""
+    _, at, code, count = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    return at[order], count[order], number[code]
+
+
+def _rows(lang: str, codes: np.ndarray, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A block as rows of PART entries of its columns, the first of which are number `base`; the first row has the codes."""
+    block = _block()
+    n = len(next(iter(columns.values())))
+    for base in range(0, max(1, n), PART):
+        parts = {k: v.slice(base, PART) for k, v in columns.items()}
+        lists = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in parts.items()}
+        held = pa.array([None if base else _squeezed(codes)], pa.binary())
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "lang": pa.array([lang], pa.string()), "codes": held, "base": pa.array([base], pa.int32()), **lists})
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of words: block, lang, codes, words and counts."""
+    """Blocks of words: block, lang, codes, base, words and counts. Texts of a language are gathered until they fill a block."""
+    held: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
+
+    def coded(lang: str) -> Iterator[pa.RecordBatch]:
+        size.pop(lang)
+        w, first = pieces(pa.concat_arrays(held.pop(lang)))
+        if len(w.start):
+            at, count, code = _numbered(W.hashes(w))
+            # a break before each piece but the first
+            out = np.full(len(code) + first.sum() - 1, -1, np.int32)
+            out[np.arange(len(code)) + np.cumsum(first) - 1] = code
+            texts = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[at], w.end[at])]
+            yield from _rows(lang, out, words=pa.array(texts, pa.string()), counts=pa.array(count, pa.int64()))
+
     for whole in batches:
         for lang in pc.unique(whole.column("lang")).to_pylist():
             for b in chunks(whole.filter(pc.equal(whole.column("lang"), lang)), "text", BLOCK_BYTES):
-                w, first = pieces(b.column("text"))
-                if not len(w.start):
-                    continue
-                _, at, code, count = np.unique(W.hashes(w), return_index=True, return_inverse=True, return_counts=True)
-                # a break before each piece but the first
-                out = np.full(len(code) + first.sum() - 1, -1, np.int32)
-                out[np.arange(len(code)) + np.cumsum(first) - 1] = code
-                texts = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[at], w.end[at])]
-                yield pa.RecordBatch.from_pydict(
-                    {"block": pa.array([_block()], pa.int64()), "lang": pa.array([lang], pa.string()), "codes": pa.array([out.tobytes()], pa.binary()), "words": pa.array([texts], pa.list_(pa.string())), "counts": pa.array([count.tolist()], pa.list_(pa.int64()))}
-                )
+                held.setdefault(lang, []).append(text_or_empty(b.column("text")))
+                size[lang] = size.get(lang, 0) + held[lang][-1].nbytes
+                if size[lang] >= BLOCK_BYTES:
+                    yield from coded(lang)
+        while sum(size.values()) > 4 * BLOCK_BYTES:
+            yield from coded(max(size, key=size.__getitem__))
+    for lang in list(size):
+        yield from coded(lang)
 
 
 def _paired(last: bool) -> Kernel:
@@ -84,41 +132,112 @@ def _paired(last: bool) -> Kernel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                code = np.frombuffer(b.column("codes")[i].as_py(), np.int32)
+                code = _codes(b.column("codes")[i].as_py())
                 named = b.column("named")[i].values
                 known, name = named.field("code").to_numpy(), named.field("id").to_numpy()
                 id_of = np.full(max(code.max(initial=0), known.max(initial=0)) + 2, -1, np.int64)
                 id_of[known] = name
                 # -1 takes the last place, which has no name
                 there = id_of[code] >= 0
-                both = there[:-1] & there[1:]
-                at = np.flatnonzero(both)
-                pair = code[at].astype(np.int64) << 32 | code[at + 1]
-                found, pair_code, count = np.unique(pair, return_inverse=True, return_counts=True)
-                if not len(found):
+                at = np.flatnonzero(there[:-1] & there[1:])
+                if not len(at):
                     continue
+                one, count, pair_code = _numbered(code[at].astype(np.int64) << 32 | code[at + 1])
                 # places in a row stay neighbours; anything between is one break
                 gap = np.concatenate([[False], np.diff(at) > 1])
                 out = np.full(len(at) + gap.sum(), -1, np.int32)
                 out[np.arange(len(at)) + np.cumsum(gap)] = pair_code
-                ids = [pa.array([id_of[x]], pa.list_(pa.int64())) for x in (found >> 32, found & 0xFFFFFFFF)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("block").slice(i, 1), b.column("lang").slice(i, 1), pa.array([b"" if last else out.tobytes()], pa.binary()), *ids, pa.array([count.tolist()], pa.list_(pa.int64()))],
-                    ["block", "lang", "codes", "l", "r", "counts"],
-                )
+                halves = {"l": pa.array(id_of[code[at[one]]]), "r": pa.array(id_of[code[at[one] + 1]])}
+                yield from _rows(b.column("lang")[i].as_py(), out[:0] if last else out, **halves, counts=pa.array(count, pa.int64()))
 
     return run
 
 
 def _exploded(blocks: DataFrame, *columns: str) -> DataFrame:
     """block, lang, code, and an element of each array column."""
-    return blocks.select("block", "lang", F.posexplode(F.arrays_zip(*columns)).alias("code", "x")).select("block", "lang", "code", *(F.col(f"x.{c}").alias(c) for c in columns))
+    d = blocks.select("block", "lang", "base", F.posexplode(F.arrays_zip(*columns)).alias("at", "x"))
+    return d.select("block", "lang", (F.col("base") + F.col("at")).alias("code"), *(F.col(f"x.{c}").alias(c) for c in columns))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, r and count of pairs in ascending order, each once."""
+    l, r, count = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((r, l))
+    l, r = l[order], r[order]
+    new = np.flatnonzero(np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])])) if len(l) else np.zeros(0, np.int64)
+    return l[new], r[new], np.add.reduceat(count[order], new) if len(l) else count
+
+
+def _sent(buckets: int) -> Kernel:
+    """bucket, n and pairs: what a task counts, as compressed columns for each bucket of pairs."""
+
+    def flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = _summed(parts)
+        to = (mix64(columns[0].view(np.uint64) + mix64(columns[1].view(np.uint64) + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            mine = order[ends[k] : ends[k + 1]]
+            # ascending pairs: the planes of l are runs, and those of counts nearly empty
+            planes = np.concatenate([c[mine].astype("<i8").view(np.uint8).reshape(-1, 8).T.ravel() for c in columns])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "n": pa.array([len(mine)], pa.int64()), "pairs": pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(tuple(b.column(c).flatten().to_numpy() for c in ("l", "r", "counts")))
+            size += len(held[-1][0])
+            if size >= GATHERED:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _frequent(min_count: int) -> Kernel:
+    """l, r and a of pairs with counts of at least `min_count`, from rows in order of their buckets."""
+
+    def ended(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        l, r, count = _summed(held)
+        good = count >= min_count
+        return pa.RecordBatch.from_pydict({"l": pa.array(l[good]), "r": pa.array(r[good]), "a": pa.array(count[good])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, size = None, [], 0
+        for b in batches:
+            for k, n, pairs in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "pairs"))):
+                if held and k != bucket:
+                    yield ended(held)
+                    held, size = [], 0
+                planes = np.frombuffer(pa.decompress(pairs, 24 * n, "zstd", asbytes=True), np.uint8).reshape(3, 8, n)
+                held.append(tuple(np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes))
+                bucket, size = k, size + n
+                if size >= 2 * GATHERED:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+        if held:
+            yield ended(held)
+
+    return run
+
+
+def frequent_pairs(blocks: DataFrame, min_count: int) -> DataFrame:
+    """l, r and a, the count over all blocks, of the pairs that are frequent.
+
+    Most pairs are rare and occur in a block or two, so they travel as compressed columns rather than as rows.
+    """
+    buckets = max(1, 2 * blocks.count() * PART // GATHERED)
+    sent = blocks.select("l", "r", "counts").mapInArrow(_sent(buckets), "bucket long, n long, pairs binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(min_count), "l long, r long, a long")
 
 
 def _with_names(blocks: DataFrame, occurrences: DataFrame, names: DataFrame, keys: list[str], n: int) -> DataFrame:
     """block, lang, codes and named: the codes of the block that have names, with these."""
-    found = occurrences.join(bounded_broadcast(names.select(*keys, "id"), n), keys).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("named"))
-    return blocks.select("block", "lang", "codes").join(found, "block")
+    named = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("code", "id")))
+    found = occurrences.join(bounded_broadcast(names.select(*keys, "id"), n), keys, "left").groupBy("block").agg(named.alias("named"))
+    return blocks.where("codes is not null").select("block", "lang", "codes").join(found, "block")
 
 
 def levels(docs: DataFrame, keep: Scratch, max_words: int, min_count: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -126,7 +245,8 @@ def levels(docs: DataFrame, keep: Scratch, max_words: int, min_count: int) -> tu
     and heads and tails, the counts of its first and last 1, 2, .. words.
     """
     d = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    blocks = keep(d.mapInArrow(_coded, BLOCK + "words array<string>, counts array<long>"), "phrase-words")
+    with small_batches(docs.sparkSession):
+        blocks = keep(d.mapInArrow(_coded, BLOCK + "words array<string>, counts array<long>"), "phrase-words")
     total = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     seen = _exploded(blocks, "words", "counts")
     none = F.array().cast("array<long>")
@@ -137,9 +257,10 @@ def levels(docs: DataFrame, keep: Scratch, max_words: int, min_count: int) -> tu
         before = found[-1]
         n = before.count()
         named = _with_names(blocks, seen, before, keys, n)
-        blocks = keep(named.mapInArrow(_paired(k == max_words), BLOCK + "l array<long>, r array<long>, counts array<long>"), f"phrase-pairs-{k}")
+        with small_batches(docs.sparkSession):
+            blocks = keep(named.mapInArrow(_paired(k == max_words), BLOCK + "l array<long>, r array<long>, counts array<long>"), f"phrase-pairs-{k}")
         seen, keys = _exploded(blocks, "l", "r", "counts"), ["l", "r"]
-        pairs = seen.groupBy("l", "r").agg(F.sum("counts").alias("a")).where(F.col("a") >= min_count)
+        pairs = frequent_pairs(blocks, min_count)
         left = before.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("start"), F.concat("heads", F.array("a")).alias("heads"))
         right = before.select(F.col("id").alias("r"), F.element_at(F.split("phrase", " "), -1).alias("word"), F.concat("tails", F.array("a")).alias("tails"))
         pairs = pairs.join(bounded_broadcast(left, n), "l").join(bounded_broadcast(right, n), "r")

@@ -13,6 +13,7 @@ _RNG = np.random.Generator(np.random.PCG64(50))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 2**64, dtype=np.uint64)) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+SLICE = 500_000
 
 
 def byte_table(*members: int) -> np.ndarray:
@@ -71,8 +72,13 @@ def _runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every process."""
-    return _runs(_BYTE[w.data], w.start, w.end)
+    """A 64-bit hash of each word, the same in every process; about SLICE bytes at a time are worked on."""
+    out = np.zeros(len(w.start), np.uint64)
+    cuts = np.unique(np.concatenate([np.searchsorted(w.start, np.arange(0, len(w.data), SLICE)), [len(w.start)]]))
+    for x, y in zip(cuts, cuts[1:]):
+        first = w.start[x]
+        out[x:y] = _runs(_BYTE[w.data[first : w.end[y - 1]]], w.start[x:y] - first, w.end[x:y] - first)
+    return out
 
 
 def run_hashes(word: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
