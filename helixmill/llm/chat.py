@@ -12,7 +12,7 @@ backslashes before it get one more backslash in front.
 
 Defined results: null text and null role are empty strings; turns follow by turn (null
 first), and repeated turns by their tokens, all kept; a null conv_id is a conversation of
-its own; an empty table gives an empty result; further columns are ignored. Turns are
+its own; a text of any length is encoded whole, a turn in one task; an empty table gives an empty result; further columns are ignored. Turns are
 encoded row by row wherever they are; only finished ids meet in their conversation's row.
 """
 

@@ -26,7 +26,8 @@ but for those within one component, which can change nothing.
 Defined results: null and wordless texts are empty sets, alone in their components; a text
 of fewer words than a shingle is one shingle; equal rows are in one class; a doc_id names
 one document, so rows that repeat it are linked; a row without doc_id is linked with nothing,
-has a null component_id and is kept; an empty table gives an empty result; further columns
+has a null component_id and is kept; a pair just at the limit is linked; a text of any length is
+one full set, which two tasks at most hold at a time; an empty table gives an empty result; further columns
 are kept by `keep_one`, whatever their names.
 """
 

@@ -16,8 +16,8 @@ occurs as often in both is drawn and weighed once for both.
 Defined results: null text is empty; texts without words share one fingerprint, which is
 like no other but itself; the order of documents is doc_id (null first), then a hash of the
 text, so rows that repeat a doc_id are documents of their own; equal rows are one document
-in this order and get equal results, a row each; a single document is its own next one; an
-empty table gives an empty result; further columns are ignored.
+in this order and get equal results, a row each; a single document is its own next one; texts of
+any length are fingerprinted whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

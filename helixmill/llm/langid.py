@@ -6,7 +6,8 @@ texts are scored with numpy from their sparse n-gram counts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text if nothing could be learned; rows without language or text are not learned from; equal
-scores go to the language that comes first by name; equal rows are predicted alike; an empty
+scores go to the language that comes first by name; texts of any length are read whole; equal rows
+are predicted alike; an empty
 table gives an empty result; further columns are ignored.
 """
 

@@ -6,7 +6,8 @@ is put together again from the positions that are left.
 
 Defined results: a null or empty text is one empty line; empty keys are never dropped
 (min_key_chars is 1 or more); a text that loses all lines becomes empty; each row counts
-as a document of its own, also where a doc_id repeats; an empty table gives an empty
+as a document of its own, also where a doc_id repeats; texts and lines of any length are worked on
+whole; a line in exactly min_docs documents is dropped; an empty table gives an empty
 result; further columns are kept as they are, but those that go by the names given for
 `n_lines` and `n_dropped` are replaced.
 """

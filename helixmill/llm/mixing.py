@@ -13,7 +13,7 @@ in which the target is reached is sorted.
 Defined results: null text has size 0; a null source is a source of its own, the last in
 order; rows that repeat a doc_id are documents of their own (rows of equal doc_id, source
 and text are interchangeable, of which some may be taken); documents of size 0 follow their
-key; an empty table gives an empty result; further columns are kept, whatever their names.
+key; of equal keys the lesser doc_id is taken first; a text of any length is one document; an empty table gives an empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the place of fixed cutoffs and are joined back to the measures.
 
 Defined results: a null text counts as empty (no words, hence base_failed); null lang or
 source form groups of their own; equal rows are measured and judged alike, each on its
-own; an empty table gives an empty result; further columns of the input are ignored by
+own; a measure just on a fence passes; texts of any length are measured whole, a row in one
+task; an empty table gives an empty result; further columns of the input are ignored by
 `measure` and kept by `filter_documents`, whatever their names.
 """
 

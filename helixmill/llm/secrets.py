@@ -7,7 +7,8 @@ labelled samples: base matches of a bounded sample of documents and seeded rando
 against the other tokens of those documents.
 
 Defined results: a null text is empty; spans of the models that touch base spans are left
-out; equal rows give equal results; an empty table gives an empty result (the models are
+out; a token whose ratio lies just on a threshold is taken; texts and tokens of any length are
+scanned whole; equal rows give equal results; an empty table gives an empty result (the models are
 then trained from random strings alone); further columns are ignored.
 """
 

@@ -7,7 +7,8 @@ marker U+2581. Ids are decoded by joining the bytes of their pieces in Arrow; wh
 no text, or there are control pieces, by the backend. `parity`, and `round_trip`
 on request, hold ids and decoded texts against the sentencepiece library itself.
 
-Defined results: null text is empty and has no ids; null ids stand for an empty text; equal
+Defined results: null text is empty and has no ids; a text of any length is encoded whole, in
+one task; of equal segmentations the one counts that the library takes; null ids stand for an empty text; equal
 rows give equal results; an empty table gives an empty result; further columns are kept, but
 a column that goes by the name of a new one (in any case) is replaced.
 """
