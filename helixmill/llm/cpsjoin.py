@@ -47,6 +47,8 @@ from helixmill.llm.common import Scratch, bounded_broadcast, chunks, discard, fr
 from helixmill.llm.components import components
 
 TOKENS = 64
+#: Entries of a matrix of sets by shingles, at most.
+CELLS = 4_000_000
 _RNG = np.random.Generator(np.random.PCG64(20180611))
 _XOR = _RNG.integers(0, 2**64, TOKENS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -324,15 +326,19 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     if not len(shingles) or not x:
         return np.zeros((len(x), len(y)), np.float32)
 
-    def incidence(sets: list[np.ndarray]) -> np.ndarray:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
-        at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
-        here = shingles[at] == flat
-        m = np.zeros((len(sets), len(shingles)), np.float32)
+    def incidence(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        flat = [v[np.searchsorted(v, some[0]) : np.searchsorted(v, some[-1], "right")] for v in sets]
+        flat, row = np.concatenate(flat), np.repeat(np.arange(len(sets)), [len(v) for v in flat])
+        at = np.searchsorted(some, flat)
+        here = some[at] == flat
+        m = np.zeros((len(sets), len(some)), np.float32)
         m[row[here], at[here]] = 1
         return m
 
-    return incidence(x) @ incidence(y).T
+    # as many shingles at a time as make matrices of a bounded size, however long the texts
+    step = max(1, CELLS // max(len(x), len(y)))
+    parts = [shingles[a : a + step] for a in range(0, len(shingles), step)]
+    return sum((incidence(x, p) @ incidence(y, p).T).astype(np.float64) for p in parts)
 
 
 class _State:

@@ -117,7 +117,7 @@ sk AS (SELECT lang, source, rule, CASE WHEN x <= 1e-6 THEN {LOWEST} ELSE ceil(ln
 {_fences("own", "lang", "source")},
 {_fences("bylang", "lang")},
 {_fences("byall")},
-p AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= 100 THEN o.q1 WHEN l.total >= 100 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.total >= 100 THEN o.q3 WHEN l.total >= 100 THEN l.q3 ELSE e.q3 END AS q3
+p AS (SELECT o.lang, o.source, o.rule, {', '.join(f"(o.total * o.{q} + 100.0::DOUBLE * ((l.total * l.{q} + 100.0::DOUBLE * e.{q}) / (l.total + 100.0::DOUBLE))) / (o.total + 100.0::DOUBLE) AS {q}" for q in ("q1", "q3"))}
   FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN byall e ON e.rule = o.rule),
 s AS (SELECT *, 4 * greatest(q3 - q1, CASE rule {' '.join(f"WHEN '{k}' THEN {s}" for k, (_, s, _) in RULES.items())} END) AS spread FROM p),
 v AS (SELECT lang, source, {', '.join(f"max(q3 + spread) FILTER (WHERE rule = '{k}') AS {k}_high, max(q1 - spread) FILTER (WHERE rule = '{k}') AS {k}_low" for k in RULES)} FROM s GROUP BY lang, source)

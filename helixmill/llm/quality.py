@@ -136,19 +136,23 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
     )
 
 
-def fences(sketch: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
+def fences(sketch: DataFrame, reach: float = 4.0, prior_rows: float = 100.0) -> DataFrame:
     """lang, source and low/high fences of each rule: quartile -/+ reach * spread.
 
-    Groups of fewer than `min_rows` documents take the fences of their language, and
-    small languages those of all documents; both come from the same sketches, merged.
+    A group's quartiles are drawn towards its language's as if it had `prior_rows` more documents like that, and a language's
+    towards those of all documents; both come from the same sketches, merged. So no number of documents is a step.
     """
     at = {"q1": 0.25, "q3": 0.75}
     of = quantiles(sketch, ["lang", "source", "rule"], at).select("lang", "source", "rule", F.struct("total", "q1", "q3").alias("own"))
     lang = quantiles(sketch, ["lang", "rule"], at).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.struct("total", "q1", "q3").alias("by_lang"))
     every = quantiles(sketch, ["rule"], at).select(F.col("rule").alias("a_rule"), F.struct("total", "q1", "q3").alias("by_all"))
-    enough = lambda c: F.col(f"{c}.total") >= min_rows
+
+    def drawn(c: str, k: str, to: Column) -> Column:
+        n = F.col(f"{c}.total")
+        return (n * F.col(f"{c}.{k}") + prior_rows * to) / (n + prior_rows)
+
     d = of.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(every, F.col("rule") == F.col("a_rule"))
-    d = d.withColumn("q", F.when(enough("own"), F.col("own")).when(enough("by_lang"), F.col("by_lang")).otherwise(F.col("by_all")))
+    d = d.withColumn("q", F.struct(*(drawn("own", k, drawn("by_lang", k, F.col(f"by_all.{k}"))).alias(k) for k in at)))
     least = F.create_map(*(F.lit(x) for k, (_, s, _) in RULES.items() for x in (k, s)))
     d = d.withColumn("spread", reach * F.greatest(F.col("q.q3") - F.col("q.q1"), least[F.col("rule")]))
     pick = lambda rule, e: F.max(F.when(F.col("rule") == rule, e))
@@ -158,12 +162,12 @@ def fences(sketch: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFr
     )
 
 
-def judge(measures: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
+def judge(measures: DataFrame, reach: float = 4.0, prior_rows: float = 100.0) -> DataFrame:
     """The measures with base_failed, the fences of each row's group and kept.
 
     Fences come from the documents that pass the base rules; a value on a fence passes.
     """
-    f = fences(sketches(measures.where(~base_failed())), reach, min_rows).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    f = fences(sketches(measures.where(~base_failed())), reach, prior_rows).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     inside = F.lit(True)
     for k, (e, _, both) in RULES.items():
         inside &= F.coalesce(F.expr(e) <= F.col(f"{k}_high"), F.lit(True))
@@ -177,20 +181,20 @@ def judge(measures: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataF
     )
 
 
-def quality(docs: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
+def quality(docs: DataFrame, reach: float = 4.0, prior_rows: float = 100.0) -> DataFrame:
     """A row of measures, fences and verdict for each row of `docs`."""
     with small_batches(docs.sparkSession):
         measures = materialize(measure(docs), "quality")
-    return judge(measures, reach, min_rows)
+    return judge(measures, reach, prior_rows)
 
 
-def filter_documents(docs: DataFrame, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
+def filter_documents(docs: DataFrame, reach: float = 4.0, prior_rows: float = 100.0) -> DataFrame:
     """The rows of `docs` that pass, with all their columns.
 
     Verdicts meet their rows by doc_id (null is one, too); a doc_id that repeats stays if any
     of its rows passes. Texts are shuffled only if the rejected ids are too many to broadcast.
     """
-    by_id = quality(docs, reach, min_rows).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    by_id = quality(docs, reach, prior_rows).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
     out = fresh("out_id", docs)
     rejected = materialize(by_id.where(~F.col("kept")).select(F.col("doc_id").alias(out)), "rejected")
     return docs.join(bounded_broadcast(rejected, rejected.count()), docs["doc_id"].eqNullSafe(rejected[out]), "left_anti")

@@ -136,6 +136,17 @@ def test_quality_fences_keep_clean_and_drop_junk(spark):
     assert not any(r["kept"] for r in rows if r["n_symbols"] > r["n_words"])
 
 
+def test_fences_have_no_step(spark):
+    """One document more moves a group's fences by little, at any size."""
+    sketch = [("en", "a", "mean_word_chars", 40 + i % 9, 1) for i in range(99)] + [("en", "b", "mean_word_chars", 70 + i % 5, 1) for i in range(5000)]
+    schema = "lang string, source string, rule string, bucket int, n long"
+    highs = []
+    for more in range(3):
+        f = quality.fences(spark.createDataFrame(sketch + [("en", "a", "mean_word_chars", 44, 1)] * more, schema))
+        highs.append(f.where("source = 'a'").first()["mean_word_chars_high"])
+    assert max(highs) - min(highs) < 0.02 * highs[0]
+
+
 def test_sketches_merge_and_keep_their_error(spark):
     x = np.random.default_rng(5).lognormal(0, 2, 4000)
     d = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(x)], "lang string, x double")
@@ -249,6 +260,15 @@ def test_near_duplicates_equal_brute_force(spark, how):
     assert {x["doc_id"]: (x["component_id"], x["n_shingles"], x["kept"]) for x in got} == {i: (component[i], size[i], component[i] == i) for i in range(len(texts))}
 
 
+def test_intersections_of_long_sets(monkeypatch):
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 3000, n, dtype=np.uint64)) for n in (0, 1, 500, 2000, 2999, 40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    for cells in (4_000_000, 100, 7):
+        monkeypatch.setattr(cpsjoin, "CELLS", cells)
+        assert cpsjoin._shared(sets, sets[2:]).tolist() == want
+
+
 def test_no_tree_is_left_out_around_a_big_group(spark, pairs=40):
     """Pairs of similarity 0.82 in nodes that are mostly one big group."""
     r = random.Random(11)
@@ -715,3 +735,20 @@ def test_phrases_by_brute_force(spark, block, part, monkeypatch):
     for least, top in ((5, 1000), (12, 7)):
         got = sorted(tuple(x) for x in phrases.collocations(d, 5, least, top).collect())
         assert got == sorted(brute_phrases(rows, 5, least, top)) and len(got) > 6
+
+
+def test_texts_of_megabytes(spark):
+    """A text of 20 MB beside short ones goes through the operators on documents whole."""
+    long = "ab " * 6_000_000 + "\nlast line 4111 1111 1111 1111 password: Zz9Zz9Zz9Zz9Zz9"
+    d = docs_of(spark, [long, "the cat sat on the mat and the dog ran to the sea with us", None])
+    q = {r["doc_id"]: r for r in quality.quality(d).collect()}
+    assert q[0]["n_words"] == 6_000_000 + 8 and q[0]["n_repeat_words"] == 6_000_000 and not q[0]["kept"] and q[1]["n_words"] == 15
+    assert {r["doc_id"]: r["n_lines"] for r in linededup.dedup_lines(d).collect()} == {0: 2, 1: 1, 2: 1}
+    assert {r["doc_id"]: r["size"] for r in mixing.plan(d).collect()} == {0: 6_000_008, 1: 15, 2: 0}
+    p = {r["doc_id"]: r["n_card"] for r in pii.find(d).collect()}
+    s = {r["doc_id"]: r["n_assign"] for r in secrets.scan(d, secrets.train(d)).collect()}
+    assert (p, s) == ({0: 1, 1: 0, 2: 0}, {0: 1, 1: 0, 2: 0})
+    best = phrases.collocations(d.withColumn("lang", F.lit("en")), min_count=100).collect()
+    # each is one place rarer than the one before, so none holds another down
+    assert {(r["phrase"], r["a"], r["n"]) for r in best} == {(" ".join(["ab"] * k), 6_000_001 - k, 6_000_023) for k in (2, 3, 4, 5)}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.remove_repeats(d).collect()} == {0: (6_000_008, 0), 1: (15, 0), 2: (0, 0)}
