@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import stats
 from helixmill.functions.columns import broadcast_if_small, clip, gaussian, gumbel, laplace, row_scale, split_budget, strong_composition, uniform, zcdp
 from helixmill.functions.ordering import numbered, top_k
+from helixmill.functions.stored import store
 from helixmill.operators.cells import is_flipped
 from helixmill.operators.gwas import chi2_p
 from helixmill.operators.pgs import with_bins
@@ -162,8 +163,9 @@ def solve_noisy(d: DataFrame, seed: int | str, ridge: float, length: float, y_cl
 
 def dp_gwas(variants: DataFrame, cells: DataFrame, sums: DataFrame, budgets: DataFrame, seed: int | str, ridge: float = 10.0, y_clip: float = 50.0, binary: bool = False, by: Sequence[str] = ("eps_total",)) -> DataFrame:
     """All variants with the private p of those selected, null elsewhere, for each budget."""
-    chosen = dp_topk(cells, budgets, y_clip, seed, binary, by).select("variant_id", *by)
-    own = sums.join(broadcast_if_small(chosen), "variant_id").join(F.broadcast(budgets.select(*by, "rho_per", "eps_per", "delta_per")), list(by))
+    chosen = broadcast_if_small(store(dp_topk(cells, budgets, y_clip, seed, binary, by).select("variant_id", *by), "chosen"))
+    # the semi-join goes below the sums, which are then made of the chosen variants' cells alone
+    own = sums.join(chosen.select("variant_id"), "variant_id", "left_semi").join(chosen, "variant_id").join(F.broadcast(budgets.select(*by, "rho_per", "eps_per", "delta_per")), list(by))
     fits = solve_noisy(own, seed, ridge, 3.0, y_clip, by)
     every = variants.withColumn("_k", F.lit(1)).join(F.broadcast(budgets.select(*by).distinct().withColumn("_k", F.lit(1))), "_k").drop("_k")
     return every.join(fits.select("variant_id", *by, "beta", "se", "p"), ["variant_id", *by], "left")

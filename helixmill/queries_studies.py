@@ -114,7 +114,7 @@ def dp_sums_of(s: SparkSession, d: str, cells: DataFrame | None = None) -> DataF
 
 def both_sums_of(s: SparkSession, d: str, cells: DataFrame) -> dict[str, DataFrame]:
     m, sd = view(s, d, "people").agg(F.avg("age"), F.stddev_samp("age")).first()
-    moments = stats_of(s, d)
+    moments = store(stats_of(s, d), "moments")
     return {"BMI": dp.dp_ols_sums(cells, moments, m, sd), "T2D": dp.dp_ols_sums(cells, moments, m, sd, y="cases", yy="cases")}
 
 
