@@ -48,8 +48,8 @@ LAST = 2**63 - 1
 #: Text that a block holds, unless one text alone is larger.
 BLOCK_BYTES = 6_000_000
 _SECOND = 0x6A09E667F3BCC909
-#: Characters that stand for words: all but surrogates.
-_CHARACTERS = 0x110000 - 0x800
+#: A word is DIGITS characters of BASE kinds: automata look through the children of a node one by one.
+BASE, DIGITS = 64, 3
 
 
 def _seeds(word: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -147,9 +147,9 @@ def _passages(window: int, seed: int) -> Kernel:
 
 
 def _characters(code: np.ndarray) -> str:
-    """A string with a character for each code."""
-    code = code % _CHARACTERS
-    return (code + np.where(code >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+    """A string with DIGITS characters for each code; codes beyond all of them share some, which confirmation tells apart."""
+    digits = (code[:, None] // BASE ** np.arange(DIGITS)) % BASE + ord("0")
+    return digits.astype(np.uint8).tobytes().decode("ascii")
 
 
 class Automaton:
@@ -168,7 +168,7 @@ class Automaton:
         count = np.bincount(w.row, minlength=len(texts))
         for start, n in zip(np.cumsum(count) - count, count):
             for x in range(start, start + n - self.phrase + 1, self.phrase):
-                self.found.add_word(text[x : x + self.phrase])
+                self.found.add_word(text[DIGITS * x : DIGITS * (x + self.phrase)])
         self.found.make_automaton()
 
     def codes(self, word: np.ndarray) -> np.ndarray:
@@ -180,12 +180,14 @@ class Automaton:
         """The first words of windows that a passage of a document of lower rank has."""
         word = W.hashes(w)
         text = _characters(self.codes(word))
-        ends = np.fromiter((end for end, _ in self.found.iter(text)), np.int64)
+        ends = np.fromiter((end for end, _ in self.found.iter(text)), np.int64) + 1
+        # what is found between two words is none
+        ends = ends[ends % DIGITS == 0] // DIGITS - 1
         # a phrase lies in the windows from window - phrase words before it up to its own first word
         edge = np.zeros(len(word) + self.window + 1, np.int64)
         begin = ends - self.phrase + 1
-        np.add.at(edge, np.maximum(begin - (self.window - self.phrase), 0), 1)
-        np.add.at(edge, begin + 1, -1)
+        edge += np.bincount(np.maximum(begin - (self.window - self.phrase), 0), minlength=len(edge))
+        edge -= np.bincount(begin + 1, minlength=len(edge))
         opened = np.flatnonzero(np.cumsum(edge)[: max(0, len(word) - self.window + 1)])
         opened = opened[w.row[opened] == w.row[opened + self.window - 1]]
         h1, h2 = (h[opened] for h in _windows(word, self.window))
@@ -240,9 +242,9 @@ def find_repeats(docs: DataFrame, window: int = 50, seed: int = 16) -> DataFrame
     named = keyed.mapInArrow(_named(window, seed), "id long, h long, seed long")
     shared = named.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("seed")
     hits = keep(named.join(shared, "seed").dropDuplicates(["id", "h", "seed"]).groupBy("id", "h").agg(F.collect_list("seed").alias("seeds")), "repeat-seeds")
-    held = bounded_broadcast(ids := hits.select("id", "h"), ids.count())
-    some = keyed.join(held, ["id", "h"], "semi").dropDuplicates(["id", "h"]) if held is ids else keyed.join(held, ["id", "h"], "semi")
-    some = keep(some.join(hits, ["id", "h"]), "repeat-documents")
+    ids = hits.select("id", "h")
+    held = bounded_broadcast(ids, ids.count())
+    some = keep(keyed.join(held, ["id", "h"], "semi").join(hits, ["id", "h"]), "repeat-documents")
 
     found = some.select("id", "text", "seeds").mapInArrow(_candidates(window, seed), "h1 long, h2 long, id long")
     own = found.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id < hi").groupBy("id").agg(F.collect_list("h1").alias("own"))
