@@ -326,19 +326,22 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     if not len(shingles) or not x:
         return np.zeros((len(x), len(y)), np.float32)
 
-    def incidence(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
-        flat = [v[np.searchsorted(v, some[0]) : np.searchsorted(v, some[-1], "right")] for v in sets]
-        flat, row = np.concatenate(flat), np.repeat(np.arange(len(sets)), [len(v) for v in flat])
-        at = np.searchsorted(some, flat)
-        here = some[at] == flat
-        m = np.zeros((len(sets), len(some)), np.float32)
-        m[row[here], at[here]] = 1
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+
+    def incidence(n: int, values: np.ndarray, row: np.ndarray, some: np.ndarray) -> np.ndarray:
+        within = np.flatnonzero((values >= some[0]) & (values <= some[-1]))
+        at = np.searchsorted(some, values[within])
+        here = some[at] == values[within]
+        m = np.zeros((n, len(some)), np.float32)
+        m[row[within[here]], at[here]] = 1
         return m
 
     # as many shingles at a time as make matrices of a bounded size, however long the texts
     step = max(1, CELLS // max(len(x), len(y)))
     parts = [shingles[a : a + step] for a in range(0, len(shingles), step)]
-    return sum((incidence(x, p) @ incidence(y, p).T).astype(np.float64) for p in parts)
+    left, right = flat(x), flat(y)
+    return sum((incidence(len(x), *left, p) @ incidence(len(y), *right, p).T).astype(np.float64) for p in parts)
 
 
 class _State:

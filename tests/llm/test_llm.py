@@ -263,6 +263,7 @@ def test_near_duplicates_equal_brute_force(spark, how):
 def test_intersections_of_long_sets(monkeypatch):
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 3000, n, dtype=np.uint64)) for n in (0, 1, 500, 2000, 2999, 40)]
+    sets = [r.permutation(x) for x in sets]
     want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
     for cells in (4_000_000, 100, 7):
         monkeypatch.setattr(cpsjoin, "CELLS", cells)
