@@ -3,7 +3,8 @@
 The model file is a protobuf; its pieces, scores, normaliser and byte fallback are read
 from the wire format and rebuilt as a tokenizers backend: unigram models from their scores,
 BPE models from merges in order of the scores of their results. White space becomes the
-marker U+2581. Ids are decoded by joining the bytes of their pieces in Arrow; where that is
+marker U+2581. Where no piece reaches over the start of a run of spaces, different words of many
+texts are merged once, and texts get their words' ids (`Encoder`). Ids are decoded by joining the bytes of their pieces in Arrow; where that is
 no text, or there are control pieces, by the backend. `parity`, and `round_trip`
 on request, hold ids and decoded texts against the sentencepiece library itself.
 
@@ -38,6 +39,10 @@ UNMATCHED = "\ufdd0"
 #: Fixed values of the model format: model types, and types of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Equal words are found in texts of about so many bytes at once.
+WORDS_BYTES = 32_000_000
+#: Different words are merged side by side in strings of about so many bytes.
+SIDE_BY_SIDE = 1000
 
 
 @dataclass
@@ -148,34 +153,20 @@ def build(data: bytes) -> Tokenizer:
     return t
 
 
-def encode(docs: DataFrame, model_path: str, threads: int = 2, ids: str = "ids") -> DataFrame:
-    """`docs` with a column of token ids of each whole text."""
-    docs, data = docs.drop(ids), shared_file(docs.sparkSession, model_path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_threads(threads)
-        t = once("spm", data.value, build)
-        for whole in batches:
-            for b in chunks(whole, "text", ENCODE_BYTES):
-                found = [e.ids for e in t.encode_batch_fast(text_or_empty(b.column("text")).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, ids])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
-
-
 @dataclass
 class Decoder:
-    """The bytes of each piece, by id; which ids need the backend; and whether a first space is dropped."""
+    """The bytes of each piece, by id; which ids need the backend; whether a first space is dropped; and the number of those bytes."""
 
     pieces: pa.Array
     special: np.ndarray
     strip: bool
+    sizes: np.ndarray
 
     @classmethod
     def of(cls, data: bytes) -> Decoder:
         m = parse(data)
         plain = [bytes([int(p[3:5], 16)]) if t == BYTE else (p.replace(MARKER, " ") if m.escape_spaces else p).encode() for p, _, t in m.pieces]
-        return cls(pa.array(plain, pa.large_binary()), np.array([t in (UNKNOWN, CONTROL, UNUSED) for *_, t in m.pieces]), m.dummy_prefix)
+        return cls(pa.array(plain, pa.large_binary()), np.array([t in (UNKNOWN, CONTROL, UNUSED) for *_, t in m.pieces]), m.dummy_prefix, np.array([len(p) for p in plain]))
 
     def __call__(self, ids: pa.ListArray, backend: Tokenizer) -> pa.Array:
         flat, ends = ids.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
@@ -195,6 +186,106 @@ class Decoder:
         return texts.cast(pa.string())
 
 
+def splits_at_spaces(m: Model) -> bool:
+    """Whether ids of a text are those of its words, each with the spaces before it: no merge reaches over the start of a run of markers."""
+    own = {p for p, _, t in m.pieces if t == NORMAL}
+    as_is = m.escape_spaces and not m.remove_extra_spaces and not m.charsmap and all(t != USER_DEFINED for *_, t in m.pieces)
+    return m.kind == BPE and as_is and MARKER in own and not any(MARKER in p.lstrip(MARKER) for p in own)
+
+
+def _laid_out(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where each text ends (0 first) in the bytes of all of them, and those."""
+    texts = texts.cast(pa.string())
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    if not ends[-1]:
+        return ends, pa.py_buffer(b"")
+    first = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset])
+    return ends, texts.buffers()[2].slice(first, int(ends[-1]))
+
+
+def _cut(ends: np.ndarray, data: pa.Buffer) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), data)
+
+
+@dataclass
+class Encoder:
+    """Ids of whole texts; by_words is the backend without a normaliser, if words can be merged by themselves."""
+
+    backend: Tokenizer
+    by_words: Tokenizer | None
+    decoder: Decoder
+
+    @classmethod
+    def of(cls, data: bytes) -> Encoder:
+        by_words = None
+        if splits_at_spaces(parse(data)):
+            by_words = build(data)
+            by_words.normalizer = None
+        return cls(once("spm", data, build), by_words, once("spm-decoder", data, Decoder.of))
+
+    @property
+    def most(self) -> int:
+        """Bytes of text to take at once."""
+        return ENCODE_BYTES if self.by_words is None else WORDS_BYTES
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        if self.by_words is None:
+            return pa.array([e.ids for e in self.backend.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+        spaced = pc.replace_substring(texts, MARKER, " ")  # both stand for the marker
+        if self.decoder.strip:
+            spaced = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " "), spaced, "")
+        ends, data = _laid_out(spaced)
+        starts, space = np.zeros(ends[-1] + 1, bool), np.frombuffer(data, np.uint8) == ord(" ")
+        starts[1:-1] = space[1:] & ~space[:-1]
+        starts[ends] = True
+        cuts = np.flatnonzero(starts)
+        words = _cut(cuts, data).dictionary_encode()
+        found = self.merged(words.dictionary).take(words.indices)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(upto[np.searchsorted(cuts, ends)], pa.int32()), found.flatten())
+
+    def merged(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of each word: many are merged as one string, and its ids are cut where the bytes of their pieces reach a word's end."""
+        ends, data = _laid_out(words)
+        last = np.append(np.diff(ends[1:] // SIDE_BY_SIDE) > 0, True)[: len(words)]
+        ids = self._plain(_cut(np.concatenate([[0], ends[1:][last]]), data)).flatten()
+        at, flat = np.cumsum(self.decoder.sizes[ids.to_numpy()]), ids.to_numpy()
+        upto = np.searchsorted(at, ends[1:]) + 1
+        if self.decoder.special[flat].any() or (len(at) and at[-1] != ends[-1]) or not np.array_equal(at[upto - 1], ends[1:]):
+            return self._plain(words)  # pieces that don't say how much text they stand for
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), ids)
+
+    def _plain(self, texts: pa.StringArray) -> pa.ListArray:
+        marked = pa.RecordBatch.from_arrays([pc.replace_substring(texts, " ", MARKER)], ["text"])
+        found = (pa.array([e.ids for e in self.by_words.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)], pa.list_(pa.int32())) for b in chunks(marked, "text", ENCODE_BYTES))
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *found])
+
+
+def _same_lists(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """In which rows both have the same values."""
+    n, m = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (a, b))
+    same = n == m
+    mask = pa.array(same)
+    x, y = (i.filter(mask).flatten().to_numpy() for i in (a, b))
+    off = np.concatenate([[0], np.cumsum(x != y)])
+    same[same] = np.diff(off[np.concatenate([[0], np.cumsum(n[same])])]) == 0
+    return same
+
+
+def encode(docs: DataFrame, model_path: str, threads: int = 2, ids: str = "ids") -> DataFrame:
+    """`docs` with a column of token ids of each whole text."""
+    docs, data = docs.drop(ids), shared_file(docs.sparkSession, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_threads(threads)
+        encoder = once("spm-encoder", data.value, Encoder.of)
+        for whole in batches:
+            for b in chunks(whole, "text", encoder.most):
+                yield pa.RecordBatch.from_arrays([*b.columns, encoder(text_or_empty(b.column("text")))], [*b.schema.names, ids])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+
+
 def _is_text(data: bytes) -> bool:
     try:
         return bool(data.decode()) or not data
@@ -243,22 +334,25 @@ def round_trip(docs: DataFrame, model_path: str, threads: int = 2, verify: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
-        backend, decoder = once("spm", data.value, build), once("spm-decoder", data.value, Decoder.of)
+        encoder = once("spm-encoder", data.value, Encoder.of)
+        backend, decoder = encoder.backend, encoder.decoder
         for whole in batches:
-            for b in chunks(whole, "text", ENCODE_BYTES):
-                texts = text_or_empty(b.column("text"))
-                said = texts.to_pylist()
-                found = [e.ids for e in backend.encode_batch_fast(said, add_special_tokens=False)]
-                ids = pa.array(found, pa.list_(pa.int32()))
-                decoded = decoder(ids, backend)
-                digest = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string())
-                new = [ids, pc.list_value_length(ids).cast(pa.int64()), digest, pc.equal(decoded, texts)]
-                if verify:
-                    library = once("spm-library", data.value, _library)
-                    same_ids = [x == y for x, y in zip(found, library.encode(said, num_threads=threads))]
-                    same_text = [x == y for x, y in zip(decoded.to_pylist(), library.decode(found, num_threads=threads))]
-                    new += [pa.array(same_ids, pa.bool_()), pa.array(same_text, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *more.names])
+            for large in chunks(whole, "text", encoder.most):
+                large = pa.RecordBatch.from_arrays([*large.columns, encoder(text_or_empty(large.column("text")))], [*large.schema.names, "ids"])
+                for b in chunks(large, "text", ENCODE_BYTES):
+                    texts, ids = text_or_empty(b.column("text")), b.column("ids")
+                    decoded = decoder(ids, backend)
+                    digest = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string())
+                    new = [pc.list_value_length(ids).cast(pa.int64()), digest, pc.equal(decoded, texts)]
+                    if verify:
+                        library = once("spm-library", data.value, _library)
+                        theirs = library.encode(texts.to_pylist(), num_threads=threads)
+                        same_ids = _same_lists(ids, pa.array(theirs, pa.list_(pa.int32())))
+                        for i in np.flatnonzero(~same_ids):
+                            theirs[i] = ids[i].as_py()  # our ids are read, theirs are only held against them
+                        same_text = pc.equal(decoded, pa.array(library.decode(theirs, num_threads=threads), pa.string()))
+                        new += [pa.array(same_ids), same_text]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *more.names[1:]])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more.fields]))
 
@@ -268,11 +362,11 @@ def parity(docs: DataFrame, model_path: str) -> DataFrame:
     data = shared_file(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, other = once("spm", data.value, build), once("spm-library", data.value, _library)
+        own, other = once("spm-encoder", data.value, Encoder.of), once("spm-library", data.value, _library)
         for b in batches:
-            texts = text_or_empty(b.column("text")).to_pylist()
-            a, c = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)], other.encode(texts, num_threads=1)
-            d, e = once("spm-decoder", data.value, Decoder.of)(pa.array(c, pa.list_(pa.int32())), own).to_pylist(), other.decode(c)
+            texts = text_or_empty(b.column("text"))
+            a, c = own(texts).to_pylist(), other.encode(texts.to_pylist(), num_threads=1)
+            d, e = own.decoder(pa.array(c, pa.list_(pa.int32())), own.backend).to_pylist(), other.decode(c)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "same_ids": pa.array([x == y for x, y in zip(a, c)]), "same_text": pa.array([x == y for x, y in zip(d, e)])})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, same_ids boolean, same_text boolean")

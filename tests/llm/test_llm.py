@@ -221,6 +221,42 @@ def test_user_defined_pieces_and_white_space_at_ends(kind, spaces):
     assert [built.encode(t, add_special_tokens=False).ids for t in texts] == library.encode(texts)
 
 
+class Counted:
+    """A backend that counts the characters it is given."""
+
+    def __init__(self, backend):
+        self.backend, self.chars = backend, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.backend.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("pieces", ["public", "no bytes", "inner marker", "no marker"])
+def test_different_words_are_merged_once_and_ids_are_those_of_whole_texts(pieces):
+    import pyarrow as pa
+    import sentencepiece
+
+    r = random.Random(8)
+    parts = ["a", "the", " ", "  ", "   ", "▁", "\n", "\t", "é", "😀", "\x00", "<0x41>", "</s>", "in", "ing", "at", "eat"]
+    texts = ["", " ", "▁", "  a", "a  ", *("".join(r.choices(parts, k=r.randint(0, 15))) for _ in range(3000))]
+    if pieces == "public":
+        with open(queries.SPM_MODEL, "rb") as f:
+            data = f.read()
+    else:
+        merges = "in ing th the at ▁a ▁at ▁t ▁th ▁the ▁▁ ▁▁▁ ▁▁a ea eat".split() if pieces != "no marker" else "in ing th the at ea eat".split()
+        merges += ["a▁", "a▁t", "g▁"] if pieces == "inner marker" else []
+        own = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((m, -float(i), 1) for i, m in enumerate(merges)), *((c, -100.0 - i, 1) for i, c in enumerate("aeghint" + "▁" * (pieces != "no marker")))]
+        data = model_bytes(own, kind=2, remove_extra_spaces=0)
+    encoder = spm.Encoder.of(data)
+    assert (encoder.by_words is not None) == (pieces in ("public", "no bytes"))
+    assert encoder(pa.array(texts)).to_pylist() == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
+    if pieces == "public":
+        encoder.by_words = Counted(encoder.by_words)
+        once = encoder(pa.array(["the eating at  noon"])).to_pylist()
+        assert encoder(pa.array(["the eating at  noon"] * 500)).to_pylist() == once * 500 and encoder.by_words.chars == 40
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
