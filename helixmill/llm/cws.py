@@ -5,7 +5,9 @@ gamma-distributed r and c and a uniform b, all independent and functions of term
 
     t = floor(ln S / r + b),  a = c * exp(-r * (t - b + 1))
 
-The term of least a is the sample (Ioffe 2010); two texts share a sample with a chance of
+The term of least a is the sample (Ioffe 2010). As r b and r (1 - b) are independent standard exponentials,
+so is c exp(-r (1 - b)), which is a at weight one. That one is drawn first, and 1 - exp(-a), which orders terms
+like a, is then a plain uniform number; the rest of r, c and b is drawn for greater weights only. Two texts share a sample with a chance of
 their generalised Jaccard similarity, sum of least weights over sum of greatest. As a is a
 function of term and t, its least value alone says which (term, t) was sampled, so a
 sample is the minimum of one column, which Spark aggregates in place.
@@ -22,8 +24,6 @@ any length are fingerprinted whole; an empty table gives an empty result; furthe
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,33 +42,38 @@ def _seed(i: int) -> Column:
     return F.lit(int(mix64(np.array([i + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])).cast("long")
 
 
-def _sixteen(bits: Column, at: int) -> Column:
-    shifted = F.shiftrightunsigned(bits, at) if at else bits
-    return shifted if at == 48 else shifted.bitwiseAND(F.lit(0xFFFF))
+def lowest(term: Column, j: int) -> Column:
+    """1 - exp(-a) of a term (a 64-bit hash) at weight one for sample j: a uniform number of 53 bits."""
+    return (F.shiftrightunsigned(F.xxhash64(term.bitwiseXOR(_seed(2 * j + 1))), 11) + F.lit(0.5)) * F.lit(2.0**-53)
 
 
-def variates(term: Column, j: int) -> tuple[Column, Column, Column]:
-    """r, c and b of a term (a 64-bit hash) for sample j.
+def _rest(term: Column, j: int) -> tuple[Column, Column, Column]:
+    """-a at weight one, exp(r (1 - b)) and exp(-r b).
 
-    r and c are independent Gamma(2, 1): a Gamma(4, 1) variate, minus the logarithm of a product
-    of four uniforms, split by a Beta(2, 2) variate, the middle one of three uniforms. Uniforms
-    have sixteen bits each; the product is of whole numbers and a half, so its scale comes off at the end.
+    With e and a independent standard exponentials, c = a + e is Gamma(2, 1) and a / c an independent
+    uniform number: exp(-r (1 - b)).
     """
-    x, y = (F.xxhash64(term.bitwiseXOR(_seed(2 * j + i))) for i in (0, 1))
-    half, unit = F.lit(0.5), F.lit(1 / 65536)
-    product = (_sixteen(x, 0) + half) * (_sixteen(x, 16) + half) * (_sixteen(x, 32) + half) * (_sixteen(x, 48) + half)
-    whole = F.lit(64 * math.log(2)) - F.log(product)
-    v = [_sixteen(y, at) for at in (0, 16, 32)]
-    middle = (F.greatest(F.least(v[0], v[1]), F.least(F.greatest(v[0], v[1]), v[2])) + half) * unit
-    r = whole * middle
-    return r, whole - r, (_sixteen(y, 48) + half) * unit
+    bits = F.xxhash64(term.bitwiseXOR(_seed(2 * j)))
+    u, v = ((x + F.lit(0.5)) * F.lit(2.0**-32) for x in (F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(0xFFFFFFFF))))
+    minus_a = F.log1p(-lowest(term, j))
+    return minus_a, 1 + F.log(u) / minus_a, v
 
 
-def value(term: Column, log_weight: Column, j: int) -> Column:
-    """a of a term for sample j; a weight of one needs no division, as b is below 1."""
-    r, c, b = variates(term, j)
-    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
-    return c * F.exp(r * (b - 1 - t))
+def variates(term: Column, j: int) -> tuple[Column, Column, Column]:
+    """r, c and b of a term (a 64-bit hash) for sample j: r and c are Gamma(2, 1), b is uniform, all are independent."""
+    minus_a, up, down = _rest(term, j)
+    r = F.log(up / down)
+    return r, -minus_a * up, -F.log(down) / r
+
+
+def value(term: Column, weight: Column, j: int) -> Column:
+    """1 - exp(-a) of a term for sample j; a weight of one, and any other at t = 0, has the `lowest` draw itself.
+
+    x % r is exact, so x - x % r is r t to the last digit, whatever weight gives that t.
+    """
+    minus_a, up, down = _rest(term, j)
+    x, r = F.log(weight / down), F.log(up / down)
+    return F.when((weight == 1) | (weight < up), lowest(term, j)).otherwise(-F.expm1(minus_a * F.exp(x % r - x)))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def signatures(pairs: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
 
     Needs no shuffle if `pairs` are dealt out by keys.
     """
-    d = states(pairs, keys).withColumn("weight", F.log(F.col("n").cast("double")))
+    d = states(pairs, keys).withColumn("weight", F.col("n").cast("double"))
     a = d.groupBy(*keys, "which").agg(*(F.min(value(F.col("term"), F.col("weight"), j)).alias(f"a{j}") for j in range(samples)))
     both = lambda which: [F.min(F.when(F.col("which").isin(which, BOTH), F.col(f"a{j}"))).alias(f"a{which}_{j}") for j in range(samples)]
     a = a.groupBy(*keys).agg(*both(TEXT), *both(EDITED))

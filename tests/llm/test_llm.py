@@ -403,6 +403,28 @@ def test_variates_are_gamma_and_independent(spark):
     assert d.corr().where(~np.eye(6, dtype=bool)).abs().max().max() < 0.02
 
 
+def test_values_follow_from_variates_and_weight_one_is_a_plain_draw(spark):
+    """Values against the definition (as 1 - exp(-a)), and terms win as often as they weigh."""
+    term = F.xxhash64("id")
+    weights = (1, 2, 3, 7, 1000)
+    v = [cws.value(term, F.lit(float(n)), 5).alias(f"w{n}") for n in weights]
+    d = spark.range(40_000).select(*(x.alias(n) for n, x in zip("rcb", cws.variates(term, 5))), cws.lowest(term, 5).alias("low"), *v).toPandas()
+    assert (d["w1"] == d["low"]).all() and d["low"].nunique() == len(d)
+    for n in weights:
+        t = np.floor(np.log(n) / d["r"] + d["b"])
+        assert np.allclose(d[f"w{n}"], -np.expm1(-d["c"] * np.exp(-d["r"] * (t - d["b"] + 1))), rtol=1e-9)
+        # a is exponential with rate n, so its tail far below one is n times as thick
+        assert abs((-np.log1p(-d[f"w{n}"])).mean() * n - 1) < 0.03
+        assert abs((-np.log1p(-d[f"w{n}"]) < 0.05 / n).mean() - 0.0488) < 0.005
+    one, three = d["w1"].to_numpy()[::2], d["w3"].to_numpy()[1::2]
+    assert abs((three < one).mean() - 0.75) < 0.015
+
+
+def test_plain_draws_take_one_hash_and_no_logarithm(spark):
+    text = str(cws.lowest(F.col("id"), 3))
+    assert text.lower().count("xxhash64") == 1 and not re.search(r"(?i)\b(log|ln|exp|pow|log1p|expm1)\b", text)
+
+
 def plain_secrets(text):
     """The contract's patterns, to the letter."""
     pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
