@@ -811,3 +811,19 @@ def test_texts_of_megabytes(spark):
     # each is one place rarer than the one before, so none holds another down
     assert {(r["phrase"], r["a"], r["n"]) for r in best} == {(" ".join(["ab"] * k), 6_000_001 - k, 6_000_023) for k in (2, 3, 4, 5)}
     assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.remove_repeats(d).collect()} == {0: (6_000_008, 0), 1: (15, 0), 2: (0, 0)}
+
+
+def test_names_of_pairs_come_back_without_a_broadcast(spark, monkeypatch):
+    """Names of pairs travel to blocks by buckets, are not gathered in a row of JVM objects, and pairs with one hash are told apart."""
+    monkeypatch.setattr(phrases, "_key", lambda l, r: ((l + r) % 3).astype(np.uint64))
+    row = lambda k, block, *columns: {"bucket": k, "block": block, "n": len(columns[0]), "pairs": phrases._shut(*map(np.array, columns))}
+    rows = [row(1, -1, [1, 2], [2, 1], [70, 71]), row(1, -1, [4], [5], [72]), row(1, 8, [2, 2, 4], [1, 2, 5], [0, 1, 9]), row(2, 8, [1], [2], [3])]
+    got = list(phrases._answered(iter([pa.RecordBatch.from_pylist(rows[:2]), pa.RecordBatch.from_pylist(rows[2:])])))
+    assert [(b.column("block")[0].as_py(), [c.tolist() for c in phrases._opened(b.column("named")[0].as_py(), 2, b.column("n")[0].as_py())]) for b in got] == [(8, [[0, 9], [71, 72]])]
+    monkeypatch.undo()
+    blocks = spark.createDataFrame([(1, "en", phrases._squeezed(np.array([0, 1, -1, 0], np.int32)), 0, [5, 5], [6, 7])], "block long, lang string, codes binary, base int, l array<long>, r array<long>")
+    names = spark.createDataFrame([(5, 6, 40), (5, 7, 41), (6, 5, 42)], "l long, r long, id long")
+    paired = phrases.next_level(blocks, phrases.names_of_pairs(blocks, names, 3), last=False)
+    assert [(x["l"], x["r"], x["counts"]) for x in paired.collect()] == [([40], [41], [1])]
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "collect_list" not in plan
