@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.columns import broadcast_if_small
+from helixmill.functions.stored import store
 from helixmill.operators.qc import normalize_columns
 
 
@@ -41,39 +42,92 @@ def read_sample_panel(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.get(cells, names.index("sample")).alias("sample_id"), F.get(cells, names.index(pop)).alias("super_pop"))
 
 
-def _alt_count(call: Column) -> Column:
-    """ALT alleles of a call such as 0|1:..; null if any is missing."""
-    alleles = F.split(F.split_part(call, F.lit(":"), F.lit(1)), r"[/|]")
-    bad = F.exists(alleles, lambda a: ~a.isin("0", "1"))
-    return F.when(~bad, F.size(F.filter(alleles, lambda a: a == "1"))).cast("tinyint")
+def _fields(line: bytes, skip: int, most: int = 1 << 20) -> Iterator[bytes]:
+    """The tab-separated fields after the first `skip`, in pieces of about `most` bytes that end with a field."""
+    at = -1
+    for _ in range(skip):
+        at = line.find(b"\t", at + 1)
+        if at < 0:
+            return
+    while at < len(line):
+        end = line.find(b"\t", at + most)
+        end = len(line) if end < 0 else end
+        yield line[at + 1 : end]
+        at = end
+
+
+def _alt_counts(calls: bytes) -> pa.Array:
+    """ALT alleles of tab-separated calls such as 0|1:..; null if any allele is missing or another one."""
+    data = np.frombuffer(calls, np.uint8)
+    ends = np.append(np.flatnonzero(data == ord("\t")), len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    colons = np.append(np.flatnonzero(data == ord(":")), len(data))
+    size = np.minimum(colons[np.searchsorted(colons, starts)], ends) - starts
+    good, count = size % 2 == 1, np.zeros(len(starts), np.int64)
+    left = np.flatnonzero(good)
+    for k in range(size.max()):
+        left = left[size[left] > k]
+        x = data[starts[left] + k]
+        good[left] &= (x == ord("/")) | (x == ord("|")) if k % 2 else (x == ord("0")) | (x == ord("1"))
+        count[left] += (x == ord("1")) & (k % 2 == 0)
+    return pa.array(count, pa.int64(), mask=~good).cast(pa.int8())
+
+
+def _vcf_dosages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            parts = [_alt_counts(x) for x in _fields(b.column("value")[i].as_buffer().to_pybytes(), 9)]
+            flat = pa.concat_arrays(parts) if parts else pa.array([], pa.int8())
+            yield pa.RecordBatch.from_arrays([b.column("variant_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], ["variant_id", "dosages"])
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Variants, and their packed dosages (one array a variant), of the biallelic SNPs of a VCF.
 
-    The order of the arrays is that of the samples in the header; `unpack` gives long rows.
+    The order of the arrays is that of the samples in the header; `unpack` gives long rows. Calls are read from the bytes
+    of a line, so a line of millions of samples takes the room of its text and no object a call.
     """
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
-    f = F.split("value", "\t")
+    f = F.split(F.substring_index("value", "\t", 9), "\t")
     base = ["A", "C", "G", "T"]
-    d = lines.select(F.regexp_replace(f[0], "^chr", "").alias("chr"), f[1].cast("int").alias("bp"), f[2].alias("rsid"), f[3].alias("ref"), f[4].alias("alt"), F.slice(f, F.lit(10), F.greatest(F.lit(0), F.size(f) - 9)).alias("calls"))
+    d = lines.select(F.regexp_replace(f[0], "^chr", "").alias("chr"), f[1].cast("int").alias("bp"), f[2].alias("rsid"), f[3].alias("ref"), f[4].alias("alt"), "value")
     d = d.where(F.upper("ref").isin(base) & F.upper("alt").isin(base))
     d = d.withColumn("variant_id", F.xxhash64("chr", "bp", "ref", "alt"))
-    return d.select("variant_id", "chr", "bp", "rsid", "ref", "alt"), d.select("variant_id", F.transform("calls", _alt_count).alias("dosages"))
+    return d.select("variant_id", "chr", "bp", "rsid", "ref", "alt"), d.select("variant_id", "value").mapInArrow(_vcf_dosages, "variant_id long, dosages array<tinyint>")
 
 
 def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
-    """i and sample_id: sample names in the order of the dosages; the header is one line."""
+    """i and sample_id: sample names in the order of the dosages, stored, as Spark cannot tell from one line how many there are; the header is one line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at = 0
+                for x in _fields(b.column("value")[i].as_buffer().to_pybytes(), 9):
+                    names = pc.split_pattern(pa.array([x.decode()]), "\t").flatten()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(names)), pa.int32()), names], ["i", "sample_id"])
+                    at += len(names)
+
     head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1)
-    f = F.split("value", "\t")
-    return head.select(F.posexplode(F.slice(f, F.lit(10), F.greatest(F.lit(0), F.size(f) - 9))).alias("i", "sample_id"))
+    return store(head.mapInArrow(run, "i int, sample_id string"), "vcf-samples")
 
 
-def unpack(packed: DataFrame, samples: DataFrame, sparse: bool = True) -> DataFrame:
+def unpack(packed: DataFrame, samples: DataFrame, sparse: bool = True, most: int = 1 << 16) -> DataFrame:
     """variant_id, sample_id and dosage; in sparse form without rows of dosage 0."""
-    d = packed.select("variant_id", F.posexplode("dosages").alias("i", "dosage"))
-    d = d.where("dosage is null or dosage <> 0") if sparse else d
-    return d.join(broadcast_if_small(samples), "i").select("variant_id", "sample_id", "dosage")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                values = b.column("dosages")[k].values
+                for at in range(0, len(values) if values is not None else 0, most):
+                    x = values.slice(at, most)
+                    there = np.flatnonzero(x.fill_null(1).to_numpy(zero_copy_only=False)) if sparse else np.arange(len(x))
+                    yield pa.RecordBatch.from_arrays([b.column("variant_id").take(pa.array(np.full(len(there), k))), pa.array(at + there, pa.int32()), x.take(pa.array(there))], ["variant_id", "i", "dosage"])
+
+    kind = dict(packed.dtypes)
+    element = kind["dosages"].removeprefix("array<").removesuffix(">")
+    d = packed.select("variant_id", "dosages").mapInArrow(run, f"variant_id {kind['variant_id']}, i int, dosage {element}")
+    return d.join(samples, "i").select("variant_id", "sample_id", "dosage")
 
 
 def _gen_lines(call_threshold: float, most_bytes: int = 16_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
