@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.columns import broadcast_if_small, clip, finite
+from helixmill.functions.columns import broadcast_if_few, broadcast_if_small, clip, finite
 from helixmill.functions.ordering import counted
 from helixmill.operators.cells import SUMS
 
@@ -67,7 +67,7 @@ def sample_order(people: DataFrame) -> DataFrame:
 
 def pack_sparse(genotypes: DataFrame, samples: DataFrame, n_samples: int) -> DataFrame:
     """variant_id, n and codes of genotypes whose dosage 0 has no row; `samples` has i and sample_id."""
-    d = genotypes.join(broadcast_if_small(samples), "sample_id")
+    d = genotypes.join(broadcast_if_few(samples), "sample_id")
     d = d.groupBy("variant_id").agg(F.collect_list(F.struct("i", F.coalesce("dosage", F.lit(MISSING)).cast("tinyint").alias("code"))).alias("seen"))
     kind = dict(genotypes.dtypes)["variant_id"]
 

@@ -235,3 +235,17 @@ def test_vcf_calls_are_read_from_bytes(spark, tmp_path):
     assert "Generate" not in plan  # no line is split into one object a call
     expected = view(spark, str(tmp_path), "genotypes").select(F.concat(F.lit("rs"), "variant_id").alias("rsid"), F.col("sample_id").cast("string"), "dosage")
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_people_are_broadcast_by_their_number(spark):
+    """A stored table of a row a person takes a few bytes of file each, and no hint sends hundreds of thousands to the driver."""
+    from helixmill.functions.stored import store
+    from helixmill.operators import dp
+
+    people = lambda n: store(spark.range(n).selectExpr("id as sample_id", "40 as age", "1 as sex", "1 as site", "0 as y_bin", "1.0d as y_quant"), "people")
+    g = spark.createDataFrame([(1, 5, 2)], "variant_id long, sample_id long, dosage int")
+    for n, hinted in ((500_001, False), (1000, True)):
+        p = people(n)
+        for d in (C.genotype_cells(g, p), C.genotype_cells(g, p, ["site"]), gwas.sparse_linear_sums(g, p, ["site"]), dp.utilities_sparse(g, p, 50.0)):
+            joins = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (sample_id" in x]
+            assert joins and all(("strategy=broadcast" in x) == hinted for x in joins)
