@@ -249,3 +249,13 @@ def test_people_are_broadcast_by_their_number(spark):
         for d in (C.genotype_cells(g, p), C.genotype_cells(g, p, ["site"]), gwas.sparse_linear_sums(g, p, ["site"]), dp.utilities_sparse(g, p, 50.0)):
             joins = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (sample_id" in x]
             assert joins and all(("strategy=broadcast" in x) == hinted for x in joins)
+
+
+@pytest.mark.parametrize("name", ["m02_all_scores"])
+def test_scores_of_more_people_than_are_sent(name, agree, monkeypatch):
+    """Where people are too many for a broadcast, joins that shuffle give what the SQL gives."""
+    from helixmill import queries, queries_studies  # noqa: F401
+
+    for module in (C, gwas):
+        monkeypatch.setattr(module, "broadcast_if_few", lambda df: df.hint("merge"))
+    agree(queries.QUERIES[name], queries.ORACLES[name])
