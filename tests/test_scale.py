@@ -251,7 +251,7 @@ def test_people_are_broadcast_by_their_number(spark):
             assert joins and all(("strategy=broadcast" in x) == hinted for x in joins)
 
 
-@pytest.mark.parametrize("name", ["m02_all_scores"])
+@pytest.mark.parametrize("name", ["m02_all_scores", "m03_fitted_pairs"])
 def test_scores_of_more_people_than_are_sent(name, agree, monkeypatch):
     """Where people are too many for a broadcast, joins that shuffle give what the SQL gives."""
     from helixmill import queries, queries_studies  # noqa: F401
