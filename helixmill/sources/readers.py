@@ -6,6 +6,7 @@ scans, since a gzipped file is read by one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from helixmill.functions.columns import broadcast_if_small
 from helixmill.functions.stored import store
 from helixmill.operators.qc import normalize_columns
 
+TAB = re.compile(b"\t")
+
 
 def read_pgs_weights(spark: SparkSession, path: str, trait: str) -> DataFrame:
     """trait, line, chr_name, rsid, effect_allele and effect_weight of tab-separated score files with comments; lines are counted over all files."""
@@ -42,16 +45,17 @@ def read_sample_panel(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.get(cells, names.index("sample")).alias("sample_id"), F.get(cells, names.index(pop)).alias("super_pop"))
 
 
-def _fields(line: bytes, skip: int, most: int = 1 << 20) -> Iterator[bytes]:
-    """The tab-separated fields after the first `skip`, in pieces of about `most` bytes that end with a field."""
+def _fields(line: bytes | memoryview, skip: int, most: int = 1 << 20) -> Iterator[bytes | memoryview]:
+    """The tab-separated fields after the first `skip`, in pieces of about `most` bytes that end with a field; nothing is copied."""
     at = -1
     for _ in range(skip):
-        at = line.find(b"\t", at + 1)
-        if at < 0:
+        tab = TAB.search(line, at + 1)
+        if tab is None:
             return
+        at = tab.start()
     while at < len(line):
-        end = line.find(b"\t", at + most)
-        end = len(line) if end < 0 else end
+        tab = TAB.search(line, at + most)
+        end = tab.start() if tab else len(line)
         yield line[at + 1 : end]
         at = end
 
@@ -76,7 +80,7 @@ def _alt_counts(calls: bytes) -> pa.Array:
 def _vcf_dosages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            parts = [_alt_counts(x) for x in _fields(b.column("value")[i].as_buffer().to_pybytes(), 9)]
+            parts = [_alt_counts(x) for x in _fields(memoryview(b.column("value")[i].as_buffer()), 9)]
             flat = pa.concat_arrays(parts) if parts else pa.array([], pa.int8())
             yield pa.RecordBatch.from_arrays([b.column("variant_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], ["variant_id", "dosages"])
 
@@ -103,8 +107,8 @@ def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 at = 0
-                for x in _fields(b.column("value")[i].as_buffer().to_pybytes(), 9):
-                    names = pc.split_pattern(pa.array([x.decode()]), "\t").flatten()
+                for x in _fields(memoryview(b.column("value")[i].as_buffer()), 9):
+                    names = pc.split_pattern(pa.array([bytes(x).decode()]), "\t").flatten()
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(names)), pa.int32()), names], ["i", "sample_id"])
                     at += len(names)
 
